@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, sharding
 
 QUERIES = {
     "op3_quality_rules": quality.query,
+    "op6_sharding": sharding.query,
 }
 
 ORACLE = {
