@@ -126,13 +126,13 @@ def host_rates(scored: DataFrame) -> DataFrame:
     hosts = scored.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("fails"))
     rate = F.col("fails") / F.col("n")
     total = hosts.agg(F.sum("n").alias("tn"), F.sum("fails").alias("tf"), F.sum(rate * rate * F.col("n")).alias("rr"), F.count(F.lit(1)).alias("hosts"))
-    m = F.col("tf") / F.col("tn")
-    v = F.col("rr") / F.col("tn") - m * m - m * (1 - m) * F.col("hosts") / F.col("tn")
+    m = F.try_divide("tf", "tn")
+    v = F.try_divide("rr", "tn") - m * m - m * (1 - m) * F.try_divide("hosts", "tn")
     strength = F.when(v > 1e-9, F.least(F.lit(1000.0), F.greatest(F.lit(2.0), m * (1 - m) / v - 1))).otherwise(1000.0)
-    prior = total.where("tn > 0").select(F.lit(1).alias("one"), m.alias("m"), strength.alias("s"))
-    # The prior is one row: its broadcast cannot grow with the data.
-    joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")
-    return joined.select("host", "n", "fails", ((F.col("fails") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))).alias("rate"))
+    # Two numbers come to the driver.
+    prior = total.select(m.alias("m"), strength.alias("s")).first()
+    mean, weight = (prior["m"] or 0.0, prior["s"]) if prior else (0.0, 1000.0)
+    return hosts.select("host", "n", "fails", ((F.col("fails") + mean * weight) / (F.col("n") + weight)).alias("rate"))
 
 
 def score(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import packing, quality, sharding
 
 QUERIES = {
     "op3_quality_rules": quality.query,
+    "op4_best_fit_packing": packing.query,
     "op6_sharding": sharding.query,
 }
 
