@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding
+from . import mixing, packing, quality, sharding
 
 QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
+    "op5_source_mixing": mixing.query,
     "op6_sharding": sharding.query,
 }
 
