@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding
+from . import mixing, packing, quality, sharding, tokenstore
 
 QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
     "op5_source_mixing": mixing.query,
     "op6_sharding": sharding.query,
+    "op9_token_output": tokenstore.query,
 }
 
 ORACLE = {
