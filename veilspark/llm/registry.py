@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, sharding, tokenstore
+from . import mixing, neardup, packing, quality, sharding, tokenstore
 
 QUERIES = {
+    "op2_minhash_near_dedup": neardup.query,
     "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
     "op5_source_mixing": mixing.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_minhash_near_dedup": neardup.ORACLE,
     "op3_quality_rules": quality.ORACLE,
 }
