@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, quality, sharding, tokenstore
+from . import mixing, neardup, packing, quality, sharding, substring, tokenstore
 
 QUERIES = {
     "op2_minhash_near_dedup": neardup.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_source_mixing": mixing.query,
     "op6_sharding": sharding.query,
+    "op8_substring_dedup": substring.query,
     "op9_token_output": tokenstore.query,
 }
 
 ORACLE = {
     "op2_minhash_near_dedup": neardup.ORACLE,
     "op3_quality_rules": quality.ORACLE,
+    "op8_substring_dedup": substring.ORACLE,
 }
