@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, quality, sharding, substring, tokenstore
+from . import fingerprint, mixing, neardup, packing, quality, sharding, substring, tokenstore
 
 QUERIES = {
     "op2_minhash_near_dedup": neardup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op8_substring_dedup": substring.query,
     "op9_token_output": tokenstore.query,
+    "op10_document_fingerprints": fingerprint.query,
 }
 
 ORACLE = {
