@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, neardup, packing, quality, sharding, substring, tokenstore
+from . import fingerprint, langid, mixing, neardup, packing, quality, sharding, substring, tokenstore
 
 QUERIES = {
     "op2_minhash_near_dedup": neardup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_source_mixing": mixing.query,
     "op6_sharding": sharding.query,
+    "op7_language_id": langid.query,
     "op8_substring_dedup": substring.query,
     "op9_token_output": tokenstore.query,
     "op10_document_fingerprints": fingerprint.query,
