@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, mixing, neardup, packing, quality, sharding, substring, tokenstore
+from . import fingerprint, htmltext, langid, mixing, neardup, packing, quality, sharding, substring, tokenstore
 
 QUERIES = {
+    "op1_html_extraction": htmltext.query,
     "op2_minhash_near_dedup": neardup.query,
     "op3_quality_rules": quality.query,
     "op4_best_fit_packing": packing.query,
