@@ -246,29 +246,27 @@ def _suffixes(parts: int) -> Callable:
     return run
 
 
-def _repeated(part: int, keys: np.ndarray, docs: np.ndarray, marks: None) -> pa.RecordBatch:
+def _repeated(part: int, keys: np.ndarray, docs: np.ndarray, marks: None) -> np.ndarray:
     """Runs that PAGES or more different streams hold."""
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
     start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
     pages = np.add.reduceat(new.astype(np.int64), start)
-    hit = order[np.repeat(pages >= PAGES, np.diff(np.append(start, len(k))))]
-    return substring._replies(part, keys[hit], docs[hit], b"")
+    return order[np.repeat(pages >= PAGES, np.diff(np.append(start, len(k))))]
 
 
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for url, blocks, found in zip(*[batch.column(j).to_pylist() for j in (1, 2, 3)]):
-            keys, block = _run_keys(host_of(url), blocks)
-            gone = np.zeros(len(blocks), bool)
-            if found and len(keys):
-                known = np.concatenate([np.frombuffer(x, "<u8") for x in found])
-                covered = tv.cover(np.flatnonzero(np.isin(keys, known)), RUN, len(block))
-                gone = np.bincount(block, ~covered, len(blocks)) == 0
-            texts.append("\n".join(t for t, g in zip(blocks, gone) if not g))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+def _unique(rows: pa.Table, found: pa.Table) -> pa.Table:
+    known, texts = substring.Answers(found, "<u8"), []
+    for url, blocks, stream in zip(*[rows.column(n).to_pylist() for n in ("url", "blocks", "stream")]):
+        keys, block = _run_keys(host_of(url), blocks)
+        gone = np.zeros(len(blocks), bool)
+        mine = known.of(stream)
+        if len(mine) and len(keys):
+            covered = tv.cover(np.flatnonzero(np.isin(keys, mine)), RUN, len(block))
+            gone = np.bincount(block, ~covered, len(blocks)) == 0
+        texts.append("\n".join(t for t, g in zip(blocks, gone) if not g))
+    return pa.table({"page_id": rows.column("page_id"), "url": rows.column("url"), "text": pa.array(texts, pa.string())})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -279,9 +277,10 @@ def extract(pages: DataFrame) -> DataFrame:
     size = open_pages.agg(F.sum(F.octet_length(F.array_join("blocks", "\n"))).alias("b")).first()["b"] or 0
     parts = int(size // PART_BYTES) + 1
     packed = open_pages.select("url", "blocks", "stream").mapInArrow(_suffixes(parts), substring._PACKED)
-    found = substring._exchange(packed, parts, "<u8", _repeated).withColumnRenamed("doc_id", "stream")
-    judged = open_pages.select("page_id", "url", "blocks", "stream").join(found, "stream", "left").select("page_id", "url", "blocks", "found")
-    texts = parsed.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(judged.mapInArrow(_unique, "page_id long, url string, text string"))
+    buckets = max(32, 2 * parts)
+    found = substring.exchange(packed, parts, "<u8", _repeated, buckets)
+    judged = substring.answered(open_pages.select("page_id", "url", "blocks", "stream"), "stream", found, buckets, _unique, "page_id long, url string, text string")
+    texts = parsed.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(judged)
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 

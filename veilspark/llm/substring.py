@@ -13,9 +13,10 @@ of 7 in the other document. So:
    has it. The union of covered windows is the maximal exact repeat.
 3. Removal of covered words.
 
-Each map task sends one packed row per part, so a passage that very many
-documents share is no hot key: its windows spread over the parts, and a part
-is a fixed share of all windows. Parts grow in number with the text.
+Each map task sends packed rows per part, so a passage that very many documents
+share is no hot key: its windows spread over the parts, and a part is a fixed
+share of all windows. Answers go back in packed rows per bucket of documents.
+Parts and buckets grow in number with the text, not in size.
 
 Edge cases: null text is empty (no words, the hash of the empty string);
 documents with fewer than 13 words lose nothing; rows without a doc_id neither
@@ -32,11 +33,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .workspace import drop_written, pick, written
+from .workspace import pick, written
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -92,19 +93,55 @@ def _probe(parts: int) -> Callable:
     return run
 
 
-def _replies(part: int, keys: np.ndarray, docs: np.ndarray, head: bytes) -> pa.RecordBatch:
-    """One row per document: ``head`` and its distinct keys."""
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (ids ^ (ids >> 17)) % buckets
+
+
+def bucket_column(ident: Column, buckets: int) -> Column:
+    """The same as :func:`bucket_of`; rows without an id go to bucket 0."""
+    return F.coalesce(F.pmod(ident.bitwiseXOR(F.shiftright(ident, 17)), F.lit(buckets).cast("long")), F.lit(0)).cast("int")
+
+
+def _answers(part: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One packed row per bucket of documents: the distinct (document, key)."""
     order = np.lexsort((keys, docs))
     keys, docs = keys[order], docs[order]
     fresh = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))[: len(keys)]
     keys, docs = keys[fresh], docs[fresh]
-    run = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))[: len(docs)]
-    end = np.append(run[1:], len(docs))
-    raw, size = keys.tobytes(), keys.itemsize
-    return pa.RecordBatch.from_arrays([pa.array(docs[run], pa.int64()), pa.array([head + raw[a * size : b * size] for a, b in zip(run, end)], pa.binary())], names=["doc_id", "found"])
+    bucket = bucket_of(docs, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(cut[1:] > cut[:-1]):
+        mine = order[cut[b] : cut[b + 1]]
+        d = docs[mine]
+        run = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        rows.append((int(b), part, keys[mine].tobytes(), d[run].astype("<i8").tobytes(), np.diff(np.append(run, len(d))).astype("<u4").tobytes()))
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    cols = list(zip(*rows)) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "part", "body", "docs", "counts"])
+
+
+class Answers:
+    """The answers of one bucket by document."""
 
+    def __init__(self, table: pa.Table, body: str):
+        keys, docs = [np.zeros(0, tv.U)], [np.zeros(0, np.int64)]
+        for part, raw, ids, counts in zip(*[table.column(n).to_pylist() for n in ("part", "body", "docs", "counts")]):
+            k = np.frombuffer(raw, body).astype(tv.U)
+            keys.append(k | tv.U(part) << _SHIFT if body == "<u4" else k)
+            docs.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")))
+        keys, docs = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(docs, kind="stable")
+        self.keys, self.docs = keys[order], docs[order]
 
-def _meet(body: str, judge: Callable) -> Callable:
+    def of(self, doc: int | None) -> np.ndarray:
+        if doc is None:
+            return self.keys[:0]
+        return self.keys[np.searchsorted(self.docs, doc) : np.searchsorted(self.docs, doc, "right")]
+
+
+def _meet(body: str, judge: Callable, buckets: int) -> Callable:
     """For each part (rows arrive sorted by part) judge all its keys together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +153,8 @@ def _meet(body: str, judge: Callable) -> Callable:
                 docs = np.concatenate([np.repeat(np.frombuffer(x[2], "<i8"), np.frombuffer(x[3], "<u4")) for x in kept])
                 marks = np.concatenate([np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(x[0]) // 4).astype(bool) for x in kept]) if body == "<u4" else None
                 kept.clear()
-                yield judge(now, keys, docs, marks)
+                hit = judge(now, keys, docs, marks)
+                yield _answers(now, keys[hit], docs[hit], buckets)
 
         for batch in batches:
             cols = [batch.column(j) for j in range(5)]
@@ -140,61 +178,65 @@ def _runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, start, np.repeat(np.minimum.reduceat(d, start), size), np.repeat(np.maximum.reduceat(d, start), size)
 
 
-def _hits(part: int, keys: np.ndarray, docs: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+def _hits(part: int, keys: np.ndarray, docs: np.ndarray, marks: np.ndarray) -> np.ndarray:
     order, start, low, high = _runs(keys, docs)
     size = np.diff(np.append(start, len(keys)))
     block = np.repeat(np.logical_or.reduceat(marks[order], start), size)
-    hit = order[block & (low < high)]
-    return _replies(part, keys[hit], docs[hit], np.array([part], "<u4").tobytes())
+    return order[block & (low < high)]
 
 
-def _covered(part: int, keys: np.ndarray, docs: np.ndarray, marks: None) -> pa.RecordBatch:
+def _covered(part: int, keys: np.ndarray, docs: np.ndarray, marks: None) -> np.ndarray:
     order, _, low, _ = _runs(keys, docs)
-    hit = order[docs[order] > low]
-    return _replies(part, keys[hit], docs[hit], b"")
+    return order[docs[order] > low]
 
 
-def _exchange(packed: DataFrame, parts: int, body: str, judge: Callable) -> DataFrame:
+def exchange(packed: DataFrame, parts: int, body: str, judge: Callable, buckets: int) -> DataFrame:
+    """Bring each part's keys together and send what ``judge`` picks back by bucket of documents."""
     dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
-    found = dealt.mapInArrow(_meet(body, judge), "doc_id long, found binary")
-    return found.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    return dealt.mapInArrow(_meet(body, judge, buckets), "bucket int, part int, body binary, docs binary, counts binary")
+
+
+def answered(rows: DataFrame, ident: str, answers: DataFrame, buckets: int, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` over the rows and the answers of each bucket (a bounded share of the text)."""
+    left = rows.withColumn("bucket", bucket_column(F.col(ident), buckets)).groupBy("bucket")
+    return left.cogroup(answers.groupBy("bucket")).applyInArrow(fn, schema)
 
 
-def _extend(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = batch.column(2)
-        for c in tv.chunks(batch.column(1)):
+def _extend(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["doc_id", "n_words", "kept_sha256", "text", "windows"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known, out = Answers(found, "<u4"), []
+        ids = rows.column("doc_id").to_pylist()
+        for c in tv.chunks(rows.column("text")):
             w = tv.words(c)
-            hit_docs = np.flatnonzero(np.asarray(found.slice(c.lo, c.n).is_valid()))
-            candidates: list[bytes | None] = [None] * c.n
-            if len(hit_docs):
-                h = tv.spans(tv.prefix(c.data), w.start, w.end)
-                seven, thirteen = tv.rolling(h, BLOCK), tv.rolling(h, WINDOW)
-                part = _parts_of(seven, parts).astype(tv.U)
-                full = (part << _SHIFT) | (seven & tv.U(0xFFFFFFFF))
-            for i in hit_docs:
-                a, b = w.first[i], w.first[i + 1]
-                if b - a < WINDOW:
-                    continue
-                known = []
-                for x in found[c.lo + i].as_py():
-                    x = np.frombuffer(x, "<u4").astype(tv.U)
-                    known.append((x[0] << _SHIFT) | x[1:])
-                hit = np.isin(full[a : b - BLOCK + 1], np.concatenate(known))
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n = b - a - WINDOW + 1
-                holds = total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + n] > total[:n]
-                candidates[i] = np.unique(thirteen[a : a + n][holds]).astype("<u8").tobytes()
+            h = tv.spans(tv.prefix(c.data), w.start, w.end)
+            seven, thirteen = tv.rolling(h, BLOCK), tv.rolling(h, WINDOW)
+            full = _parts_of(seven, parts).astype(tv.U) << _SHIFT | seven & tv.U(0xFFFFFFFF)
             raw = c.data.tobytes()
-            texts, sums = [], []
+            texts, sums, windows = [], [], []
             for i in range(c.n):
+                a, b = w.first[i], w.first[i + 1]
+                mine = known.of(ids[c.lo + i]) if b - a >= WINDOW else known.keys[:0]
                 x = raw[c.off[i] : c.off[i + 1]]
-                texts.append(x.decode() if candidates[i] else None)
-                sums.append(None if candidates[i] else hashlib.sha256(b" ".join(x.split())).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(c.lo, c.n), pa.array(w.count.astype(np.int64)), pa.array(sums, pa.string()), pa.array(texts, pa.string()), pa.array([x or None for x in candidates], pa.binary())],
-                names=["doc_id", "n_words", "kept_sha256", "text", "windows"],
-            )
+                if len(mine):
+                    hit = np.isin(full[a : b - BLOCK + 1], mine)
+                    total = np.concatenate([[0], np.cumsum(hit)])
+                    n = b - a - WINDOW + 1
+                    holds = total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + n] > total[:n]
+                    texts.append(x.decode())
+                    sums.append(None)
+                    windows.append(np.unique(thirteen[a : a + n][holds]).astype("<u8").tobytes())
+                else:
+                    texts.append(None)
+                    sums.append(hashlib.sha256(b" ".join(x.split())).hexdigest())
+                    windows.append(None)
+            cols = [rows.column("doc_id").slice(c.lo, c.n).combine_chunks(), w.count.astype(np.int64), sums, texts, windows]
+            out.append(pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols, kinds)], names=names))
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
+
+    return run
 
 
 def _spread(parts: int) -> Callable:
@@ -211,33 +253,31 @@ def _spread(parts: int) -> Callable:
     return run
 
 
-def _keep(words: list[bytes], mask: np.ndarray) -> bytes:
-    return b" ".join(compress(words, ~mask))
-
+def _remove(keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-def _remove(keep_text: bool) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(2)
-            for c in tv.chunks(batch.column(1)):
-                w = tv.words(c)
-                h = tv.spans(tv.prefix(c.data), w.start, w.end)
-                thirteen = tv.rolling(h, WINDOW)
-                raw = c.data.tobytes()
-                removed, sums, texts = [], [], []
-                for i in range(c.n):
-                    a, b = w.first[i], w.first[i + 1]
-                    words = raw[c.off[i] : c.off[i + 1]].split()
-                    mask = np.zeros(b - a, bool)
-                    if found[c.lo + i].is_valid and b - a >= WINDOW:
-                        known = np.concatenate([np.frombuffer(x, "<u8") for x in found[c.lo + i].as_py()])
-                        mask = tv.cover(np.flatnonzero(np.isin(thirteen[a : b - WINDOW + 1], known)), WINDOW, b - a)
-                    kept = _keep(words, mask)
-                    removed.append(int(mask.sum()))
-                    sums.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept.decode() if keep_text and mask.any() else None)
-                cols = [batch.column(0).slice(c.lo, c.n), pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        known, out = Answers(found, "<u8"), []
+        ids = rows.column("doc_id").to_pylist()
+        for c in tv.chunks(rows.column("text")):
+            w = tv.words(c)
+            h = tv.spans(tv.prefix(c.data), w.start, w.end)
+            thirteen = tv.rolling(h, WINDOW)
+            raw = c.data.tobytes()
+            removed, sums, texts = [], [], []
+            for i in range(c.n):
+                a, b = w.first[i], w.first[i + 1]
+                mine = known.of(ids[c.lo + i])
+                at = np.flatnonzero(np.isin(thirteen[a : b - WINDOW + 1], mine)) if len(mine) and b - a >= WINDOW else np.zeros(0, np.int64)
+                mask = tv.cover(at, WINDOW, b - a)
+                kept = b" ".join(compress(raw[c.off[i] : c.off[i + 1]].split(), ~mask))
+                removed.append(int(mask.sum()))
+                sums.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode() if keep_text and mask.any() else None)
+            cols = [rows.column("doc_id").slice(c.lo, c.n).combine_chunks(), w.count.astype(np.int64), removed, sums, texts]
+            out.append(pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols, kinds)], names=names))
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
 
     return run
 
@@ -247,16 +287,15 @@ def removals(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     size = narrow.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = int(size // PART_BYTES) + 1
+    buckets = max(32, 2 * parts)
     known = narrow.where("doc_id IS NOT NULL")
-    hits = written(_exchange(known.mapInArrow(_probe(parts), _PACKED), parts, "<u4", _hits), "hits")
-    joined = narrow.join(hits, "doc_id", "left").select("doc_id", "text", "found")
+    hits = exchange(known.mapInArrow(_probe(parts), _PACKED), parts, "<u4", _hits, buckets)
     schema = "doc_id long, n_words long, kept_sha256 string, text string, windows binary"
-    extended = written(joined.mapInArrow(lambda it: _extend(it, parts), schema), "extended")
-    drop_written(hits)
+    extended = written(answered(narrow, "doc_id", hits, buckets, _extend(parts), schema), "extended")
     windows = extended.where("windows IS NOT NULL").select("doc_id", "windows")
-    covered = _exchange(windows.mapInArrow(_spread(parts), _PACKED), parts, "<u8", _covered)
-    touched = extended.where("windows IS NOT NULL").select("doc_id", "text").join(covered, "doc_id", "left").select("doc_id", "text", "found")
-    out = touched.mapInArrow(_remove(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    covered = exchange(windows.mapInArrow(_spread(parts), _PACKED), parts, "<u8", _covered, buckets)
+    touched = extended.where("windows IS NOT NULL").select("doc_id", "text")
+    out = answered(touched, "doc_id", covered, buckets, _remove(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     plain = extended.where("windows IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
     return plain.unionByName(out)
 
