@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE = {}
+from . import detection
+
+QUERIES, ORACLE = {}, {}
+for part in (detection,):
+    QUERIES |= part.QUERIES
+    ORACLE |= part.ORACLE
