@@ -5,7 +5,6 @@ A rectangle is ``struct<x, y, w, h>`` of doubles.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,48 +77,46 @@ def on_media(boxes: DataFrame, media: DataFrame, key: str) -> DataFrame:
     return boxes.join(m, (F.col(key) == F.col("_page")) & (overlap_share(F.col("rect"), F.col("_media")) >= ON_MEDIA), "left_semi")
 
 
-def _py_iou(a, b) -> float:
-    w = min(a.x + a.w, b.x + b.w) - max(a.x, b.x)
-    h = min(a.y + a.h, b.y + b.h) - max(a.y, b.y)
-    both = max(0.0, w) * max(0.0, h)
-    return both / ((a.w * a.h + b.w * b.h - both) or 1.0)
+def _box() -> Column:
+    return F.struct("x", "y", "w", "h")
 
 
 def nms(boxes: DataFrame, keys: list[str], threshold: float = 0.45) -> DataFrame:
-    """Greedy suppression per group of (ordinal, score, x, y, w, h), best score first.
+    """Greedy suppression per group of rows (ordinal, score, x, y, w, h, ...), best score first.
 
-    The groups are the boxes of one image and class: bounded by what a detector
-    emits, so a group fits a task.
+    A fold over the group's boxes in the JVM. Groups are the boxes of one image
+    (and class), so their size is bounded by what a detector emits.
     """
+    rest = [c for c in boxes.columns if c not in keys]
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_o"), F.col("ordinal").alias("_i"), _box().alias("_r"), F.struct(*rest).alias("row"))))
+    grouped = boxes.groupBy(*keys).agg(ordered.alias("all"))
+    none = F.slice(F.col("all"), 1, 0)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "ordinal"], ascending=[False, True])
-        kept: list = []
-        rows = []
-        for row in pdf.itertuples():
-            if all(_py_iou(k, row) < threshold for k in kept):
-                kept.append(row)
-                rows.append(row.Index)
-        return pdf.loc[rows]
+    def step(kept: Column, b: Column) -> Column:
+        return F.when(F.forall(kept, lambda k: iou(k["_r"], b["_r"]) < threshold), F.array_append(kept, b)).otherwise(kept)
 
-    return boxes.groupBy(*keys).applyInPandas(run, boxes.schema)
+    return grouped.select(*keys, F.explode(F.aggregate("all", none, step)).alias("b")).select(*keys, "b.row.*").select(*boxes.columns)
 
 
 def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """Greedy one-to-one matches per group; ``hit`` tells true from false positives."""
-
-    def run(key, dets: pd.DataFrame, gts: pd.DataFrame) -> pd.DataFrame:
-        free, hits = list(gts.itertuples()), []
-        dets = dets.sort_values(["score", "ordinal"], ascending=[False, True])
-        for d in dets.itertuples():
-            best = max(((_py_iou(d, g), i) for i, g in enumerate(free)), default=(0.0, -1))
-            hits.append(best[0] >= threshold)
-            if hits[-1]:
-                free.pop(best[1])
-        return dets.assign(hit=hits)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detections.schema) + ", hit boolean"
-    return detections.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(run, schema)
+    """Greedy one-to-one matches per group in order of score; ``hit`` tells true from false positives.
+
+    A detection takes the free truth of largest overlap (the later one on ties).
+    """
+    rest = [c for c in detections.columns if c not in keys]
+    dets = detections.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_o"), F.col("ordinal").alias("_i"), _box().alias("_r"), F.struct(*rest).alias("row")))).alias("dets"))
+    free = truth.groupBy(*keys).agg(F.collect_list(_box()).alias("free"))
+    none = F.array().cast("array<boolean>")
+    start = F.struct(F.coalesce("free", F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")).alias("free"), none.alias("hits"))
+
+    def step(state: Column, d: Column) -> Column:
+        best = F.array_max(F.transform(state["free"], lambda g, i: F.struct(iou(d["_r"], g).alias("v"), i.alias("i"))))
+        hit = F.coalesce(best["v"] >= threshold, F.lit(False))
+        return F.struct(F.when(hit, F.filter(state["free"], lambda g, i: i != best["i"])).otherwise(state["free"]).alias("free"), F.array_append(state["hits"], hit).alias("hits"))
+
+    hits = F.aggregate("dets", start, step, lambda s: s["hits"])
+    both = dets.join(free, keys, "left").withColumn("hits", hits)
+    return both.select(*keys, F.explode(F.arrays_zip("dets", "hits")).alias("b")).select(*keys, "b.dets.row.*", F.col("b.hits").alias("hit"))
 
 
 def covered_area(boxes: DataFrame, keys: list[str]) -> DataFrame:

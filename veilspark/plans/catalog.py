@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, privacy, screens
 
 QUERIES, ORACLE = {}, {}
-for part in (detection,):
+for part in (detection, privacy, screens):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE

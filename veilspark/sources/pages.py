@@ -70,6 +70,7 @@ class _Page(HTMLParser):
             if kind not in NOT_TEXT:
                 inside = self.label[1].strip() if self.label else ""
                 self.fields.append({"tag": tag, "type": a.get("type"), "autocomplete": a.get("autocomplete"), "name": a.get("name"), "id": a.get("id"), "label": inside or None, "placeholder": a.get("placeholder"), "aria_label": a.get("aria-label"), "value": a.get("value", ""), "near": self.before[-LABEL_LENGTH:]})
+                self.before = ""
                 if tag == "textarea":
                     self.area = []
         if tag in ("img", "video", "canvas"):
