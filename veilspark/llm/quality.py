@@ -35,7 +35,7 @@ LENIENT = (60, 60, 20)
 STRICT = (15, 35, 14)
 HOST_LIMIT = 0.35
 
-_SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+_SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, text_hash long"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
@@ -94,12 +94,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((w.count, tv.per_document(lead, c.off), tv.per_document(_IS_SYMBOL[c.data], c.off), dup, _repeat_words(c, w, h), n_lines))
         if parts:
             cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols, batch.column(3)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
 def counts(docs: DataFrame, host: str = "source") -> DataFrame:
     """Surface counts of every whole text: one row per input row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(f"`{host}`").cast("string").alias("host"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(f"`{host}`").cast("string").alias("host"), F.xxhash64("text").alias("text_hash"))
     return narrow.mapInArrow(_count, _SCHEMA)
 
 
@@ -135,19 +135,23 @@ def host_rates(scored: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "fails", ((F.col("fails") + mean * weight) / (F.col("n") + weight)).alias("rate"))
 
 
-def score(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, counts, base_failed, host_rate and the verdict ``kept`` of every row."""
+def _judged(docs: DataFrame, host: str) -> DataFrame:
     table = written(counts(docs, host).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | _soft(STRICT)), "quality")
     hosts = host_rates(table).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"))
     out = table.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
     limit = F.when(F.col("host_rate") > HOST_LIMIT, _soft(STRICT)).otherwise(_soft(LENIENT))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~limit).alias("kept"), F.round("host_rate", 9).alias("host_rate"))
+    return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~limit).alias("kept"), F.round("host_rate", 9).alias("host_rate"))
+
+
+def score(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, counts, base_failed, host_rate and the verdict ``kept`` of every row."""
+    return _judged(docs, host).drop("text_hash")
 
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents (all columns) whose verdict is kept."""
-    good = score(docs, host).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_id"]), "left_semi")
+    """The documents (all columns) whose verdict is kept; rows match by doc_id and the hash of their text."""
+    good = _judged(docs, host).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_hash"]), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -93,10 +93,10 @@ def assign(df: DataFrame, key: str, payload: list, shards: int = SHARDS) -> Data
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: int = SHARDS) -> None:
-    """Write the rows, all columns, into one folder per shard, in slot order within each file."""
+    """Write the rows, all columns, into one folder ``_shard=n`` per shard, in slot order within each file."""
     payload = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")]
-    out = assign(df.select("*"), key, payload, shards).select("shard", "slot", "row.*")
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = assign(df, key, payload, shards).select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "row.*")
+    out.repartition(shards, "_shard").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ _SCHEMA = "rng int, part int, first_key long, last_key long, n_docs long, n_toke
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    return tv.mix(tv.mix(keys.astype(np.int64).view(tv.U) ^ tv.U(0xA0761D6478BD642F)) + tv.U(seed) * tv.U(0xE7037ED1A0B428DB))
+    return tv.mix(tv.mix(keys.astype(np.int64).view(tv.U) ^ tv.U(0xA0761D6478BD642F)) + tv.U(seed * 0xE7037ED1A0B428DB % (1 << 64)))
 
 
 def build_index(keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
