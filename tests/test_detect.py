@@ -15,7 +15,7 @@ CASES = [
     ("मोबाइल ९८७६५४३२१०", [("PHONE", "९८७६५४३२१०")]),
     ("call +91-9876543210 or 09876543210", [("PHONE", "+91-9876543210"), ("PHONE", "09876543210")]),
     ("GST 27ABCDE1234F1Z0", [("GSTIN", "27ABCDE1234F1Z0")]),
-    ("PAN ABCPE1234F IFSC HDFC0001234 mail a.b@x.co.in pay r@okaxis", [("PAN", "ABCPE1234F"), ("IFSC", "HDFC0001234"), ("EMAIL", "a.b@x.co.in"), ("UPI", "r@okaxis")]),
+    ("PAN ABCPE1234F IFSC HDFC0001234 mail a.b@x.co.in pay ravi@okaxis", [("PAN", "ABCPE1234F"), ("IFSC", "HDFC0001234"), ("EMAIL", "a.b@x.co.in"), ("UPI", "ravi@okaxis")]),
     ("VID: 1234 1234 1234 1231", [("AADHAAR_VID", "1234 1234 1234 1231")]),
     ("Order total 560034 units", []),
     ("PIN code: 560034", [("PINCODE", "560034")]),

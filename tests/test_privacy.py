@@ -35,7 +35,7 @@ def test_urls(spark):
 
 
 def test_leaks(spark):
-    cases = {"mail a@b.com": ["EMAIL"], "2345 6789 0124": ["AADHAAR"], "ABCPE1234F": ["PAN"], "call 9876543210": ["PHONE"], "pay r@okaxis": ["UPI"], "27ABCDE1234F1Z5": ["GSTIN"], "sk-abcdefghijklmnopqrstuvwx": ["SECRET"], "plain": []}
+    cases = {"mail a@b.com": ["EMAIL"], "2345 6789 0124": ["AADHAAR"], "ABCPE1234F": ["PAN"], "call 9876543210": ["PHONE"], "pay ravi@okaxis": ["UPI"], "27ABCDE1234F1Z5": ["GSTIN"], "sk-abcdefghijklmnopqrstuvwx": ["SECRET"], "plain": []}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [r.x for r in df.select(tripwire.find_leaks(F.col("t")).alias("x")).collect()] == list(cases.values())
     good, bad = tripwire.split_leaks(df.union(spark.createDataFrame([(None,)], "t string")), "t")

@@ -87,7 +87,7 @@ def rule_spans(text: Column, name: str) -> Column:
             F.lit(rule.score).alias("score"), F.lit(rule.name).alias("rule"), F.lit(INDEX[rule.name]).alias("rule_idx"),
         ),
     )
-    return F.when(_worth(rule, norm), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.isNotNull() & _worth(rule, norm), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def all_rule_spans(text: Column, exclude: tuple[str, ...] = ()) -> Column:
