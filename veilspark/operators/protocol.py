@@ -188,3 +188,35 @@ def plan_local(slots: Column, legend: Column, submit: Column, used: Column, trie
         .when(F.size(releasable) > 0, out("done", reason="Filled the matching fields."))
         .otherwise(out("done", reason="Nothing on this page needed typing."))
     )
+
+
+def privacy_note(legend: Column) -> Column:
+    """What a task text says about placeholders: a fixed sentence and the legend in order."""
+    known = F.create_map(*[F.lit(x) for kv in CLASS_NAMES.items() for x in kv])
+    name = lambda c: F.coalesce(F.try_element_at(known, c), F.lower(F.translate(c, "_", " ")))
+    listed = F.array_join(F.transform(legend, lambda e: F.concat(e["token"], F.lit(" ("), name(e["pii_class"]), F.lit(")"))), ", ")
+    return F.concat(F.lit(PLACEHOLDERS), F.when(F.size(legend) > 0, F.concat(F.lit("\nPlaceholders in use: "), listed, F.lit("."))).otherwise(""))
+
+
+#: Own wording of the note on placeholders.
+PLACEHOLDERS = "Privacy note: values such as [EMAIL_1] are placeholders for real ones. Type a placeholder as shown to enter its value. Dark boxes hide content that is not shared."
+
+
+def observation_texts(steps: DataFrame, key: str, order: str, cue: str = "Here is the next screenshot.") -> DataFrame:
+    """The text of each step's message and whether its image stays (the last three that have one do).
+
+    ``steps``: key, order, instruction, url, text_observation, user_response,
+    has_image. The first step shows the task; a reply of the user goes before a
+    note, a note before the cue alone. Without its image a step without either is
+    dropped.
+    """
+    kept = keep_last(steps, key, order, F.col("has_image"))
+    first = F.row_number().over(Window.partitionBy(key).orderBy(order)) == 1
+    prefix = F.when(F.coalesce(F.length("url"), F.lit(0)) > 0, F.concat(F.lit("Current URL: "), trimmed_url(F.col("url")), F.lit("\n"))).otherwise("")
+    has = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
+    note = F.concat(prefix, truncate_middle(F.col("text_observation")))
+    text = (
+        F.when(F.col("_first"), F.col("instruction")).when(has("user_response"), F.concat(prefix, "user_response"))
+        .when(has("text_observation") & F.col("kept"), F.concat(note, F.lit("\n" + cue))).when(has("text_observation"), note).when(F.col("kept"), F.concat(prefix, F.lit(cue)))
+    )
+    return kept.withColumn("_first", first).select(key, order, text.alias("text"), F.col("kept").alias("image")).where("text IS NOT NULL")

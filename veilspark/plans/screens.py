@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import geometry, metrics
-from ..sources import pages
+from ..functions import checks
+from ..operators import geometry, metrics, protocol, vision
+from ..sources import pages, synth
 from ..streaming import steps
 from .detection import read, spread
 
@@ -215,3 +216,86 @@ def vault_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["vault_stream"] = vault_stream
 ORACLE["vault_stream"] = "SELECT event_type AS vault_id, 'USERNAME' AS pii_class, user_id::VARCHAR AS canonical, '[USERNAME_' || row_number() OVER (PARTITION BY event_type ORDER BY min(event_id)) || ']' AS token FROM events GROUP BY event_type, user_id"
+
+# --- vision rows, generators, messages ------------------------------------------------------------------
+
+
+def vision_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as queries of a model with three classes."""
+    q = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS page", "l_linenumber AS ordinal", "array(0.5D, 0.25D, CAST(l_partkey % 10 / 20.0 AS double), 0.2D) AS box", "array(CAST(l_suppkey % 5 AS double) - 2, CAST(l_partkey % 7 AS double) - 3, 0.5D) AS logits")
+    got = vision.decode(F.col("box"), F.col("logits"), ["FACE", "TEXT", "QR"], {"TEXT": 0.8}, F.lit(1000.0), F.lit(800.0))
+    padded = F.when(F.col("d.pii_class") == "FACE", vision.pad_face(F.col("d.rect"))).when(F.col("d.pii_class") == "QR", vision.pad_code(F.col("d.rect"))).otherwise(F.col("d.rect"))
+    return q.select("page", "ordinal", got.alias("d")).where("d IS NOT NULL").select("page", "ordinal", "d.pii_class", F.round("d.score", 6).alias("score"), padded.alias("r")).groupBy("pii_class", "score").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r.w"), 3).alias("w"), F.round(F.min("r.x"), 3).alias("x"))
+
+
+QUERIES["vision_decode"] = vision_decode
+ORACLE["vision_decode"] = """WITH q AS (SELECT l_partkey % 10 / 20.0::DOUBLE * 1000 AS w, (l_suppkey % 5 - 2)::DOUBLE AS a, (l_partkey % 7 - 3)::DOUBLE AS b, 0.5::DOUBLE AS c FROM lineitem
+), k AS (SELECT w, CASE WHEN a >= b AND a >= c THEN 'FACE' WHEN b >= c THEN 'TEXT' ELSE 'QR' END AS cls, 1 / (1 + exp(-greatest(a, b, c))) AS score FROM q
+), d AS (SELECT cls, round(score, 6) AS score, CASE cls WHEN 'FACE' THEN w * 1.5 WHEN 'QR' THEN w + 2 * greatest(w, 160) * 0.12 ELSE w END AS w, CASE cls WHEN 'FACE' THEN 500 - w / 2 - w * 0.25 WHEN 'QR' THEN 500 - w / 2 - greatest(w, 160) * 0.12 ELSE 500 - w / 2 END AS x FROM k WHERE score >= CASE cls WHEN 'TEXT' THEN 0.8 ELSE 0.5 END)
+SELECT cls AS pii_class, score, count(*) AS n, round(sum(w), 3) AS w, round(min(x), 3) AS x FROM d GROUP BY cls, score"""
+
+
+def redaction_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages: a token over two rectangles, a canvas, a face off the media and text on it."""
+    k = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"))
+    box = lambda x, y, w, h: geometry.rect(F.lit(x), F.lit(y), F.lit(w), F.lit(h))
+    findings = k.select("page", F.lit("[EMAIL_1]").alias("token"), F.lit("EMAIL").alias("pii_class"), F.array(box(0, 0, 9, 9), box(9, 0, 9, 9)).alias("rects"))
+    areas = k.where("page % 2 = 0").select("page", F.lit("MEDIA").alias("pii_class"), box(50, 50, 10, 10).alias("rect"))
+    media = k.where("page % 3 = 0").select("page", box(100, 100, 50, 50).alias("rect"))
+    found = k.select("page", F.lit("FACE").alias("pii_class"), box(0, 60, 5, 5).alias("rect")).unionByName(k.select("page", F.lit("TEXT").alias("pii_class"), box(90, 100, 20, 20).alias("rect"))).unionByName(k.select("page", F.lit("BUTTON").alias("pii_class"), box(1, 1, 2, 2).alias("rect")))
+    return vision.redaction_items(findings, areas, found, media, "page").groupBy("page", "kind", "pii_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES["redaction_items"] = redaction_items
+ORACLE["redaction_items"] = """SELECT page, kind, c AS pii_class, 1::BIGINT AS n FROM (SELECT o_orderkey AS page FROM orders), LATERAL (VALUES ('token', 'EMAIL', 1), ('solid', 'EMAIL', 1), ('solid', 'MEDIA', 2), ('solid', 'FACE', 1), ('solid', 'TEXT', 3)) AS t(kind, c, m) WHERE page % m = 0"""
+
+
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS pii_class", "l_partkey % 4 > 0 AS hit")
+    truth = read(spark, sf_dir, "lineitem").where("l_suppkey % 10 > 0").selectExpr("l_returnflag AS pii_class")
+    got = vision.precision_recall(rows, truth)
+    return got.select("pii_class", "tp", "fp", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+QUERIES["class_scores"] = class_scores
+ORACLE["class_scores"] = """WITH c AS (SELECT l_returnflag AS pii_class, count_if(l_partkey % 4 > 0)::BIGINT AS tp, count_if(l_partkey % 4 = 0)::BIGINT AS fp, count_if(l_suppkey % 10 > 0)::BIGINT AS n FROM lineitem GROUP BY l_returnflag)
+SELECT pii_class, tp, fp, n, round(tp / (tp + fp), 6) AS precision, round(tp / n, 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / n) / (tp / (tp + fp) + tp / n), 6) AS f1 FROM c"""
+
+
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of the seeded generator."""
+    k = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
+    return k.select("k", F.round(synth.mulberry32(F.col("k"), F.lit(0).cast("long")), 9).alias("a"), F.round(synth.mulberry32(F.col("k"), F.lit(7).cast("long")), 9).alias("b"))
+
+
+def _mulberry_sql(k: int) -> str:
+    m = 1 << 32
+    return f"""(SELECT round((xor(v, v >> 14))::DOUBLE / {m}, 9) FROM (SELECT xor(t, ((t + ((xor(t, t >> 7))::HUGEINT * (t | 61)::HUGEINT % {m})::BIGINT) % {m})) AS v FROM (SELECT ((xor(s, s >> 15))::HUGEINT * (s | 1)::HUGEINT % {m})::BIGINT AS t FROM (SELECT (k + {(k + 1) * 0x6D2B79F5}) % {m} AS s))))"""
+
+
+QUERIES["generator_draws"] = generated
+ORACLE["generator_draws"] = f"SELECT k, {_mulberry_sql(0)} AS a, {_mulberry_sql(7)} AS b FROM (SELECT o_orderkey::BIGINT AS k FROM orders)"
+
+
+def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every generated identifier is valid."""
+    k = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    f = lambda kind, check: synth.let(synth.fake(kind, F.col("k")), check)
+    return k.select("k", f("AADHAAR", checks.aadhaar_valid).alias("aadhaar"), f("AADHAAR_VID", checks.verhoeff_valid).alias("vid"), f("CARD", checks.luhn_valid).alias("card"), f("PAN", checks.pan_valid).alias("pan"), f("GSTIN", checks.gstin_valid).alias("gstin"), f("PHONE", lambda c: c.rlike("^[6-9][0-9]{9}$")).alias("phone"), f("IFSC", lambda c: c.rlike("^[A-Z]{4}0[A-Z0-9]{6}$")).alias("ifsc"), f("PINCODE", lambda c: c.rlike("^[1-9][0-9]{5}$")).alias("pincode"))
+
+
+QUERIES["generated_ids"] = generated_ids
+ORACLE["generated_ids"] = "SELECT c_custkey AS k, true AS aadhaar, true AS vid, true AS card, true AS pan, true AS gstin, true AS phone, true AS ifsc, true AS pincode FROM customer"
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trajectories: user turns have images, others a note."""
+    t = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.lit("task").alias("instruction"), F.lit("").alias("url"), F.when(F.col("role") != "user", F.col("text")).alias("text_observation"), F.lit(None).cast("string").alias("user_response"), (F.col("role") == "user").alias("has_image"))
+    out = protocol.observation_texts(t, "conv_id", "turn")
+    return out.select("conv_id", "turn", F.length("text").alias("length"), "image")
+
+
+QUERIES["observation_texts"] = messages
+ORACLE["observation_texts"] = """WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS first, role = 'user' AND sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3 AS image FROM conversations WHERE text IS NOT NULL
+), m AS (SELECT conv_id, turn, image, CASE WHEN first THEN 4 WHEN role <> 'user' AND length(text) > 0 THEN CASE WHEN length(text) <= 1000 THEN length(text) ELSE 1000 + length(chr(10) || '... [truncated ' || (length(text) - 1000)::VARCHAR || ' chars] ...' || chr(10)) END WHEN image THEN 28 END AS l FROM t)
+SELECT conv_id, turn, l::INT AS length, image FROM m WHERE l IS NOT NULL"""
