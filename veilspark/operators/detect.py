@@ -121,7 +121,8 @@ def detect(text: Column, exclude: tuple[str, ...] = (), extra: Column | None = N
 def spans_table(df: DataFrame, key: list[str], text: str = "text", exclude: tuple[str, ...] = (), **lists) -> DataFrame:
     """One row per span: the key columns, the span's fields and its value.
 
-    Rows are spread evenly first: text tables often are a few small files.
+    The outer generator keeps Catalyst from inferring a filter on the spans, which
+    would run the detector a second time, below any repartitioning.
     """
-    found = df.select(*key, text).withColumn("_spans", detect(F.col(text), exclude, **lists)).select(*key, text, F.posexplode("_spans").alias("ordinal", "s"))
+    found = df.select(*key, text).withColumn("_spans", detect(F.col(text), exclude, **lists)).select(*key, text, F.posexplode_outer("_spans").alias("ordinal", "s")).where("s IS NOT NULL")
     return found.select(*key, "ordinal", "s.*", F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))

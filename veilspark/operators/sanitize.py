@@ -35,7 +35,7 @@ def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = N
     """
     found = detect(F.col(text)) if spans is None else spans
     base = docs.select(F.col(key).alias("_key"), F.col(vault_id).alias("vault_id"), F.col(text).alias("_text"), (origin if origin is not None else F.lit("")).alias("origin")).withColumn("spans", found if spans is not None else detect(F.col("_text")))
-    each = base.select("_key", "vault_id", "origin", "_text", F.explode("spans").alias("s"))
+    each = base.select("_key", "vault_id", "origin", "_text", F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
     values = each.select("_key", "vault_id", "origin", F.col("s.start").alias("start"), F.col("s.pii_class").alias("pii_class"), F.substring(F.col("_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), F.lit(source).alias("source"))
     vault = vaults.build(values, ["_key", "start"])
     numbered = values.withColumn("canonical", vaults.canonical(F.col("pii_class"), F.col("value"))).join(vault.select("vault_id", "pii_class", "canonical", "token"), ["vault_id", "pii_class", "canonical"])

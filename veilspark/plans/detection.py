@@ -45,7 +45,8 @@ _NATIVE = ("email", "card", "ipv4")
 
 def _found(docs: DataFrame, rules: tuple[str, ...]) -> DataFrame:
     every = F.concat(*[spans.rule_spans(F.col("text"), r) for r in rules])
-    each = docs.select("doc_id", "source", "lang", "text", F.explode(every).alias("s"))
+    # Outer: an inferred filter would match every pattern twice, below the repartitioning.
+    each = docs.select("doc_id", "source", "lang", "text", F.explode_outer(every).alias("s")).where("s IS NOT NULL")
     return each.select("doc_id", "source", "lang", "s.*", spans.span_value(F.col("text"), F.col("s")).alias("value"))
 
 
@@ -212,7 +213,7 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in dict.fromkeys(r for r, _, _ in CASES):
         one = spans.rule_spans(F.col("text"), by_name(r).name)
         found = F.when(F.col("rule") == r, one) if found is None else found.when(F.col("rule") == r, one)
-    each = rows.select("k", "case_id", "text", F.explode(found).alias("s"))
+    each = rows.select("k", "case_id", "text", F.explode_outer(found).alias("s")).where("s IS NOT NULL")
     return each.select("k", "case_id", "s.rule", "s.pii_class", "s.start", spans.span_value(F.col("text"), F.col("s")).alias("value"))
 
 

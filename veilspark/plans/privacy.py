@@ -185,7 +185,7 @@ ORACLE["policy_decisions"] = "SELECT case_id, verdict, reasons FROM (VALUES " +
 
 def tripwire_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.explode(tripwire.find_leaks(F.col("text"))).alias("leak")).where("leak IN ('EMAIL', 'CARD')")
+    return docs.select("doc_id", F.explode_outer(tripwire.find_leaks(F.col("text"))).alias("leak")).where("leak IN ('EMAIL', 'CARD')")
 
 
 QUERIES["tripwire_documents"] = tripwire_documents
@@ -208,7 +208,7 @@ def tripwire_after_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leak classes left after sanitising with the full detector, as counts."""
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     out, _ = sanitize.sanitize(docs, "doc_id", "source")
-    left = out.select(F.explode(tripwire.find_leaks(F.col("text"))).alias("leak")).groupBy("leak").agg(F.count(F.lit(1)).alias("n"))
+    left = out.select(F.explode_outer(tripwire.find_leaks(F.col("text"))).alias("leak")).groupBy("leak").agg(F.count(F.lit(1)).alias("n"))
     return left.where("leak IN ('EMAIL', 'CARD')").groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("left"))
 
 
