@@ -1,20 +1,24 @@
-"""Web pages as tables: text with segments, form fields, buttons, media, ground truth.
+"""Web pages as tables: text with segments, form fields, buttons, media, labelled values, generated text, ground truth.
 
 One pass of the standard HTML parser per page in an Arrow stage. Lines break at
-blocks and ``br`` (painted geometry is not available in stored pages).
+blocks and ``br`` (painted geometry is not available in stored pages). Labels
+are collected there and classified by the same Column expression as fields.
 """
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.detect import detect
 from ..operators.fields import classify
+from .elements import CLOSED_BY, CONTROLS, SCOPES, Element, control_label, generated_rules, generated_text, text_of, value_candidates
+from .synth import let
 
 # Elements whose text is not page text, void elements, blocks, input types without text, and the least media side.
 SKIP = frozenset("script style noscript template textarea option select head title".split())
@@ -23,18 +27,38 @@ BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset f
 NOT_TEXT = frozenset("hidden submit button reset image checkbox radio range color".split())
 SUBMIT = r"(?i)submit|send|apply|save"
 LEAST_MEDIA = 24
-LABEL_LENGTH = 80
+SOLID, CHOSEN, NOT_SHOWN = ("PASSWORD", "OTP", "CARD_CVV"), ("DOB", "ADDRESS", "PINCODE"), ("PASSWORD",)
+TOKEN = r"\[[A-Z][A-Z_]*_[0-9]+\]"
+LABEL_RULE, LABEL_SCORE = 40, 0.75
 
 _SCHEMA = (
-    "text string, context string, segments array<struct<start:int,length:int>>, fields array<struct<tag:string,type:string,autocomplete:string,name:string,id:string,label:string,placeholder:string,aria_label:string,value:string>>, "
-    "buttons array<string>, media array<struct<tag:string,w:double,h:double>>, truth array<struct<pii_class:string,value:string>>"
+    "text string, context string, segments array<struct<start:int,length:int>>, fields array<struct<tag:string,type:string,autocomplete:string,name:string,id:string,label:string,placeholder:string,aria_label:string,value:string,options:array<string>>>, "
+    "buttons array<string>, media array<struct<tag:string,w:double,h:double>>, opaque array<struct<tag:string,source:string>>, generated array<string>, "
+    "labelled array<struct<segment:int,step:int,element:int,label:string,own:string>>, truth array<struct<pii_class:string,value:string>>"
 )
+_STYLE_SIDE = re.compile(r"(?:^|;)\s*(width|height)\s*:\s*([0-9.]+)px", re.I)
+
+
+def _side(attrs: dict, name: str) -> float:
+    """A side in pixels from the attribute or the inline style; stored pages know no other geometry."""
+    raw = attrs.get(name, "").strip().removesuffix("px")
+    if raw.replace(".", "", 1).isdigit():
+        return float(raw)
+    sides = {k.lower(): v for k, v in _STYLE_SIDE.findall(attrs.get("style", ""))}
+    value = sides.get(name, "0")
+    return float(value) if value.replace(".", "", 1).isdigit() else 0.0
 
 
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
+        self.root = Element("", {}, None, 0)
+        self.stack: list[Element] = []
+        self.elements: list[Element] = []
+        self.by_id: dict[str, Element] = {}
+        self.owners: list[Element] = []
+        self.opaque: list[tuple] = []
+        self.css: list[str] = []
         self.parts: list[str] = []
         self.length = 0
         self.segments: list[tuple[int, int]] = []
@@ -48,37 +72,74 @@ class _Page(HTMLParser):
         self.label: list | None = None
         self.button: list | None = None
         self.area: list | None = None
-        self.before = ""
         self.gap = ""
 
+    def _open(self, tag: str, attrs: dict) -> Element:
+        closed = CLOSED_BY.get(tag, ())
+        for i in range(len(self.stack) - 1, -1, -1) if closed else ():
+            if self.stack[i].tag in SCOPES:
+                break
+            if self.stack[i].tag in closed:
+                self._close(i)
+                if tag != "tr":
+                    break
+        if tag in BLOCK and self.stack:
+            i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag in BLOCK), None)
+            if i is not None and self.stack[i].tag == "p":
+                self._close(i)
+        e = Element(tag, attrs, self.stack[-1] if self.stack else self.root, len(self.elements))
+        e.hidden = e.hidden or tag in SKIP
+        self.elements.append(e)
+        if attrs.get("id"):
+            self.by_id.setdefault(attrs["id"], e)
+        if tag in CONTROLS:
+            for a in e.ancestors():
+                a.controls += 1
+        elif tag == "button":
+            for a in e.ancestors():
+                a.has_button = True
+        elif tag == "tr":
+            for a in e.ancestors():
+                if a.tag == "table" and a.first_row is None:
+                    a.first_row = e
+        return e
+
+    def _close(self, depth: int) -> None:
+        del self.stack[depth:]
+        while self.truth_depth and self.truth_depth[-1] > len(self.stack):
+            self.truth_depth.pop()
+
     def _put(self, text: str) -> None:
         self.parts.append(text)
         self.length += len(text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
+        e = self._open(tag, a)
         if tag in BLOCK or tag == "br":
             self.gap = "\n"
         if tag == "label":
             self.label = [a.get("for", ""), ""]
         elif tag == "button":
             self.button = [a.get("aria-label", ""), ""]
-        if tag in ("input", "textarea", "select"):
+        elif tag == "option" and self.fields and self.fields[-1]["tag"] == "select":
+            self.fields[-1]["chosen"].append(("selected" in a, e))
+        if tag in CONTROLS:
             kind = a.get("type", "text" if tag == "input" else tag).lower()
             if kind == "submit":
                 self.buttons.append(a.get("value", "") or "submit")
             if kind not in NOT_TEXT:
                 inside = self.label[1].strip() if self.label else ""
-                self.fields.append({"tag": tag, "type": a.get("type"), "autocomplete": a.get("autocomplete"), "name": a.get("name"), "id": a.get("id"), "label": inside or None, "placeholder": a.get("placeholder"), "aria_label": a.get("aria-label"), "value": a.get("value", ""), "near": self.before[-LABEL_LENGTH:]})
-                self.before = ""
+                self.fields.append({"tag": tag, "type": a.get("type"), "autocomplete": a.get("autocomplete"), "name": a.get("name"), "id": a.get("id"), "label": inside or None, "placeholder": a.get("placeholder"), "aria_label": a.get("aria-label"), "value": a.get("value", ""), "element": e, "chosen": []})
                 if tag == "textarea":
                     self.area = []
-        if tag in ("img", "video", "canvas"):
-            w, h = (float(a[k]) if a.get(k, "").replace(".", "", 1).isdigit() else 0.0 for k in ("width", "height"))
-            if w >= LEAST_MEDIA and h >= LEAST_MEDIA:
-                self.media.append((tag, w, h))
+        w, h = (_side(a, "width"), _side(a, "height")) if tag in ("img", "image", "video", "canvas") or "url(" in a.get("style", "") else (0.0, 0.0)
+        if w >= LEAST_MEDIA and h >= LEAST_MEDIA:
+            self.media.append((tag, w, h))
+        if tag in ("iframe", "frame", "embed", "object"):
+            self.opaque.append((tag, a.get("src") or a.get("data") or ""))
         if tag not in VOID:
-            self.stack.append(tag)
+            self.stack.append(e)
             if "data-gt" in a:
                 self.truth.append([a["data-gt"], ""])
                 self.truth_depth.append(len(self.stack))
@@ -96,11 +157,9 @@ class _Page(HTMLParser):
         elif tag == "textarea" and self.area is not None:
             self.fields[-1]["value"] = "".join(self.area)
             self.area = None
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-            while self.truth_depth and self.truth_depth[-1] > len(self.stack):
-                self.truth_depth.pop()
+        i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag), None)
+        if i is not None:
+            self._close(i)
 
     def handle_data(self, data: str) -> None:
         if self.label:
@@ -109,7 +168,11 @@ class _Page(HTMLParser):
             self.button[1] += data
         if self.area is not None:
             self.area.append(data)
-        if any(t in SKIP for t in self.stack):
+        at = self.stack[-1] if self.stack else self.root
+        at.kids.append(data)
+        if at.tag == "style":
+            self.css.append(data)
+        if at.hidden:
             return
         if not data.strip():
             self.gap = self.gap or (" " if data else "")
@@ -122,8 +185,8 @@ class _Page(HTMLParser):
         lead = " " if data[0].isspace() and self.parts and not self.parts[-1].endswith((" ", "\n")) else ""
         self._put(lead)
         self.segments.append((self.length, len(text)))
+        self.owners.append(at)
         self._put(text)
-        self.before = text
         if data[-1].isspace():
             self.gap = " "
         if self.truth_depth:
@@ -131,11 +194,24 @@ class _Page(HTMLParser):
         else:
             self.context.append(text)
 
+    def _labelled_by(self, ids: str) -> str:
+        return " ".join(text_of(self.by_id[i]) for i in ids.split() if i in self.by_id).strip()
+
+    def _field(self, f: dict) -> dict:
+        e, chosen = f.pop("element"), f.pop("chosen")
+        f["label"] = self._labelled_by(e.attrs.get("aria-labelledby", "")) or f["label"] or self.labels.get(f["id"] or "") or control_label(e) or None
+        f["options"] = []
+        if chosen:
+            f["value"] = text_of(next((o for on, o in chosen if on), chosen[0][1]))
+            if "multiple" in e.attrs or e.attrs.get("size", "1").strip() not in ("", "0", "1"):
+                f["options"] = [text_of(o) for _, o in chosen]
+        return f
+
     def row(self) -> tuple:
-        for f in self.fields:
-            f["label"] = f["label"] or self.labels.get(f["id"] or "") or f.pop("near", None) or None
-            f.pop("near", None)
-        return ("".join(self.parts), "\n".join(self.context), self.segments, self.fields, self.buttons, self.media, [tuple(t) for t in self.truth])
+        rules = generated_rules("\n".join(self.css)) if self.css else {}
+        generated = [t for t in (generated_text(e, rules) for e in self.elements if e.tag not in ("html", "body") and not e.hidden) if t] if rules else []
+        labelled = [(i, *c) for i, owner in enumerate(self.owners) for c in value_candidates(owner)]
+        return ("".join(self.parts), "\n".join(self.context), self.segments, [self._field(f) for f in self.fields], self.buttons, self.media, self.opaque, generated, labelled, [tuple(t) for t in self.truth])
 
 
 def _scan(html: str | None) -> tuple:
@@ -147,8 +223,8 @@ def _scan(html: str | None) -> tuple:
 
 
 def scan(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The pages (all other columns) with text, context, segments, fields, buttons, media and truth."""
-    names = [x.split()[0] for x in ("text", "context", "segments", "fields", "buttons", "media", "truth")]
+    """The pages (all other columns) with text, context, segments, fields, buttons, media, opaque frames, generated text, label candidates and truth."""
+    names = [x.split()[0] for x in _split(_SCHEMA)]
 
     @F.pandas_udf("struct<" + ", ".join(x.replace(" ", ":", 1) for x in _split(_SCHEMA)) + ">")
     def run(htmls: pd.Series) -> pd.DataFrame:
@@ -175,6 +251,68 @@ def field_rows(scanned: DataFrame, key: str) -> DataFrame:
     return each.withColumn("c", kind).select(key, "ordinal", "f.tag", "f.type", "f.label", "c.pii_class", "c.source", (F.coalesce(F.length("f.value"), F.lit(0)) == 0).alias("empty"))
 
 
+def _of(label: Column) -> Column:
+    nothing = F.lit(None).cast("string")
+    return classify(nothing, nothing, label=label)["pii_class"]
+
+
+def labelled_values(segments: Column, labelled: Column) -> Column:
+    """``array`` of spans of shown values that a term, header or short text before them names.
+
+    Each text takes the nearest of three elements whose label has a class (not of
+    passwords) and which is not a label itself; the texts of an element make one
+    span. All within the row: two sorts, no shuffle and no second parse.
+    """
+    each = F.transform(labelled, lambda c: F.struct(c["element"].alias("element"), c["segment"].alias("segment"), _of(c["label"]).alias("pii_class"), (c["own"].rlike("[0-9@]") | _of(c["own"]).isNull()).alias("value"), segments[c["segment"]]["start"].alias("start"), segments[c["segment"]]["length"].alias("length")))
+    named = F.filter(each, lambda c: c["value"] & c["pii_class"].isNotNull() & ~c["pii_class"].isin(*NOT_SHOWN))
+    nearest = let(named, lambda n: F.filter(n, lambda c, i: (i == 0) | (F.get(n, i - 1)["segment"] != c["segment"])))
+    grouped = F.array_sort(nearest)
+    differs = lambda n, c, j: F.coalesce(F.get(n, j)["element"] != c["element"], F.lit(True))
+    span = lambda a, z: F.struct(a["start"].alias("start"), (z["start"] + z["length"]).alias("end"), a["pii_class"].alias("pii_class"), F.lit(LABEL_SCORE).alias("score"), F.concat(F.lit("label."), a["pii_class"]).alias("rule"), F.lit(LABEL_RULE).alias("rule_idx"))
+    return let(grouped, lambda n: F.zip_with(F.filter(n, lambda c, i: differs(n, c, i - 1)), F.filter(n, lambda c, i: differs(n, c, i + 1)), span))
+
+
+def label_spans(scanned: DataFrame, key: str) -> DataFrame:
+    """One row per labelled value: key and the span's fields."""
+    return scanned.select(key, labelled_values(F.col("segments"), F.col("labelled")).alias("_spans")).select(key, F.explode("_spans").alias("s")).select(key, "s.*")
+
+
+def page_spans(scanned: DataFrame, key: str) -> DataFrame:
+    """One row per page: text and its spans, labelled values included, after overlap resolution."""
+    extra = scanned.select(key, "text", labelled_values(F.col("segments"), F.col("labelled")).alias("_extra"))
+    return extra.select(key, "text", detect(F.col("text"), extra=F.col("_extra")).alias("spans"))
+
+
+def generated_findings(scanned: DataFrame, key: str) -> DataFrame:
+    """Elements whose generated text has a hit or a forged token; the first hit masks the whole element."""
+    each = scanned.select(key, F.posexplode("generated").alias("ordinal", "text")).withColumn("hit", F.try_element_at(detect(F.col("text")), F.lit(1)))
+    out = each.select(key, "ordinal", F.col("hit.pii_class").alias("pii_class"), F.trim("text").alias("value"), F.lit("solid").alias("kind"), F.concat(F.lit("pseudo."), F.col("hit.rule")).alias("rule"), F.col("text").rlike(TOKEN).alias("forged"))
+    return out.where("rule IS NOT NULL OR forged")
+
+
+def field_findings(scanned: DataFrame, key: str) -> DataFrame:
+    """What form controls give away: one row per control, or per option of a list box, with class, value, kind, source and rule.
+
+    Secret classes are masked whole; a class of the field decides before the text
+    does; placeholders count only where the value is empty.
+    """
+    f = F.col("f")
+    each = scanned.select(key, F.posexplode("fields").alias("ordinal", "f")).where(F.lower(F.coalesce(f["type"], F.lit(""))) != "file")
+    kind = classify(f["type"], f["autocomplete"], label=f["label"], aria_label=f["aria_label"], placeholder=f["placeholder"], name=f["name"], id=f["id"])["pii_class"]
+    boxed = F.size(f["options"]) > 0
+    texts = F.when(boxed, f["options"]).when(F.length(f["value"]) > 0, F.array(f["value"])).otherwise(F.array(f["placeholder"]))
+    each = each.withColumn("k", kind).select(key, "ordinal", "f", "k", F.posexplode(texts).alias("item", "value")).where(F.length("value") > 0)
+    each = each.withColumn("hit", F.try_element_at(detect(F.col("value")), F.lit(1)))
+    k, typed = F.col("k"), F.length(f["value"]) > 0
+    secret = ~boxed & typed & ((F.lower(F.coalesce(f["type"], F.lit(""))) == "password") | F.coalesce(k.isin(*SOLID), F.lit(False)))
+    semantic = ~boxed & typed & k.isNotNull() & ((f["tag"] != "select") | k.isin(*CHOSEN))
+    rule = F.when(secret, "field.secret").when(semantic, "field.semantic").otherwise(F.concat(F.when(boxed, "option.").when(typed, "field.").otherwise("placeholder."), F.col("hit.rule")))
+    cls = F.when(secret, F.coalesce(k, F.lit("PASSWORD"))).when(semantic, k).otherwise(F.col("hit.pii_class"))
+    source = F.when(boxed | typed, "field").otherwise("placeholder")
+    out = each.select(key, "ordinal", "item", cls.alias("pii_class"), "value", F.when(secret, "solid").otherwise("token").alias("kind"), source.alias("source"), rule.alias("rule"))
+    return out.where("rule IS NOT NULL")
+
+
 def submit_buttons(scanned: DataFrame, key: str) -> DataFrame:
     return scanned.select(key, F.explode("buttons").alias("name")).where(F.col("name").rlike(SUBMIT))
 
