@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import detect, policy, protocol, sanitize, tripwire, vault
+from veilspark.operators import capture, detect, policy, protocol, sanitize, tripwire, vault
 from veilspark.sources import formats, pages
 
 
@@ -73,6 +73,46 @@ def test_pages(spark):
     assert r[0].fields[0].label == "Mobile" and r[0].media[0].tag == "img" and r[0].buttons == ["Apply now"] and r[1].text == ""
 
 
+def test_page_labels(spark):
+    html = '<table><tr><th>Email<th>Holder<tr><td>x@y.in<td>q</table><div><span>Mobile</span><span>XXXX1234</span></div><hr><p>Landmark: <input name="a"><p><b>Pan no</b> <input aria-labelledby="z" name="b"><i id="z">Date of birth</i><select multiple><option>k<option>a@b.com</select>'
+    style = "<style>/* .a::after{content:'no@no.in'} */ @media print{ .a>b.c::before{content:'to ' attr(title)} } b::before{content:'x'}</style><div class='a'><b class='c' title='a@b.com'>t</b><b>u</b></div><object data='o'></object>"
+    deep = "<div>" * 3000 + "x" + "<p>" * 3000
+    rows = [(1, html), (2, style), (3, None), (4, ""), (5, deep), (6, "<<p </td></table> <input <"), (7, html)]
+    s = pages.scan(spark.createDataFrame(rows, "page_id long, html string"))
+    got = {r.page_id: r for r in s.collect()}
+    assert len(got) == 7 and got[1].text == got[7].text and got[5].text == "x" and got[3].fields == [] and got[2].generated == ["to a@b.com ", "x "] and got[2].opaque[0].source == "o"
+    assert [(f.name, f.label) for f in got[1].fields][:2] == [("a", "Landmark:"), ("b", "Date of birth")] and got[1].fields[2].options == ["k", "a@b.com"]
+    found = {(r.page_id, got[r.page_id].text[r.start : r.end], r.pii_class) for r in pages.label_spans(s, "page_id").collect()}
+    assert (1, "x@y.in", "EMAIL") in found and not any("XXXX" in t for _, t, _ in found)
+    assert [(r.page_id, r.rule, r.value) for r in pages.generated_findings(s, "page_id").collect()] == [(2, "pseudo.email", "to a@b.com")]
+
+
+def test_captures(spark):
+    rows = [("a", 0, False, True), ("a", 1, True, True), ("b", 0, False, True), ("b", 1, True, False), ("c", 0, False, True), ("c", 1, False, True), ("c", 2, False, True), ("c", 3, False, True), ("c", 4, True, True)]
+    df = spark.createDataFrame(rows, "step string, attempt int, steady boolean, front boolean")
+    got = {r.step: (r.attempt, r.outcome, r.pause_ms) for r in capture.outcomes(df, ["step"], F.col("steady"), F.col("front")).collect()}
+    assert got == {"a": (1, "captured", 150), "b": (1, "not in front", 150), "c": (None, "kept moving", 1500)}
+    asked = spark.createDataFrame([("t", 0, 1), ("t", 100, 2), ("t", 200, 3), ("t", 5000, 4), ("t", 5000, 5), ("u", 7, 1)], "k string, at long, n long")
+    assert [r.wait for r in capture.spaced(asked, "k", "at", "n", 550).orderBy("k", "n").collect()] == [0, 450, 900, 0, 550, 0]
+    assert capture.spaced(asked.limit(0), "k", "at", "n").count() == 0
+
+
+def test_origins(spark):
+    good = ["http://localhost", "http://127.0.0.1:8080", "chrome-extension://" + "a" * 32, "https://x.test"]
+    bad = ["http://localhost:0", "http://localhost:70000", "http://localhost.evil", "chrome-extension://" + "q" * 32, "chrome-extension://abc", "http://localhost\n", "*", "", None, "https://y.test"]
+    df = spark.createDataFrame([(o,) for o in good + bad], "o string")
+    assert [r.x for r in df.select(protocol.allowed_origin(F.col("o"), ("https://x.test",)).alias("x")).collect()] == good + [None] * len(bad)
+
+
+def test_request_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text('{"task_id":"t","instruction":"go","viewport":{"width":10,"height":10},"observations":[{"url":"u"}]}\n{"task_id":"t"}\nnot json\n')
+    q = formats.request_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("step_requests_test").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.faults for r in spark.table("step_requests_test").collect()), key=len)
+    assert got[0] == [] and got[1] == ["json"] and "viewport" in got[2]
+
+
 def test_extra_spans(spark):
     df = spark.createDataFrame([("Address: 12 MG Road, PIN code 560001 end",)], "text string")
     extra = F.array(F.struct(F.lit(9).alias("start"), F.lit(36).alias("end"), F.lit("ADDRESS").alias("pii_class"), F.lit(0.75).alias("score"), F.lit("label.ADDRESS").alias("rule"), F.lit(40).alias("rule_idx")))

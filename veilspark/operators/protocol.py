@@ -84,6 +84,16 @@ def request_faults(request: Column) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]), lambda x: x.isNotNull())
 
 
+def allowed_origin(origin: Column, extra: tuple[str, ...] = ()) -> Column:
+    """The origin if a server may echo it (an extension, loopback with a port, or a listed one), else null."""
+    extension = origin.rlike(r"\Achrome-extension://[a-p]{32}\z")
+    loopback = origin.rlike(r"\Ahttp://(127\.0\.0\.1|localhost)(:[0-9]+)?\z")
+    port = F.regexp_replace(F.regexp_extract(origin, ":([0-9]+)\\z", 1), "^0+(?=[0-9])", "")
+    in_range = (F.regexp_extract(origin, ":[0-9]+\\z", 0) == "") | ((F.length(port) <= 5) & F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False)))
+    listed = origin.isin(*extra) if extra else F.lit(False)
+    return F.when(~origin.rlike("[\r\n ,]") & (listed | extension | (loopback & in_range)), origin)
+
+
 _CALL = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.S)
 CALL_SCHEMA = "struct<thoughts:string,arguments:string,error:string>"
 

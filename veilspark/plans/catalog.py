@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, privacy, screens
+from . import detection, privacy, screens, views
 
 QUERIES, ORACLE = {}, {}
-for part in (detection, privacy, screens):
+for part in (detection, privacy, screens, views):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE

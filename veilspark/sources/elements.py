@@ -13,6 +13,7 @@ from collections.abc import Iterator
 FIELD_LABEL, SHOWN_LABEL, SHOWN_WORDS, SHOWN_VALUE, SHOWN_CHILDREN, CLIMB = 80, 40, 5, 160, 4, 3
 CONTROLS = frozenset("input select textarea".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+CLOSED_BY |= dict.fromkeys(("thead", "tbody", "tfoot"), {"thead", "tbody", "tfoot", "tr", "td", "th"})
 SCOPES = frozenset("ul ol dl table select body html".split())
 MASKED = re.compile("[X*•]{4}", re.I)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.protocol import request_faults
+
 IMAGE_BYTES = 4 * 1024 * 1024
 _COCO = (
     "images array<struct<id:long,file_name:string,width:long,height:long>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>, "
@@ -32,6 +34,28 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("seed", F.explode("pages").alias("p")).select("seed", "p.*")
 
 
+_STEP = (
+    "task_id string, instruction string, legend array<struct<token:string,cls:string>>, viewport struct<width:int,height:int>, "
+    "observations array<struct<screenshot:string,url:string,text_observation:string,user_response:string>>, assistant_turns array<string>"
+)
+
+
+def step_requests(lines: DataFrame, body: str = "value") -> DataFrame:
+    """A (streaming) table of JSON step requests, parsed to ``request``, with ``faults``: ``json`` alone if it can't be read."""
+    raw = F.from_json(F.col(body), _STEP)
+    shaped = F.struct(
+        raw["task_id"].alias("task_id"), raw["instruction"].alias("instruction"), F.transform(raw["legend"], lambda e: F.struct(e["token"].alias("token"), e["cls"].alias("pii_class"))).alias("legend"),
+        raw["viewport"]["width"].alias("width"), raw["viewport"]["height"].alias("height"), raw["observations"].alias("observations"), raw["assistant_turns"].alias("assistant_turns"),
+    )
+    out = lines.withColumn("request", F.when(F.try_parse_json(F.col(body)).isNotNull(), shaped))
+    return out.withColumn("faults", F.when(F.col("request").isNull(), F.array(F.lit("json"))).otherwise(request_faults(F.col("request"))))
+
+
+def request_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Requests of a folder of JSON lines as they arrive."""
+    return step_requests(spark.readStream.text(path))
+
+
 def request_body(step: Column) -> Column:
     return F.to_json(step)
 

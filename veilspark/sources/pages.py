@@ -81,8 +81,8 @@ class _Page(HTMLParser):
                 break
             if self.stack[i].tag in closed:
                 self._close(i)
-                if tag != "tr":
-                    break
+        if tag == "tr" and self.stack and self.stack[-1].tag == "table":
+            self.stack.append(self._open("tbody", {}))
         if tag in BLOCK and self.stack:
             i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag in BLOCK), None)
             if i is not None and self.stack[i].tag == "p":
@@ -278,8 +278,13 @@ def label_spans(scanned: DataFrame, key: str) -> DataFrame:
 
 
 def page_spans(scanned: DataFrame, key: str) -> DataFrame:
-    """One row per page: text and its spans, labelled values included, after overlap resolution."""
-    extra = scanned.select(key, "text", labelled_values(F.col("segments"), F.col("labelled")).alias("_extra"))
+    """One row per page: text and its spans, labelled values included, after overlap resolution.
+
+    The generator of one row keeps the two Arrow stages apart: Spark 4.1 leaves the
+    second one unplanned where both fall into one projection.
+    """
+    both = F.struct("text", labelled_values(F.col("segments"), F.col("labelled")).alias("_extra"))
+    extra = scanned.select(key, F.inline(F.array(both)))
     return extra.select(key, "text", detect(F.col("text"), extra=F.col("_extra")).alias("spans"))
 
 
