@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import capture, detect, policy, protocol, sanitize, tripwire, vault
+from veilspark.operators import capture, detect, metrics, policy, protocol, sanitize, tripwire, vault
 from veilspark.sources import formats, pages
 
 
@@ -73,6 +73,14 @@ def test_pages(spark):
     assert r[0].fields[0].label == "Mobile" and r[0].media[0].tag == "img" and r[0].buttons == ["Apply now"] and r[1].text == ""
 
 
+def test_reports_and_dumps(spark, tmp_path):
+    lines = [r.line for r in metrics.report_lines(spark.createDataFrame([("b|c", 2.5), ("a", None)], "mode string, recall double")).orderBy("line_no").collect()]
+    assert lines == ["| mode | recall |", "|---|---|", "| a |  |", "| b\\|c | 2.5 |"]
+    (tmp_path / "index.json").write_text('[{"id":"p1","url":"u"},{"id":"p2","url":"v"}]')
+    (tmp_path / "p1.png").write_bytes(b"x")
+    assert [(r.id, bytes(r.png) if r.png is not None else None) for r in formats.read_dumps(spark, str(tmp_path)).orderBy("id").collect()] == [("p1", b"x"), ("p2", None)]
+
+
 def test_page_labels(spark):
     html = '<table><tr><th>Email<th>Holder<tr><td>x@y.in<td>q</table><div><span>Mobile</span><span>XXXX1234</span></div><hr><p>Landmark: <input name="a"><p><b>Pan no</b> <input aria-labelledby="z" name="b"><i id="z">Date of birth</i><select multiple><option>k<option>a@b.com</select>'
     style = "<style>/* .a::after{content:'no@no.in'} */ @media print{ .a>b.c::before{content:'to ' attr(title)} } b::before{content:'x'}</style><div class='a'><b class='c' title='a@b.com'>t</b><b>u</b></div><object data='o'></object>"

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .geometry import overlap_share
+
 COVERED = 0.9
 # Grid of thresholds and the floors of recall and precision.
 GRID = tuple(round(0.2 + 0.05 * i, 2) for i in range(14))
+# Classes a detection may have for a true class (none listed: any), and classes that any detection satisfies.
+SAME_AS, ANY, OVERLAP = {"AADHAAR_VID": ("AADHAAR_VID", "AADHAAR", "CARD")}, ("OPAQUE", "FACE", "QR"), 0.3
 LEAST_RECALL, LEAST_PRECISION = 0.95, 0.70
 
 
@@ -49,3 +53,48 @@ def choose_threshold(scored: DataFrame, sensitive: list[str]) -> DataFrame:
     ok = F.when((F.col("r") >= LEAST_RECALL) & (F.col("p") >= LEAST_PRECISION), F.col("t"))
     best = at.groupBy("pii_class").agg(F.min(ok).alias("low"), F.max(ok).alias("high"), F.max_by("t", F.struct("f", "r", "p", "t")).alias("best"))
     return best.select("pii_class", F.coalesce(F.when(F.col("pii_class").isin(*sensitive), F.col("low")).otherwise(F.col("high")), F.col("best")).alias("threshold"))
+
+
+def class_hits(truth: DataFrame, items: DataFrame, page: str, value: str) -> DataFrame:
+    """Per true value (page, value, pii_class): ``class_ok``, whether the first item on it has a class that counts.
+
+    ``truth`` has a row per rectangle (page, value, pii_class, rect), ``items``
+    (page, ordinal, pii_class, rect). An item lies on a value from 0.3 of one of its
+    rectangles. Pages meet by equality; values that nothing overlaps stay, with false.
+    """
+    found = items.select(F.col(page).alias("_page"), F.struct(F.col("ordinal"), F.col("pii_class").alias("got")).alias("_item"), F.col("rect").alias("_rect"))
+    on = (F.col(page) == F.col("_page")) & (overlap_share(F.col("rect"), F.col("_rect")) > OVERLAP)
+    first = truth.join(found, on, "left").groupBy(page, value, "pii_class").agg(F.min("_item").alias("_item"))
+    got, want = F.col("_item.got"), F.col("pii_class")
+    same = F.lit(False)
+    for cls, others in SAME_AS.items():
+        same = same | ((want == cls) & got.isin(*others))
+    ok = F.col("_item").isNotNull() & (want.isin(*ANY) | F.coalesce(got == want, F.lit(False)) | F.coalesce(same, F.lit(False)))
+    return first.select(page, value, "pii_class", ok.alias("class_ok"))
+
+
+def item_scores(items: DataFrame, key: list[str], item: str) -> DataFrame:
+    """Per key the share of covered items and the mean coverage; an item counts by its best rectangle (a row each)."""
+    best = items.groupBy(*key, item).agg(F.max("coverage").alias("coverage"))
+    return best.groupBy(*key).agg(F.count(F.lit(1)).alias("items"), F.avg((F.col("coverage") >= COVERED).cast("int")).alias("recall"), F.avg("coverage").alias("coverage"))
+
+
+def mode_means(scores: DataFrame, mode: str, value: str = "recall") -> DataFrame:
+    """Mean over pages of a page's value, per mode."""
+    return scores.groupBy(mode).agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(value), 3).alias("mean"))
+
+
+def step_summary(items: DataFrame, key: str) -> DataFrame:
+    """Per step what was drawn: tokens, solid masks, and the classes masked, in name order."""
+    return items.groupBy(key).agg(F.count_if(F.col("kind") == "token").alias("tokens"), F.count_if(F.col("kind") == "solid").alias("solids"), F.concat_ws(",", F.array_sort(F.collect_set("pii_class"))).alias("classes"))
+
+
+def report_lines(table: DataFrame) -> DataFrame:
+    """A roll-up as lines of a Markdown table, the head first: ``line_no``, ``line``. Ordered by the table's columns."""
+    from pyspark.sql import Window
+
+    cell = lambda c: F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in table.columns]), F.lit(" |"))
+    body = table.select(F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in table.columns])).alias("n"), row.alias("line")).select((F.col("n") + 2).alias("line_no"), "line")
+    heads = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
+    return table.sparkSession.createDataFrame(list(enumerate(heads, 1)), "line_no int, line string").unionByName(body)

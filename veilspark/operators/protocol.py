@@ -200,6 +200,35 @@ def plan_local(slots: Column, legend: Column, submit: Column, used: Column, trie
     )
 
 
+STEP_SCHEMA = "struct<action:string,x:int,y:int,text:string,pii_class:string>"
+
+
+def scripted_steps(slots: Column, legend: Column, submit: Column, width: Column, height: Column) -> Column:
+    """``array`` of the steps of a stand-in model: click and type for every empty field whose class the legend has, top to bottom, then the button.
+
+    Points are on the display grid. Empty where no field can be filled.
+    """
+    grid = lambda at, side: F.greatest(F.lit(0), F.least(F.lit(DISPLAY), F.bround(at / side * DISPLAY).cast("int")))
+
+    def step(action: str, at: Column | None = None, text: Column | None = None) -> Column:
+        x, y = (grid(at["x"], width), grid(at["y"], height)) if at is not None else (F.lit(None), F.lit(None))
+        cls = at["pii_class"] if at is not None else F.lit(None)
+        return F.struct(F.lit(action).alias("action"), x.cast("int").alias("x"), y.cast("int").alias("y"), (text if text is not None else F.lit(None)).cast("string").alias("text"), cls.cast("string").alias("pii_class"))
+
+    token = lambda s: F.get(F.filter(legend, lambda e: e["pii_class"] == s["pii_class"]), 0)["token"]
+    open_ = F.filter(slots, lambda s: (s["role"] == "field") & (s["state"] == "empty") & F.exists(legend, lambda e: e["pii_class"] == s["pii_class"]))
+    placed = F.array_sort(F.transform(open_, lambda s, i: F.struct(s["y"].alias("y"), s["x"].alias("x"), i.alias("i"), s["pii_class"].alias("pii_class"), token(s).alias("token"))))
+    typed = F.flatten(F.transform(placed, lambda s: F.array(step("left_click", s), step("type", s, s["token"]))))
+    buttons = F.slice(F.filter(slots, lambda s: (s["role"] == "button") & (s["pii_class"] == "SUBMIT")), 1, 1)
+    pressed = F.when(submit, F.transform(buttons, lambda s: step("left_click", s))).otherwise(F.array().cast(f"array<{STEP_SCHEMA}>"))
+    return F.when(F.size(open_) > 0, F.concat(typed, pressed, F.array(step("terminate")))).otherwise(F.array().cast(f"array<{STEP_SCHEMA}>"))
+
+
+def scripted_reply(steps: Column, turns: Column) -> Column:
+    """The step after so many model turns; the last one from then on."""
+    return F.get(steps, F.least(turns, F.size(steps) - 1))
+
+
 def privacy_note(legend: Column) -> Column:
     """What a task text says about placeholders: a fixed sentence and the legend in order."""
     known = F.create_map(*[F.lit(x) for kv in CLASS_NAMES.items() for x in kv])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import capture, geometry, protocol
+from ..operators import capture, geometry, metrics, protocol
 from ..sources import formats, pages
 from .detection import read, spread
-from .screens import _drained, _stream
+from .screens import _BOX_SQL, _boxes, _drained, _stream
 
 QUERIES, ORACLE = {}, {}
 
@@ -141,3 +141,58 @@ def step_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["step_requests"] = step_requests
 ORACLE["step_requests"] = """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'json' ELSE concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'instruction' END, CASE WHEN c_custkey % 5 = 0 THEN 'legend' END,
 CASE WHEN c_custkey % 4 IN (0, 3) THEN 'viewport' END, CASE WHEN c_custkey % 3 = 0 THEN 'observations' END, CASE WHEN c_custkey % 3 <> 2 THEN 'assistant_turns' END) END AS faults FROM customer"""
+
+# --- scores ---------------------------------------------------------------------------------
+
+
+def class_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd line items as true values, even ones as detections."""
+    b = _boxes(spark, sf_dir).withColumn("rect", geometry.rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    truth = b.where("ordinal % 2 = 1").withColumn("pii_class", F.expr("CASE ordinal WHEN 1 THEN 'AADHAAR_VID' WHEN 3 THEN 'FACE' WHEN 5 THEN 'OPAQUE' ELSE 'PAN' END"))
+    found = b.where("ordinal % 2 = 0").withColumn("pii_class", F.expr("CASE ordinal WHEN 2 THEN 'CARD' WHEN 4 THEN 'PAN' ELSE 'EMAIL' END"))
+    return metrics.class_hits(truth, found, "page", "ordinal").groupBy("pii_class").agg(F.count(F.lit(1)).alias("n"), F.count_if("class_ok").alias("n_ok"))
+
+
+QUERIES["class_hits"] = class_hits
+ORACLE["class_hits"] = f"""WITH b AS ({_BOX_SQL}), m AS (
+  SELECT t.page, t.ordinal, min(i.ordinal) AS o FROM b AS t LEFT JOIN b AS i ON i.page = t.page AND i.ordinal % 2 = 0
+    AND greatest(0, least(t.x + t.w, i.x + i.w) - greatest(t.x, i.x)) * greatest(0, least(t.y + t.h, i.y + i.h) - greatest(t.y, i.y)) / (t.w * t.h) > 0.3::DOUBLE
+  WHERE t.ordinal % 2 = 1 GROUP BY t.page, t.ordinal)
+SELECT CASE ordinal WHEN 1 THEN 'AADHAAR_VID' WHEN 3 THEN 'FACE' WHEN 5 THEN 'OPAQUE' ELSE 'PAN' END AS pii_class, count(*) AS n,
+  count_if(o IS NOT NULL AND CASE ordinal WHEN 1 THEN o = 2 WHEN 3 THEN true WHEN 5 THEN true ELSE o = 4 END)::BIGINT AS n_ok FROM m GROUP BY 1"""
+
+
+def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items with a rectangle per line; modes by return flag."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS mode", "l_suppkey % 50 AS page", "l_orderkey AS item", "CAST(l_partkey % 11 / 10.0 AS double) AS coverage")
+    return metrics.mode_means(metrics.item_scores(rows, ["mode", "page"], "item"), "mode")
+
+
+QUERIES["item_scores"] = item_scores
+ORACLE["item_scores"] = """WITH i AS (SELECT l_returnflag AS mode, l_suppkey % 50 AS page, l_orderkey AS item, max(l_partkey % 11 / 10.0::DOUBLE) AS c FROM lineitem GROUP BY ALL
+), p AS (SELECT mode, page, avg((c >= 0.9)::INT) AS r FROM i GROUP BY ALL) SELECT mode, count(*) AS pages, round(avg(r), 3) AS mean FROM p GROUP BY mode"""
+
+
+def step_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS step", "CASE WHEN l_linenumber % 3 = 0 THEN 'solid' ELSE 'token' END AS kind", "l_returnflag AS pii_class")
+    return metrics.step_summary(items, "step")
+
+
+QUERIES["step_summary"] = step_summary
+ORACLE["step_summary"] = "SELECT l_orderkey AS step, count_if(l_linenumber % 3 <> 0)::BIGINT AS tokens, count_if(l_linenumber % 3 = 0)::BIGINT AS solids, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS classes FROM lineitem GROUP BY l_orderkey"
+
+
+def scripted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests whose page has two open fields, a filled one and a button."""
+    k = read(spark, sf_dir, "orders").selectExpr("CAST(o_orderkey AS bigint) AS k")
+    note = F.concat(F.lit("Slots: field PAN empty 100,400; field EMAIL empty "), F.col("k") % 1440, F.lit(",200; field PHONE filled 5,5; button SUBMIT empty 720,450."))
+    legend = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(c).alias("pii_class")) for t, c in (("[EMAIL_1]", "EMAIL"), ("[EMAIL_2]", "EMAIL"), ("[PHONE_1]", "PHONE"))])
+    got = protocol.scripted_steps(protocol.parse_slots(note), legend, F.col("k") % 2 == 0, F.lit(1440.0), F.lit(900.0))
+    reply = k.select("k", protocol.scripted_reply(got, (F.col("k") % 5).cast("int")).alias("r"))
+    return reply.select("k", "r.action", "r.x", "r.y", "r.text")
+
+
+QUERIES["scripted_replies"] = scripted_replies
+ORACLE["scripted_replies"] = """WITH o AS (SELECT o_orderkey::BIGINT AS k, least(o_orderkey % 5, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END) AS n FROM orders
+), s AS (SELECT k, CASE n WHEN 0 THEN 'c' WHEN 1 THEN 't' WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'b' ELSE 'e' END ELSE 'e' END AS s FROM o)
+SELECT k, CASE s WHEN 't' THEN 'type' WHEN 'e' THEN 'terminate' ELSE 'left_click' END AS action, CASE WHEN s IN ('c', 't') THEN round_even((k % 1440) / 1440.0::DOUBLE * 1000, 0) WHEN s = 'b' THEN 500 END::INT AS x, CASE WHEN s IN ('c', 't') THEN 222 WHEN s = 'b' THEN 500 END::INT AS y, CASE s WHEN 't' THEN '[EMAIL_1]' END AS text FROM s"""

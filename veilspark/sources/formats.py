@@ -34,6 +34,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("seed", F.explode("pages").alias("p")).select("seed", "p.*")
 
 
+def read_dumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Page dumps: an index of pages joined with their images' bytes by file name; a page without an image keeps null."""
+    index = spark.read.schema("id string, url string, template string, image string").json(f"{folder}/index.json", multiLine=True)
+    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.col("content").alias("png"))
+    return index.join(images, F.coalesce("image", F.concat("id", F.lit(".png"))) == F.col("_name"), "left").drop("_name")
+
+
 _STEP = (
     "task_id string, instruction string, legend array<struct<token:string,cls:string>>, viewport struct<width:int,height:int>, "
     "observations array<struct<screenshot:string,url:string,text_observation:string,user_response:string>>, assistant_turns array<string>"
