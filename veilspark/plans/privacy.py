@@ -209,12 +209,45 @@ def tripwire_after_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     out, _ = sanitize.sanitize(docs, "doc_id", "source")
     left = out.select(F.explode_outer(tripwire.find_leaks(F.col("text"))).alias("leak")).groupBy("leak").agg(F.count(F.lit(1)).alias("n"))
-    return left.where("leak IN ('EMAIL', 'CARD')").groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("left"))
+    return left.where("leak IS NOT NULL").groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("left"))
 
 
 QUERIES["tripwire_after_sanitize"] = tripwire_after_sanitize
 ORACLE["tripwire_after_sanitize"] = 'SELECT 0::BIGINT AS "left"'
 
+# --- all leak classes, both sides and the full detector: no SQL, tested against brute force -------
+
+
+def tripwire_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document and class that it leaks, of all classes."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.explode_outer(tripwire.find_leaks(F.col("text"))).alias("leak")).where("leak IS NOT NULL")
+
+
+def quarantine_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per source that may go out or stay in, whatever they leak."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    good, bad = tripwire.split_leaks(docs.withColumn("text", F.regexp_extract("text", r"(?s)^.*\z", 0)))
+    sides = good.select("source", F.lit("out").alias("side")).unionByName(bad.select("source", F.lit("quarantine").alias("side")))
+    return sides.groupBy("source", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return sanitize.sanitize(docs, "doc_id", "source")
+
+
+def sanitize_documents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the values of all classes replaced, as sanitize_documents does for e-mail addresses."""
+    out, _ = _everything(spark, sf_dir)
+    return out.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"), F.length("text").alias("length"))
+
+
+QUERIES["tripwire_leaks"] = tripwire_leaks
+QUERIES["quarantine_sides"] = quarantine_sides
+QUERIES["sanitize_documents_full"] = sanitize_documents_full
+QUERIES["vault_tokens_full"] = lambda spark, sf_dir: _everything(spark, sf_dir)[1].select("vault_id", "pii_class", "canonical", "token", "value")
+
 # --- trajectories: conversations as steps ---------------------------------------------------------
 
 
