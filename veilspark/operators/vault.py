@@ -15,8 +15,9 @@ from ..functions.checks import digits_only
 from .rules import BLANK, CLASSES, NEVER_RELEASE
 from .spans import normalize_digits
 
-#: A token, anywhere in a text (fixed value).
-TOKEN = r"\[([A-Z][A-Z_]*?)_([0-9]{1,4})\]"
+#: A token, anywhere in a text (fixed values): as :func:`build` numbers them, and as the reference reads them, up to 9,999.
+TOKEN = r"\[([A-Z][A-Z_]*?)_([0-9]+)\]"
+REFERENCE_TOKEN = r"\[([A-Z][A-Z_]*?)_([0-9]{1,4})\]"
 
 # The field classes that a token of each class may be typed into.
 FILL = {
@@ -61,15 +62,15 @@ def legend(vault: DataFrame) -> DataFrame:
     return vault.select("vault_id", "token", "pii_class", "first_seen")
 
 
-def parse_tokens(text: Column) -> Column:
+def parse_tokens(text: Column, pattern: str = TOKEN) -> Column:
     """``array<struct<literal, token>>``: the parts of a text in order."""
-    gaps, tokens = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    gaps, tokens = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     null = F.lit(None).cast("string")
     parts = F.transform(gaps, lambda g, i: F.array(F.struct(g.alias("literal"), null.alias("token")), F.struct(null.alias("literal"), F.get(tokens, i).alias("token"))))
     return F.filter(F.flatten(parts), lambda p: F.coalesce(F.length(p["literal"]), F.length(p["token"]), F.lit(0)) > 0)
 
 
-def forged(text: Column) -> Column:
+def forged(text: Column, pattern: str = TOKEN) -> Column:
     """``array<struct<start, end>>`` of token-shaped strings in a text."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
@@ -78,12 +79,12 @@ def forged(text: Column) -> Column:
         one = F.struct(s["at"].alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(p["token"].isNotNull(), F.array_append(s["out"], one)).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(parse_tokens(text), start, step, lambda s: s["out"])
+    return F.aggregate(parse_tokens(text, pattern), start, step, lambda s: s["out"])
 
 
-def defang(text: Column) -> Column:
+def defang(text: Column, pattern: str = TOKEN) -> Column:
     """Token-shaped strings made harmless: ``[X_1]`` becomes ``(X-1)``."""
-    return F.regexp_replace(text, TOKEN, "($1-$2)")
+    return F.regexp_replace(text, pattern, "($1-$2)")
 
 
 def fill_compatible(token_class: Column, field_class: Column) -> Column:

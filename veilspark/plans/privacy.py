@@ -72,9 +72,10 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k", f"{_PLANTED} AS text")
 
 
-QUERIES["defang_tokens"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", vault.defang(F.col("text")).alias("text"))
+# Their SQL reads numbers of one to four digits, as the reference does.
+QUERIES["defang_tokens"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", vault.defang(F.col("text"), vault.REFERENCE_TOKEN).alias("text"))
 ORACLE["defang_tokens"] = r"SELECT k, 'id (EMAIL-' || (k % 100)::VARCHAR || ') and ' || CASE WHEN k < 10000 THEN '(CARD_NUMBER-' || k::VARCHAR || ')' ELSE '[CARD_NUMBER_' || k::VARCHAR || ']' END || ' or [x_1]' AS text FROM (SELECT c_custkey AS k FROM customer)"
-QUERIES["forged_ranges"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", F.explode(vault.forged(F.col("text"))).alias("f")).select("k", "f.start", "f.end")
+QUERIES["forged_ranges"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", F.explode(vault.forged(F.col("text"), vault.REFERENCE_TOKEN)).alias("f")).select("k", "f.start", "f.end")
 ORACLE["forged_ranges"] = """WITH p AS (SELECT c_custkey AS k, '[EMAIL_' || (c_custkey % 100)::VARCHAR || ']' AS a, '[CARD_NUMBER_' || c_custkey::VARCHAR || ']' AS b FROM customer)
 SELECT k, 3 AS start, (3 + length(a))::INT AS "end" FROM p UNION ALL SELECT k, (8 + length(a))::INT, (8 + length(a) + length(b))::INT FROM p WHERE k < 10000"""
 QUERIES["parse_typed"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", F.posexplode(vault.parse_tokens(F.col("text"))).alias("i", "p")).select("k", "i", "p.literal", "p.token")
