@@ -2,7 +2,8 @@
 
 A page is parsed into blocks. Elements that are menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts or styles by tag, role,
-class or id are left out. If the page has an article (``article``, ``main``, or
+class or id are left out, unless they wrap the page's main content (see
+:func:`_cleared`). If the page has an article (``article``, ``main``, or
 a named content container) its blocks are the text.
 
 Pages without such a container are judged by host. The token streams of their
@@ -41,6 +42,8 @@ PAGES = 3
 PART_BYTES = 16 << 20
 
 # HTML element names by kind.
+# Verdicts on elements: stays; left out unless it holds the main content; the same, of comments and the like; left out with all it holds.
+KEPT, WRAP, BESIDE, GONE = 0, 1, 2, 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
 BLOCKS = frozenset(
@@ -58,6 +61,9 @@ NOT_MAIN = frozenset(
 HEADER = frozenset("header banner".split())
 COMMENT = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related teaser".split())
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
+STATE = frozenset("no not has with without hide".split())
+ASIDE = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+WRAPPERS = frozenset("nav footer aside form dialog menu search header".split())
 CONTAINERS = frozenset("content main maincontent article articlebody articlecontent post postbody postcontent entry entrycontent story storybody contentbody pagecontent bodycontent".split())
 # Elements that an opening tag of the same group closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -77,48 +83,94 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _judge(tag: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether its name says that it holds the content."""
-    if tag in LEFT_OUT or tag == "header" and not in_main:
-        return True, False
+def _words(name: str) -> set[str]:
+    """The words of a class or id; what follows a word of state (``no-sidebar``) is no part of its kind."""
+    words = _NAMES.findall(_CAMEL.sub(" ", name).lower())
+    return set(words[: next((i for i, w in enumerate(words) if w in STATE), len(words))])
+
+
+def _judge(tag: str, attrs: str, in_main: bool) -> tuple[int, bool]:
+    """The verdict on an element (see KEPT), and whether its name says that it holds the content."""
+    soft = (BESIDE if tag in ("nav", "footer", "aside") else WRAP) if tag in WRAPPERS and (tag != "header" or not in_main) else KEPT
+    if tag in LEFT_OUT and not soft:
+        return GONE, False
     if not attrs or attrs.isspace():
-        return False, False
+        return soft, False
     a = {k.lower(): unescape(v.strip("\"'")) if v else "" for k, v in _ATTR.findall(attrs)}
     if tag in ("html", "body"):
-        return False, False
+        return KEPT, False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
-        return True, False
+        return GONE, False
+    if soft:
+        return soft, False
     role = a.get("role", "").lower()
     if role == "main" or a.get("itemprop", "").lower() == "articlebody":
-        return False, True
+        return KEPT, True
     given = [a[k] for k in ("class", "id") if a.get(k)]
     if tag != "main" and given:
-        words = set(_NAMES.findall(_CAMEL.sub(" ", " ".join(given)).lower()))
+        words = set().union(*[_words(x) for g in given for x in g.split()])
         if words & (COMMENT if tag == "article" else NOT_MAIN) or not in_main and words & HEADER:
-            return True, False
+            return BESIDE if words & ASIDE else WRAP, False
     if tag != "main" and role in NOT_MAIN_ROLES and not (in_main and role == "banner"):
-        return True, False
-    return False, any("".join(_NAMES.findall(x.lower())) in CONTAINERS for g in given for x in [g, *g.split()])
+        return WRAP, False
+    return KEPT, any("".join(_NAMES.findall(x.lower())) in CONTAINERS for g in given for x in [g, *g.split()])
+
+
+def _cleared(verdicts: list[int], containers: list[tuple[int, tuple]], blocks: list[tuple[int, list[tuple]]]) -> set[int]:
+    """The verdicts that do not hold, as their element holds the page's main content.
+
+    A container below verdicts is released if it has more text than the page keeps
+    (in containers, if it has any; links do not count elsewhere), and no article is
+    kept; ``main`` is released unless the page keeps another. Below an element of
+    comments or the like, only if no container is kept.
+    """
+    gone: set[int] = set()
+    while any(w not in gone for _, wraps in containers for w in wraps):
+        rest = [tuple(w for w in wraps if w not in gone) for _, wraps in containers]
+        size, kept, inside, outside = [0] * len(containers), [0] * 4, 0, 0
+        for _, pieces in blocks:
+            for wraps, chain, text, link in pieces:
+                n = len(text.strip())
+                own = tuple(w for w in wraps if w not in gone)
+                for c in chain:
+                    if rest[c] == own:
+                        size[c] += n
+                if not own and chain:
+                    inside += n
+                    for level in {containers[c][0] for c in chain}:
+                        kept[level] += n
+                elif not own and not link:
+                    outside += n
+        for c in sorted((c for c in range(len(rest)) if rest[c] and size[c]), key=lambda c: (containers[c][0] != 2, -size[c])):
+            if containers[c][0] == 2:
+                good = not kept[2]
+            elif any(verdicts[w] == BESIDE for w in rest[c]):
+                good = not inside and size[c] > outside
+            else:
+                good = not kept[3] and size[c] > (inside or outside)
+            if good:
+                gone.update(rest[c])
+                break
+        else:
+            break
+    return gone
 
 
 def parse(html: str) -> tuple[str | None, list[str]]:
     """The text if the page has an article, else None; and the blocks to be judged by host."""
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, level: 3 article, 2 main, 1 named container, 0 none
-    blocks: list[tuple[int, str, float]] = []
-    now: list[str] = []
-    links = 0
+    stack: list[tuple[str, bool, int, tuple, tuple]] = []  # tag, left out, level: 3 article, 2 main, 1 named container, 0 none; verdicts and containers above
+    found_blocks: list[tuple[int, list[tuple]]] = []
+    now: list[tuple] = []
+    verdicts: list[int] = []
+    containers: list[tuple[int, tuple]] = []
 
-    def state() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+    def state() -> tuple[bool, int, tuple, tuple]:
+        return stack[-1][1:] if stack else (False, 0, (), ())
 
     def flush() -> None:
-        nonlocal links
         if now:
-            text = " ".join("".join(now).split())
-            if text:
-                blocks.append((state()[1], text, links / max(1, sum(map(len, now)))))
+            found_blocks.append((state()[1], now[:]))
             now.clear()
-        links = 0
 
     def close(upto: int) -> None:
         for k in range(len(stack) - 1, upto - 1, -1):
@@ -127,12 +179,9 @@ def parse(html: str) -> tuple[str | None, list[str]]:
             stack.pop()
 
     def add(text: str) -> None:
-        nonlocal links
-        if text and not state()[0]:
-            text = unescape(text) if "&" in text else text
-            now.append(text)
-            if any(s[0] == "a" for s in stack[-4:]):
-                links += len(text)
+        out, _, wraps, chain = state()
+        if text and not out:
+            now.append((wraps, chain, text, any(s[0] == "a" for s in stack[-4:])))
 
     at, n = 0, len(html)
     while at < n:
@@ -168,7 +217,7 @@ def parse(html: str) -> tuple[str | None, list[str]]:
                 break
         if tag in ("br", "wbr", "img", "hr", "input"):
             if tag == "br" and not state()[0]:
-                now.append(" ")
+                now.append((*state()[2:], " ", False))
             continue
         if tag in VOID:
             continue
@@ -176,13 +225,28 @@ def parse(html: str) -> tuple[str | None, list[str]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        out, level = state()
-        dropped, named = _judge(tag, m[3] or "", level > 0)
-        level = max(level, 3 if tag == "article" else 2 if tag == "main" else 1 if named else 0)
-        if not (m[3] or "").rstrip().endswith("/") or tag not in ("svg", "path", "use"):
-            stack.append((tag, out or dropped, level))
+        out, level, wraps, chain = state()
+        verdict, named = _judge(tag, m[3] or "", level > 0)
+        own = 3 if tag == "article" else 2 if tag == "main" else 1 if named else 0
+        level = max(level, own)
+        if (m[3] or "").rstrip().endswith("/") and tag in ("svg", "path", "use"):
+            continue
+        if verdict in (WRAP, BESIDE):
+            wraps = (*wraps, len(verdicts))
+            verdicts.append(verdict)
+        elif own and not out and not (chain and containers[chain[-1]][0] >= own and containers[chain[-1]][1] == wraps):
+            chain = (*chain, len(containers))
+            containers.append((own, wraps))
+        stack.append((tag, out or verdict == GONE, level, wraps, chain))
     close(0)
     flush()
+    cleared = _cleared(verdicts, containers, found_blocks)
+    blocks: list[tuple[int, str, float]] = []
+    for level, pieces in found_blocks:
+        kept = [(unescape(t) if "&" in t else t, link) for wraps, _, t, link in pieces if cleared.issuperset(wraps)]
+        text = " ".join("".join(t for t, _ in kept).split())
+        if text:
+            blocks.append((level, text, sum(len(t) for t, link in kept if link) / max(1, sum(len(t) for t, _ in kept))))
     size = [sum(len(t) for lv, t, _ in blocks if lv >= k) for k in range(4)]
     # An article that is a small part of <main> is one of many teasers there.
     level = 3 if size[3] and 2 * size[3] >= size[2] else 2 if size[2] else 1 if size[1] and 5 * size[1] >= 2 * size[0] else 0
