@@ -10,12 +10,17 @@ units are encoded again, with the same ids.
   run gives all but its last character as one unit; the last joins the word if
   it is a space. A text with non-ASCII white space is encoded as a whole.
 - ``word``: BPE with word ends whose pre-tokenizer drops white space.
+
+A text that holds an added token of the file (such as ``<|endoftext|>``) is
+encoded as a whole, as the plain library call gives that token's one id there
+and splits the white space before it differently.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -49,9 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
+        self.added = [t["content"].encode() for t in conf.get("added_tokens") or () if t["content"]]
         self.byte = (conf.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.keys = np.zeros(0, tv.U)
         self.slot = np.zeros(0, np.int64)
@@ -82,6 +87,11 @@ class Encoder:
         end = np.append(start[1:], n)
         return start, end, np.searchsorted(start, c.off)
 
+    def _added_at(self, b: np.ndarray) -> list[int]:
+        """Positions where the bytes of an added token begin."""
+        raw = b.tobytes()
+        return [m.start() for t in self.added for m in re.finditer(re.escape(t), raw)]
+
     def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each unit, and the ids."""
         counts, ids = [], []
@@ -125,7 +135,7 @@ class Encoder:
         np.cumsum(sizes, out=total[1:])
         ids = flat[np.repeat(off[slots][codes] - total[:-1], sizes) + np.arange(total[-1])]
         docs = total[first]
-        odd = _odd_space(c.data) if self.byte else ()
+        odd = np.append(_odd_space(c.data) if self.byte else np.zeros(0, np.int64), self._added_at(c.data)).astype(np.int64)
         if len(odd):
             parts = [ids[docs[i] : docs[i + 1]] for i in range(c.n)]
             for i in np.unique(np.searchsorted(c.off, odd, "right") - 1):
