@@ -5,6 +5,16 @@ return the columns of documents. Every stage sees all that the one before kept,
 and its decisions take effect: rejected documents go, one of each near-duplicate
 group stays, repeated passages are cut out of the texts, documents come as often
 as the mix takes them, and the last stage returns the packed pieces.
+
+``docs`` is read from Parquet files (run writes each stage's result); a table from
+elsewhere works too, as it is written first where rows must be told apart.
+
+Edge cases: a null text fails the quality rules; a null source is a host and a
+source of its own; a null doc_id is linked with nothing, loses no words, and its
+rows are mixed and packed one by one; rows that share a doc_id are judged each by
+its own text, of a near-duplicate group one row stays; very long texts are taken
+whole; an empty table gives an empty result; further columns, whatever their names,
+stay with their rows up to the last stage.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, scanned=bool(docs.inputFiles()))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, scanned=bool(docs.inputFiles()))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Encoding with a public tokenizer, each distinct unit of text once.
 
 Both supported pre-tokenizers cut a text at places that depend only on its
-ASCII white space, so a text's ids are the ids of its units in order. Units
-are hashed over the batch at once; only units not met before go through the
-tokenizer. The memory of past units is bounded (``MEMO_UNITS``); beyond it
+ASCII white space, so a text's ids are the ids of its units in order. Arrow's
+dictionary encoding finds the distinct units of a chunk by their bytes; only
+units not met before go through the tokenizer. The memory of past units knows
+them by two independent 64-bit hashes and is bounded (``MEMO_UNITS``); beyond it
 units are encoded again, with the same ids.
 
 - ``byte``: byte-level BPE whose words carry one leading space. A white-space
@@ -23,10 +24,11 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from . import textvec as tv
 
+#: Bound of the memory: about 50 bytes a unit.
 MEMO_UNITS = 2_000_000
 _BATCH = 2048
 _loaded: dict[str, Encoder] = {}
@@ -46,6 +48,71 @@ def _odd_space(b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start..start+size-1 of every entry, one after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """At least ``n`` entries, the old ones first."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class Memory:
+    """Ids of units by the pair of their hashes: an open table of slots, filled in batches."""
+
+    def __init__(self):
+        self.table = np.full(1 << 16, -1, np.int32)
+        self.one, self.two = np.zeros(0, tv.U), np.zeros(0, tv.U)
+        self.off, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.n = 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The slot of each unit, -1 for unknown ones."""
+        out = np.full(len(one), -1, np.int64)
+        mask, left = tv.U(len(self.table) - 1), np.arange(len(one))
+        at = one & mask
+        while len(left):
+            slot = self.table[at]
+            met = slot >= 0
+            left, at, slot = left[met], at[met], slot[met]
+            same = (self.one[slot] == one[left]) & (self.two[slot] == two[left])
+            out[left[same]] = slot[same]
+            left, at = left[~same], at[~same] + tv.U(1) & mask
+        return out
+
+    def _place(self, slots: np.ndarray) -> None:
+        mask = tv.U(len(self.table) - 1)
+        at = self.one[slots] & mask
+        while len(slots):
+            free = self.table[at] < 0
+            self.table[at[free]] = slots[free]
+            out = self.table[at] != slots
+            slots, at = slots[out], at[out] + tv.U(1) & mask
+
+    def add(self, one: np.ndarray, two: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Keep new distinct units while there is room; arrays grow by doubling."""
+        k = min(len(one), MEMO_UNITS - self.n)
+        if k <= 0:
+            return
+        a, b = self.n, self.n + k
+        ends = self.off[a] + np.cumsum(counts[:k])
+        self.one, self.two, self.off, self.flat = _grown(self.one, b), _grown(self.two, b), _grown(self.off, b + 1), _grown(self.flat, int(ends[-1]))
+        self.one[a:b], self.two[a:b], self.off[a + 1 : b + 1] = one[:k], two[:k], ends
+        self.flat[self.off[a] : ends[-1]] = ids[: int(ends[-1] - self.off[a])]
+        self.n = b
+        if 2 * b > len(self.table):
+            self.table = np.full(1 << (4 * b).bit_length(), -1, np.int32)
+            self._place(np.arange(b, dtype=np.int32))
+        else:
+            self._place(np.arange(a, b, dtype=np.int32))
+
+
 class Encoder:
     """One tokenizer file with the memory of its units, kept for the life of a worker."""
 
@@ -58,10 +125,7 @@ class Encoder:
             conf = json.load(f)
         self.added = [t["content"].encode() for t in conf.get("added_tokens") or () if t["content"]]
         self.byte = (conf.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-        self.keys = np.zeros(0, tv.U)
-        self.slot = np.zeros(0, np.int64)
-        self.off = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.memory = Memory()
 
     def _units(self, c: tv.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w = tv.words(c)
@@ -105,35 +169,26 @@ class Encoder:
     def encode(self, c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk, and the offsets of its documents in them."""
         start, end, first = self._units(c)
-        h = tv.spans(tv.prefix(c.data), start, end)
-        codes, uniq = pd.factorize(h)
-        uniq = np.asarray(uniq, tv.U)
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        slots = np.empty(len(uniq), np.int64)
-        slots[known] = self.slot[at[known]]
-        new = np.flatnonzero(~known)
-        off, flat = self.off, self.flat
-        if len(new):
-            seen = np.empty(len(uniq), np.int64)
-            seen[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = c.data.tobytes()
-            counts, ids = self._learn([raw[s:e].decode("utf-8") for s, e in zip(start[seen[new]], end[seen[new]])])
-            slots[new] = len(off) - 1 + np.arange(len(new))
-            off = np.concatenate([off, off[-1] + np.cumsum(counts)])
-            flat = np.concatenate([flat, ids])
-            if len(self.keys) + len(new) <= MEMO_UNITS:
-                self.off, self.flat = off, flat
-                order = np.argsort(uniq[new])
-                where = np.searchsorted(self.keys, uniq[new][order])
-                self.slot = np.insert(self.slot, where, slots[new][order])
-                self.keys = np.insert(self.keys, where, uniq[new][order])
-        sizes = (off[slots + 1] - off[slots])[codes]
+        own = np.ascontiguousarray(c.data if self.byte else c.data[~tv.IS_WS[c.data]])
+        offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(own)).dictionary_encode()
+        codes, units, memory = coded.indices.to_numpy(), coded.dictionary, self.memory
+        at = np.frombuffer(units.buffers()[1], np.int64)[: len(units) + 1]
+        raw = np.frombuffer(units.buffers()[2], np.uint8) if len(units) else np.zeros(0, np.uint8)
+        one, two = tv.spans(raw, at[:-1], at[1:]), tv.spans(raw, at[:-1], at[1:], 1)
+        slots = memory.find(one, two)
+        known, new = np.flatnonzero(slots >= 0), np.flatnonzero(slots < 0)
+        counts, ids = self._learn(units.take(pa.array(new)).to_pylist())
+        sizes = np.zeros(len(units), np.int64)
+        sizes[known], sizes[new] = memory.off[slots[known] + 1] - memory.off[slots[known]], counts
+        begin = np.cumsum(sizes) - sizes
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        flat[_ranges(begin[known], sizes[known])] = memory.flat[_ranges(memory.off[slots[known]], sizes[known])]
+        flat[_ranges(begin[new], sizes[new])] = ids
+        memory.add(one[new], two[new], counts, ids)
         total = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(sizes, out=total[1:])
-        ids = flat[np.repeat(off[slots][codes] - total[:-1], sizes) + np.arange(total[-1])]
+        np.cumsum(sizes[codes], out=total[1:])
+        ids = flat[_ranges(begin[codes], sizes[codes])]
         docs = total[first]
         odd = np.append(_odd_space(c.data) if self.byte else np.zeros(0, np.int64), self._added_at(c.data)).astype(np.int64)
         if len(odd):

@@ -40,11 +40,14 @@ COMMON = 7
 RANGE_BYTES = 8 << 20
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _NULL = -(1 << 63)
+_BYTE = np.random.default_rng(0x5EED).integers(0, 1 << 63, 256, dtype=np.int64).view(tv.U) * tv.U(2) + tv.U(1)
+_P = 0x9E3779B97F4A7C15
+_P_INV = pow(_P, -1, 1 << 64)
 
 
 def _roll(data: np.ndarray) -> np.ndarray:
     """32-bit hash of the 7 bytes that end at each position (zeros before the text)."""
-    mixed = (tv._BYTE[data] >> tv.U(32)).astype(np.uint32)
+    mixed = (_BYTE[data] >> tv.U(32)).astype(np.uint32)
     out = np.zeros(len(data), np.uint32)
     factor = 1
     for j in range(min(ROLL, len(data))):
@@ -56,6 +59,20 @@ def _roll(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, tv.U)
+    out[0] = 1
+    return np.cumprod(out, dtype=tv.U)
+
+
+def _characters(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> str:
+    """One of 64 characters for each chunk, from a rolling sum of its bytes."""
+    total = np.zeros(len(data) + 1, tv.U)
+    np.cumsum(_BYTE[data] * _powers(_P, len(data)), dtype=tv.U, out=total[1:])
+    h = tv.mix((total[stop] - total[start]) * _powers(_P_INV, len(data))[start])
+    return _CHARS[(h >> tv.U(58)).astype(np.int64)].tobytes().decode()
+
+
 def fingerprint(data: np.ndarray) -> str:
     """Fingerprint of the bytes of one text."""
     n = len(data)

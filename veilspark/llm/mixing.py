@@ -12,8 +12,8 @@ one fractional document; a tree of fan-in ``FAN_IN`` combines those. The random
 numbers depend on source and block only, so reruns agree.
 
 Edge cases: null text has size 0 (and takes 0 words); null sources are one
-source, the last in order; repeated rows are rounded row by row; with no words
-at all every target is 0; an empty table gives an empty result; further
+source, the last in order; repeated rows are rounded row by row; rows without a doc_id are told apart by their place in
+the input; with no words at all every target is 0; an empty table gives an empty result; further
 columns are ignored by :func:`mix` and kept by :func:`mixed_documents`.
 """
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import pick, written
+from .workspace import pick, with_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -35,7 +35,7 @@ BLOCK = 4096
 FAN_IN = 64
 WEIGHTS = (1, 2, 3)
 
-_SCHEMA = "doc_id long, source string, size long, source_size long, target double, whole int, part double, block long, extra int"
+_SCHEMA = "file long, place long, doc_id long, source string, size long, source_size long, target double, whole int, part double, block long, extra int"
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -106,7 +106,7 @@ def pivot(part: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple
 def _rounder(seed: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large documents first: small ones then use up what is left of them, so the last one left is small.
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "file", "place"], ascending=False, kind="stable").reset_index(drop=True)
         source = pdf["source"].iloc[0]
         name = "\0" if source is None or source != source else source
         rng = np.random.default_rng([seed, level, zlib.crc32(name.encode()), int(pdf["block"].iloc[0])])
@@ -129,17 +129,23 @@ def _rounder(seed: int, level: int):
     return run
 
 
-def mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row."""
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+def mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7, scanned: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row; ``scanned`` as in :func:`workspace.with_row`."""
+    rows, ident = with_row(docs.select("doc_id", "text", F.col(f"`{source}`").alias("source")), scanned)
+    return _mixed(rows, ident, "source", weights, most, seed).drop("file", "place")
+
+
+def _mixed(rows: DataFrame, ident: tuple[str, ...], source: str, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    place = [F.col(c).alias(n) for c, n in zip(ident, ("file", "place"))]
+    sized = written(rows.select(*place, F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, most)
     goal = sources.select(F.col("source").alias("s"), "source_size", "n", "target", "copies")
     whole = F.least(F.floor("copies"), F.lit(most)).cast("int")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK))
     dealt = sized.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "size", "source_size", "target", whole.alias("whole"),
+        "file", "place", "doc_id", "source", "size", "source_size", "target", whole.alias("whole"),
         F.when(whole < most, F.col("copies") - whole).otherwise(0.0).alias("part"),
-        F.pmod(F.xxhash64("doc_id", "size"), blocks).cast("long").alias("block"), F.lit(None).cast("int").alias("extra"),
+        F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("file", "place")), "size"), blocks).cast("long").alias("block"), F.lit(None).cast("int").alias("extra"),
     )
     largest = sources.agg(F.max("n")).first()[0] or 0
     levels = 1 + math.ceil(math.log(max(1, largest / BLOCK), FAN_IN))
@@ -154,22 +160,16 @@ def mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIG
     chance = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     last = dealt.withColumn("extra", (chance < F.col("part")).cast("int"))
     done = done.unionByName(last)
-    return done.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), (F.col("whole") + F.col("extra")).alias("copies"))
+    return done.select("file", "place", "doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), (F.col("whole") + F.col("extra")).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, **args) -> DataFrame:
-    """The documents (all columns), each as often as the mix takes it."""
-    taken = mix(docs, **args)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = docs.withColumn("_veil_id", F.col("doc_id").cast("long")).withColumn("_veil_size", size)
-    nth = F.row_number().over(Window.partitionBy("_veil_id", "_veil_size").orderBy(F.xxhash64("text")))
-    key = key.withColumn("_veil_nth", nth)
-    mine = Window.partitionBy("doc_id", "size").orderBy("copies")
-    taken = taken.select(F.col("doc_id").alias("_veil_d"), F.col("size").alias("_veil_s"), F.row_number().over(mine).alias("_veil_r"), F.col("copies").alias("_veil_copies"))
-    same = key["_veil_id"].eqNullSafe(taken["_veil_d"]) & (key["_veil_size"] == taken["_veil_s"]) & (key["_veil_nth"] == taken["_veil_r"])
-    joined = key.join(taken, same).where("_veil_copies > 0")
-    return joined.withColumn("_veil_k", F.explode(F.sequence(F.lit(1), F.col("_veil_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_documents(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7, scanned: bool = False) -> DataFrame:
+    """The documents (all columns), each row as often as the mix takes it."""
+    rows, ident = with_row(docs, scanned)
+    taken = _mixed(rows, ident, source, weights, most, seed).where("copies > 0").select(*[F.col(n).alias(c) for c, n in zip(ident, ("file", "place"))], F.col("copies").alias("_veil_copies"))
+    again = rows.join(taken, list(ident)).withColumn("_veil_k", F.explode(F.sequence(F.lit(1), F.col("_veil_copies"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"))
+    return mix(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"), scanned=True)

@@ -2,29 +2,35 @@
 
 Each distinct set of word shingles gets, from one hash per permutation, both
 the minimum and the maximum: 64 evaluations give 128 values, banded by four.
-At a similarity of 0.75 a pair misses all 32 bands with probability 5e-6.
 
-1. Rows with equal sets are one class; its smallest doc_id stands for it.
+1. Rows with equal sets (by a 128-bit digest of the whole set) are one class. A
+   class is a node, named by its smallest doc_id and half of its digest.
 2. In every bucket each class is compared with the bucket's smallest one
    (confirmed on full sets). That is linear in the bucket however large.
 3. Classes that share a bucket but are not yet in one component are the rest.
-   For them an exact prefix filter (rarest shingles first, with the size and
-   position bounds) finds every pair that can still reach the threshold,
-   without writing out a bucket's pairs; those pairs are confirmed too.
+   For them an exact prefix filter (rarest shingles first, by their counts over
+   the rest, with the size and position bounds) finds every pair that can still
+   reach the threshold, without writing out a bucket's pairs; those pairs are
+   confirmed too.
 4. Components over the confirmed links.
 
-The order of shingles in step 3 only decides the cost: shingles that are among
-the ``HOT`` most frequent (a bounded broadcast) come last, the others by hash.
+At a similarity of 0.75 two sets of n shingles miss all 32 bands with a
+probability that falls with n: 7e-6 for 25 shingles, 5e-6 for many. For smaller sets it would be larger
+(1e-4 for 3 of 4), so sets of at most ``SMALL`` shingles also meet in one bucket for
+each of their first shingles in hash order, as many as make a common one certain.
 
 Edge cases: null or blank texts have an empty set and are linked with nothing;
 texts with fewer words than a shingle have their whole sequence as one; rows
 without a doc_id are linked with nothing and have a null component; repeated
-rows fall into one class; an empty table gives an empty result; further input
-columns are ignored by :func:`classes` and kept by :func:`keep_one`.
+rows fall into one class; rows that share a doc_id are judged each by its own
+text, and a component has the smallest doc_id in it; an empty table gives an empty
+result; further input columns are ignored by :func:`classes` and kept by
+:func:`keep_one`.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,13 +41,12 @@ from pyspark.sql import functions as F
 from . import shingles
 from . import textvec as tv
 from .components import components
-from .workspace import drop_written, pick, written
+from .workspace import drop_written, pick, with_row, written
 
 PERMUTATIONS = 64
 PER_BAND = 2
 LINK, OF = 75, 100
-HOT = 65_536
-HOT_COUNT = 8
+SMALL = 24
 
 _rng = np.random.default_rng(0xD0C5)
 _MUL = _rng.integers(0, 1 << 62, PERMUTATIONS, dtype=np.int64).view(tv.U) * tv.U(2) + tv.U(1)
@@ -69,28 +74,41 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def prefix_length(n: int) -> int:
+    """With this many first shingles of an n-set, in a fixed order, any partner must share one."""
+    return n - -(-LINK * n // OF) + 1
+
+
 def _sign(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, values, first in shingles.shingle_lists(batch.column(1), width):
-                size, a, b = np.zeros(c.n, np.int64), np.zeros(c.n, tv.U), np.zeros(c.n, tv.U)
+            texts = batch.column(batch.num_columns - 1)
+            for (c, values, first), (_, more, _) in zip(shingles.shingle_lists(texts, width), shingles.shingle_lists(texts, width, 1)):
+                size, a, b = np.zeros(c.n, np.int64), np.zeros(c.n, np.int64), np.zeros(c.n, np.int64)
                 full = np.flatnonzero(first[1:] > first[:-1])
-                for i in full:
-                    s = np.unique(values[first[i] : first[i + 1]])
-                    size[i], a[i], b[i] = len(s), s.sum(), np.bitwise_xor.reduce(s)
                 keys = band_keys(min_max(values, first[:-1][full])) if len(full) else np.zeros((0, 1), tv.U)
+                lists = []
+                for k, i in enumerate(full):
+                    s, at = np.unique(values[first[i] : first[i + 1]], return_index=True)
+                    size[i] = len(s)
+                    both = hashlib.blake2b(s.tobytes() + more[first[i] : first[i + 1]][at].tobytes(), digest_size=16).digest()
+                    a[i], b[i] = np.frombuffer(both, "<i8")
+                    lists.append(np.append(keys[k], tv.mix(s[: prefix_length(len(s))] + tv.U(1))) if len(s) <= SMALL else keys[k])
                 offsets = np.zeros(c.n + 1, np.int32)
-                offsets[full + 1] = keys.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.n), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                offsets[full + 1] = [len(x) for x in lists]
+                flat = np.concatenate(lists) if lists else np.zeros(0, tv.U)
+                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(flat.view(np.int64)))
+                own = [x.slice(c.lo, c.n) for x in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(a), pa.array(b), bands], names=[*batch.schema.names[:-1], "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
 
-def signatures(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
-    """doc_id, number of distinct shingles, 128-bit key of the set, band keys."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return narrow.mapInArrow(_sign(width), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+def signatures(docs: DataFrame, width: int = shingles.WIDTH, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, number of distinct shingles, 128-bit digest of the set, band keys."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried, F.col("text"))
+    own = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in ("doc_id", *carried))
+    return narrow.mapInArrow(_sign(width), f"{own}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _confirm(width: int) -> Callable:
@@ -107,103 +125,111 @@ def _confirm(width: int) -> Callable:
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(width), "a long, b long")
+_NODE = "struct<doc_id:bigint,set_a:bigint>"
 
 
-def _tally(width: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles.shingle_sets(batch.column(1), width)
-            if sets:
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
-
-    return run
-
+def _node():
+    return F.struct("doc_id", "set_a")
 
-def prefix_length(n: int) -> int:
-    """With this many first shingles of an n-set, in a fixed order, any partner must share one."""
-    return n - -(-LINK * n // OF) + 1
 
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets reach the threshold."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_confirm(width), f"a {_NODE}, b {_NODE}")
 
-def _prefixes(width: int, hot: np.ndarray, rank: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            ids, comps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            for i, s in enumerate(shingles.shingle_sets(batch.column(1), width)):
-                at = np.minimum(np.searchsorted(hot, s), max(0, len(hot) - 1))
-                place = np.where(hot[at] == s, rank[at] + 1, 0) if len(hot) else np.zeros(len(s), np.int64)
-                p = prefix_length(len(s))
-                head = s[np.argsort(place, kind="stable")[:p]]
-                for col, x in zip(cols, (head.view(np.int64), np.full(p, ids[i]), np.full(p, comps[i]), np.full(p, len(s)), np.arange(p))):
-                    col.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in cols], names=["shingle", "doc_id", "comp", "n", "k"])
 
-    return run
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = shingles.shingle_sets(batch.column(2), width)
+        row = pa.array(np.repeat(np.arange(batch.num_rows), [len(s) for s in sets]))
+        flat = np.concatenate(sets) if sets else np.zeros(0, tv.U)
+        size = np.repeat([len(s) for s in sets], [len(s) for s in sets]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(size), pa.array(flat.view(np.int64))], names=["node", "comp", "n", "shingle"])
 
 
 def rest_pairs(rest: DataFrame, width: int) -> DataFrame:
-    """Every pair (a > b) of ``rest`` (doc_id, text, comp) in different components that the exact bounds allow."""
-    counts = rest.select("doc_id", "text").mapInArrow(_tally(width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    # At most HOT rows come to the driver and go to the executors.
-    hot = counts.where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "shingle").limit(HOT).toPandas()
-    keys, n = hot["shingle"].to_numpy(np.int64).view(tv.U), hot["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    rank = np.empty(len(keys), np.int64)
-    rank[np.lexsort((keys, n))] = np.arange(len(keys))
-    heads = rest.select("doc_id", "text", "comp").mapInArrow(_prefixes(width, keys[order], rank[order]), "shingle long, doc_id long, comp long, n long, k long")
+    """Every pair (a > b) of ``rest`` (node, comp, text) in different components that the exact bounds allow.
+
+    Each shingle's count comes by a join, so the order, rarest first, is exact
+    however many frequent shingles there are.
+    """
+    each = written(rest.select("node", "comp", "text").mapInArrow(lambda b: _sets(b, width), f"node {_NODE}, comp {_NODE}, n long, shingle long"), "sets")
+    # A shingle that only one component has joins nothing; it stays in the order, as the prefix must be of the whole set.
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") != F.max("comp")).alias("joins"))
+    ordered = each.join(counts, "shingle").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "joins"))).alias("all"))
+    length = F.col("n") - F.ceil(F.col("n") * LINK / F.lit(OF)).cast("int") + 1
+    heads = ordered.select("node", "comp", "n", F.posexplode(F.slice("all", 1, length.cast("int"))).alias("k", "s")).where("s.joins").select("node", "comp", "n", "k", "s.shingle")
     heads = written(heads, "prefixes")
-    x = heads.select("shingle", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    y = heads.select("shingle", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    x = heads.select("shingle", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    y = heads.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
     # With o common shingles: OF * o >= LINK * (na + nb - o). What follows the first common one bounds o.
     most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
     fits = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
     return x.join(y, (x["shingle"] == y["shingle"]) & fits & ((OF + LINK) * most >= LINK * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    signed = written(signatures(docs, width), "signatures")
-    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+def _components(rows: DataFrame, ident: tuple[str, ...], signed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (node, set_a, set_b, n_shingles), and (node, label) of those with a link.
+
+    A class is seen through one of its rows, that of its smallest doc_id.
+    """
     own = ["set_a", "set_b", "n_shingles"]
-    members = full.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", *own], "left_semi").select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).where("hub < other").select("key", "hub")
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = full.groupBy(*own).agg(F.min(F.struct("doc_id", *ident)).alias("r")).select("r.*", *own)
+    reps = written(first.select(_node().alias("node"), *ident, *own), "classes")
+    members = full.select(*ident, "bands").join(reps.select("node", *ident), list(ident)).select("node", *ident, F.explode("bands").alias("key"))
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").select("key", "hub")
     shared = written(members.join(hubs, "key"), "buckets")
-    involved = shared.select("doc_id").distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    stars = shared.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    texts = written(rows.select(*ident, "text").join(shared.select("node", *ident).distinct(), list(ident)).select("node", "text"), "texts")
+    stars = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = written(confirmed(stars, texts, width), "links")
     found = components(links)
-    placed = shared.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("comp"))
+    placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(mixed, "key", "left_semi").select("doc_id", "comp").distinct()
-    rest_texts = written(texts.join(rest, "doc_id"), "rest")
-    more = written(confirmed(rest_pairs(rest_texts, width), texts, width), "links")
+    rest = placed.join(mixed, "key", "left_semi").select("node", "comp").distinct()
+    more = written(confirmed(rest_pairs(texts.join(rest, "node"), width), texts, width), "links")
     if more.limit(1).count():
         drop_written(found)
         found = components(links.unionByName(more))
-    labelled = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*own, F.coalesce("label", "rep").alias("label"))
-    out = signed.select("doc_id", *own).join(labelled, own, "left")
+    for table in (shared, texts, links, more):
+        drop_written(table)
+    return reps, found
+
+
+def _judged(rows: DataFrame, ident: tuple[str, ...], width: int) -> DataFrame:
+    signed = written(signatures(rows, width, ident), "signatures")
+    reps, found = _components(rows, ident, signed, width)
+    own = ["set_a", "set_b", "n_shingles"]
+    labelled = reps.join(found, "node", "left").select(*own, F.coalesce("label", "node")["doc_id"].alias("label"))
+    out = signed.select("doc_id", *ident, *own).join(labelled, own, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *ident, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def classes(docs: DataFrame, width: int = shingles.WIDTH, scanned: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; ``scanned`` as in :func:`workspace.with_row`."""
+    rows, ident = with_row(docs.select("doc_id", "text"), scanned)
+    return _judged(rows, ident, width).drop(*ident)
+
 
+def keep_one(docs: DataFrame, width: int = shingles.WIDTH, scanned: bool = False) -> DataFrame:
+    """The documents (all columns), one row of each group.
 
-def keep_one(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
-    """The documents (all columns) that stand for their group."""
-    good = classes(docs, width).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_id"]), "left_semi")
+    It is the first row of the group's smallest doc_id whose own text belongs to the
+    group; other rows of that doc_id go, be their texts equal or not linked with it.
+    Rows without a doc_id stay.
+    """
+    rows, ident = with_row(docs, scanned)
+    good = _judged(rows, ident, width).where("kept")
+    one = good.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*ident)).alias("r")).select("r.*")
+    stay = one.unionByName(good.where("doc_id IS NULL").select(*ident))
+    return rows.join(stay, list(ident), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return classes(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
+    return classes(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), scanned=True)
 
 
 ORACLE = r"""

@@ -4,9 +4,9 @@ Every document gets surface counts and soft rule failures. The failures are
 aggregated by host (pre-aggregated before the shuffle, so a host with a third
 of all rows costs one row per map task). A beta prior fitted by moments over
 all hosts shrinks each host's failure rate; small hosts move towards the
-corpus mean. The host's verdict goes back to its documents: documents of a
-failing host are held to strict limits, those of other hosts to lenient ones.
-A document that breaks no limit is kept whatever its host.
+corpus mean. The host's verdict goes back to its documents as the limits they are
+held to: from lenient ones (rates up to ``SOUND``) to strict ones (from ``FAILING``
+on), in proportion between. A document that breaks no strict limit is kept whatever its host.
 
 Edge cases: null text counts as empty (``base_failed``, not kept); a null host
 is a host of its own; repeated rows count and stay as often as they occur; an
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textvec as tv
 from .workspace import pick, written
@@ -33,9 +34,12 @@ SYMBOLS = "#*$%&|<>"
 #: (symbols per 100 words, duplicate lines per 100 lines, longest mean word) for documents of sound and of failing hosts.
 LENIENT = (60, 60, 20)
 STRICT = (15, 35, 14)
-HOST_LIMIT = 0.35
+#: Host rates up to SOUND have lenient limits, from FAILING on strict ones.
+SOUND, FAILING = 0.10, 0.40
+#: Host rates are broadcast up to this size, measured; a larger table is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
-_SCHEMA = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, text_hash long"
+_COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 
@@ -63,7 +67,7 @@ def _repeat_words(c: tv.Chunk, w: tv.Words, h: np.ndarray) -> np.ndarray:
     return tv.per_document(tv.cover(found, REPEAT_WINDOW, len(h)), w.first)
 
 
-def _lines(c: tv.Chunk, pre: np.ndarray, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+def _lines(c: tv.Chunk, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
     """Per document: lines with a word, and those equal to an earlier one."""
     breaks = np.flatnonzero(c.data == 10)
     start = np.concatenate([breaks + 1, c.off[:-1]])
@@ -77,7 +81,7 @@ def _lines(c: tv.Chunk, pre: np.ndarray, w: tv.Words) -> tuple[np.ndarray, np.nd
         end[-1] = c.off[-1]
     worded = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end, doc = start[worded], end[worded], doc[worded]
-    keys = tv.spans(pre, start, end) + doc.astype(tv.U) * tv.U(0x9E3779B97F4A7C15)
+    keys = tv.spans(c.data, start, end) + doc.astype(tv.U) * tv.U(0x9E3779B97F4A7C15)
     order, first = _sorted_runs(keys)
     return np.bincount(doc, minlength=c.n), np.bincount(doc[order[~first]], minlength=c.n)
 
@@ -87,20 +91,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for c in tv.chunks(batch.column(1)):
             w = tv.words(c)
-            pre = tv.prefix(c.data)
-            h = tv.spans(pre, w.start, w.end)
+            h = tv.spans(c.data, w.start, w.end)
             lead = ~tv.IS_WS[c.data] & ((c.data & 0xC0) != 0x80)
-            n_lines, dup = _lines(c, pre, w)
+            n_lines, dup = _lines(c, w)
             parts.append((w.count, tv.per_document(lead, c.off), tv.per_document(_IS_SYMBOL[c.data], c.off), dup, _repeat_words(c, w, h), n_lines))
         if parts:
             cols = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols, batch.column(3)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+            own = [i for i, name in enumerate(batch.schema.names) if name != "counted"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in own], *cols], names=[*[batch.schema.names[i] for i in own], *_NAMES])
 
 
-def counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Surface counts of every whole text: one row per input row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(f"`{host}`").cast("string").alias("host"), F.xxhash64("text").alias("text_hash"))
-    return narrow.mapInArrow(_count, _SCHEMA)
+_NAMES = [x.split()[0] for x in _COUNTS.split(", ")]
+
+
+def counts(docs: DataFrame, host: str = "source", keep: bool = False) -> DataFrame:
+    """Surface counts of every whole text: doc_id, host, if asked ``row`` (a struct of all columns), and the counts."""
+    row = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")] if keep else []
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("counted"), F.col(f"`{host}`").cast("string").alias("host"), *row)
+    schema = StructType([f for f in narrow.schema if f.name != "counted"] + StructType.fromDDL(_COUNTS).fields)
+    return narrow.mapInArrow(_count, schema)
 
 
 def base_failed() -> Column:
@@ -135,23 +144,39 @@ def host_rates(scored: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "fails", ((F.col("fails") + mean * weight) / (F.col("n") + weight)).alias("rate"))
 
 
-def _judged(docs: DataFrame, host: str) -> DataFrame:
-    table = written(counts(docs, host).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | _soft(STRICT)), "quality")
-    hosts = host_rates(table).select(F.col("host").alias("h"), F.col("rate").alias("host_rate"))
-    out = table.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left")
-    limit = F.when(F.col("host_rate") > HOST_LIMIT, _soft(STRICT)).otherwise(_soft(LENIENT))
-    return out.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~limit).alias("kept"), F.round("host_rate", 9).alias("host_rate"))
+def _strictness(rate: Column) -> Column:
+    """0 to 1, rounded so that it does not hang on the order of a sum."""
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (rate - SOUND) / (FAILING - SOUND))), 6)
+
+
+def _breaks(strictness: Column) -> Column:
+    """Whether a document breaks a limit between lenient (0) and strict (1)."""
+    symbols, dup, longest = [low + strictness * (high - low) for low, high in zip(LENIENT, STRICT)]
+    return (
+        (100 * F.col("n_symbols") > symbols * F.col("n_words"))
+        | (100 * F.col("n_dup_lines") > dup * F.col("n_lines"))
+        | (F.col("word_chars") > longest * F.col("n_words"))
+    )
+
+
+def _judged(docs: DataFrame, host: str, keep: bool = False) -> DataFrame:
+    """Counts and verdict of every row; rows (if kept) go through with their counts, so none is matched again."""
+    table = written(counts(docs, host, keep).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | _soft(STRICT)), "quality")
+    hosts = written(host_rates(table).select(F.col("host").alias("h"), F.col("rate").alias("host_rate")), "hosts")
+    size = hosts.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + 32)).first()[0] or 0
+    rates = F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
+    out = table.join(rates, F.col("host").eqNullSafe(F.col("h")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~_breaks(_strictness(F.col("host_rate")))).withColumn("host_rate", F.round("host_rate", 9))
 
 
 def score(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, counts, base_failed, host_rate and the verdict ``kept`` of every row."""
-    return _judged(docs, host).drop("text_hash")
+    return _judged(docs, host).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents (all columns) whose verdict is kept; rows match by doc_id and the hash of their text."""
-    good = _judged(docs, host).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_hash"]), "left_semi")
+    """The documents (all columns) whose verdict is kept; each row by its own verdict."""
+    return _judged(docs, host, True).where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -177,8 +202,7 @@ WITH d AS (
     coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM w LEFT JOIN rep USING (r)
 ), b AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    100 * n_symbols > {STRICT[0]} * n_words OR 100 * n_dup_lines > {STRICT[1]} * n_lines OR word_chars > {STRICT[2]} * n_words AS strict,
-    100 * n_symbols > {LENIENT[0]} * n_words OR 100 * n_dup_lines > {LENIENT[1]} * n_lines OR word_chars > {LENIENT[2]} * n_words AS lenient FROM c
+    100 * n_symbols > {STRICT[0]} * n_words OR 100 * n_dup_lines > {STRICT[1]} * n_lines OR word_chars > {STRICT[2]} * n_words AS strict FROM c
 ), h AS (
   SELECT host, count(*) AS n, count_if(base_failed OR strict) AS fails FROM b GROUP BY host
 ), m AS (
@@ -188,8 +212,11 @@ WITH d AS (
   SELECT m, CASE WHEN v > 1e-9 THEN least(1000, greatest(2, m * (1 - m) / v - 1)) ELSE 1000 END AS s FROM m
 ), rate AS (
   SELECT host, (fails + m * s) / (n + s) AS host_rate FROM h, p
+), limits AS (
+  SELECT host, host_rate, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (host_rate - {SOUND}::DOUBLE) / ({FAILING}::DOUBLE - {SOUND}::DOUBLE))), 6) AS x FROM rate
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (CASE WHEN host_rate > {HOST_LIMIT} THEN strict ELSE lenient END) AS kept, round(host_rate, 9) AS host_rate
-FROM b JOIN rate USING (host)
+  NOT base_failed AND NOT (100 * n_symbols > ({LENIENT[0]} + x * {STRICT[0] - LENIENT[0]}) * n_words OR 100 * n_dup_lines > ({LENIENT[1]} + x * {STRICT[1] - LENIENT[1]}) * n_lines
+    OR word_chars > ({LENIENT[2]} + x * {STRICT[2] - LENIENT[2]}) * n_words) AS kept, round(host_rate, 9) AS host_rate
+FROM b JOIN limits USING (host)
 """

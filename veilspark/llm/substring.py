@@ -5,24 +5,26 @@ removed. Any 13 words hold a whole block of 7 words that begins at a multiple
 of 7 in the other document. So:
 
 1. Anchors. The non-overlapping 7-word blocks of every document are the index,
-   every rolling 7-word window is a probe. Index and probes meet by hash part
-   as packed 32-bit values (about 4 bytes a word are shuffled); a window is a
+   every rolling 7-word window is a probe. They meet by hash part; a window is a
    hit if some document has it as a block and another document has it too.
-2. Extension. From its hits each document takes the 13-word windows that hold
-   one; these meet by 64-bit hash, and a window is covered if a smaller doc_id
-   has it. The union of covered windows is the maximal exact repeat.
+2. Extension. Around its hits each document extends to the 13-word windows that
+   hold one. These meet by two independent 64-bit hashes, and a window is covered
+   if a smaller doc_id has it. A maximal exact repeat is a run of covered windows.
 3. Removal of covered words.
 
-Each map task sends packed rows per part, so a passage that very many documents
-share is no hot key: its windows spread over the parts, and a part is a fixed
-share of all windows. Answers go back in packed rows per bucket of documents.
-Parts and buckets grow in number with the text, not in size.
-
-Edge cases: null text is empty (no words, the hash of the empty string);
-documents with fewer than 13 words lose nothing; rows without a doc_id neither
-remove nor lose anything; repeated rows of one doc_id do not remove each other;
-an empty table gives an empty result; further input columns are ignored by
-:func:`removals` and kept by :func:`deduplicated`.
+Nothing is sent per word: map tasks send packed rows (see :mod:`exchange`), and
+combine first. Of the documents in a task's buffer that share a window only the
+one with the smallest doc_id goes on to the judgement; the others are known to
+have a partner (step 1) or to be covered (step 2) and only ask for the answer to
+be passed on. So a passage that a third of all documents share costs its part one
+entry for each buffer of text, not one for each document.
+
+Edge cases: null text is empty (no words, the hash of the empty string; it stays
+null in :func:`deduplicated`); documents with fewer than 13 words lose nothing;
+rows without a doc_id neither remove nor lose anything; rows that share a doc_id
+do not remove each other's words, and each is judged by its own text; an empty
+table gives an empty result; further input columns are ignored by
+:func:`removals` and kept by :func:`deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,183 +39,88 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .exchange import PACKED, Answers, Plan, answered, buffered, deal, judged, pack
 from .workspace import pick, written
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
-PART_BYTES = 16 << 20
-_PACKED = "part int, body binary, marks binary, docs binary, counts binary"
-_SHIFT = tv.U(32)
-
-
-def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> _SHIFT) % tv.U(parts)).astype(np.int64)
-
 
-def _packed(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray | None, parts: int, body: str) -> Iterator[tuple]:
-    """One row per part: the keys in order of their documents, marks as bits, document runs."""
-    part = _parts_of(keys, parts)
-    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(cut[1:] > cut[:-1]):
-        rows = order[cut[p] : cut[p + 1]]
-        docs = ids[rows]
-        run = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-        yield (
-            int(p), (keys[rows] & tv.U(0xFFFFFFFF) if body == "<u4" else keys[rows]).astype(body).tobytes(), np.packbits(marks[rows]).tobytes() if marks is not None else b"",
-            docs[run].astype("<i8").tobytes(), np.diff(np.append(run, len(docs))).astype("<u4").tobytes(),
-        )
 
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 4]
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["part", "body", "marks", "docs", "counts"])
-
-
-def _windows(c: tv.Chunk, w: tv.Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start word and hash of every k-window of documents that have a full window."""
+def _windows(w: tv.Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start word and hash of every k-window of documents that have a full window of WINDOW."""
     at = tv.starts_of(w.first, k)
     at = at[(w.count >= WINDOW)[tv.owner(w.first)[at]]] if len(at) else at
     return at, tv.rolling(h, k)[at] if len(at) else np.zeros(0, tv.U)
 
 
-def _probe(parts: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in tv.chunks(batch.column(1)):
-                w = tv.words(c)
-                h = tv.spans(tv.prefix(c.data), w.start, w.end)
-                at, keys = _windows(c, w, h, BLOCK)
-                doc = tv.owner(w.first)[at] if len(at) else at
-                aligned = (at - w.first[doc]) % BLOCK == 0
-                yield _rows(list(_packed(keys, ids[c.lo : c.hi][doc], aligned, parts, "<u4")))
-
-    return run
-
-
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    return (ids ^ (ids >> 17)) % buckets
-
-
-def bucket_column(ident: Column, buckets: int) -> Column:
-    """The same as :func:`bucket_of`; rows without an id go to bucket 0."""
-    return F.coalesce(F.pmod(ident.bitwiseXOR(F.shiftright(ident, 17)), F.lit(buckets).cast("long")), F.lit(0)).cast("int")
-
-
-def _answers(part: int, keys: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One packed row per bucket of documents: the distinct (document, key)."""
-    order = np.lexsort((keys, docs))
-    keys, docs = keys[order], docs[order]
-    fresh = np.append(True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]))[: len(keys)]
-    keys, docs = keys[fresh], docs[fresh]
-    bucket = bucket_of(docs, buckets)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = []
-    for b in np.flatnonzero(cut[1:] > cut[:-1]):
-        mine = order[cut[b] : cut[b + 1]]
-        d = docs[mine]
-        run = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        rows.append((int(b), part, keys[mine].tobytes(), d[run].astype("<i8").tobytes(), np.diff(np.append(run, len(d))).astype("<u4").tobytes()))
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
-    cols = list(zip(*rows)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["bucket", "part", "body", "docs", "counts"])
-
-
-class Answers:
-    """The answers of one bucket by document."""
-
-    def __init__(self, table: pa.Table, body: str):
-        keys, docs = [np.zeros(0, tv.U)], [np.zeros(0, np.int64)]
-        for part, raw, ids, counts in zip(*[table.column(n).to_pylist() for n in ("part", "body", "docs", "counts")]):
-            k = np.frombuffer(raw, body).astype(tv.U)
-            keys.append(k | tv.U(part) << _SHIFT if body == "<u4" else k)
-            docs.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")))
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(docs, kind="stable")
-        self.keys, self.docs = keys[order], docs[order]
-
-    def of(self, doc: int | None) -> np.ndarray:
-        if doc is None:
-            return self.keys[:0]
-        return self.keys[np.searchsorted(self.docs, doc) : np.searchsorted(self.docs, doc, "right")]
-
-
-def _meet(body: str, judge: Callable, buckets: int) -> Callable:
-    """For each part (rows arrive sorted by part) judge all its keys together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if kept:
-                keys = np.concatenate([np.frombuffer(x[0], body) for x in kept])
-                docs = np.concatenate([np.repeat(np.frombuffer(x[2], "<i8"), np.frombuffer(x[3], "<u4")) for x in kept])
-                marks = np.concatenate([np.unpackbits(np.frombuffer(x[1], np.uint8), count=len(x[0]) // 4).astype(bool) for x in kept]) if body == "<u4" else None
-                kept.clear()
-                hit = judge(now, keys, docs, marks)
-                yield _answers(now, keys[hit], docs[hit], buckets)
-
-        for batch in batches:
-            cols = [batch.column(j) for j in range(5)]
-            for i, part in enumerate(cols[0].to_pylist()):
-                if part != now:
-                    yield from done()
-                    now = part
-                kept.append([c[i].as_py() for c in cols[1:]])
-        yield from done()
-
-    return run
-
+def _probe(plan: Plan) -> Callable:
+    """Packed 7-word windows: marked where they are blocks, and those with a partner in the buffer already."""
 
-def _runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, starts of the runs, and each entry's smallest and largest document of its run."""
-    order = np.argsort(keys, kind="stable")
+    def entries(ids: np.ndarray, texts: pa.Array) -> Iterator[tuple]:
+        for c in tv.chunks(texts):
+            w = tv.words(c)
+            at, keys = _windows(w, tv.spans(c.data, w.start, w.end), BLOCK)
+            doc = tv.owner(w.first)[at] if len(at) else at
+            yield keys, ids[c.lo : c.hi][doc], (at - w.first[doc]) % BLOCK == 0
+
+    def flush(keys: np.ndarray, docs: np.ndarray, block: np.ndarray) -> Iterator[tuple]:
+        order, start, low, high = _runs(keys, docs)
+        # One entry of the smallest document speaks for its group; a group of two documents is a hit here.
+        head = _heads(order, start, docs[order] == low)
+        block = block.copy()
+        block[head] = np.logical_or.reduceat(block[order], start)
+        lead, hit = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        lead[head], hit[order[low < high]] = True, True
+        yield from pack(plan.parts_of(keys[lead]), keys[lead], docs[lead], plan, marks=block[lead], narrow=True)
+        yield from pack(plan.parts_of(keys[hit]), keys[hit], docs[hit], plan, known=True, narrow=True)
+
+    return buffered(entries, flush)
+
+
+def _runs(keys: np.ndarray, docs: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key (and ``more``), starts of the runs, and each entry's smallest and largest document of its run."""
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
     s = keys[order]
-    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    new = s[1:] != s[:-1]
+    if more is not None:
+        new |= more[order][1:] != more[order][:-1]
+    start = np.flatnonzero(np.append(True, new))
     size = np.diff(np.append(start, len(s)))
     d = docs[order]
     return order, start, np.repeat(np.minimum.reduceat(d, start), size), np.repeat(np.maximum.reduceat(d, start), size)
 
 
-def _hits(part: int, keys: np.ndarray, docs: np.ndarray, marks: np.ndarray) -> np.ndarray:
+def _heads(order: np.ndarray, start: np.ndarray, lowest: np.ndarray) -> np.ndarray:
+    """Of every run the first entry that is marked in ``lowest`` (in sorted order)."""
+    return order[np.minimum.reduceat(np.where(lowest, np.arange(len(order)), len(order)), start)]
+
+
+def _hits(keys: np.ndarray, docs: np.ndarray, marks: np.ndarray) -> np.ndarray:
     order, start, low, high = _runs(keys, docs)
     size = np.diff(np.append(start, len(keys)))
     block = np.repeat(np.logical_or.reduceat(marks[order], start), size)
     return order[block & (low < high)]
 
 
-def _covered(part: int, keys: np.ndarray, docs: np.ndarray, marks: None) -> np.ndarray:
-    order, _, low, _ = _runs(keys, docs)
+def _covered(keys: np.ndarray, docs: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    order, _, low, _ = _runs(keys, docs, seconds)
     return order[docs[order] > low]
 
 
-def exchange(packed: DataFrame, parts: int, body: str, judge: Callable, buckets: int) -> DataFrame:
-    """Bring each part's keys together and send what ``judge`` picks back by bucket of documents."""
-    dealt = packed.repartition(parts, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_meet(body, judge, buckets), "bucket int, part int, body binary, docs binary, counts binary")
-
+_EXTENDED = [("_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("windows", pa.binary())]
 
-def answered(rows: DataFrame, ident: str, answers: DataFrame, buckets: int, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``fn`` over the rows and the answers of each bucket (a bounded share of the text)."""
-    left = rows.withColumn("bucket", bucket_column(F.col(ident), buckets)).groupBy("bucket")
-    return left.cogroup(answers.groupBy("bucket")).applyInArrow(fn, schema)
 
-
-def _extend(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names = ["doc_id", "n_words", "kept_sha256", "text", "windows"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+def _extend(plan: Plan, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Rows without a hit are done; others get the hashes of the 13-word windows around their hits."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        known, out = Answers(found, "<u4"), []
-        ids = rows.column("doc_id").to_pylist()
-        for c in tv.chunks(rows.column("text")):
+        known, out = Answers(found), []
+        ids = rows.column("_id").to_pylist()
+        given = rows.column("text").combine_chunks()
+        for c in tv.chunks(given):
             w = tv.words(c)
-            h = tv.spans(tv.prefix(c.data), w.start, w.end)
-            seven, thirteen = tv.rolling(h, BLOCK), tv.rolling(h, WINDOW)
-            full = _parts_of(seven, parts).astype(tv.U) << _SHIFT | seven & tv.U(0xFFFFFFFF)
+            h = tv.spans(c.data, w.start, w.end)
+            seven, thirteen = plan.short(tv.rolling(h, BLOCK)), None
             raw = c.data.tobytes()
             texts, sums, windows = [], [], []
             for i in range(c.n):
@@ -221,49 +128,54 @@ def _extend(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 mine = known.of(ids[c.lo + i]) if b - a >= WINDOW else known.keys[:0]
                 x = raw[c.off[i] : c.off[i + 1]]
                 if len(mine):
-                    hit = np.isin(full[a : b - BLOCK + 1], mine)
+                    if thirteen is None:
+                        thirteen = tv.rolling(h, WINDOW), tv.rolling(tv.spans(c.data, w.start, w.end, 1), WINDOW, 1)
+                    hit = np.isin(seven[a : b - BLOCK + 1], mine)
                     total = np.concatenate([[0], np.cumsum(hit)])
                     n = b - a - WINDOW + 1
                     holds = total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + n] > total[:n]
                     texts.append(x.decode())
                     sums.append(None)
-                    windows.append(np.unique(thirteen[a : a + n][holds]).astype("<u8").tobytes())
+                    windows.append(np.concatenate([t[a : a + n][holds] for t in thirteen]).astype("<u8").tobytes())
                 else:
-                    texts.append(None)
-                    sums.append(hashlib.sha256(b" ".join(x.split())).hexdigest())
+                    texts.append(given[c.lo + i].as_py() if keep_text else None)
+                    sums.append(None if keep_text else hashlib.sha256(b" ".join(x.split())).hexdigest())
                     windows.append(None)
-            cols = [rows.column("doc_id").slice(c.lo, c.n).combine_chunks(), w.count.astype(np.int64), sums, texts, windows]
-            out.append(pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols, kinds)], names=names))
-        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
+            cols = [rows.column("_id").slice(c.lo, c.n).combine_chunks(), pa.array(w.count.astype(np.int64)), pa.array(sums, pa.string()), pa.array(texts, pa.string()), pa.array(windows, pa.binary())]
+            out.append(pa.table([*cols, rows.column("rest").slice(c.lo, c.n).combine_chunks()], names=[n for n, _ in _EXTENDED] + ["rest"]))
+        return pa.concat_tables(out) if out else pa.schema([*_EXTENDED, ("rest", rows.schema.field("rest").type)]).empty_table()
 
     return run
 
 
-def _spread(parts: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
-            step = 512
-            for lo in range(0, len(lists), step):
-                some = lists[lo : lo + step]
-                docs = np.repeat(ids[lo : lo + step], [len(x) for x in some])
-                yield _rows(list(_packed(np.concatenate(some), docs, None, parts, "<u8")))
+def _spread(plan: Plan) -> Callable:
+    """Packed 13-word windows; of a buffer's documents with a window all but the smallest are covered."""
 
-    return run
+    def entries(ids: np.ndarray, windows: pa.Array) -> Iterator[tuple]:
+        lists = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in windows]
+        both = np.concatenate(lists, axis=1)
+        yield both[0], np.repeat(ids, [x.shape[1] for x in lists]), both[1]
 
+    def flush(keys: np.ndarray, docs: np.ndarray, seconds: np.ndarray) -> Iterator[tuple]:
+        order, start, low, _ = _runs(keys, docs, seconds)
+        lead, covered = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        lead[_heads(order, start, docs[order] == low)], covered[order[docs[order] > low]] = True, True
+        yield from pack(plan.parts_of(keys[lead]), keys[lead], docs[lead], plan, seconds=seconds[lead])
+        yield from pack(plan.parts_of(keys[covered]), keys[covered], docs[covered], plan, known=True)
 
-def _remove(keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return buffered(entries, flush)
+
+
+_REMOVED = [("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())]
 
+
+def _remove(keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        known, out = Answers(found, "<u8"), []
-        ids = rows.column("doc_id").to_pylist()
+        known, out = Answers(found), []
+        ids = rows.column("_id").to_pylist()
         for c in tv.chunks(rows.column("text")):
             w = tv.words(c)
-            h = tv.spans(tv.prefix(c.data), w.start, w.end)
-            thirteen = tv.rolling(h, WINDOW)
+            thirteen = tv.rolling(tv.spans(c.data, w.start, w.end), WINDOW)
             raw = c.data.tobytes()
             removed, sums, texts = [], [], []
             for i in range(c.n):
@@ -271,59 +183,62 @@ def _remove(keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 mine = known.of(ids[c.lo + i])
                 at = np.flatnonzero(np.isin(thirteen[a : b - WINDOW + 1], mine)) if len(mine) and b - a >= WINDOW else np.zeros(0, np.int64)
                 mask = tv.cover(at, WINDOW, b - a)
-                kept = b" ".join(compress(raw[c.off[i] : c.off[i + 1]].split(), ~mask))
+                x = raw[c.off[i] : c.off[i + 1]]
+                kept = b" ".join(compress(x.split(), ~mask))
                 removed.append(int(mask.sum()))
                 sums.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode() if keep_text and mask.any() else None)
-            cols = [rows.column("doc_id").slice(c.lo, c.n).combine_chunks(), w.count.astype(np.int64), removed, sums, texts]
-            out.append(pa.RecordBatch.from_arrays([pa.array(x, k) if not isinstance(x, pa.Array) else x for x, k in zip(cols, kinds)], names=names))
-        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
+                texts.append((kept if mask.any() else x).decode() if keep_text else None)
+            cols = [rows.column("_id").slice(c.lo, c.n).combine_chunks(), pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())]
+            out.append(pa.table([*cols, rows.column("rest").slice(c.lo, c.n).combine_chunks()], names=[n for n, _ in _REMOVED] + ["rest"]))
+        return pa.concat_tables(out) if out else pa.schema([*_REMOVED, ("rest", rows.schema.field("rest").type)]).empty_table()
 
     return run
 
 
-def removals(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text (only if asked and changed) of every row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    size = narrow.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    parts = int(size // PART_BYTES) + 1
-    buckets = max(32, 2 * parts)
-    known = narrow.where("doc_id IS NOT NULL")
-    hits = exchange(known.mapInArrow(_probe(parts), _PACKED), parts, "<u4", _hits, buckets)
-    schema = "doc_id long, n_words long, kept_sha256 string, text string, windows binary"
-    extended = written(answered(narrow, "doc_id", hits, buckets, _extend(parts), schema), "extended")
-    windows = extended.where("windows IS NOT NULL").select("doc_id", "windows")
-    covered = exchange(windows.mapInArrow(_spread(parts), _PACKED), parts, "<u8", _covered, buckets)
-    touched = extended.where("windows IS NOT NULL").select("doc_id", "text")
-    out = answered(touched, "doc_id", covered, buckets, _remove(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    plain = extended.where("windows IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
+def _run(docs: DataFrame, keep: list[str] | None, plan: Plan | None = None) -> DataFrame:
+    """_id, n_words, n_removed, kept_sha256, text (if kept) and ``rest``, the struct of the columns to keep, of every row."""
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(None).cast("int").alias("c"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"), rest.alias("rest"))
+    plan = plan or Plan.for_bytes(rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
+    known = rows.select("_id", "text").where("_id IS NOT NULL AND text IS NOT NULL")
+    hits = judged(deal(known.mapInArrow(_probe(plan), PACKED), plan.parts, plan, narrow=True), plan, _hits)
+    extended = written(answered(rows, hits, plan, _extend(plan, keep is not None), "_id long, n_words long, kept_sha256 string, text string, windows binary"), "extended")
+    with_hits = extended.where("windows IS NOT NULL")
+    windows = with_hits.select("_id", "windows")
+    covered = judged(deal(windows.mapInArrow(_spread(plan), PACKED), plan.parts, plan), plan, _covered)
+    out = answered(with_hits.select("_id", "text", "rest"), covered, plan, _remove(keep is not None), "_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    plain = extended.where("windows IS NULL").select("_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text", "rest")
     return plain.unionByName(out)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    return _run(docs, None, plan).select(F.col("_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """The documents (all columns) with covered words removed from ``text``.
 
     Texts that lose nothing stay as they are; others become their kept words
     joined by one space, with ``n_chars``, if there is such a column, renewed.
-    Rows that share a doc_id (which this expects to be rare) match by the hash
-    of their words.
+    Rows carry all their columns through the stages, so none is matched again.
     """
-    changed = removals(docs, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_veil_id"), F.col("kept_text").alias("_veil_text")).dropDuplicates(["_veil_id"])
-    joined = docs.join(changed, docs["doc_id"].cast("long") == changed["_veil_id"], "left")
-    new = F.coalesce(F.col("_veil_text"), F.col("text"))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(new.alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("_veil_text").isNotNull(), F.length("_veil_text").cast(docs.schema[c].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return joined.select(*cols)
+    keep = [c for c in docs.columns if c != "text"]
+    out = _run(docs, keep, plan)
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        value = F.col(f"rest.c{keep.index(name)}")
+        if name == "n_chars":
+            value = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(value)
+        return value.alias(name)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return removals(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return removals(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
 
 
 ORACLE = r"""

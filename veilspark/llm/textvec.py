@@ -8,6 +8,7 @@ batch size; a document is never cut.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,27 +19,14 @@ import pyarrow.compute as pc
 U = np.uint64
 CHUNK_BYTES = 3 << 20
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.int64).view(U) * U(2) + U(1)
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
 _STEP = U(0xD6E8FEB86659FD93)
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], U)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+LONG = 128
 IS_WS = np.zeros(256, bool)
 IS_WS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers = {}
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("p")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("p", _P), ("i", _P_INV)):
-            a = np.full(size, base, U)
-            a[0] = 1
-            _powers[name] = np.cumprod(a, dtype=U)
-    return _powers["p"], _powers["i"]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -118,28 +106,46 @@ def words(c: Chunk) -> Words:
     return Words(start, end, np.searchsorted(start, c.off))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    p, _ = _pow(len(data) + 1)
-    out = np.empty(len(data) + 1, U)
-    out[0] = 0
-    np.cumsum(_BYTE[data] * p[: len(data)], dtype=U, out=out[1:])
-    return out
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each byte (zeros behind the end), as little-endian numbers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes anywhere; another ``seed`` gives an independent hash.
+
+    Eight bytes at a time go through the bijective mixer, so spans of up to eight
+    bytes never collide with others of their length. Spans beyond ``LONG`` bytes
+    take a keyed BLAKE2b digest.
+    """
+    eight, size = words_at(data), end - start
+    h = mix(size.astype(U) * _STEP + _SEEDS[seed])
+    h = mix(h ^ (eight[start] & _MASK[np.minimum(size, 8)]))
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] * _SEEDS[seed] ^ (eight[start[at] + k] & _MASK[np.minimum(size[at] - k, 8)]))
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = digest(data[start[i] : end[i]], seed)
+    return h
 
 
-def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes anywhere."""
-    _, inv = _pow(len(pre))
-    return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(U) * _STEP)
+def digest(values: np.ndarray, seed: int = 0) -> int:
+    """64-bit BLAKE2b of an array's bytes."""
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every k consecutive entries (also across documents; see starts_of)."""
+def rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hash of every k (a few) consecutive entries, also across documents (see starts_of)."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U)
     out = h[:n].copy()
     for j in range(1, k):
-        out *= _STEP
+        out *= _STEP if not seed else _SEEDS[seed]
         out += h[j : j + n]
     return mix(out)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (tests, notebooks on one machine) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session on
+    one machine (tests, notebooks) gets a temporary folder; a cluster is refused, as
+    each executor would write to its own disk.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="veilspark-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -49,8 +53,22 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+ROW = ("_veil_file", "_veil_row")
+
+
+def with_row(docs: DataFrame, scanned: bool = False) -> tuple[DataFrame, tuple[str, ...]]:
+    """The rows with two columns that identify each of them, whatever they hold, and those columns' names.
+
+    If the caller says that ``docs`` is ``scanned`` (columns or rows of Parquet files, without a join
+    or generator), they are the file and the place in it, at no cost. Else the rows are numbered and written.
+    """
+    if scanned:
+        try:
+            out = docs.withColumns({ROW[0]: F.xxhash64("_metadata.file_path"), ROW[1]: F.col("_metadata.row_index")})
+            return (out, ROW) if out.columns else (docs, ())
+        except AnalysisException:
+            pass  # not read from Parquet files
+    return written(docs.withColumns({ROW[0]: F.lit(0).cast("long"), ROW[1]: F.monotonically_increasing_id()}), "rows"), ROW
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
