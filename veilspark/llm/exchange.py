@@ -196,7 +196,7 @@ def deal(packed: DataFrame, dests: int, plan: Plan, of_docs: bool = False, narro
 
 
 def judged(dealt: DataFrame, plan: Plan, judge: Callable) -> DataFrame:
-    """What ``judge(keys, docs, third)`` picks of each part, and what is known, as packed answers by bucket of documents."""
+    """What ``judge(keys, docs, third)`` finds in each part (positions, or keys and documents), and what is known, as packed answers by bucket of documents."""
 
     def answers(keys: np.ndarray, docs: np.ndarray) -> Iterator[tuple]:
         order = np.lexsort((keys, docs))
@@ -213,7 +213,8 @@ def judged(dealt: DataFrame, plan: Plan, judge: Callable) -> DataFrame:
             if asked:
                 k, d, third = [np.concatenate(x) for x in zip(*asked)]
                 hit = judge(k, d, third)
-                keys, docs = [*keys, k[hit]], [*docs, d[hit]]
+                found = hit if isinstance(hit, tuple) else (k[hit], d[hit])
+                keys, docs = [*keys, found[0]], [*docs, found[1]]
             asked.clear()
             passed.clear()
             if keys:

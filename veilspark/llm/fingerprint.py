@@ -9,35 +9,42 @@ are compared at the block size they share by the edit distance (insertions
 and deletions) of their signatures; signatures without a common run of 7
 characters (or equality) have likeness 0.
 
+Signatures end at 64 and 32 characters: what is behind the last boundary that fits
+is one chunk, as usual for the method, so a change there alters one character.
+
 The ``next`` document is the one with the next smaller doc_id (after the
-smallest: the largest). Rows are cut into ranges of doc_id, sorted in each; the
-first row of a range also needs the last of the range before, so those few
-boundary rows are sent twice. No range is larger than its share of the rows.
+smallest: the largest). Rows are dealt to at most ``MOST_RANGES`` ranges of (doc_id,
+hash of the text), sorted in each, so equal or null doc_ids are no hot key. Within a
+range a row's next is the row behind it; the last row of a range waits for the first
+of the range behind, and those rows, two a range, meet by a join.
 
 Edge cases: null text is empty, its fingerprint ``3::``, and two empty texts
-have likeness 1; repeated doc_ids follow each other in the order of their
-texts; a null doc_id is smallest; with a single row the next document is that
+have likeness 1; repeated doc_ids follow each other in the order of a
+hash of their texts; a null doc_id is smallest; with a single row the next document is that
 row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .workspace import pick
+from .workspace import pick, written
 
 ROLL = 7
 LEAST_BLOCK = 3
 LENGTH = 64
 COMMON = 7
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 16_384
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _NULL = -(1 << 63)
 _BYTE = np.random.default_rng(0x5EED).integers(0, 1 << 63, 256, dtype=np.int64).view(tv.U) * tv.U(2) + tv.U(1)
@@ -59,17 +66,26 @@ def _roll(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache(2)
+def _table(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, tv.U)
     out[0] = 1
     return np.cumprod(out, dtype=tv.U)
 
 
-def _characters(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> str:
-    """One of 64 characters for each chunk, from a rolling sum of its bytes."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return _table(base, max(1 << 16, 1 << (n - 1).bit_length()))[:n]
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of the bytes: six bits of a chunk's sum are its character."""
     total = np.zeros(len(data) + 1, tv.U)
     np.cumsum(_BYTE[data] * _powers(_P, len(data)), dtype=tv.U, out=total[1:])
-    h = tv.mix((total[stop] - total[start]) * _powers(_P_INV, len(data))[start])
+    return total
+
+
+def _characters(total: np.ndarray, start: np.ndarray, stop: np.ndarray) -> str:
+    h = tv.mix((total[stop] - total[start]) * _powers(_P_INV, len(total))[start])
     return _CHARS[(h >> tv.U(58)).astype(np.int64)].tobytes().decode()
 
 
@@ -78,7 +94,7 @@ def fingerprint(data: np.ndarray) -> str:
     n = len(data)
     if not n:
         return f"{LEAST_BLOCK}::"
-    roll, pre = _roll(data), tv.prefix(data)
+    roll, total = _roll(data), _sums(data)
     block = LEAST_BLOCK
     while block * LENGTH < n:
         block *= 2
@@ -99,7 +115,7 @@ def fingerprint(data: np.ndarray) -> str:
         stop = np.append(at[: most - 1] + 1, n)
         stop = stop[:-1] if len(stop) > 1 and stop[-2] == n else stop
         start = np.append(0, stop[:-1])
-        parts.append(_CHARS[(tv.spans(pre, start, stop) >> tv.U(58)).astype(np.int64)].tobytes().decode())
+        parts.append(_characters(total, start, stop))
     return f"{least}:{parts[0]}:{parts[1]}"
 
 
@@ -160,73 +176,64 @@ _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _compared(ident: int, text: str, fp: str, other: str, other_fp: str) -> tuple:
+    new = edited(text, other)
+    raw = new.encode()
+    new_fp = fingerprint(np.frombuffer(raw, np.uint8))
+    return None if ident == _NULL else ident, len(text), hashlib.sha256(raw).hexdigest(), fp, new_fp, likeness(fp, new_fp), likeness(fp, other_fp)
+
+
+#: Kinds of rows of a range: compared with their next, the first of the range, the last of the range.
+_DONE, _FIRST, _LAST = 0, 1, 2
+_RANGED = "range int, kind int, key long, text string, "
+
+
+def _rows(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (range, guest first, key); each row's next is the one before it."""
-    last, rng = None, None
+    """Rows come sorted; each is compared with the one behind it."""
+    here, last, none = TaskContext.get().partitionId(), None, (None,) * len(_FIELDS)
+    fields = [("range", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("text", pa.string()), *_FIELDS]
     for batch in batches:
-        out: list[list] = [[] for _ in _FIELDS]
-        ranges, guests, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        texts = batch.column(3)
-        for i, r in enumerate(ranges):
-            text = texts[i].as_py() or ""
+        out = []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
             fp = fingerprint(_bytes(text))
-            if r == rng and not guests[i]:
-                other, other_fp = last
-                new = edited(text, other)
-                raw = new.encode()
-                new_fp = fingerprint(np.frombuffer(raw, np.uint8))
-                row = (None if ids[i] == _NULL else ids[i], len(text), hashlib.sha256(raw).hexdigest(), fp, new_fp, likeness(fp, new_fp), likeness(fp, other_fp))
-                for col, x in zip(out, row):
-                    col.append(x)
-            last, rng = (text, fp), r
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, _FIELDS)], names=[n for n, _ in _FIELDS])
-
-
-def _ranged(bounds: np.ndarray, tops: np.ndarray, above: np.ndarray) -> Callable:
-    """Each row in its range; rows with a range's largest key also as guests of the range above."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(tops, keys), len(tops) - 1)
-            guest = np.flatnonzero(tops[at] == keys)
-            rows = pa.array(np.append(np.arange(len(keys)), guest))
-            rng = np.append(np.searchsorted(bounds, keys, "left"), above[at[guest]]).astype(np.int32)
-            kind = np.append(np.zeros(len(keys), bool), np.ones(len(guest), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(rng), pa.array(kind), *[c.take(rows) for c in batch.columns]], names=["rng", "guest", "key", "text"])
-
-    return run
+            if last is None:
+                out.append((here, _FIRST, key, text, *none))
+            else:
+                out.append((here, _DONE, None, None, *_compared(*last, text, fp)))
+            last = key, text, fp
+        yield _rows(out, fields)
+    if last is not None:
+        yield _rows([(here, _LAST, *last[:2], *none)], fields)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, t, fingerprint(_bytes(t)), o, fingerprint(_bytes(o))) for k, t, o in zip(*[batch.column(j).to_pylist() for j in range(3)])]
+        yield _rows([_compared(*r) for r in rows], _FIELDS)
 
 
 def compare_edits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every row's text and edited text, and their likenesses."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    total = keyed.agg(F.sum(F.octet_length("text")).alias("b"), F.max("key").alias("top")).first()
-    n = int((total["b"] or 0) // range_bytes) + 1
-    cut = keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] if n > 1 else []
-    bounds = np.unique(np.array([x for x in cut or [] if x < total["top"]], np.int64))
-    # The largest key of each range is also the guest of the range above it, the
-    # largest of all that of the first. One key per range comes to the driver.
-    found = keyed.select("key").mapInArrow(_tops(bounds), "rng int, key long").groupBy("rng").agg(F.max("key").alias("key")).orderBy("rng").toPandas()
-    if not len(found):
-        return keyed.sparkSession.createDataFrame([], _SCHEMA)
-    filled, tops = found["rng"].to_numpy(np.int32), found["key"].to_numpy(np.int64)
-    rows = keyed.mapInArrow(_ranged(bounds, tops, np.roll(filled, -1)), "rng int, guest boolean, key long, text string")
-    ordered = rows.repartition(max(1, len(filled)), "rng").sortWithinPartitions("rng", F.desc("guest"), "key", "text")
-    return ordered.mapInArrow(_pairs, _SCHEMA)
-
-
-def _tops(bounds: np.ndarray) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if len(keys):
-                rng = np.searchsorted(bounds, keys, "left").astype(np.int32)
-                order = np.lexsort((keys, rng))
-                end = np.flatnonzero(np.append(rng[order][1:] != rng[order][:-1], True))
-                yield pa.RecordBatch.from_arrays([pa.array(rng[order][end]), pa.array(keys[order][end])], names=["rng", "key"])
-
-    return run
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"), text.alias("text"), F.xxhash64(text).alias("h"))
+    size = keyed.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    ranges = min(MOST_RANGES, int(size // range_bytes) + 1)
+    ordered = keyed.repartitionByRange(ranges, F.desc("key"), "h").sortWithinPartitions(F.desc("key"), "h", "text").select("key", "text")
+    done = written(ordered.mapInArrow(_pairs, _RANGED + _SCHEMA), "pairs")
+    first = done.where(F.col("kind") == _FIRST)
+    # One row per range that has rows: which range comes behind it.
+    order = Window.orderBy("range")
+    behind = first.select("range", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("behind"))
+    others = first.select(F.col("range").alias("behind"), F.col("text").alias("other"))
+    met = done.where(F.col("kind") == _LAST).select("range", "key", "text").join(behind, "range").join(others, "behind").select("key", "text", "other")
+    names = [n for n, _ in _FIELDS]
+    return done.where(F.col("kind") == _DONE).select(*names).unionByName(met.mapInArrow(_across, _SCHEMA))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

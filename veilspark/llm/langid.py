@@ -8,7 +8,8 @@ counts.
 
 Training takes only text and lang of rows whose crc32 of the doc_id as text is
 not 0 modulo 5, a sample of about ``MAX_WINDOWS`` windows over all languages
-(the documented bound), chosen by hash so that reruns agree. The model
+(the documented bound; of more than ``MAX_LANGUAGES`` languages the most frequent are
+learned), chosen by hash so that reruns agree. The model
 (about 50 KB) travels with the function.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; null
@@ -38,7 +39,9 @@ MAX_WINDOWS = 24_000
 PER_DOCUMENT = 6
 EPOCHS = 4
 UNKNOWN = "und"
-_BLOCK = 512
+#: The most frequent languages that are learned.
+MAX_LANGUAGES = 512
+_BLOCK, _SOME = 512, 16_384
 
 
 @dataclass
@@ -129,28 +132,34 @@ def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = EPOCHS
 
 
 def _windows(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (padded with 0), document and true length of every window of a chunk."""
-    size = np.diff(c.off)
-    n = (size + LENGTH - 1) // LENGTH
+    """Document, start and true length of every window of a chunk."""
+    n = (np.diff(c.off) + LENGTH - 1) // LENGTH
     doc = np.repeat(np.arange(c.n), n)
     start = c.off[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * LENGTH
-    real = np.minimum(c.off[doc + 1] - start, LENGTH)
+    return doc, start, np.minimum(c.off[doc + 1] - start, LENGTH)
+
+
+def _bytes(c: tv.Chunk, start: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """The bytes of some windows, padded with 0."""
+    if not len(start):
+        return np.zeros((0, LENGTH), np.uint8)
     at = start[:, None] + np.arange(LENGTH)
-    x = tv.LOWER[c.data[np.minimum(at, max(0, len(c.data) - 1))]] if len(c.data) else np.zeros((0, LENGTH), np.uint8)
+    x = tv.LOWER[c.data[np.minimum(at, len(c.data) - 1)]]
     x[np.arange(LENGTH)[None, :] >= real[:, None]] = 0
-    return x, doc, real
+    return x
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Up to PER_DOCUMENT windows, evenly spaced over each whole text."""
     for batch in batches:
         for c in tv.chunks(batch.column(1)):
-            x, doc, _ = _windows(c)
+            doc, start, real = _windows(c)
             first = np.searchsorted(doc, np.arange(c.n + 1))
             rows = [np.unique(np.linspace(a, b - 1, min(PER_DOCUMENT, b - a)).astype(np.int64)) for a, b in zip(first[:-1], first[1:]) if b > a]
             if rows:
                 rows = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[rows] + c.lo)), batch.column(2).take(pa.array(doc[rows] + c.lo)), pa.array([r.tobytes() for r in x[rows]], pa.binary())], names=["lang", "pick", "bytes"])
+                of = pa.array(doc[rows] + c.lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array([r.tobytes() for r in _bytes(c, start[rows], real[rows])], pa.binary())], names=["lang", "pick", "bytes"])
 
 
 def held_out() -> Column:
@@ -160,14 +169,14 @@ def held_out() -> Column:
 def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Model | None:
     """Train on a sample of the rows that are not held out."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("pick"))
-    # One row per language comes to the driver.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # The most frequent languages, at most MAX_LANGUAGES rows, come to the driver and are broadcast.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
     each = max(1, max_windows // (PER_DOCUMENT * len(counts)))
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, rate double")
     share = F.pmod(F.col("pick"), F.lit(1 << 40)) / float(1 << 40)
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))]), F.col("lang"))
-    got = rows.where(share < rate).select("lang", "text", "pick").mapInArrow(_sample, "lang string, pick long, bytes binary").toPandas()
+    got = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select("lang", "text", "pick").mapInArrow(_sample, "lang string, pick long, bytes binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["pick", "bytes"], kind="stable").head(2 * max_windows)
@@ -189,11 +198,13 @@ def _predictor(model: Model | None) -> Callable:
             for c in tv.chunks(batch.column(2)):
                 lang, score = np.full(c.n, UNKNOWN, object), np.zeros(c.n)
                 if model:
-                    x, doc, real = _windows(c)
-                    prob = probabilities(model, tables, x) * real[:, None]
+                    doc, start, real = _windows(c)
                     total = np.zeros((c.n, len(model.classes)))
-                    for k in range(len(model.classes)):
-                        total[:, k] = np.bincount(doc, prob[:, k], c.n)
+                    for lo in range(0, len(doc), _SOME):
+                        part = slice(lo, lo + _SOME)
+                        prob = probabilities(model, tables, _bytes(c, start[part], real[part])) * real[part, None]
+                        for k in range(len(model.classes)):
+                            total[:, k] += np.bincount(doc[part], prob[:, k], c.n)
                     total /= np.maximum(np.diff(c.off), 1)[:, None]
                     best = total.argmax(1)
                     known = letters[c.lo : c.hi].astype(bool)

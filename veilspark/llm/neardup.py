@@ -145,29 +145,37 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         sets = shingles.shingle_sets(batch.column(2), width)
         row = pa.array(np.repeat(np.arange(batch.num_rows), [len(s) for s in sets]))
         flat = np.concatenate(sets) if sets else np.zeros(0, tv.U)
-        size = np.repeat([len(s) for s in sets], [len(s) for s in sets]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(size), pa.array(flat.view(np.int64))], names=["node", "comp", "n", "shingle"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(flat.view(np.int64))], names=["nid", "cid", "shingle"])
 
 
 def rest_pairs(rest: DataFrame, width: int) -> DataFrame:
     """Every pair (a > b) of ``rest`` (node, comp, text) in different components that the exact bounds allow.
 
     Each shingle's count comes by a join, so the order, rarest first, is exact
-    however many frequent shingles there are.
+    however many frequent shingles there are. Rows are numbered to keep that narrow.
     """
-    each = written(rest.select("node", "comp", "text").mapInArrow(lambda b: _sets(b, width), f"node {_NODE}, comp {_NODE}, n long, shingle long"), "sets")
-    # A shingle that only one component has joins nothing; it stays in the order, as the prefix must be of the whole set.
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), (F.min("comp") != F.max("comp")).alias("joins"))
-    ordered = each.join(counts, "shingle").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "joins"))).alias("all"))
-    length = F.col("n") - F.ceil(F.col("n") * LINK / F.lit(OF)).cast("int") + 1
-    heads = ordered.select("node", "comp", "n", F.posexplode(F.slice("all", 1, length.cast("int"))).alias("k", "s")).where("s.joins").select("node", "comp", "n", "k", "s.shingle")
-    heads = written(heads, "prefixes")
-    x = heads.select("shingle", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    y = heads.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    numbered = written(rest.select(F.monotonically_increasing_id().alias("nid"), F.xxhash64("comp").alias("cid"), "node", "text"), "rest")
+    each = written(numbered.select("nid", "cid", "text").mapInArrow(lambda b: _sets(b, width), "nid long, cid long, shingle long"), "sets")
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("df > 1")
+    # Shingles of a single row come first in the order and join nothing, so their number is all that matters of them.
+    sizes = each.groupBy("nid").agg(F.count(F.lit(1)).alias("n"))
+    known = each.join(counts.select("shingle", "df", (F.col("lo") != F.col("hi")).alias("joins")), "shingle")
+    ordered = known.groupBy("nid", "cid").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "joins"))).alias("all")).join(sizes, "nid")
+    single = F.col("n") - F.size("all")
+    length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * LINK / F.lit(OF)).cast("int") + 1 - single)
+    heads = ordered.select("nid", "cid", "n", single.alias("single"), F.posexplode(F.slice("all", 1, length.cast("int"))).alias("k", "s")).where("s.joins")
+    heads = written(heads.select("nid", "cid", "n", (F.col("single") + F.col("k")).alias("k"), "s.shingle"), "prefixes")
+    x = heads.select("shingle", F.col("nid").alias("ia"), F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    y = heads.select("shingle", F.col("nid").alias("ib"), F.col("cid").alias("cb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
     # With o common shingles: OF * o >= LINK * (na + nb - o). What follows the first common one bounds o.
     most = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
-    fits = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
-    return x.join(y, (x["shingle"] == y["shingle"]) & fits & ((OF + LINK) * most >= LINK * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    fits = (F.col("ia") > F.col("ib")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= LINK * F.greatest("na", "nb"))
+    pairs = written(x.join(y, (x["shingle"] == y["shingle"]) & fits & ((OF + LINK) * most >= LINK * (F.col("na") + F.col("nb")))).select("ia", "ib").distinct(), "pairs")
+    names = numbered.select("nid", "node")
+    out = written(pairs.join(names.toDF("ia", "a"), "ia").join(names.toDF("ib", "b"), "ib").select("a", "b"), "pairs")
+    for table in (numbered, each, heads, pairs):
+        drop_written(table)
+    return out
 
 
 def _components(rows: DataFrame, ident: tuple[str, ...], signed: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -199,9 +207,11 @@ def _components(rows: DataFrame, ident: tuple[str, ...], signed: DataFrame, widt
 
 
 def _judged(rows: DataFrame, ident: tuple[str, ...], width: int) -> DataFrame:
-    signed = written(signatures(rows, width, ident), "signatures")
-    reps, found = _components(rows, ident, signed, width)
+    full = written(signatures(rows, width, ident), "signatures")
     own = ["set_a", "set_b", "n_shingles"]
+    signed = written(full.select("doc_id", *ident, *own), "sets")
+    reps, found = _components(rows, ident, full, width)
+    drop_written(full)
     labelled = reps.join(found, "node", "left").select(*own, F.coalesce("label", "node")["doc_id"].alias("label"))
     out = signed.select("doc_id", *ident, *own).join(labelled, own, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))

@@ -13,11 +13,11 @@ of 7 in the other document. So:
 3. Removal of covered words.
 
 Nothing is sent per word: map tasks send packed rows (see :mod:`exchange`), and
-combine first. Of the documents in a task's buffer that share a window only the
-one with the smallest doc_id goes on to the judgement; the others are known to
-have a partner (step 1) or to be covered (step 2) and only ask for the answer to
-be passed on. So a passage that a third of all documents share costs its part one
-entry for each buffer of text, not one for each document.
+combine first. Of the documents in a task's buffer that share a window which is
+certain to be a hit (step 1) or the same 13 words (step 2) only the one with the
+smallest doc_id goes on to the judgement; what the others are is known, so their
+answers are just passed on. So a passage that a third of all documents share costs
+its part a few entries for each buffer of text, not one for each document.
 
 Edge cases: null text is empty (no words, the hash of the empty string; it stays
 null in :func:`deduplicated`); documents with fewer than 13 words lose nothing;
@@ -44,6 +44,8 @@ from .workspace import pick, written
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
+#: So many entries of a window in one buffer are hits even if none of them is a block (one of another buffer almost surely is).
+MANY = 32
 
 
 def _windows(w: tv.Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +67,14 @@ def _probe(plan: Plan) -> Callable:
 
     def flush(keys: np.ndarray, docs: np.ndarray, block: np.ndarray) -> Iterator[tuple]:
         order, start, low, high = _runs(keys, docs)
-        # One entry of the smallest document speaks for its group; a group of two documents is a hit here.
+        # In a group of two documents with a block, or of many, all are hits, and one entry speaks for them to the others.
+        size = np.diff(np.append(start, len(keys)))
+        marked = np.logical_or.reduceat(block[order], start)
+        sure = np.repeat(marked | (size >= MANY), size) & (low < high)
         head = _heads(order, start, docs[order] == low)
-        block = block.copy()
-        block[head] = np.logical_or.reduceat(block[order], start)
-        lead, hit = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
-        lead[head], hit[order[low < high]] = True, True
+        lead, hit, block = np.ones(len(keys), bool), np.zeros(len(keys), bool), block.copy()
+        block[head] = marked
+        hit[order[sure]], lead[order[sure]], lead[head] = True, False, True
         yield from pack(plan.parts_of(keys[lead]), keys[lead], docs[lead], plan, marks=block[lead], narrow=True)
         yield from pack(plan.parts_of(keys[hit]), keys[hit], docs[hit], plan, known=True, narrow=True)
 

@@ -71,6 +71,15 @@ def with_row(docs: DataFrame, scanned: bool = False) -> tuple[DataFrame, tuple[s
     return written(docs.withColumns({ROW[0]: F.lit(0).cast("long"), ROW[1]: F.monotonically_increasing_id()}), "rows"), ROW
 
 
+def file_system(path: str):
+    """The ``pyarrow.fs`` file system of a folder that all share, and the folder's path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns (by exact name), so clashing extras never reach a join."""
     return df.select(*[F.col(f"`{n}`") for n in names])
