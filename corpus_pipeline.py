@@ -6,7 +6,8 @@ and its decisions take effect: rejected documents go, one of each near-duplicate
 group stays, repeated passages are cut out of the texts, documents come as often
 as the mix takes them, and the last stage returns the packed pieces.
 
-``docs`` is read from Parquet files (run writes each stage's result); a table from
+A stage first deletes the working tables of those before it, as their result is
+stored. ``docs`` is read from Parquet files (run writes each stage's result); a table from
 elsewhere works too, as it is written first where rows must be told apart.
 
 Edge cases: a null text fails the quality rules; a null source is a host and a
@@ -22,27 +23,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import mixing, neardup, packing, quality, substring
-from veilspark.llm.workspace import written
+from veilspark.llm.workspace import Steps, written
 
+step = Steps()
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+@step
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
+@step
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_one(docs, scanned=bool(docs.inputFiles()))
 
 
+@step
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring.deduplicated(docs)
 
 
+@step
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, scanned=bool(docs.inputFiles()))
 
 
+@step
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 

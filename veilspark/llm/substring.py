@@ -115,7 +115,7 @@ _EXTENDED = [("_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.st
 
 
 def _extend(plan: Plan, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Rows without a hit are done; others get the hashes of the 13-word windows around their hits."""
+    """Rows without a hit are done; others get a bit for each 13-word window, set if it holds a hit."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         known, out = Answers(found), []
@@ -124,7 +124,7 @@ def _extend(plan: Plan, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Ta
         for c in tv.chunks(given):
             w = tv.words(c)
             h = tv.spans(c.data, w.start, w.end)
-            seven, thirteen = plan.short(tv.rolling(h, BLOCK)), None
+            seven = plan.short(tv.rolling(h, BLOCK))
             raw = c.data.tobytes()
             texts, sums, windows = [], [], []
             for i in range(c.n):
@@ -132,15 +132,13 @@ def _extend(plan: Plan, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Ta
                 mine = known.of(ids[c.lo + i]) if b - a >= WINDOW else known.keys[:0]
                 x = raw[c.off[i] : c.off[i + 1]]
                 if len(mine):
-                    if thirteen is None:
-                        thirteen = tv.rolling(h, WINDOW), tv.rolling(tv.spans(c.data, w.start, w.end, 1), WINDOW, 1)
                     hit = np.isin(seven[a : b - BLOCK + 1], mine)
                     total = np.concatenate([[0], np.cumsum(hit)])
                     n = b - a - WINDOW + 1
                     holds = total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + n] > total[:n]
                     texts.append(x.decode())
                     sums.append(None)
-                    windows.append(np.concatenate([t[a : a + n][holds] for t in thirteen]).astype("<u8").tobytes())
+                    windows.append(np.packbits(holds).tobytes())
                 else:
                     texts.append(given[c.lo + i].as_py() if keep_text else None)
                     sums.append(None if keep_text else hashlib.sha256(b" ".join(x.split())).hexdigest())
@@ -155,10 +153,16 @@ def _extend(plan: Plan, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Ta
 def _spread(plan: Plan) -> Callable:
     """Packed 13-word windows; of a buffer's documents with a window all but the smallest are covered."""
 
-    def entries(ids: np.ndarray, windows: pa.Array) -> Iterator[tuple]:
-        lists = [np.frombuffer(x.as_py(), "<u8").reshape(2, -1) for x in windows]
-        both = np.concatenate(lists, axis=1)
-        yield both[0], np.repeat(ids, [x.shape[1] for x in lists]), both[1]
+    def entries(ids: np.ndarray, rows: pa.StructArray) -> Iterator[tuple]:
+        marks = rows.field("windows")
+        for c in tv.chunks(rows.field("text")):
+            w = tv.words(c)
+            one, two = [tv.rolling(tv.spans(c.data, w.start, w.end, seed), WINDOW, seed) for seed in (0, 1)]
+            mask = np.zeros(len(one), bool)
+            for i, n in enumerate(w.count - WINDOW + 1):
+                mask[w.first[i] : w.first[i] + n] = np.unpackbits(np.frombuffer(marks[c.lo + i].as_py(), np.uint8), count=int(n))
+            at = np.flatnonzero(mask)
+            yield one[at], ids[c.lo : c.hi][tv.owner(w.first)[at]], two[at]
 
     def flush(keys: np.ndarray, docs: np.ndarray, seconds: np.ndarray) -> Iterator[tuple]:
         order, start, low, _ = _runs(keys, docs, seconds)
@@ -208,7 +212,7 @@ def _run(docs: DataFrame, keep: list[str] | None, plan: Plan | None = None) -> D
     hits = judged(deal(known.mapInArrow(_probe(plan), PACKED), plan.parts, plan, narrow=True), plan, _hits)
     extended = written(answered(rows, hits, plan, _extend(plan, keep is not None), "_id long, n_words long, kept_sha256 string, text string, windows binary"), "extended")
     with_hits = extended.where("windows IS NOT NULL")
-    windows = with_hits.select("_id", "windows")
+    windows = with_hits.select("_id", F.struct("text", "windows").alias("w"))
     covered = judged(deal(windows.mapInArrow(_spread(plan), PACKED), plan.parts, plan), plan, _covered)
     out = answered(with_hits.select("_id", "text", "rest"), covered, plan, _remove(keep is not None), "_id long, n_words long, n_removed long, kept_sha256 string, text string")
     plain = extended.where("windows IS NULL").select("_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", "text", "rest")

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables written by this process and not deleted yet.
+_paths: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -38,19 +44,49 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _paths.append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veil_path = path
     return out
 
 
+class Steps:
+    """Functions that come one after the other, each over the stored result of the one before.
+
+    When a step begins, the tables that the last step wrote on its way are deleted,
+    unless the step's input still reads them (as it was not stored after all).
+    """
+
+    def __init__(self) -> None:
+        self.made: list[str] = []
+
+    def __call__(self, step: Callable) -> Callable:
+        @wraps(step)
+        def run(spark: SparkSession, docs: DataFrame, *args):
+            used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if self.made else set()
+            for path in [p for p in self.made if p in _paths and p.rsplit("/", 1)[-1] not in used]:
+                _delete(spark, path)
+            before = set(_paths)
+            out = step(spark, docs, *args)
+            self.made = [p for p in _paths if p not in before]
+            return out
+
+        return run
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it."""
     path = getattr(df, "_veil_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _paths:
+        _paths.remove(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 ROW = ("_veil_file", "_veil_row")
