@@ -29,7 +29,9 @@ import pyarrow as pa
 from . import textvec as tv
 
 #: Bound of the memory: about 50 bytes a unit.
-MEMO_UNITS = 2_000_000
+MEMO_UNITS = 1_000_000
+#: Bytes of text that callers hand over at a time (a longer text as a whole).
+CHUNK_BYTES = 1 << 20
 _BATCH = 2048
 _loaded: dict[str, Encoder] = {}
 
@@ -58,7 +60,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     """At least ``n`` entries, the old ones first."""
     if n <= len(a):
         return a
-    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out = np.zeros(max(n, len(a) + (len(a) >> 1)), a.dtype)
     out[: len(a)] = a
     return out
 
@@ -96,7 +98,7 @@ class Memory:
             slots, at = slots[out], at[out] + tv.U(1) & mask
 
     def add(self, one: np.ndarray, two: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Keep new distinct units while there is room; arrays grow by doubling."""
+        """Keep new distinct units while there is room; arrays grow by half."""
         k = min(len(one), MEMO_UNITS - self.n)
         if k <= 0:
             return

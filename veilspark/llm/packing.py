@@ -88,7 +88,7 @@ def _cutter(path: str, size: int, end: int, keep_ids: bool) -> Callable[[Iterato
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(path)
         for batch in batches:
-            for c in tv.chunks(batch.column(1)):
+            for c in tv.chunks(batch.column(1), bpe.CHUNK_BYTES):
                 ids, docs = bpe.with_end(*enc.encode(c), end)
                 n = np.diff(docs)
                 pieces = (n + size - 1) // size

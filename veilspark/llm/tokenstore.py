@@ -157,7 +157,7 @@ def _writer(folder: str, tokenizer_path: str, end: int, limit: int) -> Callable:
 
         for batch in batches:
             mine = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in tv.chunks(batch.column(1)):
+            for c in tv.chunks(batch.column(1), bpe.CHUNK_BYTES):
                 ids, docs = bpe.with_end(*enc.encode(c), end)
                 keys.append(mine[c.lo : c.hi])
                 sizes.append(np.diff(docs))
