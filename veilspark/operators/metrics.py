@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import overlap_share
+from .geometry import clipped, covered_area, overlap_share
 
-COVERED = 0.9
+COVERED, ON_TRUTH = 0.9, 0.5
 # Grid of thresholds and the floors of recall and precision.
 GRID = tuple(round(0.2 + 0.05 * i, 2) for i in range(14))
 # Classes a detection may have for a true class (none listed: any), and classes that any detection satisfies.
@@ -19,13 +19,22 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(100.0 * F.try_divide(part, whole), F.lit(0.0))
 
 
-def quantile(values: Column, p: float) -> Column:
-    """Of an aggregated column the entry at index floor(p * n) of the sorted values, at most the last."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(p) * F.size(ordered)).cast("int")))
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per key, for each name its share p: the entry at index floor(p * n) of the sorted values, at most the last; and the ``peak``.
+
+    Values are counted first (combined before the shuffle), so what is ordered are a
+    key's distinct values with running counts. Nulls do not count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(by.orderBy(value))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(by))
+    at = lambda p: F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1)
+    picked = [F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()]
+    return placed.groupBy(*keys).agg(*picked, F.max(value).alias("peak"))
 
 
-def tally(items: DataFrame, detections: DataFrame | None = None, mode: str = "mode", template: str = "template") -> DataFrame:
+def tally(items: DataFrame, mode: str = "mode", template: str = "template") -> DataFrame:
     """Totals per mode and per (mode, template) in one pass.
 
     ``items``: mode, template, coverage (0 to 1), class_ok, leak_px, gt_px,
@@ -42,6 +51,55 @@ def tally(items: DataFrame, detections: DataFrame | None = None, mode: str = "mo
     )
 
 
+def item_coverage(items: DataFrame, masks: DataFrame, page: str, item: str) -> DataFrame:
+    """(page, item, px, masked_px, coverage): how much of an item's rectangles (a row each: page, item, x, y, w, h) the page's masks cover.
+
+    Rectangles count one by one, as overlapping ones of an item are seen twice; within
+    a rectangle overlapping masks count once. Pages meet by equality.
+    """
+    each = items.withColumn("_rect", F.monotonically_increasing_id())
+    m = masks.select(F.col(page).alias("_page"), F.struct("x", "y", "w", "h").alias("_mask"))
+    met = each.join(m, F.col(page) == F.col("_page")).withColumn("_both", clipped(F.struct("x", "y", "w", "h"), F.col("_mask"))).where("_both IS NOT NULL")
+    hidden = covered_area(met.select(page, item, "_rect", "_both.*"), [page, item, "_rect"]).groupBy(page, item).agg(F.sum("area").alias("masked_px"))
+    total = items.groupBy(page, item).agg(F.sum(F.col("w") * F.col("h")).alias("px"))
+    out = total.join(hidden, [page, item], "left").withColumn("masked_px", F.coalesce("masked_px", F.lit(0)))
+    return out.select(page, item, "px", "masked_px", F.coalesce(F.try_divide("masked_px", "px"), F.lit(0.0)).alias("coverage"))
+
+
+def page_pixels(truth: DataFrame, masks: DataFrame, context: DataFrame, page: str) -> DataFrame:
+    """Per page the pixels of true values, of masks and of both, of context (text around the true values), and of context left visible.
+
+    Each input has a rectangle a row (page, x, y, w, h). All follow from the areas of
+    five unions: of truth T, masks M, and T with M, with context C, and with both.
+    """
+    sets = {"T": ("t", "tm", "tc", "tmc"), "M": ("m", "tm", "tmc"), "C": ("tc", "tmc")}
+    box = ["x", "y", "w", "h"]
+    parts = [df.select(page, *box, F.explode(F.array(*map(F.lit, sets[k]))).alias("_set")) for k, df in (("T", truth), ("M", masks), ("C", context))]
+    areas = covered_area(parts[0].unionByName(parts[1]).unionByName(parts[2]), [page, "_set"])
+    of = lambda s: F.coalesce(F.max(F.when(F.col("_set") == s, F.col("area"))), F.lit(0))
+    a = areas.groupBy(page).agg(*[of(s).alias(s) for s in ("t", "m", "tm", "tc", "tmc")])
+    return a.select(
+        page, F.col("t").alias("truth_px"), F.col("m").alias("mask_px"), (F.col("t") + F.col("m") - F.col("tm")).alias("mask_on_truth_px"),
+        (F.col("tc") - F.col("t")).alias("context_px"), (F.col("tmc") - F.col("tm")).alias("context_kept_px"),
+    )
+
+
+def report(items: DataFrame, pages: DataFrame, detections: DataFrame, by: list[str]) -> DataFrame:
+    """Recall, leakage, detection precision, redaction precision and retained context by columns that all three inputs have.
+
+    ``items``: by, px, masked_px, coverage; ``pages``: by and the columns of
+    :func:`page_pixels`; ``detections``: by, coverage (of the detection by true
+    values). Without detections their precision is null.
+    """
+    i = items.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("items"), F.round(percent(F.count_if(F.col("coverage") >= COVERED), F.count(F.lit(1))), 1).alias("recall"),
+        F.round(percent(F.sum("px") - F.sum("masked_px"), F.sum("px")), 2).alias("leakage"),
+    )
+    d = detections.groupBy(*by).agg(F.round(percent(F.count_if(F.col("coverage") >= ON_TRUTH), F.count(F.lit(1))), 1).alias("detection_precision"))
+    p = pages.groupBy(*by).agg(F.round(percent(F.sum("mask_on_truth_px"), F.sum("mask_px")), 1).alias("redaction_precision"), F.round(percent(F.sum("context_kept_px"), F.sum("context_px")), 1).alias("context_retained"))
+    return i.join(d, by, "left").join(p, by, "left").select(*by, "items", "recall", "leakage", "detection_precision", "redaction_precision", "context_retained")
+
+
 def choose_threshold(scored: DataFrame, sensitive: list[str]) -> DataFrame:
     """Per class the threshold of the grid: among those with enough recall and precision
     the lowest (sensitive classes) or highest; else the one with the best F1."""
@@ -91,8 +149,6 @@ def step_summary(items: DataFrame, key: str) -> DataFrame:
 
 def report_lines(table: DataFrame) -> DataFrame:
     """A roll-up as lines of a Markdown table, the head first: ``line_no``, ``line``. Ordered by the table's columns."""
-    from pyspark.sql import Window
-
     cell = lambda c: F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in table.columns]), F.lit(" |"))
     body = table.select(F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in table.columns])).alias("n"), row.alias("line")).select((F.col("n") + 2).alias("line_no"), "line")

@@ -1,4 +1,25 @@
-"""Default name lists of the gazetteer; both are parameters of the detector."""
+"""Default name lists of the gazetteer: common Indian given names and surnames, from general knowledge.
+
+They are short. Both are parameters of the detector; :func:`from_table` reads larger ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Names travel with the detector to every task, so a table of them must stay below this.
+MOST_NAMES = 1_000_000
+
+
+def from_table(table: DataFrame) -> dict[str, frozenset[str]]:
+    """``given`` and ``surnames`` for the detector from rows (name, kind: given or surname)."""
+    rows = table.where("name IS NOT NULL").select(F.lower("name").alias("name"), "kind").distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return {kind + "s" * (kind == "surname"): frozenset(r["name"] for r in rows if r["kind"] == kind) for kind in ("given", "surname")}
+
+
 
 GIVEN = frozenset(
     "aarav aditi aditya ajay akash amit amita amol ananya anil anita anjali ankit anupama arjun arun aruna asha ashok ashwin bhavna chandra deepa deepak devika dinesh divya farhan "

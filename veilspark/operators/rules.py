@@ -87,7 +87,7 @@ RULES: tuple[Rule, ...] = (
     Rule("aadhaar.vid", "AADHAAR_VID", 0.97, r"(?<![0-9-])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9-])", validator="verhoeff", context="(?i)" + whole("vid|virtual[{B}]*id"), needs_digits=4),
     Rule("card", "CARD", 0.96, r"(?<![0-9-])[2-6](?:[ -]?[0-9]){12,18}(?![0-9-])", validator="card", needs_digits=1),
     Rule("phone.in", "PHONE", 0.93, r"(?<![0-9+])(?:(?:\+|00)?91[ -]?|0)?[6-9][0-9]{4}[ -]?[0-9]{5}(?![0-9])", needs_digits=5),
-    Rule("card.expiry", "CARD_EXPIRY", 0.90, r"(?<![0-9])(?:0[1-9]|1[0-2])[{B}]?/[{B}]?(?:20[0-9]{2}|[0-9]{2})(?![0-9/])", context="(?i)" + whole("exp|expiry|expires|valid[{B}]*thru|valid[{B}]*till"), window=24, needs=("/",)),
+    Rule("card.expiry", "CARD_EXPIRY", 0.90, r"(?<![0-9])(?:0[1-9]|1[0-2])[{B}]?/[{B}]?(?:[0-9]{2}|20[0-9]{2})(?![0-9/])", context="(?i)" + whole("exp|expiry|expires|valid[{B}]*thru|valid[{B}]*till"), window=24, needs=("/",)),
     Rule("card.cvv", "CARD_CVV", 0.90, r"(?<![0-9])[0-9]{3,4}(?![0-9])", context="(?i)" + whole("cvv|cvc|cvv2|security[{B}]*code"), window=16, needs=("cv", "CV", "Cv", "ecurity", "ECURITY")),
     Rule("otp", "OTP", 0.90, r"(?<![0-9])[0-9]{4,8}(?![0-9])", context="(?i)(?:" + whole("otp") + "|one[- ]time|verification[{B}]*code|passcode|ओटीपी)", window=40, needs_digits=4),
     Rule("bank.account", "BANK_ACCOUNT", 0.88, r"(?<![0-9-])[0-9]{9,18}(?![0-9-])", context="(?i)(?:" + whole("a/c|acct|account") + "|खाता)", window=40, needs_digits=9),

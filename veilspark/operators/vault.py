@@ -1,17 +1,18 @@
 """Token vault as a table: equal canonical values of a class get one token.
 
 ``vault`` rows: vault_id, pii_class, canonical, token, value, source, origin,
-first_seen. Numbers follow first sight within (vault_id, pii_class). To number
-without gathering a vault in one task, canonical values are aggregated first
-(combined before the shuffle); only the distinct ones are ordered.
+first_seen. Numbers follow first sight within (vault_id, pii_class). Canonical
+values are aggregated first (combined before the shuffle); the distinct ones are
+numbered in ranges, so a vault that holds a third of all values is no hot key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checks import digits_only
+from ..functions.tables import numbered
 from .rules import BLANK, CLASSES, NEVER_RELEASE
 from .spans import normalize_digits
 
@@ -50,9 +51,9 @@ def build(values: DataFrame, order: list[str]) -> DataFrame:
     distinct = keyed.groupBy("vault_id", "pii_class", "canonical").agg(
         F.min(F.struct("_seen", "value", "origin")).alias("first"), F.max(F.col("source") == "user").alias("by_user")
     )
-    number = F.row_number().over(Window.partitionBy("vault_id", "pii_class").orderBy("first._seen"))
-    return distinct.select(
-        "vault_id", "pii_class", "canonical", F.concat(F.lit("["), "pii_class", F.lit("_"), number, F.lit("]")).alias("token"), F.col("first.value").alias("value"),
+    ordered = numbered(distinct.withColumn("_seen", F.struct("first._seen", "canonical")), ["vault_id", "pii_class"], "_seen")
+    return ordered.select(
+        "vault_id", "pii_class", "canonical", F.concat(F.lit("["), "pii_class", F.lit("_"), "number", F.lit("]")).alias("token"), F.col("first.value").alias("value"),
         F.when(F.col("by_user"), "user").otherwise("page").alias("source"), F.col("first.origin").alias("origin"), F.col("first._seen").alias("first_seen"),
     )
 
@@ -104,13 +105,16 @@ def fill_decision(token: Column, pii_class: Column, source: Column, origin: Colu
 
 
 def reveal(texts: DataFrame, vault: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Texts (with vault_id) whose known tokens are values again; unknown ones stay."""
-    parts = texts.select(*key, "vault_id", F.posexplode_outer(parse_tokens(F.col(text))).alias("i", "p"))
+    """Texts (with vault_id) whose known tokens are values again; unknown ones stay. Each row by itself, whatever its key."""
+    own = F.struct(*key, "vault_id")
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), own.alias("_own"), F.col(text).alias("_text"))
+    parts = rows.select("_row", "_own", F.posexplode_outer(parse_tokens(F.col("_text"))).alias("i", "p"))
     known = vault.select(F.col("vault_id").alias("_vault"), F.col("token").alias("_token"), "value")
-    joined = parts.join(known, (F.col("vault_id") == F.col("_vault")) & (F.col("p.token") == F.col("_token")), "left")
+    joined = parts.join(known, F.col("_own.vault_id").eqNullSafe(F.col("_vault")) & (F.col("p.token") == F.col("_token")), "left")
     piece = F.coalesce("value", "p.token", "p.literal", F.lit(""))
     ordered = F.array_sort(F.collect_list(F.struct("i", piece.alias("piece"))))
-    return joined.groupBy(*key, "vault_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias(text))
+    whole = joined.groupBy("_row").agg(F.first("_own").alias("_own"), F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias(text))
+    return whole.select("_own.*", text)
 
 
 def class_table(spark) -> DataFrame:

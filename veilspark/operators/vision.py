@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import ON_MEDIA, intersection, overlap_share, rect
+from .geometry import ON_MEDIA, overlap_share, rect
+from .metrics import item_coverage
 
 # Classes masked wherever found, those masked only on media, and default thresholds and margins.
 ALWAYS_MASKED = ("FACE", "QR", "BARCODE", "ID_DOCUMENT", "SIGNATURE", "TEXT")
@@ -25,7 +26,12 @@ def decode(box: Column, logits: Column, classes: list[str], thresholds: dict[str
     least = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in thresholds.items() for x in kv]), name), F.lit(THRESHOLD)) if thresholds else F.lit(THRESHOLD)
     cx, cy, w, h = (F.get(box, i) for i in range(4))
     area = rect((cx - w / 2) * width, (cy - h / 2) * height, w * width, h * height)
-    return F.when(name.isNotNull() & (score >= least), F.struct(name.alias("pii_class"), score.alias("score"), area.alias("rect")))
+    return F.when(name.isNotNull() & (name != "") & (score >= least), F.struct(name.alias("pii_class"), score.alias("score"), area.alias("rect")))
+
+
+def decode_with(meta: dict, box: Column, logits: Column, width: Column, height: Column) -> Column:
+    """:func:`decode` with the classes and thresholds of a model's metadata (see :func:`veilspark.sources.formats.read_model_meta`)."""
+    return decode(box, logits, [c or "" for c in meta["classes"]], meta["thresholds"], width, height)
 
 
 def pad_face(r: Column) -> Column:
@@ -62,10 +68,11 @@ def redaction_items(findings: DataFrame, areas: DataFrame, detections: DataFrame
 
 
 def uncovered(items: DataFrame, ops: DataFrame, key: str) -> DataFrame:
-    """Items (key, rect) that no drawn operation (key, x, y, w, h) covers whole: the frame is then refused."""
-    o = ops.select(F.col(key).alias("_page"), rect(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("_op"))
-    r = F.col("rect")
-    return items.join(o, (F.col(key) == F.col("_page")) & (intersection(r, F.col("_op")) >= r["w"] * r["h"]), "left_anti")
+    """Items (key, rect) that the page's drawn operations (key, x, y, w, h) together do not cover whole: the frame is then refused."""
+    numbered = items.withColumn("_item", F.monotonically_increasing_id())
+    boxes = numbered.select(F.col(key), "_item", "rect.*")
+    kept = item_coverage(boxes, ops, key, "_item").where("masked_px < px").select(F.col("_item"))
+    return numbered.join(kept, "_item", "left_semi").select(*items.columns)
 
 
 def precision_recall(matched: DataFrame, truth: DataFrame) -> DataFrame:

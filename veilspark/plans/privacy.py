@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fields, policy, protocol, sanitize, spans, tripwire, vault
+from ..sources import formats
+from ..streaming import steps
 from .detection import _CARD, _CARD_OK, _EMAIL, _hits, read, spread
 
 QUERIES, ORACLE = {}, {}
@@ -93,6 +95,18 @@ ORACLE["sanitize_url_pages"] = r"""WITH u AS (
 ) SELECT page_id, o || array_to_string(list_transform(segs, lambda x: CASE WHEN regexp_matches(x, '^(?:[0-9]{4,}|[A-Za-z0-9_-]{20,})$') THEN '[ID]' ELSE x END), '/') ||
   CASE WHEN len(ordered) > 0 THEN '?' || array_to_string(list_transform(ordered, lambda x: x || '=*'), '&') ELSE '' END AS url FROM s"""
 
+
+
+def sanitize_urls_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A URL per customer with an address in its path: it becomes the vault's token, other segments follow the rules."""
+    urls = read(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "'v' AS vault", "'HTTPS://me:pw@Shop.example:443/u/user' || CAST(c_custkey % 50 AS string) || '%40mail.example/123456/new?q=1&q=2&r=3#top' AS url")
+    return sanitize.sanitize_urls(urls, "k", "vault")[0].select("k", "url")
+
+
+QUERIES["sanitize_urls_tokens"] = sanitize_urls_tokens
+ORACLE["sanitize_urls_tokens"] = """WITH c AS (SELECT c_custkey AS k, c_custkey % 50 AS u FROM customer), f AS (SELECT u, row_number() OVER (ORDER BY min(k)) AS n FROM c GROUP BY u)
+SELECT k, 'https://shop.example/u/[EMAIL_' || n || ']/[ID]/new?q=*&r=*' AS url FROM c JOIN f USING (u)"""
+
 # --- fields, release, policy over small matrices times customers ---------------------------
 
 #: type, autocomplete, label, name, expected class and source
@@ -249,6 +263,37 @@ QUERIES["quarantine_sides"] = quarantine_sides
 QUERIES["sanitize_documents_full"] = sanitize_documents_full
 QUERIES["vault_tokens_full"] = lambda spark, sf_dir: _everything(spark, sf_dir)[1].select("vault_id", "pii_class", "canonical", "token", "value")
 
+#: text, leak classes: the strings that an audit must stop, and near misses.
+LEAK_CASES = (
+    ("mail ravi@example.com", "EMAIL"), ("aadhaar 2345 6789 0124", "AADHAAR"), ("aadhaar 2345 6789 0123", ""), ("pan ABCPE1234F", "PAN"), ("call +91 98765 43210", "PHONE"), ("pay ravi.k@okaxis", "UPI"),
+    ("gstin 27ABCDE1234F1Z5", "GSTIN"), ("key sk_live_abcdefghijklmnop1234", "SECRET"), ("card 4111 1111 1111 1111", "CARD"), ("card 4111 1111 1111 1112", ""), ("mail ravi@example.com or ravi@okaxis", "EMAIL"), ("id [EMAIL_1] and 12345", ""),
+)
+
+
+def leak_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case for every customer."""
+    cases = F.array(*[F.struct(F.lit(i).alias("case_id"), F.lit(t).alias("text")) for i, (t, _) in enumerate(LEAK_CASES)])
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(cases).alias("c"))
+    return rows.select("k", "c.case_id", F.array_join(tripwire.find_leaks(F.concat("c.text", F.lit(" ; k"), F.col("k").cast("string"))), ",").alias("leaks"))
+
+
+QUERIES["leak_cases"] = leak_cases
+ORACLE["leak_cases"] = "SELECT c_custkey AS k, case_id, leaks FROM customer, (VALUES " + ", ".join(f"({i}, '{c}')" for i, (_, c) in enumerate(LEAK_CASES)) + ") AS t(case_id, leaks)"
+
+
+def step_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step request per customer through audit, reply and action: one in five leaks, one in seven echoes a leak, one in eleven can't be read."""
+    body = """'{"task_id": "t' || CAST(k AS string) || '", "instruction": "' || CASE WHEN k % 5 = 0 THEN 'mail a@b.example' ELSE 'fill the form' END || '", "legend": [], "viewport": {"width": 1440, "height": 900}, "observations": [' || CASE WHEN k % 7 = 0 THEN '{"screenshot": null, "url": "https://a.example/", "text_observation": "x", "user_response": ""}, ' ELSE '' END || '{"screenshot": null, "url": "https://a.example/", "text_observation": "x", "user_response": ""}], "assistant_turns": [' || CASE WHEN k % 7 = 0 THEN '"typed a@b.example"' ELSE '' END || ']}'"""
+    reply = """'Go.\\n<tool_call>\\n{"name": "computer_use", "arguments": ' || CASE WHEN k % 2 = 0 THEN '{"action": "left_click", "coordinate": [500, 500]}' ELSE '{"action": "scroll", "pixels": -100}' END || '}\\n</tool_call>'"""
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"CASE WHEN k % 11 = 0 THEN '{{' ELSE {body} END AS value", f"{reply} AS reply")
+    out = steps.step_loop(formats.step_requests(spread(rows)))
+    return out.select("k", "verdict", F.array_join("leaks", ",").alias("leaks"), "echo", "action.type", "thoughts")
+
+
+QUERIES["step_loop"] = step_loop
+ORACLE["step_loop"] = """SELECT k, v AS verdict, CASE WHEN v = 'blocked' THEN 'EMAIL' ELSE '' END AS leaks, v = 'answered' AND k % 7 = 0 AS echo, CASE WHEN v = 'answered' THEN CASE WHEN k % 2 = 0 THEN 'click' ELSE 'scroll' END END AS type, CASE WHEN v = 'answered' THEN 'Go.' END AS thoughts
+FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'refused' WHEN c_custkey % 5 = 0 THEN 'blocked' ELSE 'answered' END AS v FROM customer)"""
+
 # --- trajectories: conversations as steps ---------------------------------------------------------
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
+from ..functions.tables import new_path
 from ..operators import geometry, metrics, protocol, vision
 from ..sources import pages, synth
 from ..streaming import steps
@@ -169,15 +169,48 @@ ORACLE["threshold_choice"] = """WITH s AS (SELECT l_returnflag AS c, (l_quantity
 ), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m)
 SELECT c AS pii_class, coalesce(CASE WHEN c IN ('A', 'R') THEN min(CASE WHEN r >= 0.95 AND p >= 0.7 THEN t END) ELSE max(CASE WHEN r >= 0.95 AND p >= 0.7 THEN t END) END, arg_max(t, [f, r, p, t])) AS threshold FROM f GROUP BY c"""
 
+# --- metrics from rectangles ----------------------------------------------------------------------
+
+_PX = ("l_orderkey AS page", "l_linenumber AS ordinal", "CAST(l_partkey % 12 AS long) AS x", "CAST(l_suppkey % 10 AS long) AS y", "CAST(2 + l_partkey % 7 AS long) AS w", "CAST(2 + l_suppkey % 5 AS long) AS h", "l_linenumber % 3 AS role")
+
+
+def pixel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as true values, masks and context of their order's page; masks are also the detections. One row per page group."""
+    b = read(spark, sf_dir, "lineitem").selectExpr(*_PX)
+    truth, masks, context = [b.where(F.col("role") == k).select("page", "ordinal", "x", "y", "w", "h") for k in (1, 0, 2)]
+    by = lambda df: df.withColumn("grp", F.col("page") % 10)
+    items = metrics.item_coverage(truth, masks, "page", "ordinal")
+    found = metrics.item_coverage(masks, truth, "page", "ordinal")
+    pixels = metrics.page_pixels(truth, masks, context, "page")
+    return metrics.report(by(items), by(pixels), by(found), ["grp"])
+
+
+QUERIES["pixel_report"] = pixel_report
+ORACLE["pixel_report"] = """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS ordinal, l_partkey % 12 AS x, l_suppkey % 10 AS y, 2 + l_partkey % 7 AS w, 2 + l_suppkey % 5 AS h, l_linenumber % 3 AS role FROM lineitem
+), p AS (SELECT page, ordinal, role, px, unnest(range(y, y + h)) AS py FROM (SELECT *, unnest(range(x, x + w)) AS px FROM b)
+), d AS (SELECT page, px, py, bool_or(role = 1) AS t, bool_or(role = 0) AS m, bool_or(role = 2) AS c FROM p GROUP BY page, px, py
+), i AS (SELECT page, ordinal, role, count(*) AS n, count_if(CASE role WHEN 1 THEN m ELSE t END) AS k FROM p JOIN d USING (page, px, py) WHERE role < 2 GROUP BY page, ordinal, role
+), a AS (SELECT page % 10 AS grp, count(*) AS items, round(100.0::DOUBLE * count_if(k / n >= 0.9) / count(*), 1) AS recall, round(100.0::DOUBLE * (sum(n) - sum(k)) / sum(n), 2) AS leakage FROM i WHERE role = 1 GROUP BY 1
+), e AS (SELECT page % 10 AS grp, round(100.0::DOUBLE * count_if(k / n >= 0.5) / count(*), 1) AS detection_precision FROM i WHERE role = 0 GROUP BY 1
+), g AS (SELECT page % 10 AS grp, round(100.0::DOUBLE * count_if(m AND t) / count_if(m), 1) AS redaction_precision, round(100.0::DOUBLE * count_if(c AND NOT t AND NOT m) / count_if(c AND NOT t), 1) AS context_retained FROM d GROUP BY 1)
+SELECT grp, items, recall, leakage, detection_precision, redaction_precision, context_retained FROM a JOIN e USING (grp) JOIN g USING (grp)"""
+
 # --- streams, run to completion over stored tables ---------------------------------------------------
 
 
 def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is stored and return the sink's table."""
-    name = f"veil_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is stored; its batches are written to the shared folder and read again (of complete results the last batch)."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}" if mode == "append" else f"{path}/result")
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    try:
+        return spark.read.schema(df.schema).parquet(path if mode == "append" else f"{path}/result").select(*df.columns)
+    except AnalysisException:  # no batch at all
+        return spark.createDataFrame([], df.schema)
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

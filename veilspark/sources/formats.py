@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.protocol import request_faults
 
 IMAGE_BYTES = 4 * 1024 * 1024
+# Mean and deviation of pixel channels where the metadata gives none.
+MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 _COCO = (
     "images array<struct<id:long,file_name:string,width:long,height:long>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>, "
     "categories array<struct<id:long,name:string>>"
@@ -15,18 +17,39 @@ _COCO = (
 
 
 def read_coco(spark: SparkSession, path: str) -> DataFrame:
-    """One row per annotation: image_id, file_name, width, height, pii_class, x, y, w, h."""
+    """One row per annotation: image_id, file_name, width, height, pii_class, x, y, w, h. A folder may hold several COCO files with the same categories."""
     raw = spark.read.schema(_COCO).json(path, multiLine=True)
     images = raw.select(F.explode("images").alias("i")).select("i.*")
-    kinds = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("pii_class"))
+    kinds = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("pii_class")).distinct()
     boxes = raw.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", *[F.col("a.bbox")[i].alias(n) for i, n in enumerate("xywh")])
     return boxes.join(kinds, "category_id").join(images.withColumnRenamed("id", "image_id"), "image_id").select("image_id", "file_name", "width", "height", "pii_class", "x", "y", "w", "h")
 
 
-def write_coco(boxes: DataFrame, path: str) -> None:
-    """Annotation rows as JSON lines, one per image, for any number of images."""
-    box = F.struct("pii_class", F.array("x", "y", "w", "h").alias("bbox"), (F.col("w") * F.col("h")).alias("area"), F.lit(0).alias("iscrowd"))
-    boxes.groupBy("image_id", "file_name", "width", "height").agg(F.collect_list(box).alias("annotations")).write.json(path)
+def write_coco(boxes: DataFrame, path: str, classes: list[str], images_per_file: int = 5_000) -> None:
+    """Annotation rows as COCO files, each with the images and annotations of about ``images_per_file`` images, and all categories.
+
+    A file is one COCO document, so any reader of the format takes it; the number of
+    files grows with the images.
+    """
+    n = boxes.select("image_id").distinct().count()
+    files = max(1, -(-n // images_per_file))
+    known = F.create_map(*[F.lit(x) for i, c in enumerate(classes, 1) for x in (c, i)])
+    shard = F.pmod(F.xxhash64("image_id"), F.lit(files)).cast("int")
+    box = F.array(*[F.round(F.col(c), 1) for c in "xywh"])
+    one = F.struct("image_id", known[F.col("pii_class")].cast("long").alias("category_id"), box.alias("bbox"), F.round(F.col("w") * F.col("h"), 1).alias("area"), F.lit(0).alias("iscrowd"))
+    image = F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")
+    each = boxes.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_set(image)).alias("images"), F.array_sort(F.collect_list(one)).alias("a"))
+    numbered = F.transform("a", lambda a, i: F.struct((F.col("shard").cast("long") * (1 << 32) + i).alias("id"), a["image_id"].alias("image_id"), a["category_id"].alias("category_id"), a["bbox"].alias("bbox"), a["area"].alias("area"), a["iscrowd"].alias("iscrowd")))
+    names = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(c).alias("name")) for i, c in enumerate(classes, 1)])
+    document = F.to_json(F.struct("images", numbered.alias("annotations"), names.alias("categories")))
+    each.repartitionById(files, F.col("shard")).select(document.alias("value")).write.text(path)
+
+
+def read_model_meta(spark: SparkSession, path: str) -> dict:
+    """A vision model's metadata file (one small row): resolution, classes by logit index (null: unused), thresholds by class, mean, std, stretch."""
+    schema = "resolution int, classes array<string>, thresholds map<string,double>, mean array<double>, std array<double>, stretch boolean"
+    row = spark.read.schema(schema).json(path, multiLine=True).first().asDict()
+    return row | {"thresholds": row["thresholds"] or {}, "mean": row["mean"] or list(MEAN), "std": row["std"] or list(STD), "stretch": bool(row["stretch"])}
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

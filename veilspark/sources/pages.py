@@ -1,8 +1,9 @@
 """Web pages as tables: text with segments, form fields, buttons, media, labelled values, generated text, ground truth.
 
 One pass of the standard HTML parser per page in an Arrow stage. Lines break at
-blocks and ``br`` (painted geometry is not available in stored pages). Labels
-are collected there and classified by the same Column expression as fields.
+blocks and ``br`` (painted geometry is not available in stored pages). Labels of
+shown values are classified there by the same keywords as fields, each distinct
+label once a worker.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.detect import detect
-from ..operators.fields import classify
+from ..operators.fields import classify, label_class
 from .elements import CLOSED_BY, CONTROLS, SCOPES, Element, control_label, generated_rules, generated_text, text_of, value_candidates
 from .synth import let
 
@@ -34,8 +35,9 @@ LABEL_RULE, LABEL_SCORE = 40, 0.75
 _SCHEMA = (
     "text string, context string, segments array<struct<start:int,length:int>>, fields array<struct<tag:string,type:string,autocomplete:string,name:string,id:string,label:string,placeholder:string,aria_label:string,value:string,options:array<string>>>, "
     "buttons array<string>, media array<struct<tag:string,w:double,h:double>>, opaque array<struct<tag:string,source:string>>, generated array<string>, "
-    "labelled array<struct<segment:int,step:int,element:int,label:string,own:string>>, truth array<struct<pii_class:string,value:string>>"
+    "labelled array<struct<segment:int,step:int,element:int,pii_class:string>>, truth array<struct<pii_class:string,value:string>>"
 )
+_VALUE = re.compile("[0-9@]")
 _STYLE_SIDE = re.compile(r"(?:^|;)\s*(width|height)\s*:\s*([0-9.]+)px", re.I)
 
 
@@ -210,7 +212,13 @@ class _Page(HTMLParser):
     def row(self) -> tuple:
         rules = generated_rules("\n".join(self.css)) if self.css else {}
         generated = [t for t in (generated_text(e, rules) for e in self.elements if e.tag not in ("html", "body") and not e.hidden) if t] if rules else []
-        labelled = [(i, *c) for i, owner in enumerate(self.owners) for c in value_candidates(owner)]
+        labelled = []
+        for i, owner in enumerate(self.owners):
+            for step, element, label, own in value_candidates(owner):
+                cls = label_class(label)
+                # What has a class itself is a label, unless it looks like a value.
+                if cls and cls not in NOT_SHOWN and (_VALUE.search(own) or label_class(own) is None):
+                    labelled.append((i, step, element, cls))
         return ("".join(self.parts), "\n".join(self.context), self.segments, [self._field(f) for f in self.fields], self.buttons, self.media, self.opaque, generated, labelled, [tuple(t) for t in self.truth])
 
 
@@ -244,18 +252,22 @@ def _split(schema: str) -> Iterator[str]:
     yield schema[start:].strip()
 
 
+def _exploded(scanned: DataFrame, key: str, column: str, name: str) -> DataFrame:
+    """One row per entry of a scanned column.
+
+    The outer generator keeps Catalyst from inferring a filter on the array, which would
+    scan every page a second time, below any repartitioning.
+    """
+    return scanned.select(key, F.posexplode_outer(column).alias("ordinal", name)).where(F.col(name).isNotNull())
+
+
 def field_rows(scanned: DataFrame, key: str) -> DataFrame:
     """One row per form control with its class and whether it is filled."""
-    each = scanned.select(key, F.posexplode("fields").alias("ordinal", "f"))
+    each = _exploded(scanned, key, "fields", "f")
     kind = classify(F.col("f.type"), F.col("f.autocomplete"), label=F.col("f.label"), aria_label=F.col("f.aria_label"), placeholder=F.col("f.placeholder"), name=F.col("f.name"), id=F.col("f.id"))
     return each.withColumn("c", kind).select(key, "ordinal", "f.tag", "f.type", "f.label", "c.pii_class", "c.source", (F.coalesce(F.length("f.value"), F.lit(0)) == 0).alias("empty"))
 
 
-def _of(label: Column) -> Column:
-    nothing = F.lit(None).cast("string")
-    return classify(nothing, nothing, label=label)["pii_class"]
-
-
 def labelled_values(segments: Column, labelled: Column) -> Column:
     """``array`` of spans of shown values that a term, header or short text before them names.
 
@@ -263,8 +275,7 @@ def labelled_values(segments: Column, labelled: Column) -> Column:
     passwords) and which is not a label itself; the texts of an element make one
     span. All within the row: two sorts, no shuffle and no second parse.
     """
-    each = F.transform(labelled, lambda c: F.struct(c["element"].alias("element"), c["segment"].alias("segment"), _of(c["label"]).alias("pii_class"), (c["own"].rlike("[0-9@]") | _of(c["own"]).isNull()).alias("value"), segments[c["segment"]]["start"].alias("start"), segments[c["segment"]]["length"].alias("length")))
-    named = F.filter(each, lambda c: c["value"] & c["pii_class"].isNotNull() & ~c["pii_class"].isin(*NOT_SHOWN))
+    named = F.transform(labelled, lambda c: F.struct(c["element"].alias("element"), c["segment"].alias("segment"), c["pii_class"].alias("pii_class"), segments[c["segment"]]["start"].alias("start"), segments[c["segment"]]["length"].alias("length")))
     nearest = let(named, lambda n: F.filter(n, lambda c, i: (i == 0) | (F.get(n, i - 1)["segment"] != c["segment"])))
     grouped = F.array_sort(nearest)
     differs = lambda n, c, j: F.coalesce(F.get(n, j)["element"] != c["element"], F.lit(True))
@@ -274,7 +285,8 @@ def labelled_values(segments: Column, labelled: Column) -> Column:
 
 def label_spans(scanned: DataFrame, key: str) -> DataFrame:
     """One row per labelled value: key and the span's fields."""
-    return scanned.select(key, labelled_values(F.col("segments"), F.col("labelled")).alias("_spans")).select(key, F.explode("_spans").alias("s")).select(key, "s.*")
+    found = scanned.select(key, labelled_values(F.col("segments"), F.col("labelled")).alias("_spans"))
+    return _exploded(found, key, "_spans", "s").select(key, "s.*")
 
 
 def page_spans(scanned: DataFrame, key: str) -> DataFrame:
@@ -290,7 +302,7 @@ def page_spans(scanned: DataFrame, key: str) -> DataFrame:
 
 def generated_findings(scanned: DataFrame, key: str) -> DataFrame:
     """Elements whose generated text has a hit or a forged token; the first hit masks the whole element."""
-    each = scanned.select(key, F.posexplode("generated").alias("ordinal", "text")).withColumn("hit", F.try_element_at(detect(F.col("text")), F.lit(1)))
+    each = _exploded(scanned, key, "generated", "text").withColumn("hit", F.try_element_at(detect(F.col("text")), F.lit(1)))
     out = each.select(key, "ordinal", F.col("hit.pii_class").alias("pii_class"), F.trim("text").alias("value"), F.lit("solid").alias("kind"), F.concat(F.lit("pseudo."), F.col("hit.rule")).alias("rule"), F.col("text").rlike(TOKEN).alias("forged"))
     return out.where("rule IS NOT NULL OR forged")
 
@@ -302,7 +314,7 @@ def field_findings(scanned: DataFrame, key: str) -> DataFrame:
     does; placeholders count only where the value is empty.
     """
     f = F.col("f")
-    each = scanned.select(key, F.posexplode("fields").alias("ordinal", "f")).where(F.lower(F.coalesce(f["type"], F.lit(""))) != "file")
+    each = _exploded(scanned, key, "fields", "f").where(F.lower(F.coalesce(f["type"], F.lit(""))) != "file")
     kind = classify(f["type"], f["autocomplete"], label=f["label"], aria_label=f["aria_label"], placeholder=f["placeholder"], name=f["name"], id=f["id"])["pii_class"]
     boxed = F.size(f["options"]) > 0
     texts = F.when(boxed, f["options"]).when(F.length(f["value"]) > 0, F.array(f["value"])).otherwise(F.array(f["placeholder"]))
@@ -319,7 +331,7 @@ def field_findings(scanned: DataFrame, key: str) -> DataFrame:
 
 
 def submit_buttons(scanned: DataFrame, key: str) -> DataFrame:
-    return scanned.select(key, F.explode("buttons").alias("name")).where(F.col("name").rlike(SUBMIT))
+    return _exploded(scanned, key, "buttons", "name").select(key, "name").where(F.col("name").rlike(SUBMIT))
 
 
 def locate_spans(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.protocol import parse_tool_call, to_action
 from ..operators.tripwire import find_leaks
 
 
@@ -17,6 +18,33 @@ def counters(steps: DataFrame, text: str = "text") -> DataFrame:
     return steps.agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.size(find_leaks(F.col(text))) > 0).alias("leaks_blocked"))
 
 
+def step_loop(requests: DataFrame, reply: str = "reply") -> DataFrame:
+    """Requests (see :func:`formats.step_requests`, with the model's reply) through audit and action: ``verdict``, ``leaks``, ``echo``, ``action``, ``thoughts``.
+
+    A request with faults is ``refused``; one whose own texts leak is ``blocked`` with the
+    classes; others are ``answered`` by the action of the reply, ``unsupported`` if it can't
+    be read. Replayed turns of the model are only marked as ``echo`` if they leak. No
+    state and no shuffle, so it runs on streams and tables alike.
+    """
+    r = F.col("request")
+    seen = r["observations"]
+    texts = F.concat(F.array(r["instruction"]), *[seen[n] for n in ("url", "text_observation", "user_response")])
+    merged = lambda a: F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: find_leaks(F.coalesce(t, F.lit("")))))))
+    leaks = merged(texts)
+    called = parse_tool_call(F.col(reply))
+    action = to_action(called["arguments"], r["width"], r["height"])
+    bad, blocked = F.size("faults") > 0, F.size("leaks") > 0
+    out = requests.withColumn("leaks", F.when(bad, F.array().cast("array<string>")).otherwise(leaks)).withColumn("echo", ~bad & ~blocked & (F.size(merged(r["assistant_turns"])) > 0))
+    answered = ~bad & ~blocked
+    return out.withColumn("verdict", F.when(bad, "refused").when(blocked, "blocked").otherwise("answered")).withColumn("action", F.when(answered, action)).withColumn("thoughts", F.when(answered, called["thoughts"]))
+
+
+def loop_counters(loop: DataFrame) -> DataFrame:
+    """Monotone counters of a (streaming) step loop: steps answered, leaks blocked, and model turns that echo a leak."""
+    is_ = lambda v: F.count_if(F.col("verdict") == v)
+    return loop.agg(is_("answered").alias("steps"), is_("blocked").alias("leaks_blocked"), F.count_if("echo").alias("model_echoes"))
+
+
 def windowed(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Operational roll-up by event time with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
