@@ -17,7 +17,8 @@ tokens. Tests hold this equal to a sorted suffix array with its LCP.) Every page
 gives its streams; pages that are equal as a whole count once. A run that ``PAGES`` or more
 different pages have (two, on a host of fewer than ``SMALL_HOST`` pages) covers its
 tokens. In blocks of pages without an article, and in those with a weak sign,
-covered runs are cut out and unique runs stay; such blocks go if nothing is left.
+covered runs are cut out (those of RUN words or more, or the whole block) and unique
+runs stay.
 Text in an article without any sign stays, as hosts do serve copies of articles.
 
 Edge cases: null or empty html gives an empty text; unclosed elements end with
@@ -263,7 +264,8 @@ class _Parser:
             groups = tuple(at if i == _GROUPS[tag] else x for i, x in enumerate(groups))
         self.open[tag] = self.open.get(tag, 0) + 1
         # A link marks the text up to three elements below it.
-        self.stack.append((tag, out or verdict == GONE, level, wraps, chain, weak or verdict == WEAK, groups, 4 if tag == "a" else max(0, link - 1)))
+        # What names itself as the content is not weak for what is around it.
+        self.stack.append((tag, out or verdict == GONE, level, wraps, chain, not own and (weak or verdict == WEAK), groups, 4 if tag == "a" else max(0, link - 1)))
 
     def feed(self, html: str) -> None:
         at, n = 0, len(html)
@@ -402,6 +404,20 @@ def _repeated(keys: np.ndarray, docs: np.ndarray, _: np.ndarray) -> tuple[np.nda
     return keys[hit] | (pages[hit] >= PAGES).astype(tv.U), docs[hit]
 
 
+def _long(covered: np.ndarray) -> np.ndarray:
+    """Covered words that are cut from a block: all if the whole block is covered, else stretches of RUN words or more.
+
+    Shorter ones are the ends of runs of the blocks before and behind.
+    """
+    if covered.all():
+        return covered
+    edge = np.flatnonzero(np.diff(covered, prepend=False, append=False))
+    out = np.zeros(len(covered), bool)
+    for a, b in zip(edge[::2], edge[1::2]):
+        out[a:b] = b - a >= RUN
+    return out
+
+
 def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
     """Unsettled pages without the runs that cover their ``w`` blocks."""
     known, texts = Answers(found), []
@@ -419,7 +435,7 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
                 continue
             if kind == "w":
                 words = text.split(" ")
-                gone = covered[np.searchsorted(block, k) : np.searchsorted(block, k, "right") - 1]
+                gone = _long(covered[np.searchsorted(block, k) : np.searchsorted(block, k, "right") - 1])
                 text = " ".join(x for x, g in zip(words, gone) if not g) if gone.any() else text
                 if text:
                     out.append(text)

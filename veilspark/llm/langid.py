@@ -89,40 +89,44 @@ def probabilities(model: Model, tables: np.ndarray, x: np.ndarray) -> np.ndarray
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = EPOCHS, seed: int = 11) -> Model:
-    """Adam on cross-entropy; gradients flow only through each filter's best position."""
-    rng = np.random.default_rng(seed)
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy, by parameter; they flow only through each filter's best position."""
+    widest = max(WIDTHS)
+    act = _convolve(Model([], **p).tables(), x)
+    best = act.argmax(1)  # (rows, filters)
+    raw = np.take_along_axis(act, best[:, None, :], 1)[:, 0] + p["bias"]
+    hidden = np.maximum(raw, 0)
+    prob = _softmax(hidden @ p["out"] + p["out_bias"])
+    prob[np.arange(len(y)), y] -= 1
+    prob /= len(y)
+    back = (prob @ p["out"].T) * (raw > 0)
+    taps = np.take_along_axis(x[:, :, None], best[:, None, :] + np.arange(widest)[None, :, None], 1)  # bytes (rows, taps, filters)
+    embed = np.zeros_like(p["embed"])
+    np.add.at(embed, taps.ravel(), np.einsum("rf,kef->rkfe", back, p["conv"]).reshape(-1, EMBED))
+    conv = np.einsum("rf,rkfe->kef", back, p["embed"][taps]) * _mask()[:, None, :]
+    return {"embed": embed, "conv": conv, "bias": back.sum(0), "out": hidden.T @ prob, "out_bias": prob.sum(0)}
+
+
+def start(classes: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     filters, widest = len(WIDTHS) * PER_WIDTH, max(WIDTHS)
-    keep = _mask()[:, None, :]
     p = {
-        "embed": rng.normal(0, 0.5, (256, EMBED)), "conv": rng.normal(0, 0.3, (widest, EMBED, filters)) * keep, "bias": np.zeros(filters),
-        "out": rng.normal(0, 0.2, (filters, len(classes))), "out_bias": np.zeros(len(classes)),
+        "embed": rng.normal(0, 0.5, (256, EMBED)), "conv": rng.normal(0, 0.3, (widest, EMBED, filters)) * _mask()[:, None, :], "bias": np.zeros(filters),
+        "out": rng.normal(0, 0.2, (filters, classes)), "out_bias": np.zeros(classes),
     }
-    p = {k: v.astype(np.float32) for k, v in p.items()}
+    return {k: v.astype(np.float32) for k, v in p.items()}
+
+
+def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = EPOCHS, seed: int = 11) -> Model:
+    """Adam on cross-entropy."""
+    rng = np.random.default_rng(seed)
+    p = start(len(classes), rng)
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     batch, step, rate = 128, 0, 0.01
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(x), batch):
             rows = order[lo : lo + batch]
-            xb, yb = x[rows], y[rows]
-            model = Model(classes, **p)
-            act = _convolve(model.tables(), xb)
-            best = act.argmax(1)  # (rows, filters)
-            raw = np.take_along_axis(act, best[:, None, :], 1)[:, 0] + p["bias"]
-            hidden = np.maximum(raw, 0)
-            prob = _softmax(hidden @ p["out"] + p["out_bias"])
-            prob[np.arange(len(yb)), yb] -= 1
-            prob /= len(yb)
-            g = {"out": hidden.T @ prob, "out_bias": prob.sum(0)}
-            back = (prob @ p["out"].T) * (raw > 0)
-            g["bias"] = back.sum(0)
-            taps = np.take_along_axis(xb[:, :, None], best[:, None, :] + np.arange(widest)[None, :, None], 1)  # bytes (rows, taps, filters)
-            seen = p["embed"][taps]  # (rows, taps, filters, EMBED)
-            g["conv"] = np.einsum("rf,rkfe->kef", back, seen) * keep
-            to_embed = np.einsum("rf,kef->rkfe", back, p["conv"])
-            g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], taps.ravel(), to_embed.reshape(-1, EMBED))
+            g = gradients(p, x[rows], y[rows])
             step += 1
             for k, a in p.items():
                 m[k] = 0.9 * m[k] + 0.1 * g[k]

@@ -212,28 +212,29 @@ def _judged(rows: DataFrame, ident: tuple[str, ...], width: int) -> DataFrame:
     signed = written(full.select("doc_id", *ident, *own), "sets")
     reps, found = _components(rows, ident, full, width)
     drop_written(full)
-    labelled = reps.join(found, "node", "left").select(*own, F.coalesce("label", "node")["doc_id"].alias("label"))
+    labelled = reps.join(found, "node", "left").select(*own, F.coalesce("label", "node").alias("label"))
     out = signed.select("doc_id", *ident, *own).join(labelled, own, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return out.select("doc_id", *ident, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Without a set, or without a link to others, a row's group has its own doc_id.
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", F.struct("doc_id", F.lit(0).cast("long").alias("set_a")))).alias("group")
+    return out.select("doc_id", *ident, "n_shingles", group).withColumn("component_id", F.col("group.doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def classes(docs: DataFrame, width: int = shingles.WIDTH, scanned: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ``scanned`` as in :func:`workspace.with_row`."""
     rows, ident = with_row(docs.select("doc_id", "text"), scanned)
-    return _judged(rows, ident, width).drop(*ident)
+    return _judged(rows, ident, width).drop(*ident, "group")
 
 
 def keep_one(docs: DataFrame, width: int = shingles.WIDTH, scanned: bool = False) -> DataFrame:
     """The documents (all columns), one row of each group.
 
-    It is the first row of the group's smallest doc_id whose own text belongs to the
-    group; other rows of that doc_id go, be their texts equal or not linked with it.
+    It is the group's first row with its smallest doc_id. Rows of one doc_id with texts
+    that are not linked are of different groups; those without any word are one group.
     Rows without a doc_id stay.
     """
     rows, ident = with_row(docs, scanned)
     good = _judged(rows, ident, width).where("kept")
-    one = good.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*ident)).alias("r")).select("r.*")
+    one = good.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct(*ident)).alias("r")).select("r.*")
     stay = one.unionByName(good.where("doc_id IS NULL").select(*ident))
     return rows.join(stay, list(ident), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
