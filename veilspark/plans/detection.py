@@ -235,13 +235,52 @@ def detector_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.spans_table(rows, ["k", "case_id"]).select("k", "case_id", "rule", "start", "value")
 
 
-_CLEAN = ("secret.jwt", "secret.key", "secret.label", "secret.bearer", "email", "upi", "gstin", "pan", "ifsc", "card.expiry", "passport", "voter.epic", "driving.licence", "ipv4", "person.relation", "pincode")
+#: Rules whose case has another value beside the rule's own, or which a stronger rule covers; they are in detector_pairs.
+_MIXED = ("person.display_name", "person.salutation", "person.before_phone", "address.label")
+_CLEAN = tuple(dict.fromkeys(r for r, _, v in CASES if v is not None and r not in _MIXED))
 QUERIES["detector_cases"] = detector_cases
 ORACLE["detector_cases"] = f"WITH ids AS ({_IDS_SQL}) " + " UNION ALL ".join(
     f"SELECT k, {i} AS case_id, '{r}' AS rule, (instr({t}, {v}) - 1)::INT AS start, {v} AS value FROM ids".replace("chr(65 + k % 26)", "chr((65 + k % 26)::INT)") for i, (r, t, v) in enumerate(CASES) if v is not None and r in _CLEAN
 )
 
 
+#: text, and every (rule, value) that the whole detector finds there in order.
+PAIRS = (
+    ("'Kabir ' || chr(65 + k % 26) || 'apoor <k' || CAST(k AS string) || '@example.com>'", (("person.display_name", "'Kabir ' || chr(65 + k % 26) || 'apoor'"), ("email", "'k' || CAST(k AS string) || '@example.com'"))),
+    ("'Dear Mrs. Meera ' || chr(65 + k % 26) || 'air, hello'", (("person.honorific", "'Meera ' || chr(65 + k % 26) || 'air'"),)),
+    (f"'Madhav ' || chr(65 + k % 26) || 'esai | 98765' || {_K5}", (("person.before_phone", "'Madhav ' || chr(65 + k % 26) || 'esai'"), ("phone.in", f"'98765' || {_K5}"))),
+    ("'Address: Flat ' || CAST(k AS string) || ' Rose Lane, Pune IFSC HDFC0000001'", (("address.label", "'Flat ' || CAST(k AS string) || ' Rose Lane, Pune'"), ("ifsc", "'HDFC0000001'"))),
+)
+
+
+def detector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detector on texts with two values, or with one that two rules find."""
+    k = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    cases = F.array(*[F.struct(F.lit(i).alias("case_id"), F.expr(t).alias("text")) for i, (t, _) in enumerate(PAIRS)])
+    rows = spread(k.select("k", F.explode(cases).alias("c")).select("k", "c.*"))
+    return detect.spans_table(rows, ["k", "case_id"]).select("k", "case_id", "ordinal", "rule", "start", "value")
+
+
+QUERIES["detector_pairs"] = detector_pairs
+ORACLE["detector_pairs"] = " UNION ALL ".join(
+    f"SELECT k, {i} AS case_id, {j} AS ordinal, '{r}' AS rule, (instr({t}, {v}) - 1)::INT AS start, {v} AS value FROM (SELECT c_custkey AS k FROM customer)".replace("chr(65 + k % 26)", "chr((65 + k % 26)::INT)")
+    for i, (t, found) in enumerate(PAIRS)
+    for j, (r, v) in enumerate(found)
+)
+
+
+def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detector over all conversations, with an address and a phone number behind every turn."""
+    tail = "concat(text, '. Mail user', CAST(conv_id AS string), '@mail.example or call 98765', lpad(CAST(turn AS string), 5, '0'))"
+    talk = spread(read(spark, sf_dir, "conversations").where("text IS NOT NULL").selectExpr("conv_id", "turn", f"{tail} AS text"))
+    return detect.spans_table(talk, ["conv_id", "turn"]).select("conv_id", "turn", "rule", "pii_class", "start", "value")
+
+
+QUERIES["detect_turns"] = detect_turns
+ORACLE["detect_turns"] = """SELECT conv_id, turn, 'email' AS rule, 'EMAIL' AS pii_class, (length(text) + 7)::INT AS start, 'user' || conv_id || '@mail.example' AS value FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT conv_id, turn, 'phone.in', 'PHONE', (length(text) + 7 + length('user' || conv_id || '@mail.example or call '))::INT, '98765' || lpad(turn::VARCHAR, 5, '0') FROM conversations WHERE text IS NOT NULL"""
+
+
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.spans_table(spread(read(spark, sf_dir, "documents")), ["doc_id"])
 

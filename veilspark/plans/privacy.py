@@ -65,6 +65,20 @@ def sanitize_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sanitize_conversations"] = sanitize_all
 
+
+
+def sanitize_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full detector over all conversations, one vault each; one of three addresses stands behind every turn."""
+    tail = "concat(text, '. Mail u', CAST(turn % 3 AS string), '@mail.example')"
+    talk = spread(read(spark, sf_dir, "conversations").where("text IS NOT NULL").selectExpr("conv_id", "turn", "CAST(conv_id AS string) AS vault", f"{tail} AS text"))
+    out, _ = sanitize.sanitize(talk.withColumn("key", F.struct("conv_id", "turn")), "key", "vault")
+    return out.select("key.conv_id", "key.turn", "text")
+
+
+QUERIES["sanitize_turns"] = sanitize_turns
+ORACLE["sanitize_turns"] = """WITH t AS (SELECT conv_id, turn, text, turn % 3 AS a FROM conversations WHERE text IS NOT NULL), f AS (SELECT conv_id, a, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n FROM t GROUP BY conv_id, a)
+SELECT conv_id, turn, text || '. Mail [EMAIL_' || n || ']' AS text FROM t JOIN f USING (conv_id, a)"""
+
 # --- planted tokens over orders -------------------------------------------------------
 
 _PLANTED = "'id [EMAIL_' || CAST(k % 100 AS string) || '] and [CARD_NUMBER_' || CAST(k AS string) || '] or [x_1]'"
