@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -11,31 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import new_path
 
 #: Tables written by this process and not deleted yet.
 _paths: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a session on
-    one machine (tests, notebooks) gets a temporary folder; a cluster is refused, as
-    each executor would write to its own disk.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        conf = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of the table.
 
@@ -52,24 +31,29 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 class Steps:
-    """Functions that come one after the other, each over the stored result of the one before.
+    """Functions that come one after the other, in order of decoration, each over the stored result of the one before.
 
-    When a step begins, the tables that the last step wrote on its way are deleted,
-    unless the step's input still reads them (as it was not stored after all).
+    When a step begins, the tables that its predecessor wrote on its way the last time
+    are deleted, unless the step's input still reads them (as it was not stored after
+    all). What the last step wrote stays.
     """
 
     def __init__(self) -> None:
-        self.made: list[str] = []
+        self.made: list[list[str]] = []
 
     def __call__(self, step: Callable) -> Callable:
+        at = len(self.made)
+        self.made.append([])
+
         @wraps(step)
         def run(spark: SparkSession, docs: DataFrame, *args):
-            used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if self.made else set()
-            for path in [p for p in self.made if p in _paths and p.rsplit("/", 1)[-1] not in used]:
+            last = self.made[at - 1] if at else []
+            used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if last else set()
+            for path in [p for p in last if p in _paths and p.rsplit("/", 1)[-1] not in used]:
                 _delete(spark, path)
             before = set(_paths)
             out = step(spark, docs, *args)
-            self.made = [p for p in _paths if p not in before]
+            self.made[at] = [p for p in _paths if p not in before]
             return out
 
         return run
