@@ -84,6 +84,12 @@ def page_pixels(truth: DataFrame, masks: DataFrame, context: DataFrame, page: st
     )
 
 
+def mask_scores(pages: DataFrame, by: list[str]) -> DataFrame:
+    """Share of true pixels that masks cover, and of mask pixels on true values, from :func:`page_pixels`; 1 where there are none."""
+    share = lambda part, whole: F.round(F.coalesce(F.try_divide(F.sum(part), F.sum(whole)), F.lit(1.0)), 6)
+    return pages.groupBy(*by).agg(share("mask_on_truth_px", "truth_px").alias("coverage"), share("mask_on_truth_px", "mask_px").alias("mask_precision"))
+
+
 def report(items: DataFrame, pages: DataFrame, detections: DataFrame, by: list[str]) -> DataFrame:
     """Recall, leakage, detection precision, redaction precision and retained context by columns that all three inputs have.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, privacy, screens, views
+from . import detection, pieces, privacy, screens, views
 
 QUERIES, ORACLE = {}, {}
-for part in (detection, privacy, screens, views):
+for part in (detection, privacy, screens, views, pieces):
     QUERIES |= part.QUERIES
     ORACLE |= part.ORACLE
