@@ -60,13 +60,15 @@ def plan(items: DataFrame, key: str, scale: Column, width: Column, height: Colum
     x, y, w, h = r["x"] * scale - PAD, r["y"] * scale - PAD, r["w"] * scale + 2 * PAD, r["h"] * scale + 2 * PAD
     size = F.length("label") * ADVANCE
     font = F.when(token, F.greatest(F.lit(LEAST_FONT), F.least(h * FIT, w / size, F.lit(MOST_FONT))))
-    base = items.select(F.col(key), "ordinal", "kind", "label", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), font.alias("font"), scale.alias("_s"), width.alias("_w"), height.alias("_h"), size.alias("_size"))
+    # Generators of one row keep each step's values from being written into the next step's expressions again and again.
+    first = F.struct("ordinal", "kind", "label", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), font.alias("font"), width.alias("_w"), height.alias("_h"), size.alias("_size"))
+    base = items.select(F.col(key), F.inline(F.array(first)))
     need_w = F.greatest(F.col("w"), F.coalesce(F.col("_size") * F.col("font") + 4, F.lit(0.0)))
     need_h = F.greatest(F.col("h"), F.coalesce(F.col("font") / FIT, F.lit(0.0)))
     grown = rect(F.col("x") - (need_w - F.col("w")) / 2, F.col("y") - (need_h - F.col("h")) / 2, need_w, need_h)
     token_op = (F.col("kind") == "token") & (F.coalesce(F.col("label"), F.lit("")) != "")
     op = F.struct(F.when(token_op, 0).otherwise(1).alias("late"), "ordinal", clamp(grown, F.col("_w"), F.col("_h")).alias("box"), "kind", F.coalesce("label", F.lit("")).alias("label"), "font")
-    boxed = base.select(key, op.alias("o")).where("o.box IS NOT NULL")
+    boxed = base.select(key, F.inline(F.array(F.struct(op.alias("o"))))).where("o.box IS NOT NULL")
     # All ops of a page in drawing order; of equal ones the first stays.
     ordered = boxed.groupBy(key).agg(F.array_sort(F.collect_list("o")).alias("all"))
     same = lambda o: F.struct(o["box"], o["kind"], o["label"])
