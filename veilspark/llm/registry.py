@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, htmltext, langid, mixing, neardup, packing, quality, sharding, substring, tokenstore
+from . import fingerprint, htmltext, langid, mixing, negatives, neardup, packing, quality, secretscan, sharding, substring, tokenstore
 
 QUERIES = {
     "op1_html_extraction": htmltext.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_substring_dedup": substring.query,
     "op9_token_output": tokenstore.query,
     "op10_document_fingerprints": fingerprint.query,
+    "op11_secret_scans": secretscan.query,
+    "op12_hard_negatives": negatives.query,
 }
 
 ORACLE = {
     "op2_minhash_near_dedup": neardup.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
