@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, htmltext, langid, mixing, negatives, neardup, packing, quality, secretscan, sharding, substring, tokenstore
+from . import collocation, fingerprint, htmltext, langid, mixing, negatives, neardup, packing, quality, secretscan, sharding, substring, tokenstore
 
 QUERIES = {
     "op1_html_extraction": htmltext.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_document_fingerprints": fingerprint.query,
     "op11_secret_scans": secretscan.query,
     "op12_hard_negatives": negatives.query,
+    "op13_phrase_collocations": collocation.query,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op3_quality_rules": quality.ORACLE,
     "op8_substring_dedup": substring.ORACLE,
     "op12_hard_negatives": negatives.ORACLE,
+    "op13_phrase_collocations": collocation.ORACLE,
 }
