@@ -6,9 +6,10 @@ and its decisions take effect: rejected documents go, one of each near-duplicate
 group stays, repeated passages are cut out of the texts, documents come as often
 as the mix takes them, and the last stage returns the packed pieces.
 
-A stage first deletes the working tables of those before it, as their result is
-stored. ``docs`` is read from Parquet files (run writes each stage's result); a table from
-elsewhere works too, as it is written first where rows must be told apart.
+``docs`` may be any table: files, or the unstored result of joins, unions and generators, whose
+rows are then written first. A stage deletes its working tables before it returns; its result reads
+``docs`` and what the stage decided (places of rows, numbers of copies, rates of hosts, or the cut texts),
+and can be read again whatever runs later. :func:`run` deletes each stored result once the next one is stored.
 
 Edge cases: a null text fails the quality rules; a null source is a host and a
 source of its own; a null doc_id is linked with nothing, loses no words, and its
@@ -23,33 +24,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import mixing, neardup, packing, quality, substring
-from veilspark.llm.workspace import Steps, written
+from veilspark.llm.workspace import drop_written, written
 
-step = Steps()
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-@step
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
-@step
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs, scanned=bool(docs.inputFiles()))
+    return neardup.keep_one(docs)
 
 
-@step
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring.deduplicated(docs)
 
 
-@step
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs, scanned=bool(docs.inputFiles()))
+    return mixing.mixed_documents(docs)
 
 
-@step
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
@@ -68,7 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

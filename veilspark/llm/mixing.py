@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import pick, with_row, written
+from .workspace import Space, pick, with_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -129,9 +129,9 @@ def _rounder(seed: int, level: int):
     return run
 
 
-def mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7, scanned: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row; ``scanned`` as in :func:`workspace.with_row`."""
-    rows, ident = with_row(docs.select("doc_id", "text", F.col(f"`{source}`").alias("source")), scanned)
+def mix(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row."""
+    rows, ident = with_row(docs.select("doc_id", "text", F.col(f"`{source}`").alias("source")))
     return _mixed(rows, ident, "source", weights, most, seed).drop("file", "place")
 
 
@@ -163,13 +163,15 @@ def _mixed(rows: DataFrame, ident: tuple[str, ...], source: str, weights: tuple[
     return done.select("file", "place", "doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"), (F.col("whole") + F.col("extra")).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7, scanned: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 7) -> DataFrame:
     """The documents (all columns), each row as often as the mix takes it."""
-    rows, ident = with_row(docs, scanned)
-    taken = _mixed(rows, ident, source, weights, most, seed).where("copies > 0").select(*[F.col(n).alias(c) for c, n in zip(ident, ("file", "place"))], F.col("copies").alias("_veil_copies"))
+    with Space() as space:
+        rows, ident = with_row(docs)
+        copies = _mixed(rows, ident, source, weights, most, seed).where("copies > 0")
+        taken = space.keep(written(copies.select(*[F.col(n).alias(c) for c, n in zip(ident, ("file", "place"))], F.col("copies").alias("_veil_copies")), "copies"))
     again = rows.join(taken, list(ident)).withColumn("_veil_k", F.explode(F.sequence(F.lit(1), F.col("_veil_copies"))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"), scanned=True)
+    return mix(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from . import textvec as tv
 from .components import components
-from .workspace import drop_written, pick, with_row, written
+from .workspace import Space, drop_written, pick, with_row, written
 
 PERMUTATIONS = 64
 PER_BAND = 2
@@ -219,28 +219,29 @@ def _judged(rows: DataFrame, ident: tuple[str, ...], width: int) -> DataFrame:
     return out.select("doc_id", *ident, "n_shingles", group).withColumn("component_id", F.col("group.doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def classes(docs: DataFrame, width: int = shingles.WIDTH, scanned: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; ``scanned`` as in :func:`workspace.with_row`."""
-    rows, ident = with_row(docs.select("doc_id", "text"), scanned)
+def classes(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, ident = with_row(docs.select("doc_id", "text"))
     return _judged(rows, ident, width).drop(*ident, "group")
 
 
-def keep_one(docs: DataFrame, width: int = shingles.WIDTH, scanned: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
     """The documents (all columns), one row of each group.
 
     It is the group's first row with its smallest doc_id. Rows of one doc_id with texts
     that are not linked are of different groups; those without any word are one group.
-    Rows without a doc_id stay.
+    Rows without a doc_id stay. Of the working tables only the places of the rows that stay are kept.
     """
-    rows, ident = with_row(docs, scanned)
-    good = _judged(rows, ident, width).where("kept")
-    one = good.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct(*ident)).alias("r")).select("r.*")
-    stay = one.unionByName(good.where("doc_id IS NULL").select(*ident))
+    with Space() as space:
+        rows, ident = with_row(docs)
+        good = _judged(rows, ident, width).where("kept")
+        one = good.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct(*ident)).alias("r")).select("r.*")
+        stay = space.keep(written(one.unionByName(good.where("doc_id IS NULL").select(*ident)), "stay"))
     return rows.join(stay, list(ident), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return classes(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), scanned=True)
+    return classes(pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textvec as tv
-from .workspace import pick, written
+from .workspace import Space, fixed, pick, written
 
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
@@ -159,10 +159,15 @@ def _breaks(strictness: Column) -> Column:
     )
 
 
-def _judged(docs: DataFrame, host: str, keep: bool = False) -> DataFrame:
-    """Counts and verdict of every row; rows (if kept) go through with their counts, so none is matched again."""
-    table = written(counts(docs, host, keep).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | _soft(STRICT)), "quality")
-    hosts = written(host_rates(table).select(F.col("host").alias("h"), F.col("rate").alias("host_rate")), "hosts")
+def _flagged(counted: DataFrame) -> DataFrame:
+    return counted.withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | _soft(STRICT))
+
+
+def _judged(table: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The rows of ``table`` with the verdict by the host rates of ``flagged``."""
+    hosts = written(host_rates(flagged).select(F.col("host").alias("h"), F.col("rate").alias("host_rate")), "hosts")
+    if space := Space.current():
+        space.keep(hosts)
     size = hosts.agg(F.sum(F.coalesce(F.octet_length("h"), F.lit(0)) + 32)).first()[0] or 0
     rates = F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts
     out = table.join(rates, F.col("host").eqNullSafe(F.col("h")), "left")
@@ -171,12 +176,21 @@ def _judged(docs: DataFrame, host: str, keep: bool = False) -> DataFrame:
 
 def score(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, counts, base_failed, host_rate and the verdict ``kept`` of every row."""
-    return _judged(docs, host).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    table = written(_flagged(counts(docs, host)), "quality")
+    return _judged(table, table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
 def filter_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents (all columns) whose verdict is kept; each row by its own verdict."""
-    return _judged(docs, host, True).where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The documents (all columns) whose verdict is kept; each row by its own verdict.
+
+    The counts of all rows are written for the host rates, without texts; the result counts again as it
+    reads the rows, so they are neither copied nor shuffled.
+    """
+    with Space():
+        rows = fixed(docs)
+        table = written(_flagged(counts(rows, host)).select("host", "failed"), "failures")
+        judged = _judged(_flagged(counts(rows, host, True)), table)
+    return judged.where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .exchange import PACKED, Answers, Plan, answered, buffered, deal, judged, pack
-from .workspace import pick, written
+from .workspace import Space, pick, written
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -229,10 +229,9 @@ def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
 
     Texts that lose nothing stay as they are; others become their kept words
     joined by one space, with ``n_chars``, if there is such a column, renewed.
-    Rows carry all their columns through the stages, so none is matched again.
+    Rows carry all their columns through the stages, so none is matched again. The result is stored.
     """
     keep = [c for c in docs.columns if c != "text"]
-    out = _run(docs, keep, plan)
 
     def column(name: str) -> Column:
         if name == "text":
@@ -242,7 +241,9 @@ def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
             value = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[name].dataType)).otherwise(value)
         return value.alias(name)
 
-    return out.select(*[column(c) for c in docs.columns])
+    with Space() as space:
+        out = _run(docs, keep, plan)
+        return space.keep(written(out.select(*[column(c) for c in docs.columns]), "deduplicated"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

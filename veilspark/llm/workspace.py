@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,40 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import new_path
 
-#: Tables written by this process and not deleted yet.
-_paths: list[str] = []
+#: The open space of the running computation, if any; other threads have their own.
+_open: ContextVar[Space | None] = ContextVar("space", default=None)
+
+
+class Space:
+    """The working tables of one computation: those written while it is open are deleted when it closes, but for the kept ones.
+
+        with Space() as space:
+            steps = written(...)
+            result = space.keep(written(...))
+
+    Nothing that was written elsewhere is ever deleted, so results of earlier computations can be read on.
+    """
+
+    def __init__(self) -> None:
+        self.tables: dict[str, DataFrame] = {}
+
+    @staticmethod
+    def current() -> Space | None:
+        return _open.get()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.pop(df._veil_path, None)
+        return df
+
+    def __enter__(self) -> Space:
+        self._before = _open.set(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        _open.reset(self._before)
+        for df in list(self.tables.values()):
+            drop_written(df)
+        self.tables.clear()
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -23,72 +54,75 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    _paths.append(path)
-    df.write.option("compression", codec).parquet(path)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    except BaseException:
+        _delete(spark, path)
+        raise
     out = spark.read.schema(df.schema).parquet(path)
     out._veil_path = path
+    if space := Space.current():
+        space.tables[path] = out
     return out
 
 
-class Steps:
-    """Functions that come one after the other, in order of decoration, each over the stored result of the one before.
-
-    When a step begins, the tables that its predecessor wrote on its way the last time
-    are deleted, unless the step's input still reads them (as it was not stored after
-    all). What the last step wrote stays.
-    """
-
-    def __init__(self) -> None:
-        self.made: list[list[str]] = []
-
-    def __call__(self, step: Callable) -> Callable:
-        at = len(self.made)
-        self.made.append([])
-
-        @wraps(step)
-        def run(spark: SparkSession, docs: DataFrame, *args):
-            last = self.made[at - 1] if at else []
-            used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in docs.inputFiles()} if last else set()
-            for path in [p for p in last if p in _paths and p.rsplit("/", 1)[-1] not in used]:
-                _delete(spark, path)
-            before = set(_paths)
-            out = step(spark, docs, *args)
-            self.made[at] = [p for p in _paths if p not in before]
-            return out
-
-        return run
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing reads it."""
     path = getattr(df, "_veil_path", None)
     if path:
+        if space := Space.current():
+            space.tables.pop(path, None)
         _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    if path in _paths:
-        _paths.remove(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 ROW = ("_veil_file", "_veil_row")
 
 
-def with_row(docs: DataFrame, scanned: bool = False) -> tuple[DataFrame, tuple[str, ...]]:
+def plain_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one row of a file: columns and filters over files, without a join, union, generator or sample."""
+    plan = getattr(df, "_jdf", None)
+    node = plan.queryExecution().analyzed() if plan else None
+    while node is not None and node.getClass().getSimpleName() in ("Project", "Filter") and node.deterministic():
+        node = node.children().head()
+    return node is not None and node.getClass().getSimpleName() == "LogicalRelation"
+
+
+def fixed(docs: DataFrame) -> DataFrame:
+    """Rows that are the same at every reading: ``docs`` itself if it is a plain scan, else its rows, written and kept."""
+    if plain_scan(docs):
+        return docs
+    out = written(docs, "rows")
+    if space := Space.current():
+        space.keep(out)
+    return out
+
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     """The rows with two columns that identify each of them, whatever they hold, and those columns' names.
 
-    If the caller says that ``docs`` is ``scanned`` (columns or rows of Parquet files, without a join
-    or generator), they are the file and the place in it, at no cost. Else the rows are numbered and written.
+    They are the file and the place in it of a plain scan of Parquet files; other rows
+    are written first.
     """
-    if scanned:
-        try:
-            out = docs.withColumns({ROW[0]: F.xxhash64("_metadata.file_path"), ROW[1]: F.col("_metadata.row_index")})
-            return (out, ROW) if out.columns else (docs, ())
-        except AnalysisException:
-            pass  # not read from Parquet files
-    return written(docs.withColumns({ROW[0]: F.lit(0).cast("long"), ROW[1]: F.monotonically_increasing_id()}), "rows"), ROW
+    rows = fixed(docs)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.withColumns({ROW[0]: F.xxhash64("_metadata.file_path"), ROW[1]: F.col("_metadata.row_index")})
+
+    try:
+        out = named(rows)
+        assert out.columns
+    except AnalysisException:  # files without row numbers
+        rows = written(docs, "rows")
+        if space := Space.current():
+            space.keep(rows)
+        out = named(rows)
+    return out, ROW
 
 
 def file_system(path: str):
