@@ -32,7 +32,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader of the table: lost executors cost a re-read, and a second consumer runs nothing twice."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._veil_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table of :func:`written` or :func:`numbered` once nothing reads it."""
+    path = getattr(df, "_veil_path", None)
+    if path:
+        system, place = _file_system(df.sparkSession, path)
+        system.delete(place, True)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def put_new_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a small file in place, whole or not at all; false if there is one of that name."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    _, place = _file_system(spark, path)
+    draft = hadoop.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    context = hadoop.FileContext.getFileContext(place.toUri() if ":" in path else spark._jvm.java.io.File(path).toURI(), spark._jsc.hadoopConfiguration())
+    system, _ = _file_system(spark, path)
+    system.mkdirs(place.getParent())
+    out = system.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        context.rename(draft, place, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Exception as e:
+        system.delete(draft, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
 
 
 def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "number") -> DataFrame:
@@ -49,7 +85,9 @@ def numbered(rows: DataFrame, keys: list[str], order: str, name: str = "number")
     on = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return local.join(before, on).select(*rows.columns, (F.col("_local") + F.col("_before")).alias(name))
+    out = local.join(before, on).select(*rows.columns, (F.col("_local") + F.col("_before")).alias(name))
+    out._veil_path = local._veil_path
+    return out
 
 
 def _by(keys: list[str], order: list[str]) -> WindowSpec:

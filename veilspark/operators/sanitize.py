@@ -9,6 +9,7 @@ from ..functions.tables import written
 from . import vault as vaults
 from .detect import detect
 from .spans import SPAN
+from .vault_store import VaultStore
 
 # Fixed value: path segments that look like identifiers.
 ID_SEGMENT = r"(?i)^(?:[0-9]{4,}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[A-Za-z0-9_-]{20,}|[0-9a-f]{16,})\z"
@@ -27,9 +28,12 @@ def splice(text: Column, spans: Column, tokens: Column) -> Column:
     return F.concat(rest["out"], vaults.defang(F.substring(text, rest["at"] + 1, F.length(text))))
 
 
-def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = None, source: str = "page", text: str = "text", spans: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = None, source: str = "page", text: str = "text", spans: Column | None = None, store: VaultStore | None = None, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, vault_id, text, spans, tokens, forged) of every row, and the vault.
 
+    With a ``store`` known values keep the tokens of earlier runs and new ones are added to it (``batch``
+    names the run); without, the vault is of these rows alone.
+
     ``spans`` (over ``_text``) defaults to the full detector. It runs once: rows are
     written with their spans and a number of their own, by which tokens come back, so
     null and repeated keys are as good as others. Tokens are numbered by (key, start)
@@ -41,7 +45,7 @@ def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = N
     each = base.select("_row", "_key", "vault_id", "origin", "_text", F.posexplode("spans").alias("i", "s"))
     values = each.select("_row", "i", "_key", "vault_id", "origin", F.col("s.start").alias("start"), F.col("s.pii_class").alias("pii_class"), F.substring(F.col("_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), F.lit(source).alias("source"))
     values = values.withColumn("canonical", vaults.canonical(F.col("pii_class"), F.col("value")))
-    vault = vaults.build(values, ["_key", "start"])
+    vault = vaults.build(values, ["_key", "start"]) if store is None else store.update(values, ["_key", "start"], batch)
     known = vault.select(F.col("vault_id").alias("_vault"), F.col("pii_class").alias("_class"), F.col("canonical").alias("_canonical"), "token")
     same = F.col("vault_id").eqNullSafe(F.col("_vault")) & (F.col("pii_class") == F.col("_class")) & (F.col("canonical") == F.col("_canonical"))
     tokens = values.join(known, same).groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens"))

@@ -44,16 +44,22 @@ def canonical(pii_class: Column, value: Column) -> Column:
     )
 
 
+def distinct_values(values: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each canonical value: ``first`` (where it was seen first, its value and origin), ``by_user`` and ``_seen``."""
+    keyed = values.withColumn("canonical", canonical(F.col("pii_class"), F.col("value"))).withColumn("_seen", F.struct(*order))
+    distinct = keyed.groupBy("vault_id", "pii_class", "canonical").agg(F.min(F.struct("_seen", "value", "origin")).alias("first"), F.coalesce(F.max(F.col("source") == "user"), F.lit(False)).alias("by_user"))
+    return distinct.withColumn("_seen", F.struct("first._seen", "canonical"))
+
+
+def token(pii_class: Column, number: Column) -> Column:
+    return F.concat(F.lit("["), pii_class, F.lit("_"), number.cast("string"), F.lit("]"))
+
+
 def build(values: DataFrame, order: list[str]) -> DataFrame:
     """The vault of (vault_id, pii_class, value, origin, source) rows seen in ``order``."""
-    seen = F.struct(*order)
-    keyed = values.withColumn("canonical", canonical(F.col("pii_class"), F.col("value"))).withColumn("_seen", seen)
-    distinct = keyed.groupBy("vault_id", "pii_class", "canonical").agg(
-        F.min(F.struct("_seen", "value", "origin")).alias("first"), F.max(F.col("source") == "user").alias("by_user")
-    )
-    ordered = numbered(distinct.withColumn("_seen", F.struct("first._seen", "canonical")), ["vault_id", "pii_class"], "_seen")
+    ordered = numbered(distinct_values(values, order), ["vault_id", "pii_class"], "_seen")
     return ordered.select(
-        "vault_id", "pii_class", "canonical", F.concat(F.lit("["), "pii_class", F.lit("_"), "number", F.lit("]")).alias("token"), F.col("first.value").alias("value"),
+        "vault_id", "pii_class", "canonical", token(F.col("pii_class"), F.col("number")).alias("token"), F.col("first.value").alias("value"),
         F.when(F.col("by_user"), "user").otherwise("page").alias("source"), F.col("first.origin").alias("origin"), F.col("first._seen").alias("first_seen"),
     )
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fields, policy, protocol, sanitize, spans, tripwire, vault
+from ..functions.tables import new_path
+from ..operators import fields, policy, protocol, sanitize, spans, tripwire, vault, vault_store
 from ..sources import formats
 from ..streaming import steps
 from .detection import _CARD, _CARD_OK, _EMAIL, _hits, read, spread
@@ -34,6 +35,22 @@ QUERIES["vault_legend"] = lambda spark, sf_dir: vault.legend(_emails(spark, sf_d
 ORACLE["vault_legend"] = f"SELECT vault_id, token, 'EMAIL' AS pii_class FROM ({_TOKENS})"
 
 
+def vault_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The e-mail addresses of documents in two runs over one stored vault: even ids as seen on pages, then odd ids as given by users."""
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    found = docs.select("doc_id", F.col("source").alias("vault_id"), F.inline(spans.rule_spans(F.col("text"), "email")), "text")
+    values = found.select("doc_id", "start", "vault_id", "pii_class", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("value"), F.lit("").alias("origin"))
+    store = vault_store.VaultStore(spark, new_path(spark, "vault"))
+    for run, source in enumerate(("page", "user")):
+        store.update(values.where(F.abs(F.col("doc_id")) % 2 == run).withColumn("source", F.lit(source)), ["doc_id", "start"], f"run{run}")
+    return store.read().select("vault_id", "canonical", "token", "value", "source")
+
+
+QUERIES["vault_runs"] = vault_runs
+ORACLE["vault_runs"] = f"""WITH f AS (SELECT source AS vault_id, lower(v) AS canonical, min(struct_pack(r := doc_id % 2, d := doc_id, s := start, v := v)) AS f, max(doc_id % 2) AS last FROM ({_FIRST}) GROUP BY ALL)
+SELECT vault_id, canonical, '[EMAIL_' || row_number() OVER (PARTITION BY vault_id ORDER BY f.r, f.d, f.s) || ']' AS token, f.v AS value, CASE WHEN last = 1 THEN 'user' ELSE 'page' END AS source FROM f"""
+
+
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that change, with the length and digest of the new text."""
     out, _ = _emails(spark, sf_dir)
@@ -88,14 +105,14 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k", f"{_PLANTED} AS text")
 
 
-# Their SQL reads numbers of one to four digits, as the reference does.
+# These two read numbers of one to four digits, as the reference does; parse_typed reads any number, as the vault gives them.
 QUERIES["defang_tokens"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", vault.defang(F.col("text"), vault.REFERENCE_TOKEN).alias("text"))
 ORACLE["defang_tokens"] = r"SELECT k, 'id (EMAIL-' || (k % 100)::VARCHAR || ') and ' || CASE WHEN k < 10000 THEN '(CARD_NUMBER-' || k::VARCHAR || ')' ELSE '[CARD_NUMBER_' || k::VARCHAR || ']' END || ' or [x_1]' AS text FROM (SELECT c_custkey AS k FROM customer)"
 QUERIES["forged_ranges"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", F.explode(vault.forged(F.col("text"), vault.REFERENCE_TOKEN)).alias("f")).select("k", "f.start", "f.end")
 ORACLE["forged_ranges"] = """WITH p AS (SELECT c_custkey AS k, '[EMAIL_' || (c_custkey % 100)::VARCHAR || ']' AS a, '[CARD_NUMBER_' || c_custkey::VARCHAR || ']' AS b FROM customer)
 SELECT k, 3 AS start, (3 + length(a))::INT AS "end" FROM p UNION ALL SELECT k, (8 + length(a))::INT, (8 + length(a) + length(b))::INT FROM p WHERE k < 10000"""
 QUERIES["parse_typed"] = lambda spark, sf_dir: _planted(spark, sf_dir).select("k", F.posexplode(vault.parse_tokens(F.col("text"))).alias("i", "p")).select("k", "i", "p.literal", "p.token")
-ORACLE["parse_typed"] = """WITH p AS (SELECT c_custkey AS k, '[EMAIL_' || (c_custkey % 100)::VARCHAR || ']' AS a, '[CARD_NUMBER_' || c_custkey::VARCHAR || ']' AS b FROM customer WHERE c_custkey < 10000)
+ORACLE["parse_typed"] = """WITH p AS (SELECT c_custkey AS k, '[EMAIL_' || (c_custkey % 100)::VARCHAR || ']' AS a, '[CARD_NUMBER_' || c_custkey::VARCHAR || ']' AS b FROM customer)
 SELECT k, i, l AS literal, t AS token FROM p, LATERAL (VALUES (0, 'id ', NULL), (1, NULL, a), (2, ' and ', NULL), (3, NULL, b), (4, ' or [x_1]', NULL)) AS x(i, l, t)"""
 
 # --- URLs ------------------------------------------------------------------------------
