@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.protocol import parse_tool_call, to_action
 from ..operators.tripwire import find_leaks
@@ -51,24 +51,64 @@ def windowed(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size:
 
 
 _TOKENS = "vault_id string, pii_class string, canonical string, token string"
-_STATE = "keys array<string>, tokens array<string>"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _assign(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = dict(zip(*state.get)) if state.exists else {}
-    rows = pd.concat(list(batches)).sort_values(["seq"], kind="stable")
-    out = []
-    for vault, cls, canonical in zip(rows["vault_id"], rows["pii_class"], rows["canonical"]):
-        if canonical not in known:
-            known[canonical] = f"[{cls}_{len(known) + 1}]"
-            out.append((vault, cls, canonical, known[canonical]))
-    state.update((list(known), list(known.values())))
-    yield pd.DataFrame(out, columns=["vault_id", "pii_class", "canonical", "token"])
+class _VaultState(StatefulProcessor):
+    """One vault and class: an entry of a map for each value, and the last number.
 
+    A batch writes entries for its new values only. With an expiry, a vault that sees no
+    value for so long forgets its values; numbers go on, so none is given twice.
+    """
 
-def vault_stream(values: DataFrame) -> DataFrame:
-    """New tokens of a stream of (vault_id, pii_class, canonical, seq), stable over batches.
-
-    State is kept per (vault, class), so a busy vault spreads over its classes.
+    def __init__(self, expiry_ms: int | None):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.known = handle.getMapState("known", "canonical string", "number long")
+        self.last = handle.getValueState("last", "number long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        vault, cls = key
+        seen = pd.concat(list(rows)).sort_values("seq", kind="stable").drop_duplicates("canonical")
+        number, timer = self.last.get() if self.last.exists() else (0, -1)
+        out = []
+        for canonical in seen["canonical"]:
+            if not self.known.containsKey((canonical,)):
+                number += 1
+                self.known.updateValue((canonical,), (number,))
+                out.append((vault, cls, canonical, f"[{cls}_{number}]"))
+        timer = self._renewed(timer, timerValues)
+        self.last.update((number, timer))
+        yield pd.DataFrame(out, columns=["vault_id", "pii_class", "canonical", "token"])
+
+    def _renewed(self, timer: int, timers) -> int:
+        if self.expiry_ms is None:
+            return -1
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        due = timers.getCurrentProcessingTimeInMs() + self.expiry_ms
+        self.handle.registerTimer(due)
+        return due
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.last.update((self.last.get()[0], -1))
+        yield pd.DataFrame([], columns=["vault_id", "pii_class", "canonical", "token"])
+
+    def close(self) -> None:
+        pass
+
+
+def vault_stream(values: DataFrame, expiry_ms: int | None = None) -> DataFrame:
+    """New tokens of a stream of (vault_id, pii_class, canonical, seq), stable over batches and restarts.
+
+    State is kept per (vault, class), so a busy vault spreads over its classes; what a batch writes is in
+    proportion to its new values. A vault without a value for ``expiry_ms`` forgets its values,
+    but not how far it has counted. Null values get no token. Needs the RocksDB state store, which is set here.
     """
-    return values.groupBy("vault_id", "pii_class").applyInPandasWithState(_assign, _TOKENS, _STATE, "append", GroupStateTimeout.NoTimeout)
+    values.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    known = values.where("canonical IS NOT NULL").select(F.coalesce("vault_id", F.lit("")).alias("vault_id"), "pii_class", "canonical", "seq")
+    grouped = known.groupBy("vault_id", "pii_class")
+    return grouped.transformWithStateInPandas(_VaultState(expiry_ms), _TOKENS, "append", "none" if expiry_ms is None else "processingTime")
