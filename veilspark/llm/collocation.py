@@ -8,7 +8,8 @@ the shard. Prefixes are extended depth first, a group of first words after the o
 A phrase is frequent only if its parts are, but no shard can tell that alone. Shards send keys (hashes) and counts of
 their words and pairs to parts of the key space, which sum them and answer the frequent ones; triples and
 quadruples are then grown from frequent pairs only, and asked for in the same way. Hashes only prune: a collision
-lets a rare phrase through to the last step, where counts are summed by the words themselves.
+lets a rare phrase through to the last step, where counts are summed by the words themselves: first over the
+shards that a task has (several, chosen by hash), then over tasks.
 
 Edge cases: a null text is empty, a null language ``und`` (one with that name); a text without words, an empty table or a language without a frequent
 phrase gives no row; a piece is never cut, whatever its length; repeated rows count as often as they occur; words of any
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .exchange import PACKED, Answers, Plan, _batch, _emit, _tasks, bucket_column, deal, judged, pack
-from .workspace import drop_written, pick, written
+from .workspace import Space, pick, written
 
 LONGEST, LEAST = 4, 30
 #: A phrase goes if a longer one has at least so many hundredths of its occurrences.
@@ -319,10 +320,26 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _rows(level: Level, shard: Shard) -> pa.RecordBatch:
-    """Phrases as rows of (lang, size, phrase, f); the packed columns are null."""
-    words = [b" ".join([shard.words[i] for i in row]).decode() for row in level.words.tolist()]
-    return _filled({"lang": pa.array([shard.lang] * len(words), pa.string()), "size": pa.array(np.full(len(words), level.words.shape[1], np.int32)), "phrase": pa.array(words, pa.string()), "f": pa.array(level.count)}, len(words))
+class _Counts:
+    """Phrases in words, and their counts, of the shards of a task."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.Table] = []
+
+    def add(self, shard: Shard, level: Level) -> None:
+        words = [b" ".join([shard.words[i] for i in row]).decode() for row in level.words.tolist()]
+        self.put(shard.lang, level.words.shape[1], words, level.count)
+
+    def put(self, lang: str, size: int, words: list[str], count: np.ndarray) -> None:
+        if words:
+            self.parts.append(pa.table([pa.array([lang] * len(words), pa.string()), pa.array(np.full(len(words), size, np.int32)), pa.array(words, pa.string()), pa.array(count, pa.int64())], names=["lang", "size", "phrase", "f"]))
+
+    def rows(self) -> list[pa.RecordBatch]:
+        """One row for each language and phrase; the packed columns are null."""
+        if not self.parts:
+            return []
+        merged = pa.concat_tables(self.parts).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        return [_filled({n: b.column(n) for n in b.schema.names}, b.num_rows) for b in merged.to_batches()]
 
 
 def _filled(columns: dict, n: int) -> pa.RecordBatch:
@@ -355,20 +372,19 @@ def _middle(plan: Plan) -> Callable:
     """With the frequent words and pairs known: their counts, and keys of the triples and quadruples to ask for."""
 
     def run(store: pa.Table, found: pa.Table) -> pa.Table:
-        known, out = Answers(found), [_filled({}, 0)]
+        known, counts, out = Answers(found), _Counts(), [_filled({}, 0)]
         for shard in _opened(store):
             small = np.sort(known.of(shard.ident))
-            out.append(_filled({"lang": pa.array([shard.lang]), "size": pa.array([0], pa.int32()), "phrase": pa.array([""]), "f": pa.array([len(shard.ids)], pa.int64())}, 1))
+            counts.put(shard.lang, 0, [""], np.array([len(shard.ids)]))
             own = np.flatnonzero(_member(plan.short(shard.hashes), small))
-            words = Level(own[:, None], shard.hashes[own], np.bincount(shard.ids, minlength=len(shard.words))[own].astype(np.int64), None)
-            out.append(_rows(words, shard))
+            counts.add(shard, Level(own[:, None], shard.hashes[own], np.bincount(shard.ids, minlength=len(shard.words))[own].astype(np.int64), None))
             asked: list[Level] = []
-            _grown(shard, plan, small, None, lambda level: out.append(_rows(level, shard)) if level.words.shape[1] == 2 else asked.append(level))
+            _grown(shard, plan, small, None, lambda level: counts.add(shard, level) if level.words.shape[1] == 2 else asked.append(level))
             if asked:
                 merged = Level(asked[0].words[:0], np.concatenate([x.hashes for x in asked]), np.concatenate([x.count for x in asked]), None)
                 packed = _batch(list(_asked(merged, shard, plan)))
                 out.append(_filled({n: packed.column(n) for n in packed.schema.names}, packed.num_rows))
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches([*out, *counts.rows()])
 
     return run
 
@@ -377,12 +393,12 @@ def _last(plan: Plan) -> Callable:
     """Counts of the frequent triples and quadruples."""
 
     def run(store: pa.Table, found: pa.Table) -> pa.Table:
-        known, out = Answers(found), [_filled({}, 0)]
+        known, counts = Answers(found), _Counts()
         for shard in _opened(store):
             mine = np.sort(known.of(shard.ident))
             if len(mine):
-                _grown(shard, plan, mine, mine, lambda level: out.append(_rows(level, shard)) if level.words.shape[1] > 2 else None)
-        return pa.Table.from_batches(out)
+                _grown(shard, plan, mine, mine, lambda level: counts.add(shard, level) if level.words.shape[1] > 2 else None)
+        return pa.Table.from_batches([_filled({}, 0), *counts.rows()])
 
     return run
 
@@ -398,20 +414,21 @@ def _meet(store: DataFrame, answers: DataFrame, plan: Plan, fn: Callable, schema
 def counted(docs: DataFrame, plan: Plan | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """lang, size, phrase and f of all words and phrases up to four words with at least ``LEAST`` occurrences; size 0 has a language's words."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    plan = plan or Plan.for_bytes(rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
-    store = written(rows.mapInArrow(_shards(shard_words), _SHARD), "shards")
-    small = written(judged(deal(store.mapInArrow(_small(plan), PACKED), plan.parts, plan, narrow=True), plan, _frequent), "frequent")
-    middle = written(_meet(store, small, plan, _middle(plan), _MINED), "mined")
+    if plan is None:
+        plan = Plan.for_bytes(rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
+        # Fewer buckets than parts would have: a task sums several shards before rows leave it.
+        plan = Plan(plan.parts, max(32, plan.parts), plan.fan)
     names = [x.split()[0] for x in PACKED.split(", ")]
-    large = judged(deal(middle.where("phrase IS NULL").select(*names), plan.parts, plan, narrow=True), plan, _frequent)
-    pairs = small.unionByName(large)
-    last = _meet(store, pairs, plan, _last(plan), _MINED)
     phrases = [x.split()[0] for x in _PHRASES.split(", ")]
-    parts = middle.where("phrase IS NOT NULL").select(*phrases).unionByName(last.where("phrase IS NOT NULL").select(*phrases))
-    out = written(parts.groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= LEAST)), "phrases")
-    for table in (store, small, middle):
-        drop_written(table)
-    return out
+    with Space() as space:
+        store = written(rows.mapInArrow(_shards(shard_words), _SHARD), "shards")
+        small = written(judged(deal(store.mapInArrow(_small(plan), PACKED), plan.parts, plan, narrow=True), plan, _frequent), "frequent")
+        middle = written(_meet(store, small, plan, _middle(plan), _MINED), "mined")
+        large = judged(deal(middle.where("phrase IS NULL").select(*names), plan.parts, plan, narrow=True), plan, _frequent)
+        last = _meet(store, small.unionByName(large), plan, _last(plan), _MINED)
+        parts = middle.where("phrase IS NOT NULL").select(*phrases).unionByName(last.where("phrase IS NOT NULL").select(*phrases))
+        summed = parts.groupBy("lang", "phrase").agg(F.max("size").alias("size"), F.sum("f").alias("f"))
+        return space.keep(written(summed.where((F.col("size") == 0) | (F.col("f") >= LEAST)), "phrases"))
 
 
 def mine(docs: DataFrame, top: int = TOP, plan: Plan | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
