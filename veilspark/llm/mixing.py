@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import Space, pick, with_row, written
+from .workspace import Space, joined_by, pick, with_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -169,7 +169,7 @@ def mixed_documents(docs: DataFrame, source: str = "source", weights: tuple[int,
         rows, ident = with_row(docs)
         copies = _mixed(rows, ident, source, weights, most, seed).where("copies > 0")
         taken = space.keep(written(copies.select(*[F.col(n).alias(c) for c, n in zip(ident, ("file", "place"))], F.col("copies").alias("_veil_copies")), "copies"))
-    again = rows.join(taken, list(ident)).withColumn("_veil_k", F.explode(F.sequence(F.lit(1), F.col("_veil_copies"))))
+    again = rows.join(joined_by(taken), list(ident)).withColumn("_veil_k", F.explode(F.sequence(F.lit(1), F.col("_veil_copies"))))
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from . import textvec as tv
 from .components import components
-from .workspace import Space, drop_written, pick, with_row, written
+from .workspace import Space, drop_written, joined_by, pick, with_row, written
 
 PERMUTATIONS = 64
 PER_BAND = 2
@@ -237,7 +237,7 @@ def keep_one(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
         good = _judged(rows, ident, width).where("kept")
         one = good.where("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct(*ident)).alias("r")).select("r.*")
         stay = space.keep(written(one.unionByName(good.where("doc_id IS NULL").select(*ident)), "stay"))
-    return rows.join(stay, list(ident), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(joined_by(stay), list(ident), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

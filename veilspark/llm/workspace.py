@@ -125,6 +125,15 @@ def with_row(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     return out, ROW
 
 
+#: Rows of decisions (places and numbers) that are broadcast, about 64 MB in memory; counted, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def joined_by(decisions: DataFrame) -> DataFrame:
+    """A narrow stored table as the side of a join: broadcast if it is counted to be small."""
+    return F.broadcast(decisions) if decisions.count() <= BROADCAST_ROWS else decisions
+
+
 def file_system(path: str):
     """The ``pyarrow.fs`` file system of a folder that all share, and the folder's path in it."""
     from pyarrow import fs
