@@ -56,7 +56,7 @@ def _compiled(index: int) -> tuple[re.Pattern, re.Pattern | None, re.Pattern | N
 
 def _match(rule: Rule, index: int, text: str, low: str) -> Iterator[tuple]:
     pattern, context, digits = _compiled(index)
-    if rule.needs and not any(x in (low if rule.ignore_case else text) for x in rule.needs) or digits and not digits.search(text):
+    if rule.needs and not any(x in (low if rule.ignore_case else text) for x in rule.needs) or rule.needs_low and not any(x in low for x in rule.needs_low) or digits and not digits.search(text):
         return
     valid = VALIDATORS.get(rule.validator or "")
     for m in pattern.finditer(text):

@@ -29,6 +29,8 @@ class Rule:
     #: One of these must occur in the text (lower-cased if ignore_case); a cheap test before the pattern.
     needs: tuple[str, ...] = field(default=())
     needs_digits: int = 0
+    #: One of these must occur in the lower-cased text, whatever the case of the rule.
+    needs_low: tuple[str, ...] = field(default=())
 
 
 # Classes, those never released, and the rules' words.
@@ -75,7 +77,7 @@ def whole(words: str) -> str:
 # Shapes, scores and contexts of the rules, in order.
 RULES: tuple[Rule, ...] = (
     Rule("secret.jwt", "SECRET", 0.99, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needs=("eyJ",)),
-    Rule("secret.key", "SECRET", 0.99, r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|rzp_(?:live|test)_[A-Za-z0-9]{14,})(?![A-Za-z0-9])", needs=("AKIA", "sk-", "gh", "xox", "_live_", "_test_", "AIza")),
+    Rule("secret.key", "SECRET", 0.99, r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|rzp_(?:live|test)_[A-Za-z0-9]{14,})(?![A-Za-z0-9])", needs=("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "_live_", "_test_", "AIza")),
     Rule("secret.label", "SECRET", 0.90, r"[A-Za-z0-9_\-+/]{20,}={0,2}", before=r"""(?<![A-Za-z])(?:api[ _-]?key|secret(?:[ _-]?key)?|access[ _-]?token|auth[ _-]?token|client[ _-]?secret|private[ _-]?key)[^\n:=]{0,12}[:=][ \t]*["']?""", ignore_case=True, validator="digit_and_letter", needs=("key", "secret", "token")),
     Rule("secret.bearer", "SECRET", 0.95, r"[A-Za-z0-9._~+/-]{20,}=*", before="Bearer[{B}]+", needs=("Bearer",)),
     Rule("email", "EMAIL", 0.99, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])", needs=("@",)),
@@ -97,13 +99,13 @@ RULES: tuple[Rule, ...] = (
     Rule("voter.epic", "VOTER_ID", 0.88, r"(?<![A-Z0-9])[A-Z]{3}[0-9]{7}(?![A-Z0-9])", context="(?i)(?:" + whole("epic") + "|voter|elector|मतदाता)", needs_digits=7),
     Rule("driving.licence", "DRIVING_LICENCE", 0.90, r"(?<![A-Z0-9])[A-Z]{2}[- ]?[0-9]{2}[- ]?(?:19|20)[0-9]{2}[0-9]{7}(?![A-Z0-9])", needs_digits=11),
     Rule("ipv4", "IP_ADDRESS", 0.70, r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.])", needs=(".",), needs_digits=1),
-    Rule("person.honorific", "PERSON", 0.85, NAME, before=_WORD_START + r"(?:Mr|Mrs|Ms|Miss|Dr|Shri|Smt|Sri|Kumari|Km|Prof)\.?[ \t]+"),
+    Rule("person.honorific", "PERSON", 0.85, NAME, before=_WORD_START + r"(?:Mr|Mrs|Ms|Miss|Dr|Shri|Smt|Sri|Kumari|Km|Prof)\.?[ \t]+", needs=("Mr", "Ms", "Miss", "Dr", "Shri", "Smt", "Sri", "Kumari", "Km", "Prof")),
     Rule("person.honorific.dev", "PERSON", 0.85, NAME_DEVANAGARI, before=r"(?:श्रीमती|श्री|सुश्री|कुमारी|डॉ\.?)[ \t]+", needs=("श्री", "सुश्री", "कुमारी", "डॉ")),
     Rule("person.relation", "PERSON", 0.85, ANY_NAME, before=_WORD_START + r"[SDWC]/[Oo][ \t]*:?[ \t]*", needs=("/O", "/o")),
     Rule("person.label", "PERSON", 0.80, ANY_NAME, before=f"(?:(?<![A-Za-z]){either_case(PERSON_LABELS)}|नाम)[ \\t]*[:：\\-–][ \\t]*", needs=(":", "：", "-", "–")),
     Rule("person.display_name", "PERSON", 0.85, NAME, after=r"[ \t]*<[ \t]*[^<>{B}@]+@", needs=("<",)),
-    Rule("person.salutation", "PERSON", 0.80, NAME, before=f"(?<![A-Za-z]){either_case(SALUTATIONS)}[ \\t]+(?:(?:Mr|Mrs|Ms|Dr|Shri|Smt)\\.?[ \\t]+)?", after="[ \\t]*[,!]", validator="greeted"),
-    Rule("person.signoff", "PERSON", 0.80, NAME_OF_TWO, before=f"(?<![A-Za-z]){either_case(SIGNOFFS)}[,.!]?[ \\t]*\\n[ \\t]*", after="(?=[ \\t]*(?:\\n|{END}))", needs=("\n",)),
+    Rule("person.salutation", "PERSON", 0.80, NAME, before=f"(?<![A-Za-z]){either_case(SALUTATIONS)}[ \\t]+(?:(?:Mr|Mrs|Ms|Dr|Shri|Smt)\\.?[ \\t]+)?", after="[ \\t]*[,!]", validator="greeted", needs=(",", "!"), needs_low=tuple(w + c for w in SALUTATIONS for c in " \t")),
+    Rule("person.signoff", "PERSON", 0.80, NAME_OF_TWO, before=f"(?<![A-Za-z]){either_case(SIGNOFFS)}[,.!]?[ \\t]*\\n[ \\t]*", after="(?=[ \\t]*(?:\\n|{END}))", needs=("\n",), needs_low=("regards", "thank", "sincerely", "yours")),
     Rule("person.narration", "PERSON", 0.85, r"[A-Z][A-Za-z.]*(?: [A-Z][A-Za-z.]*){0,3}", before=_WORD_START + "(?:UPI|IMPS|NEFT|RTGS)/(?:(?:DR|CR|P2A|P2M)/)?[A-Z0-9]{6,22}/", after="/", needs=("UPI/", "IMPS/", "NEFT/", "RTGS/")),
     Rule("person.before_phone", "PERSON", 0.70, NAME_OF_TWO, before="(?<![A-Za-z])", after=r"[ \t]*[·|,–-][ \t]*(?=(?:\+91[ -]?)?[6-9][0-9]{4}[ -]?[0-9]{5}(?![0-9]))", validator="no_heading", needs_digits=5),
     Rule("address.label", "ADDRESS", 0.80, r"[^\n\r  ]{8,160}?", before=r"(?:(?<![A-Za-z])(?:address|addr\.?)|पता)[ \t]*[:：\-–]?[ \t]+", after=r"(?=[{B}]*,?[{B}]*(?:IFSC|PAN|GSTIN|Aadhaar|email|mobile|account|phone|applicant|date of birth)(?![A-Za-z0-9_])|[{B}]*[.\n]|{END})", ignore_case=True, needs=("addr", "पता")),

@@ -53,15 +53,23 @@ def _worth(rule: Rule, text: Column) -> Column:
         for x in rule.needs:
             any_of = any_of | F.contains(low, F.lit(x))
         out = any_of
+    if rule.needs_low:
+        any_low = F.lit(False)
+        for x in rule.needs_low:
+            any_low = any_low | F.contains(F.lower(text), F.lit(x))
+        out = out & any_low
     if rule.needs_digits:
         out = out & text.rlike(f"[0-9]{{{rule.needs_digits}}}")
     return out
 
 
-def rule_spans(text: Column, name: str) -> Column:
-    """``array<struct>`` of a rule's spans in text order; empty for null text."""
+def rule_spans(text: Column, name: str, checked: bool = True) -> Column:
+    """``array<struct>`` of a rule's spans in text order; empty for null text.
+
+    Without ``checked`` the text has ASCII digits and what the rule needs already.
+    """
     rule = by_name(name)
-    norm = normalize_digits(text)
+    norm = normalize_digits(text) if checked else text
     pattern, grouped = java_pattern(rule)
     whole = F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
     before = F.regexp_extract_all(norm, F.lit(pattern), F.lit(1)) if grouped else F.transform(whole, lambda _: F.lit(""))
@@ -87,7 +95,7 @@ def rule_spans(text: Column, name: str) -> Column:
             F.lit(rule.score).alias("score"), F.lit(rule.name).alias("rule"), F.lit(INDEX[rule.name]).alias("rule_idx"),
         ),
     )
-    return F.when(text.isNotNull() & _worth(rule, norm), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.isNotNull() & _worth(rule, norm) if checked else F.lit(True), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def all_rule_spans(text: Column, exclude: tuple[str, ...] = ()) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import detect, layout, metrics, names, resolve, spans
+from ..operators import detect, layout, metrics, names, native, resolve, spans
 from ..operators.rules import by_name
 
 QUERIES, ORACLE = {}, {}
@@ -282,11 +282,12 @@ UNION ALL SELECT conv_id, turn, 'phone.in', 'PHONE', (length(text) + 7 + length(
 
 
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.spans_table(spread(read(spark, sf_dir, "documents")), ["doc_id"])
+    """The whole detector, without a Python worker."""
+    return native.spans_table(spread(read(spark, sf_dir, "documents")), ["doc_id"])
 
 
 def detect_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.spans_table(spread(read(spark, sf_dir, "conversations")), ["conv_id", "turn"])
+    return native.spans_table(spread(read(spark, sf_dir, "conversations")), ["conv_id", "turn"])
 
 
 QUERIES["detect_documents"] = detect_documents
