@@ -94,20 +94,23 @@ def _by(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def running_max(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Rows with the greatest ``value`` of the rows before them (by ``order``, within ``keys``), without bringing a key's rows together.
+def running(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, how: str = "max") -> DataFrame:
+    """Rows with the greatest ``value`` (or the ``sum``, from 0) of the rows before them by ``order`` within ``keys``, without bringing a key's rows together.
 
-    Rows are sorted into ranges; what the ranges before one have reached for its first key is added to it.
+    Rows are sorted into ranges; what the ranges before one have reached for its keys is added to it.
     """
+    fold = {"max": F.max, "sum": F.sum}[how]
     ranged = rows.withColumn("_value_", value).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     stored = written(ranged.sortWithinPartitions(*keys, *order), "ranged")
     # Rows of one order are told apart by their place.
     here = Window.partitionBy("_range", *keys).orderBy(*order, "_place").rowsBetween(Window.unboundedPreceding, -1)
-    local = stored.withColumn("_place", F.monotonically_increasing_id()).withColumn("_local", F.max("_value_").over(here))
-    reached = stored.groupBy("_range", *keys).agg(F.max("_value_").alias("reach"))
-    before = reached.select("_range", *keys, F.max("reach").over(_by(keys, ["_range"]).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    before = before.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    local = stored.withColumn("_place", F.monotonically_increasing_id()).withColumn("_local", fold("_value_").over(here))
+    reached = stored.groupBy("_range", *keys).agg(fold("_value_").alias("reach"))
+    before = reached.select("_range", *keys, fold("reach").over(_by(keys, ["_range"]).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    before = before.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_before").alias("_carried"))
     on = F.col("_range") == F.col("_r")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return local.join(before, on).select(*rows.columns, F.greatest("_local", "_before").alias(name))
+    none = F.lit(0)
+    both = F.greatest("_local", "_carried") if how == "max" else F.coalesce("_local", none) + F.coalesce("_carried", none)
+    return local.join(before, on).select(*rows.columns, both.alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import running
+
 from .geometry import clipped, covered_area, overlap_share
 
 COVERED, ON_TRUTH = 0.9, 0.5
@@ -22,13 +24,16 @@ def percent(part: Column, whole: Column) -> Column:
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per key, for each name its share p: the entry at index floor(p * n) of the sorted values, at most the last; and the ``peak``.
 
-    Values are counted first (combined before the shuffle), so what is ordered are a
-    key's distinct values with running counts. Nulls do not count.
+    Values are counted first (combined before the shuffle), then the distinct ones are sorted into ranges
+    whose counts are carried on, so a key with very many values is not ordered in one task. Nulls do not count.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(by.orderBy(value))
-    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(by))
+    before = running(counts, keys, [value], F.col("_n"), "_before", "sum")
+    totals = before.groupBy(*keys).agg(F.sum("_n").alias("_all")).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_all")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    placed = before.join(totals, on).withColumn("_upto", F.col("_before") + F.col("_n"))
     at = lambda p: F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1)
     picked = [F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()]
     return placed.groupBy(*keys).agg(*picked, F.max(value).alias("peak"))
@@ -108,15 +113,23 @@ def report(items: DataFrame, pages: DataFrame, detections: DataFrame, by: list[s
 
 def choose_threshold(scored: DataFrame, sensitive: list[str]) -> DataFrame:
     """Per class the threshold of the grid: among those with enough recall and precision
-    the lowest (sensitive classes) or highest; else the one with the best F1."""
-    grid = F.explode(F.array(*map(F.lit, GRID))).alias("t")
-    at = scored.select("pii_class", "score", "hit", grid).groupBy("pii_class", "t").agg(F.count_if((F.col("score") >= F.col("t")) & F.col("hit")).alias("tp"), F.count_if((F.col("score") >= F.col("t")) & ~F.col("hit")).alias("fp"), F.count_if("hit").alias("n"))
-    p = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
-    r = F.coalesce(F.try_divide("tp", "n"), F.lit(0.0))
-    at = at.withColumn("p", p).withColumn("r", r).withColumn("f", F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)))
-    ok = F.when((F.col("r") >= LEAST_RECALL) & (F.col("p") >= LEAST_PRECISION), F.col("t"))
-    best = at.groupBy("pii_class").agg(F.min(ok).alias("low"), F.max(ok).alias("high"), F.max_by("t", F.struct("f", "r", "p", "t")).alias("best"))
-    return best.select("pii_class", F.coalesce(F.when(F.col("pii_class").isin(*sensitive), F.col("low")).otherwise(F.col("high")), F.col("best")).alias("threshold"))
+    the lowest (sensitive classes) or highest; else the one with the best F1.
+
+    One histogram: each score counts at the number of thresholds that it reaches, and a threshold's hits
+    are those of the counts above its place. Null scores reach none, null hits do not count.
+    """
+    reached = sum((F.when(F.col("score") >= t, 1).otherwise(0) for t in GRID[1:]), F.when(F.col("score") >= GRID[0], 1).otherwise(0))
+    counts = scored.groupBy("pii_class", reached.alias("at")).agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    # At most one entry for each threshold, and one for none.
+    each = counts.groupBy("pii_class").agg(F.collect_list(F.struct("at", "hits", "misses")).alias("bars"), F.sum("hits").alias("n"))
+    above = lambda name, i: F.aggregate(F.filter("bars", lambda b: b["at"] > i), F.lit(0).cast("long"), lambda a, b: a + b[name])
+    share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+    tally = F.transform(F.array(*map(F.lit, GRID)), lambda t, i: F.struct(t.alias("t"), above("hits", i).alias("tp"), above("misses", i).alias("fp")))
+    rates = F.transform(tally, lambda x: F.struct(x["t"].alias("t"), share(x["tp"], x["tp"] + x["fp"]).alias("p"), share(x["tp"], F.col("n")).alias("r")))
+    judged = F.transform(rates, lambda x: F.struct(share(2 * x["p"] * x["r"], x["p"] + x["r"]).alias("f"), x["r"].alias("r"), x["p"].alias("p"), x["t"].alias("t")))
+    good = F.transform(F.filter("judged", lambda x: (x["r"] >= LEAST_RECALL) & (x["p"] >= LEAST_PRECISION)), lambda x: x["t"])
+    chosen = F.when(F.col("pii_class").isin(*sensitive), F.array_min(good)).otherwise(F.array_max(good))
+    return each.withColumn("judged", judged).select("pii_class", F.coalesce(chosen, F.array_max("judged")["t"]).alias("threshold"))
 
 
 def class_hits(truth: DataFrame, items: DataFrame, page: str, value: str) -> DataFrame:

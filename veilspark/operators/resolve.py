@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import running_max
+from ..functions.tables import running
 from .rules import BLANK
 from .spans import SPAN
 
@@ -116,9 +116,9 @@ def resolve_table(spans: DataFrame, key: list[str], value: str | None = None) ->
     """
     names = ["start", "end", "pii_class", "score", "rule", "rule_idx"]
     rows = spans.select(F.struct(*key).alias("_key"), *names, (F.col(value) if value else F.lit(None).cast("string")).alias("_value"))
-    swept = running_max(rows, ["_key"], ["start", "end"], F.col("end"), "_reach")
+    swept = running(rows, ["_key"], ["start", "end"], F.col("end"), "_reach")
     opens = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), F.col("start"))
-    grouped = running_max(swept.withColumn("_opens", opens), ["_key"], ["start", "end", "_reach"], F.col("_opens"), "_before")
+    grouped = running(swept.withColumn("_opens", opens), ["_key"], ["start", "end", "_reach"], F.col("_opens"), "_before")
     group = F.coalesce("_opens", "_before").alias("_group")
 
     @F.pandas_udf(f"array<{SPAN}>")

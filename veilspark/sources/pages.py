@@ -9,8 +9,10 @@ label once a worker.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,6 +59,8 @@ class _Page(HTMLParser):
         self.root = Element("", {}, None, 0)
         self.stack: list[Element] = []
         self.elements: list[Element] = []
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.by_id: dict[str, Element] = {}
         self.owners: list[Element] = []
         self.opaque: list[tuple] = []
@@ -77,37 +81,45 @@ class _Page(HTMLParser):
         self.gap = ""
 
     def _open(self, tag: str, attrs: dict) -> Element:
-        closed = CLOSED_BY.get(tag, ())
-        for i in range(len(self.stack) - 1, -1, -1) if closed else ():
-            if self.stack[i].tag in SCOPES:
-                break
-            if self.stack[i].tag in closed:
-                self._close(i)
+        if closed := CLOSED_BY.get(tag):
+            scope = max((self.open[t][-1] for t in SCOPES if self.open.get(t)), default=-1)
+            outer = [places[bisect_right(places, scope)] for t in closed if (places := self.open.get(t)) and places[-1] > scope]
+            if outer:
+                self._close(min(outer))
         if tag == "tr" and self.stack and self.stack[-1].tag == "table":
-            self.stack.append(self._open("tbody", {}))
-        if tag in BLOCK and self.stack:
-            i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag in BLOCK), None)
-            if i is not None and self.stack[i].tag == "p":
-                self._close(i)
+            self._push(self._open("tbody", {}))
+        if tag in BLOCK and self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self._close(self.blocks[-1])
         e = Element(tag, attrs, self.stack[-1] if self.stack else self.root, len(self.elements))
         e.hidden = e.hidden or tag in SKIP
         self.elements.append(e)
         if attrs.get("id"):
             self.by_id.setdefault(attrs["id"], e)
+        # What stands below an element also stands below those around it, so the walks up end early.
         if tag in CONTROLS:
-            for a in e.ancestors():
+            for a in takewhile(lambda x: x.controls < 2, e.ancestors()):
                 a.controls += 1
         elif tag == "button":
-            for a in e.ancestors():
+            for a in takewhile(lambda x: not x.has_button, e.ancestors()):
                 a.has_button = True
         elif tag == "tr":
-            for a in e.ancestors():
-                if a.tag == "table" and a.first_row is None:
-                    a.first_row = e
+            for a in takewhile(lambda x: x.first_row is None, (x for x in e.ancestors() if x.tag == "table")):
+                a.first_row = e
         return e
 
+    def _push(self, e: Element) -> None:
+        """Open elements are also known by tag, and blocks by their depth, so no tag has to search the stack."""
+        self.open.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
     def _close(self, depth: int) -> None:
+        for e in self.stack[depth:]:
+            self.open[e.tag].pop()
         del self.stack[depth:]
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
         while self.truth_depth and self.truth_depth[-1] > len(self.stack):
             self.truth_depth.pop()
 
@@ -141,7 +153,7 @@ class _Page(HTMLParser):
         if tag in ("iframe", "frame", "embed", "object"):
             self.opaque.append((tag, a.get("src") or a.get("data") or ""))
         if tag not in VOID:
-            self.stack.append(e)
+            self._push(e)
             if "data-gt" in a:
                 self.truth.append([a["data-gt"], ""])
                 self.truth_depth.append(len(self.stack))
@@ -159,9 +171,8 @@ class _Page(HTMLParser):
         elif tag == "textarea" and self.area is not None:
             self.fields[-1]["value"] = "".join(self.area)
             self.area = None
-        i = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag), None)
-        if i is not None:
-            self._close(i)
+        if self.open.get(tag):
+            self._close(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if self.label:
