@@ -226,6 +226,47 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["policy_decisions"] = policy_decisions
 ORACLE["policy_decisions"] = "SELECT case_id, verdict, reasons FROM (VALUES " + ", ".join(f"({i}, {_sql(v)}, {_sql(r)})" for i, (_, _, v, r) in enumerate(POLICY_CASES)) + ") AS t(case_id, verdict, reasons)"
 
+_ORDERS_ACTION = """named_struct('type', element_at(array('click', 'hover', 'type', 'key', 'navigate', 'scroll', 'fly', 'click'), CAST(k % 8 + 1 AS int)), 'text', CASE WHEN k % 3 = 0 THEN 'mail user@x.example' ELSE 'hello' END,
+  'url', element_at(array('https://a.example/p', 'https://b.example/p', 'ftp://x', 'https://a.example/?q=user@x.example', 'see [EMAIL_1]'), CAST(k % 5 + 1 AS int)),
+  'keys', element_at(array(array('Tab'), array('Enter'), array('Control', 'a'), array('Control', 'w')), CAST(c % 4 + 1 AS int)), 'press_enter', c % 6 = 0)"""
+_ORDERS_TARGET = """CASE WHEN k % 13 > 0 THEN named_struct('tag', CASE WHEN c % 2 = 0 THEN 'button' ELSE 'a' END, 'role', CAST(NULL AS string), 'input_type', CASE WHEN c % 9 = 0 THEN 'file' END,
+  'field_class', CASE c % 10 WHEN 0 THEN 'PASSWORD' WHEN 1 THEN 'EMAIL' END, 'name', element_at(array('Next', 'Pay now', 'Delete row', 'Open'), CAST(c % 4 + 1 AS int)), 'origin', 'https://a.example',
+  'href', CASE c % 5 WHEN 0 THEN 'https://b.example/x' WHEN 1 THEN 'https://a.example/y' END, 'editable', c % 3 > 0, 'occluded', k % 7 = 0, 'opaque', k % 11 = 0) END"""
+
+
+def policy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action on a target for each order, by the digits of its key and customer: every kind of action, with and without a target."""
+    rows = spread(read(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_custkey AS c")).selectExpr("k", f"{_ORDERS_ACTION} AS action", f"{_ORDERS_TARGET} AS target")
+    got = policy.evaluate(F.col("action"), F.col("target"), F.lit(_A))
+    return rows.select("k", got.alias("d")).select("k", "d.verdict", F.array_join("d.reasons", "|").alias("reasons"))
+
+
+QUERIES["policy_orders"] = policy_orders
+ORACLE["policy_orders"] = """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, k % 8 AS a, k % 13 = 0 AS missing, k % 11 = 0 AS opaque, k % 7 = 0 AS occluded, ['Next', 'Pay now', 'Delete row', 'Open'][c % 4 + 1] AS name FROM orders
+), d AS (SELECT k, CASE
+  WHEN a IN (0, 7) THEN CASE WHEN missing THEN [(2, 'no element at that point')] ELSE [CASE WHEN opaque THEN (2, 'target is inside an opaque frame') END, CASE WHEN occluded THEN (2, 'target is covered by another element') END, CASE WHEN c % 9 = 0 THEN (1, 'opens a file upload') END,
+    CASE WHEN c % 2 = 0 AND c % 4 IN (1, 2) THEN (1, '"' || name || '" may be irreversible') END, CASE WHEN c % 5 = 0 THEN (1, 'link leaves the current site') END] END
+  WHEN a = 1 THEN [CASE WHEN missing OR opaque THEN (2, 'no element at that point') WHEN occluded THEN (2, 'target is not visible') END]
+  WHEN a = 2 THEN CASE WHEN missing THEN [(2, 'no field at that point')] WHEN opaque THEN [(2, 'field is inside an opaque frame')] WHEN occluded THEN [(2, 'field is covered by another element')] WHEN c % 3 = 0 THEN [(2, 'target is not editable')]
+    WHEN c % 10 = 0 THEN [(2, 'PASSWORD must be entered by the user')] ELSE [CASE WHEN k % 3 = 0 THEN (1, 'text contains untokenized EMAIL') END, CASE WHEN c % 6 = 0 THEN (1, 'presses Enter, which may submit the form') END] END
+  WHEN a = 3 THEN [CASE c % 4 WHEN 1 THEN (1, 'Enter may submit the form') WHEN 3 THEN (2, 'key Control+w is not allowed') END]
+  WHEN a = 4 THEN [CASE k % 5 WHEN 1 THEN (1, 'navigates to https://b.example') WHEN 2 THEN (2, 'scheme ftp: not allowed') WHEN 3 THEN (2, 'the URL contains personal data') WHEN 4 THEN (2, 'tokens are never substituted into URLs') END]
+  WHEN a = 6 THEN [(2, 'unknown action')] ELSE [] END AS f FROM r
+), g AS (SELECT k, list_filter(f, lambda x: x IS NOT NULL) AS f FROM d)
+SELECT k, ['allow', 'confirm', 'deny'][coalesce(list_max(list_transform(f, lambda x: x[1])), 0) + 1] AS verdict, coalesce(array_to_string(list_transform(f, lambda x: x[2]), '|'), '') AS reasons FROM g"""
+
+
+def fields_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One form field for each customer, of the kinds of FIELD_CASES in turn."""
+    cases = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("type", "autocomplete", "label", "name"), r)]) for r in FIELD_CASES])
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.element_at(cases, (F.col("c_custkey") % len(FIELD_CASES) + 1).cast("int")).alias("f"))
+    got = rows.select("k", fields.classify(F.col("f.type"), F.col("f.autocomplete"), label=F.col("f.label"), name=F.col("f.name")).alias("c"))
+    return got.select("k", "c.pii_class", "c.source")
+
+
+QUERIES["fields_of_customers"] = fields_of_customers
+ORACLE["fields_of_customers"] = "SELECT c_custkey AS k, pii_class, source FROM customer JOIN (VALUES " + ", ".join(f"({i}, {_sql(r[4])}, {_sql(r[5])})" for i, r in enumerate(FIELD_CASES)) + f") AS t(i, pii_class, source) ON c_custkey % {len(FIELD_CASES)} = i"
+
 # --- the tripwire -----------------------------------------------------------------------------
 
 
@@ -312,19 +353,26 @@ QUERIES["leak_cases"] = leak_cases
 ORACLE["leak_cases"] = "SELECT c_custkey AS k, case_id, leaks FROM customer, (VALUES " + ", ".join(f"({i}, '{c}')" for i, (_, c) in enumerate(LEAK_CASES)) + ") AS t(case_id, leaks)"
 
 
-def step_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _looped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step request per customer through audit, reply and action: one in five leaks, one in seven echoes a leak, one in eleven can't be read."""
     body = """'{"task_id": "t' || CAST(k AS string) || '", "instruction": "' || CASE WHEN k % 5 = 0 THEN 'mail a@b.example' ELSE 'fill the form' END || '", "legend": [], "viewport": {"width": 1440, "height": 900}, "observations": [' || CASE WHEN k % 7 = 0 THEN '{"screenshot": null, "url": "https://a.example/", "text_observation": "x", "user_response": ""}, ' ELSE '' END || '{"screenshot": null, "url": "https://a.example/", "text_observation": "x", "user_response": ""}], "assistant_turns": [' || CASE WHEN k % 7 = 0 THEN '"typed a@b.example"' ELSE '' END || ']}'"""
     reply = """'Go.\\n<tool_call>\\n{"name": "computer_use", "arguments": ' || CASE WHEN k % 2 = 0 THEN '{"action": "left_click", "coordinate": [500, 500]}' ELSE '{"action": "scroll", "pixels": -100}' END || '}\\n</tool_call>'"""
     rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"CASE WHEN k % 11 = 0 THEN '{{' ELSE {body} END AS value", f"{reply} AS reply")
-    out = steps.step_loop(formats.step_requests(spread(rows)))
-    return out.select("k", "verdict", F.array_join("leaks", ",").alias("leaks"), "echo", "action.type", "thoughts")
+    return steps.step_loop(formats.step_requests(spread(rows)))
+
+
+def step_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _looped(spark, sf_dir).select("k", "verdict", F.array_join("leaks", ",").alias("leaks"), "echo", "action.type", "thoughts")
 
 
 QUERIES["step_loop"] = step_loop
 ORACLE["step_loop"] = """SELECT k, v AS verdict, CASE WHEN v = 'blocked' THEN 'EMAIL' ELSE '' END AS leaks, v = 'answered' AND k % 7 = 0 AS echo, CASE WHEN v = 'answered' THEN CASE WHEN k % 2 = 0 THEN 'click' ELSE 'scroll' END END AS type, CASE WHEN v = 'answered' THEN 'Go.' END AS thoughts
 FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'refused' WHEN c_custkey % 5 = 0 THEN 'blocked' ELSE 'answered' END AS v FROM customer)"""
 
+QUERIES["loop_counters"] = lambda spark, sf_dir: steps.loop_counters(_looped(spark, sf_dir))
+ORACLE["loop_counters"] = """SELECT count_if(v = 'answered')::BIGINT AS steps, count_if(v = 'blocked')::BIGINT AS leaks_blocked, count_if(v = 'answered' AND k % 7 = 0)::BIGINT AS model_echoes
+FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 0 THEN 'refused' WHEN c_custkey % 5 = 0 THEN 'blocked' ELSE 'answered' END AS v FROM customer)"""
+
 # --- trajectories: conversations as steps ---------------------------------------------------------
 
 
