@@ -8,8 +8,7 @@ counts.
 
 Training takes only text and lang of rows whose crc32 of the doc_id as text is
 not 0 modulo 5, a sample of about ``MAX_WINDOWS`` windows over all languages
-(the documented bound; of more than ``MAX_LANGUAGES`` languages the most frequent are
-learned), chosen by hash so that reruns agree. The model
+(the documented bound), chosen by hash so that reruns agree. Every language is learned. The model
 (about 50 KB) travels with the function.
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; null
@@ -39,8 +38,6 @@ MAX_WINDOWS = 24_000
 PER_DOCUMENT = 6
 EPOCHS = 4
 UNKNOWN = "und"
-#: The most frequent languages that are learned.
-MAX_LANGUAGES = 512
 _BLOCK, _SOME = 512, 16_384
 
 
@@ -173,17 +170,16 @@ def held_out() -> Column:
 def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Model | None:
     """Train on a sample of the rows that are not held out."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string")).alias("pick"))
-    # The most frequent languages, at most MAX_LANGUAGES rows, come to the driver and are broadcast.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    # One row for each language, the classes of the model, comes to the driver and is broadcast.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(1, max_windows // (PER_DOCUMENT * len(counts)))
     rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, rate double")
     share = F.pmod(F.col("pick"), F.lit(1 << 40)) / float(1 << 40)
-    got = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select("lang", "text", "pick").mapInArrow(_sample, "lang string, pick long, bytes binary").toPandas()
+    got = rows.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select("lang", "text", "pick").mapInArrow(_sample, "lang string, pick long, bytes binary").orderBy("pick", "bytes").limit(2 * max_windows).toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["pick", "bytes"], kind="stable").head(2 * max_windows)
     classes = sorted(counts)
     x = np.frombuffer(b"".join(got["bytes"]), np.uint8).reshape(-1, LENGTH).copy()
     y = got["lang"].map({c: i for i, c in enumerate(classes)}).to_numpy(np.int64)

@@ -24,14 +24,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Space, joined_by, pick, with_row, written
+from ..functions.tables import numbered
+from .workspace import Space, drop_written, joined_by, pick, with_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 BLOCK = 4096
+#: A block with so many times BLOCK rows is dealt again.
+CROWDED = 4
 FAN_IN = 64
 WEIGHTS = (1, 2, 3)
 
@@ -41,23 +44,23 @@ _SCHEMA = "file long, place long, doc_id long, source string, size long, source_
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """From (source, source_size, n) the target of each source and its copies per document.
 
-    In order of cap over weight a source is capped if its cap is below what the
-    words left by those before it give it by weight. One row per source: the
-    ordered windows never see documents.
+    Every source gets words by weight up to a common level, or its cap. A source whose cap is below the level
+    is capped, which raises the level of the others; a few rounds of sums over all sources settle it. Sources are numbered in
+    sorted ranges, so they may be as many as documents. Sums are of whole numbers, the same in any order.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    index = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    s = sources.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (index + 1).cast("int")))
-    s = s.withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("w"))
-    every = Window.partitionBy()
-    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap")
-    weight_left = F.sum("w").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.sum("source_size").over(every) - before) / weight_left)
-    s = s.withColumn("open", F.when(F.col("ratio") >= F.col("level"), F.col("level")))
-    # Beyond the first open source the levels only fall.
-    level = F.max("open").over(every)
-    target = F.when(F.col("open").isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))
+    ordered = numbered(sources.withColumn("_order", F.struct(F.col("source").isNull().alias("last"), "source")), [], "_order")
+    index = F.pmod(F.col("number") - 1, F.lit(len(weights)))
+    s = ordered.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (index + 1).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * most)
+    s = written(s.select("source", "source_size", "n", "w", "cap"), "sources")
+    drop_written(ordered)
+    level, before = 0.0, None
+    while level != before:
+        capped = F.col("cap") < F.lit(level) * F.col("w")
+        got = s.agg(F.sum("source_size").alias("all"), F.sum(F.when(capped, F.col("cap"))).alias("capped"), F.sum(F.when(~capped, F.col("w"))).alias("open")).first()
+        before = level
+        if got["open"]:
+            level = max(level, (got["all"] - (got["capped"] or 0)) / got["open"])
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w"))
     return s.withColumn("target", target).select("source", "source_size", "n", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("copies"))
 
 
@@ -148,6 +151,14 @@ def _mixed(rows: DataFrame, ident: tuple[str, ...], source: str, weights: tuple[
         F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("file", "place")), "size"), blocks).cast("long").alias("block"), F.lit(None).cast("int").alias("extra"),
     )
     largest = sources.agg(F.max("n")).first()[0] or 0
+    crowded = written(dealt.groupBy("source", "block").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWDED * BLOCK).select(F.col("source").alias("s"), F.col("block").alias("b")), "crowded")
+    if crowded.limit(1).count():
+        # Rows of one id and size share a block; where they are too many, they are dealt by their places to as many blocks again.
+        full = F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+        other = goal.select(F.col("s").alias("_source"), blocks.cast("long").alias("_blocks"))
+        dealt = dealt.join(joined_by(crowded), full, "left").join(other, F.col("source").eqNullSafe(F.col("_source")))
+        dealt = dealt.withColumn("block", F.when(F.col("b").isNotNull(), F.col("_blocks") + F.pmod(F.xxhash64("file", "place"), F.col("_blocks"))).otherwise(F.col("block"))).drop("s", "b", "_source", "_blocks")
+        largest *= 2
     levels = 1 + math.ceil(math.log(max(1, largest / BLOCK), FAN_IN))
     if FAN_IN ** (levels - 1) * BLOCK < largest:
         levels += 1

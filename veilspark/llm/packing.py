@@ -140,7 +140,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    table = written(pieces(docs, tokenizer_path, size, end, keep_ids), "pieces")
+    # The number of a row, fixed as it is written, spreads equal rows as well as others.
+    table = written(pieces(docs, tokenizer_path, size, end, keep_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     # At most `size` rows come to the driver.
     histogram = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}
     segments = bin_plan(histogram, size)
@@ -149,14 +150,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, e
         own = np.array(sorted(s[1:] for s in segments if s[0] == n), np.int64)
         plan[n] = (own[:, 0], own[:, 2], own[:, 3])
     buckets = max(64, -(-sum(histogram.values()) // BUCKET_ROWS))
-    salted = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    local = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    salted = table.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    local = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "_row")
     ranked = salted.withColumn("r", F.row_number().over(local) - 1)
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     ranked = ranked.join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
-    placed = ranked.select(*table.columns, (F.col("before") + F.col("r")).alias("rank"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
+    own = [c for c in table.columns if c != "_row"]
+    placed = ranked.select(*own, (F.col("before") + F.col("r")).alias("rank"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema if f.name in own) + ", sequence_id long, offset long"
     return placed.mapInArrow(_placer(plan), schema)
 
 

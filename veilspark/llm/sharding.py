@@ -28,7 +28,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import pick
+from .workspace import pick, written
 
 RING = 16384
 VIRTUAL_NODES = 64
@@ -96,13 +96,15 @@ def assign(df: DataFrame, key: str, payload: list, shards: int = SHARDS) -> Data
     hot = [p for p, n in counts.items() if n > max(HOT_ROWS, HOT_SHARE * sum(counts.values()) // RING)]
     if hot:
         few = F.broadcast(spark.createDataFrame([(p, True) for p in hot], "pos int, hot boolean"))
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(2)), F.lit(SALTS))).otherwise(0)
-        salted = placed.join(few, "pos", "left").withColumn("salt", salt.cast("int")).drop("hot")
+        # Rows of hot positions are written with a number each, so that equal rows are spread as well.
+        fixed = written(placed.join(few.select("pos"), "pos", "left_semi").withColumn("_row", F.monotonically_increasing_id()), "hot").withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)))
         # At most SALTS rows for each hot position: a bounded table.
-        pieces = salted.join(few, "pos", "left_semi").groupBy("pos", "salt").count()
+        pieces = fixed.groupBy("pos", "salt").count()
         before = pieces.select("pos", "salt", (F.sum("count").over(Window.partitionBy("pos").orderBy("salt")) - F.col("count")).alias("before"))
-        local = F.row_number().over(Window.partitionBy("pos", "salt").orderBy(*order)) - 1
-        ranked = salted.withColumn("local", local).join(F.broadcast(before), ["pos", "salt"], "left").withColumn("rank", F.col("local") + F.coalesce("before", F.lit(0)))
+        local = F.row_number().over(Window.partitionBy("pos", "salt").orderBy(*order, "_row")) - 1
+        spread = fixed.withColumn("local", local).join(F.broadcast(before), ["pos", "salt"]).withColumn("rank", F.col("local") + F.col("before")).select(*placed.columns, "rank")
+        cold = placed.join(few.select("pos"), "pos", "left_anti")
+        ranked = cold.withColumn("rank", F.row_number().over(Window.partitionBy("pos").orderBy(*order)) - 1).select(*placed.columns, "rank").unionByName(spread)
     else:
         ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("pos").orderBy(*order)) - 1)
     # The plan has RING rows plus one per split position: a bounded broadcast.
