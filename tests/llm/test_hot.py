@@ -36,7 +36,7 @@ def test_mixing_deals_a_crowded_block_again(spark, equal, monkeypatch):
     monkeypatch.setattr(mixing, "_rounder", seen)
     out = mixing.mix(equal).cache()
     assert out.count() == N + 50 and len(sizes) >= 2
-    for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"), F.max(F.col("taken") / F.col("size")).alias("most")).collect():
+    for r in out.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size"), F.max(F.col("taken") / F.col("size")).alias("most")).collect():
         assert abs(r.taken - r.target) <= 2 * r.size and r.most <= mixing.MOST_COPIES
 
 
