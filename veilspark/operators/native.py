@@ -8,6 +8,7 @@ an e-mail address below a name, or a known name. Null and empty texts have no sp
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 from pyspark import SparkContext
@@ -21,7 +22,7 @@ from .rules import BLANK, DEVANAGARI, RULES
 from .spans import SPAN, normalize_digits, rule_spans
 
 _NONE = f"array<{SPAN}>"
-_NORM, _LOW, _RUN, _RAW = "_veil_norm", "_veil_low", "_veil_run", "_veil_raw"
+_NORM, _LOW, _RUN, _CAPS, _RAW = "_veil_norm", "_veil_low", "_veil_run", "_veil_caps", "_veil_raw"
 
 
 def _whole(pattern: str) -> str:
@@ -184,23 +185,25 @@ def _parts(gateway: int, exclude: frozenset[str], given: frozenset[str], surname
     if keep := [c for c in ("ADDRESS", "PERSON") if c not in exclude]:
         # A block has a state or street word, and a number or both; a state begins with one of a few words.
         states = sorted({x.split(" ")[0] for x in layout.STATES if x.isascii()})
-        may = (F.col(_RUN) > 0) | own.rlike(f"[{DEVANAGARI}]") | F.arrays_overlap(F.regexp_extract_all(own, F.lit("[A-Z][a-z]+"), F.lit(0)), F.array(*map(F.lit, states)))
+        may = (F.col(_RUN) > 0) | own.rlike(f"[{DEVANAGARI}]") | F.exists(_CAPS, lambda w: w.isin(states))
         parts.append(F.when(may & own.rlike(f"{layout.STATE}|{layout.STREET}"), F.filter(address_spans(own), lambda s: s["pii_class"].isin(keep))).otherwise(_none()))
     if "PERSON" not in exclude:
         parts.append(F.when(F.contains(own, F.lit("@")) & F.contains(own, F.lit("\n")), card_spans(own)).otherwise(_none()))
-        words = F.regexp_extract_all(own, F.lit("[A-Z][A-Za-z'’-]*"), F.lit(0))
-        parts.append(F.when(F.exists(words, lambda w: _key(w).isin(sorted(given | surnames))), gazetteer_spans(own, given, surnames)).otherwise(_none()))
+        heads = sorted({re.split("['’-]", x)[0] for x in given | surnames})
+        parts.append(F.when(F.exists(_CAPS, lambda w: F.lower(w).isin(heads)), gazetteer_spans(own, given, surnames)).otherwise(_none()))
     return tuple(parts)
 
 
-def with_spans(df: DataFrame, text: str = "text", exclude: tuple[str, ...] = (), name: str = "spans", given: frozenset[str] = names.GIVEN, surnames: frozenset[str] = names.SURNAMES) -> DataFrame:
-    """``df`` with the disjoint spans of its text column, in the JVM alone."""
-    norm = normalize_digits(F.coalesce(F.col(text), F.lit("")))
+def with_spans(df: DataFrame, text: str = "text", exclude: tuple[str, ...] = (), name: str = "spans", extra: Column | None = None, given: frozenset[str] = names.GIVEN, surnames: frozenset[str] = names.SURNAMES) -> DataFrame:
+    """``df`` with the disjoint spans of its text column, in the JVM alone; ``extra`` spans take part in the resolution."""
+    given_text = F.coalesce(F.col(text), F.lit(""))
+    norm = F.when(given_text.rlike("[०-९]"), normalize_digits(given_text)).otherwise(given_text)
     run = F.aggregate(F.regexp_extract_all(norm, F.lit("[0-9]+"), F.lit(0)), F.lit(0), lambda a, d: F.greatest(a, F.length(d)))
-    first = df.withColumns({_NORM: norm, _LOW: F.lower(norm), _RUN: run})
+    first = df.withColumns({_NORM: norm, _LOW: F.lower(norm), _RUN: run, _CAPS: F.regexp_extract_all(norm, F.lit("[A-Z][A-Za-z]*"), F.lit(0))})
     parts = _parts(id(SparkContext._gateway), frozenset(exclude), frozenset(given), frozenset(surnames))
-    raw = first.withColumn(_RAW, F.concat(*parts))
-    return raw.withColumn(name, resolve(F.col(_RAW), F.col(text))).drop(_NORM, _LOW, _RUN, _RAW)
+    more = [F.filter(F.coalesce(extra, _none()), lambda s: ~s["pii_class"].isin(list(exclude)))] if extra is not None else []
+    raw = first.withColumn(_RAW, F.concat(*parts, *more))
+    return raw.withColumn(name, resolve(F.col(_RAW), F.col(text))).drop(_NORM, _LOW, _RUN, _CAPS, _RAW)
 
 
 def spans_table(df: DataFrame, key: list[str], text: str = "text", exclude: tuple[str, ...] = (), **lists) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
+from . import native
 from . import vault as vaults
-from .detect import detect
 from .spans import SPAN
 from .vault_store import VaultStore
 
@@ -39,9 +39,8 @@ def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = N
     null and repeated keys are as good as others. Tokens are numbered by (key, start)
     within each vault. A null text stays null, without spans.
     """
-    found = detect(F.col("_text")) if spans is None else spans
     narrow = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(vault_id).alias("vault_id"), F.col(text).alias("_text"), (origin if origin is not None else F.lit("")).alias("origin"))
-    base = written(narrow.withColumn("spans", found), "spans")
+    base = written(narrow.withColumn("spans", spans) if spans is not None else native.with_spans(narrow, "_text"), "spans")
     each = base.select("_row", "_key", "vault_id", "origin", "_text", F.posexplode("spans").alias("i", "s"))
     values = each.select("_row", "i", "_key", "vault_id", "origin", F.col("s.start").alias("start"), F.col("s.pii_class").alias("pii_class"), F.substring(F.col("_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), F.lit(source).alias("source"))
     values = values.withColumn("canonical", vaults.canonical(F.col("pii_class"), F.col("value")))

@@ -95,7 +95,9 @@ def rule_spans(text: Column, name: str, checked: bool = True) -> Column:
             F.lit(rule.score).alias("score"), F.lit(rule.name).alias("rule"), F.lit(INDEX[rule.name]).alias("rule_idx"),
         ),
     )
-    return F.when(text.isNotNull() & _worth(rule, norm) if checked else F.lit(True), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    # Most texts have no match: they cost one search, not the passes for matches, groups and gaps.
+    found = norm.rlike(pattern)
+    return F.when(text.isNotNull() & _worth(rule, norm) & found if checked else found, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def all_rule_spans(text: Column, exclude: tuple[str, ...] = ()) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import detect, layout, metrics, names, native, resolve, spans
+from ..operators import layout, metrics, names, native, resolve, spans
 from ..operators.rules import by_name
 
 QUERIES, ORACLE = {}, {}
@@ -227,12 +227,12 @@ ORACLE["rule_cases"] = f"WITH ids AS ({_IDS_SQL}) " + " UNION ALL ".join(
 
 
 def detector_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole detector (Arrow stage) on the texts where its answer is the rule's own value."""
+    """The whole detector on the texts where its answer is the rule's own value."""
     own = [(i, r, t, v) for i, (r, t, v) in enumerate(CASES) if v is not None and r in _CLEAN]
     ids = _with_checks(_ids(spark, sf_dir))
     cases = F.array(*[F.struct(F.lit(i).alias("case_id"), F.expr(t).alias("text")) for i, _, t, _ in own])
     rows = spread(ids.select("k", F.explode(cases).alias("c")).select("k", "c.*"))
-    return detect.spans_table(rows, ["k", "case_id"]).select("k", "case_id", "rule", "start", "value")
+    return native.spans_table(rows, ["k", "case_id"]).select("k", "case_id", "rule", "start", "value")
 
 
 #: Rules whose case has another value beside the rule's own, or which a stronger rule covers; they are in detector_pairs.
@@ -258,7 +258,7 @@ def detector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
     cases = F.array(*[F.struct(F.lit(i).alias("case_id"), F.expr(t).alias("text")) for i, (t, _) in enumerate(PAIRS)])
     rows = spread(k.select("k", F.explode(cases).alias("c")).select("k", "c.*"))
-    return detect.spans_table(rows, ["k", "case_id"]).select("k", "case_id", "ordinal", "rule", "start", "value")
+    return native.spans_table(rows, ["k", "case_id"]).select("k", "case_id", "ordinal", "rule", "start", "value")
 
 
 QUERIES["detector_pairs"] = detector_pairs
@@ -273,7 +273,7 @@ def detect_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole detector over all conversations, with an address and a phone number behind every turn."""
     tail = "concat(text, '. Mail user', CAST(conv_id AS string), '@mail.example or call 98765', lpad(CAST(turn AS string), 5, '0'))"
     talk = spread(read(spark, sf_dir, "conversations").where("text IS NOT NULL").selectExpr("conv_id", "turn", f"{tail} AS text"))
-    return detect.spans_table(talk, ["conv_id", "turn"]).select("conv_id", "turn", "rule", "pii_class", "start", "value")
+    return native.spans_table(talk, ["conv_id", "turn"]).select("conv_id", "turn", "rule", "pii_class", "start", "value")
 
 
 QUERIES["detect_turns"] = detect_turns
@@ -311,7 +311,7 @@ def address_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A letter per customer with a name line, a house line, a street and a state line."""
     text = "'Asha Rao' || chr(10) || CAST(1 + k % 900 AS string) || ', Rose Residency' || chr(10) || 'MG Road' || chr(10) || 'Maharashtra 411001' || chr(10) || 'yours'"
     rows = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k", f"{text} AS text"))
-    return detect.spans_table(rows, ["k"]).select("k", "ordinal", "rule", "start", "end", "value")
+    return native.spans_table(rows, ["k"]).select("k", "ordinal", "rule", "start", "end", "value")
 
 
 QUERIES["address_blocks"] = address_blocks
@@ -322,7 +322,7 @@ UNION ALL SELECT k, 1, 'address.block', 9, (9 + length(b))::INT, b FROM (SELECT
 def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "'today ' || CASE k % 3 WHEN 0 THEN 'Ravi Kumar' WHEN 1 THEN 'S. R. Menon' ELSE 'Priya Traders' END || ' paid ' || CAST(k AS string)"
     rows = spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).selectExpr("k", f"{text} AS text"))
-    return detect.spans_table(rows, ["k"]).where("rule = 'person.gazetteer'").select("k", "start", "score", "value")
+    return native.spans_table(rows, ["k"]).where("rule = 'person.gazetteer'").select("k", "start", "score", "value")
 
 
 QUERIES["gazetteer_names"] = gazetteer_names

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import new_path
-from ..operators import detect, metrics, policy, protocol, sanitize, spans, vault, vision
+from ..operators import metrics, native, policy, protocol, sanitize, spans, vault, vision
 from ..operators.spans import SPAN
 from ..sources import formats, pages
 from .detection import read, spread
@@ -38,7 +38,7 @@ _TWO_SQL = "SELECT c_custkey AS k, 'u' || c_custkey || '@mail.example' AS mail,
 def excluded_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the class EMAIL only the phone number is found."""
     rows = spread(_customers(spark, sf_dir, f"{_TWO} AS text"))
-    return detect.spans_table(rows, ["k"], exclude=("EMAIL",)).select("k", "rule", "start", "value")
+    return native.spans_table(rows, ["k"], exclude=("EMAIL",)).select("k", "rule", "start", "value")
 
 
 QUERIES["excluded_classes"] = excluded_classes
@@ -49,7 +49,7 @@ def extra_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stronger span from elsewhere over the first word and the address cuts the address out."""
     rows = spread(_customers(spark, sf_dir, f"{_TWO} AS text"))
     one = F.struct(F.lit(0).alias("start"), (F.instr("text", " or ") - 1).cast("int").alias("end"), F.lit("USERNAME").alias("pii_class"), F.lit(1.0).alias("score"), F.lit("given").alias("rule"), F.lit(50).alias("rule_idx"))
-    found = rows.withColumn("s", detect.detect(F.col("text"), extra=F.array(one).cast(f"array<{SPAN}>")))
+    found = native.with_spans(rows, name="s", extra=F.array(one).cast(f"array<{SPAN}>"))
     return found.select("k", F.posexplode_outer("s").alias("i", "s")).select("k", "i", "s.rule", "s.start", "s.end")
 
 
@@ -61,7 +61,7 @@ UNION ALL SELECT k, 1, 'phone.in', (14 + length(mail))::INT, (24 + length(mail))
 def contact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name line above a line that is an address."""
     rows = spread(_customers(spark, sf_dir, "'Contact us' || chr(10) || 'Tarun ' || chr(65 + CAST(k % 26 AS int)) || 'ebbar' || chr(10) || 'u' || CAST(k AS string) || '@mail.example' AS text"))
-    return detect.spans_table(rows, ["k"]).select("k", "ordinal", "rule", "start", "value")
+    return native.spans_table(rows, ["k"]).select("k", "ordinal", "rule", "start", "value")
 
 
 QUERIES["contact_cards"] = contact_cards
