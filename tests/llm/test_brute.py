@@ -30,7 +30,7 @@ def suffix_array_texts(pages):
     for host, streams in hosts.items():
         tokens = [[t for b in blocks for t in [*b.split(" "), None]] for blocks in streams]
         array = sorted(((s, i) for s in range(len(tokens)) for i in range(len(tokens[s]))), key=lambda x: [str(t) for t in tokens[x[0]][x[1] :]])
-        least = 2 if sum(map(len, streams.values())) < htmltext.SMALL_HOST else htmltext.PAGES
+        least = htmltext.PAGES
         covered = [set() for _ in tokens]
         at = 0
         while at < len(array):

@@ -15,7 +15,7 @@ different pages of each run. (A longer common prefix has nothing to add: a token
 in a repeated substring of RUN or more tokens just if it is in a repeated one of RUN
 tokens. Tests hold this equal to a sorted suffix array with its LCP.) Every page
 gives its streams; pages that are equal as a whole count once. A run that ``PAGES`` or more
-different pages have (two, on a host of fewer than ``SMALL_HOST`` pages) covers its
+different pages have, on a host of any size, covers its
 tokens. In blocks of pages without an article, and in those with a weak sign,
 covered runs are cut out (those of RUN words or more, or the whole block) and unique
 runs stay.
@@ -45,8 +45,7 @@ from .exchange import PACKED, Answers, Plan, answered, buffered, deal, judged, p
 from .workspace import pick, written
 
 RUN = 6
-PAGES = 3
-SMALL_HOST = 6
+PAGES = 2
 
 # HTML element names by kind.
 # Verdicts on elements: stays; left out unless it holds the main content; the same, of comments and the like; left out with all it holds.
@@ -381,7 +380,7 @@ def _evidence(plan: Plan) -> Callable:
         keys, docs, nth, pages = _distinct(keys, docs)
         rest, known = nth < PAGES, (pages >= PAGES) & (docs & 1 == 1)
         yield from pack(plan.parts_of(keys[rest]), keys[rest], docs[rest], plan)
-        yield from pack(plan.parts_of(keys[known]), keys[known] | tv.U(1), docs[known], plan, known=True)
+        yield from pack(plan.parts_of(keys[known]), keys[known], docs[known], plan, known=True)
 
     return buffered(entries, flush)
 
@@ -398,10 +397,10 @@ def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _repeated(keys: np.ndarray, docs: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of two or more pages, for pages that the host decides on; odd keys are those of PAGES or more."""
+    """Runs of PAGES or more pages, for pages that the host decides on."""
     keys, docs, _, pages = _distinct(keys, docs)
-    hit = (pages > 1) & (docs & 1 == 1)
-    return keys[hit] | (pages[hit] >= PAGES).astype(tv.U), docs[hit]
+    hit = (pages >= PAGES) & (docs & 1 == 1)
+    return keys[hit], docs[hit]
 
 
 def _long(covered: np.ndarray) -> np.ndarray:
@@ -422,11 +421,10 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
     """Unsettled pages without the runs that cover their ``w`` blocks."""
     known, texts = Answers(found), []
     rest = rows.column("rest").combine_chunks()
-    host, kinds, blocks, few = [rest.field(n) for n in ("host", "kinds", "blocks", "few")]
+    host, kinds, blocks = [rest.field(n) for n in ("host", "kinds", "blocks")]
     for i, stream in enumerate(rows.column("_id").to_pylist()):
         at, _, keys, block = suffixes([host[i].as_py()], [kinds[i].as_py()], blocks.slice(i, 1))
         mine = known.of(stream)
-        mine = np.unique(mine & ~tv.U(1)) if few[i].as_py() else mine[mine & tv.U(1) == 1] & ~tv.U(1)
         covered = tv.cover(at[np.isin(keys, mine)], RUN, len(block)) if len(mine) else np.zeros(len(block), bool)
         out, k = [], 0
         for kind, text in zip(kinds[i].as_py(), blocks[i].as_py()):
@@ -451,11 +449,10 @@ def extract(pages: DataFrame, plan: Plan | None = None) -> DataFrame:
     plan = plan or Plan.for_bytes(parsed.agg(F.sum(F.octet_length(F.array_join("blocks", " "))).alias("b")).first()["b"] or 0)
     streams = parsed.where(F.size("blocks") > 0).select("stream", F.struct("host", "kinds", "blocks").alias("page"))
     found = judged(deal(streams.mapInArrow(_evidence(plan), PACKED), plan.parts, plan), plan, _repeated)
-    hosts = parsed.groupBy("host").agg((F.count(F.lit(1)) < SMALL_HOST).alias("few"))
     unsettled = parsed.where("text IS NULL")
     # Equal pages get equal texts: one of them is cut for all.
     one = unsettled.groupBy("stream").agg(F.first(F.struct("host", "kinds", "blocks")).alias("p")).select("stream", "p.*")
-    one = one.join(hosts, "host").select(F.col("stream").alias("_id"), F.lit(None).cast("string").alias("text"), F.struct("host", "kinds", "blocks", "few").alias("rest"))
+    one = one.select(F.col("stream").alias("_id"), F.lit(None).cast("string").alias("text"), F.struct("host", "kinds", "blocks").alias("rest"))
     cut = answered(one, found, plan, _cut, "_id long, cut string").select(F.col("_id").alias("stream"), F.col("cut").alias("text"))
     cut = unsettled.select("page_id", "url", "stream").join(cut, "stream").select("page_id", "url", "text")
     texts = parsed.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(cut)
