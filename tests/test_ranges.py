@@ -58,3 +58,20 @@ def test_unmatched_tags_take_linear_time(html):
     at = time.process_time()
     pages._scan(html)
     assert time.process_time() - at < 5
+
+
+def test_spans_of_a_large_page_meet_their_segments(spark):
+    rng = random.Random(6)
+    cuts = sorted(rng.sample(range(400_000), 50_000))
+    segments = [("p", i, a, b - a) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))] + [("q", 0, 0, 5000), ("q", 1, 5000, 0), ("q", 2, 5000, 3000), (None, 3, 0, 10)]
+    spans = [("p", i, (a := rng.randrange(400_000)), a + rng.choice([1, 5, 40, 3000])) for i in range(2000)] + [("q", 0, 4990, 5010), ("q", 1, 5000, 5000), ("q", 2, 0, 9000), (None, 0, 0, 5)]
+    got = pages.locate_spans(spark.createDataFrame(spans, "k string, ordinal int, start int, end int"), spark.createDataFrame(segments, "k string, segment int, start int, length int"), "k")
+    import bisect
+
+    starts = [s[2] for s in segments if s[0] == "p"]
+    want = []
+    for k, o, a, b in spans:
+        near = [s for s in segments if s[0] == "q"] if k == "q" else segments[max(0, bisect.bisect_right(starts, a) - 1) : bisect.bisect_left(starts, b)] if k == "p" else []
+        want += [(k, o, i, max(a, s) - s, min(b, s + n) - s) for _, i, s, n in near if s < b and s + n > a]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 10_000
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

@@ -345,8 +345,23 @@ def submit_buttons(scanned: DataFrame, key: str) -> DataFrame:
     return _exploded(scanned, key, "buttons", "name").select(key, "name").where(F.col("name").rlike(SUBMIT))
 
 
+#: Characters of a bin of a page's text; intervals meet in the bins that they share.
+BIN = 1024
+
+
+def _binned(rows: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    low, high = F.floor(F.col(start) / BIN), F.floor(F.greatest(F.col(start), F.col(end) - 1) / BIN)
+    return rows.withColumn(name, F.explode(F.sequence(low, high)))
+
+
 def locate_spans(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """Pieces of spans (key, ordinal, start, end) in text segments (key, segment, start, length): an interval join by page."""
+    """Pieces of spans (key, ordinal, start, end) in text segments (key, segment, start, length).
+
+    An interval join: both sides are dealt to the bins of a page that they reach into, and a pair is
+    reported in the bin where its common part begins. So the segments of a large page are spread, and a span meets only those nearby.
+    """
     seg = segments.select(F.col(key).alias("_key"), "segment", F.col("start").alias("seg_start"), (F.col("start") + F.col("length")).alias("seg_end"))
-    joined = spans.join(seg, (F.col(key) == F.col("_key")) & (F.col("seg_start") < F.col("end")) & (F.col("seg_end") > F.col("start")))
+    left, right = _binned(spans, "start", "end", "_bin"), _binned(seg, "seg_start", "seg_end", "_seg_bin")
+    meet = (F.col("seg_start") < F.col("end")) & (F.col("seg_end") > F.col("start")) & (F.floor(F.greatest("start", "seg_start") / BIN) == F.col("_bin"))
+    joined = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_seg_bin")) & meet)
     return joined.select(key, "ordinal", "segment", (F.greatest("start", "seg_start") - F.col("seg_start")).alias("from"), (F.least("end", "seg_end") - F.col("seg_start")).alias("to"))
