@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import detect, names, native, resolve
+from veilspark.operators import detect, layout, name_join, names, native, resolve
 from veilspark.operators.spans import SPAN
 from veilspark.plans.detection import CASES as QUERY_CASES
 
@@ -63,6 +63,20 @@ def test_tables(spark, table, key):
     assert one == two and (one or table == "conversations")
 
 
+def test_a_dictionary_by_join_equals_sets(spark, rows):
+    words = [(n, "given") for n in names.GIVEN] + [(n.title(), "surname") for n in names.SURNAMES] + [("kumar", "given"), ("kumar", "surname"), ("kumar", "given"), (None, "given"), ("xyz", None)]
+    table = spark.createDataFrame(words, "name string, kind string")
+    got = {}
+    for r in name_join.find(rows, ["i"], table).collect():
+        got.setdefault(r.i, []).append(tuple(r)[1:])
+    total = 0
+    for i, t in enumerate(texts()):
+        want = sorted((int(a), int(b), *rest) for a, b, *rest in layout.gazetteer_spans((t or "").translate(detect._DIGITS), names.GIVEN | {"kumar"}, names.SURNAMES))
+        assert sorted(got.get(i, [])) == want, t
+        total += len(want)
+    assert total > 300
+
+
 # --- overlaps
 
 

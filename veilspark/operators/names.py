@@ -1,6 +1,7 @@
 """Default name lists of the gazetteer: common Indian given names and surnames, from general knowledge.
 
-They are short. Both are parameters of the detector; :func:`from_table` reads larger ones.
+They are short. Both are parameters of the detector; :func:`from_table` reads larger ones, and
+:mod:`name_join` joins texts with a dictionary of any size.
 """
 
 from __future__ import annotations

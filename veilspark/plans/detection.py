@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
-from ..operators import layout, metrics, names, native, resolve, spans
+from ..operators import layout, metrics, name_join, names, native, resolve, spans
 from ..operators.rules import by_name
 
 QUERIES, ORACLE = {}, {}
@@ -341,6 +341,20 @@ ORACLE["names_semi_join"] = f"""SELECT word, count(*) AS n FROM (SELECT unnest(r
 WHERE word <> '' AND word IN ({', '.join(repr(n) for n in sorted(names.GIVEN))}) GROUP BY word"""
 
 
+def name_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of a surname for each customer and a given name for each second one, over a line for each customer."""
+    letters = "translate(CAST(c_custkey AS string), '0123456789', 'abcdefghij')"
+    k = read(spark, sf_dir, "customer").selectExpr("c_custkey AS k", f"'ka' || {letters} AS first", f"'ma' || {letters} AS last")
+    table = k.select("k", F.explode(F.array(F.struct(F.col("first").alias("name"), F.lit("given").alias("kind")), F.struct(F.col("last").alias("name"), F.lit("surname").alias("kind"))))).where("k % 2 = 0 OR col.kind = 'surname'").select("col.*")
+    texts = k.selectExpr("k", "concat('no name here\n', CASE WHEN k % 3 = 0 THEN initcap(first) ELSE concat('met ', initcap(first), ' ', initcap(last), ' today') END) AS text")
+    return name_join.find(texts, ["k"], table).select("k", "start", "end", "score")
+
+
+QUERIES["name_dictionary"] = name_dictionary
+ORACLE["name_dictionary"] = """SELECT k, CASE WHEN k % 3 = 0 THEN 13 ELSE 17 END AS start, (CASE WHEN k % 3 = 0 THEN 15 + n ELSE 22 + 2 * n END)::INT AS "end", CASE WHEN k % 3 = 0 THEN 0.55 ELSE 0.65 END::DOUBLE AS score
+FROM (SELECT c_custkey AS k, length(c_custkey::VARCHAR) AS n FROM customer) WHERE k % 2 = 0"""
+
+
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide span (score .7) over two short ones: it is cut into three pieces."""
     k = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 7 + 10).cast("int").alias("p"))
