@@ -10,7 +10,7 @@ from ..functions import checks
 from ..functions.tables import new_path
 from ..operators import geometry, metrics, protocol, vision
 from ..sources import pages, synth
-from ..streaming import steps
+from ..streaming import ordered, steps
 from .detection import read, spread
 
 QUERIES, ORACLE = {}, {}
@@ -250,6 +250,25 @@ def vault_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["vault_stream"] = vault_stream
 ORACLE["vault_stream"] = "SELECT event_type AS vault_id, 'USERNAME' AS pii_class, user_id::VARCHAR AS canonical, '[USERNAME_' || row_number() OVER (PARTITION BY event_type ORDER BY min(event_id)) || ']' AS token FROM events GROUP BY event_type, user_id"
 
+#: Steps of a task, and the hours after which a task without a further step ends.
+STEP_LIMIT, PATIENCE = 12, 48
+
+
+def ordered_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of their users' tasks: in order of time, with a limit and a timeout."""
+    src = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(ordered.ordered_steps(src, "user_id", "ts", "event_id", STEP_LIMIT, PATIENCE * 3_600_000), "append").withColumn("seq", F.coalesce("seq", F.lit(-1)))
+
+
+QUERIES["ordered_steps"] = ordered_steps
+ORACLE["ordered_steps"] = f"""WITH w AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM events
+), o AS (SELECT user_id::VARCHAR AS task, event_id AS seq, epoch_us(ts) AS us, mark FROM events, w WHERE epoch_us(ts) <= mark * 1000
+), p AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY us, seq) AS n, us - lag(us) OVER (PARTITION BY task ORDER BY us, seq) > {PATIENCE} * 3600000000 AS gap FROM o
+), e AS (SELECT task, coalesce(least(min(CASE WHEN gap THEN n END), {STEP_LIMIT + 1}), {STEP_LIMIT + 1}) AS stop_n, min(CASE WHEN gap THEN n END) AS silent, max(n) AS all_n, max(us) AS latest, max(mark) AS mark FROM p GROUP BY task)
+SELECT task, n, seq, 'step' AS state FROM p JOIN e USING (task) WHERE n < stop_n
+UNION ALL SELECT task, stop_n, CASE WHEN silent IS NULL OR silent > stop_n THEN seq ELSE -1 END, CASE WHEN silent IS NULL OR silent > stop_n THEN 'stopped' ELSE 'timed out' END FROM e JOIN p USING (task) WHERE p.n = e.stop_n
+UNION ALL SELECT task, all_n + 1, -1, 'timed out' FROM e WHERE all_n < stop_n AND e.mark * 1000 - latest > {PATIENCE} * 3600000000"""
+
 # --- vision rows, generators, messages ------------------------------------------------------------------
 
 
