@@ -14,9 +14,14 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def plain(x) -> str:
+    """Floats to twelve digits: the two engines may add in another order."""
+    return "" if x is None or x != x else f"{x:.12g}" if isinstance(x, float) else str(x)
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if x is None or x != x else str(x) for x in r) for r in frame.itertuples(index=False))
+    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
 
 
 def main(folder: str, names: list[str]) -> int:
