@@ -174,9 +174,9 @@ SELECT c AS pii_class, coalesce(CASE WHEN c IN ('A', 'R') THEN min(CASE WHEN r >
 _PX = ("l_orderkey AS page", "l_linenumber AS ordinal", "CAST(l_partkey % 12 AS long) AS x", "CAST(l_suppkey % 10 AS long) AS y", "CAST(2 + l_partkey % 7 AS long) AS w", "CAST(2 + l_suppkey % 5 AS long) AS h", "l_linenumber % 3 AS role")
 
 
-def pixel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pixel_report(spark: SparkSession, sf_dir: str, rows: str) -> DataFrame:
     """Line items as true values, masks and context of their order's page; masks are also the detections. One row per page group."""
-    b = read(spark, sf_dir, "lineitem").selectExpr(*_PX)
+    b = read(spark, sf_dir, "lineitem").selectExpr(*_PX).where(rows)
     truth, masks, context = [b.where(F.col("role") == k).select("page", "ordinal", "x", "y", "w", "h") for k in (1, 0, 2)]
     by = lambda df: df.withColumn("grp", F.col("page") % 10)
     items = metrics.item_coverage(truth, masks, "page", "ordinal")
@@ -185,7 +185,7 @@ def pixel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.report(by(items), by(pixels), by(found), ["grp"])
 
 
-QUERIES["pixel_report"] = pixel_report
+QUERIES["pixel_report"] = lambda spark, sf_dir: _pixel_report(spark, sf_dir, "true")
 ORACLE["pixel_report"] = """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS ordinal, l_partkey % 12 AS x, l_suppkey % 10 AS y, 2 + l_partkey % 7 AS w, 2 + l_suppkey % 5 AS h, l_linenumber % 3 AS role FROM lineitem
 ), p AS (SELECT page, ordinal, role, px, unnest(range(y, y + h)) AS py FROM (SELECT *, unnest(range(x, x + w)) AS px FROM b)
 ), d AS (SELECT page, px, py, bool_or(role = 1) AS t, bool_or(role = 0) AS m, bool_or(role = 2) AS c FROM p GROUP BY page, px, py
@@ -195,6 +195,13 @@ ORACLE["pixel_report"] = """WITH b AS (SELECT l_orderkey AS page, l_linenumber A
 ), g AS (SELECT page % 10 AS grp, round(100.0::DOUBLE * count_if(m AND t) / count_if(m), 1) AS redaction_precision, round(100.0::DOUBLE * count_if(c AND NOT t AND NOT m) / count_if(c AND NOT t), 1) AS context_retained FROM d GROUP BY 1)
 SELECT grp, items, recall, leakage, detection_precision, redaction_precision, context_retained FROM a JOIN e USING (grp) JOIN g USING (grp)"""
 
+# Groups 0 to 2 have no masks, so no detections: their precision is null, their recall zero.
+QUERIES["pixel_report_undetected"] = lambda spark, sf_dir: _pixel_report(spark, sf_dir, "role > 0 OR page % 10 > 2")
+ORACLE["pixel_report_undetected"] = (
+    ORACLE["pixel_report"].replace("l_linenumber % 3 AS role FROM lineitem", "l_linenumber % 3 AS role FROM lineitem WHERE l_linenumber % 3 > 0 OR l_orderkey % 10 > 2")
+    .replace("count_if(m AND t) / count_if(m), 1)", "coalesce(count_if(m AND t) / nullif(count_if(m), 0), 0), 1)").replace("FROM a JOIN e USING (grp)", "FROM a LEFT JOIN e USING (grp)")
+)
+
 # --- streams, run to completion over stored tables ---------------------------------------------------
 
 
