@@ -16,7 +16,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(x) -> str:
     """Floats to twelve digits: the two engines may add in another order."""
-    return "" if x is None or x != x else f"{x:.12g}" if isinstance(x, float) else str(x)
+    import pandas as pd
+
+    return "" if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and x != x else f"{x:.12g}" if isinstance(x, float) else str(x)
 
 
 def rows(frame):
