@@ -46,6 +46,8 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 #: So many entries of a window in one buffer are hits even if none of them is a block (one of another buffer almost surely is).
 MANY = 32
+#: Keys that a map task gathers at a time, about 100 bytes each at the peak.
+KEYS = 1_000_000
 
 
 def _windows(w: tv.Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,17 @@ def _probe(plan: Plan) -> Callable:
         yield from pack(plan.parts_of(keys[lead]), keys[lead], docs[lead], plan, marks=block[lead], narrow=True)
         yield from pack(plan.parts_of(keys[hit]), keys[hit], docs[hit], plan, known=True, narrow=True)
 
-    return buffered(entries, flush)
+    return _lean(buffered(entries, flush, KEYS))
+
+
+def _lean(run: Callable) -> Callable:
+    """The map function in a worker that first gives back what earlier stages left in Arrow's memory."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
+        yield from run(batches)
+
+    return lean
 
 
 def _runs(keys: np.ndarray, docs: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +183,7 @@ def _spread(plan: Plan) -> Callable:
         yield from pack(plan.parts_of(keys[lead]), keys[lead], docs[lead], plan, seconds=seconds[lead])
         yield from pack(plan.parts_of(keys[covered]), keys[covered], docs[covered], plan, known=True)
 
-    return buffered(entries, flush)
+    return _lean(buffered(entries, flush, KEYS))
 
 
 _REMOVED = [("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())]
