@@ -54,7 +54,7 @@ ORACLE["generated_findings"] = "SELECT c_custkey AS page_id, 0 AS ordinal, 'EMAI
 
 
 def opaque_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _made(spark, sf_dir).select("page_id", F.explode("opaque").alias("o")).select("page_id", "o.tag", "o.source")
+    return pages.opaque_frames(_made(spark, sf_dir), "page_id")
 
 
 QUERIES["opaque_frames"] = opaque_frames

@@ -345,6 +345,11 @@ def submit_buttons(scanned: DataFrame, key: str) -> DataFrame:
     return _exploded(scanned, key, "buttons", "name").select(key, "name").where(F.col("name").rlike(SUBMIT))
 
 
+def opaque_frames(scanned: DataFrame, key: str) -> DataFrame:
+    """Frames and plugins whose content is not in the page, one row each."""
+    return _exploded(scanned, key, "opaque", "o").select(key, "o.tag", "o.source")
+
+
 #: Characters of a bin of a page's text; intervals meet in the bins that they share.
 BIN = 1024
 
