@@ -70,7 +70,9 @@ def evaluate(action: Column, target: Column, current_origin: Column, fills: Colu
     fills = F.coalesce(fills, F.array().cast("array<struct<token:string,ok:boolean,reason:string>>")) if fills is not None else F.array().cast("array<struct<token:string,ok:boolean,reason:string>>")
     bad = F.filter(fills, lambda f: ~f["ok"])
     literal = F.regexp_replace(F.coalesce(action["text"], F.lit("")), TOKEN, "\n")
-    leaked = F.transform(detect(literal), lambda s: s["pii_class"])
+    kind = action["type"]
+    # The detector sees the texts and URLs that its answer counts for, and no others.
+    leaked = F.transform(detect(F.when(kind == "type", literal)), lambda s: s["pii_class"])
     released = F.array_join(F.transform(fills, lambda f: f["token"]), ", ")
     stop = (
         F.when(none, "no field at that point").when(opaque, "field is inside an opaque frame").when(occluded, "field is covered by another element")
@@ -92,10 +94,9 @@ def evaluate(action: Column, target: Column, current_origin: Column, fills: Colu
     stop_url = (
         F.when(url.rlike(TOKEN), "tokens are never substituted into URLs").when(url.isNull() | (scheme == ""), "invalid URL")
         .when(~scheme.isin("http", "https"), F.concat(F.lit("scheme "), scheme, F.lit(": not allowed"))).when(origin_of(url).isNull(), "invalid URL")
-        .when(F.size(detect(decoded)) > 0, "the URL contains personal data")
+        .when(F.size(detect(F.when(kind == "navigate", decoded))) > 0, "the URL contains personal data")
     )
     navigate = F.when(stop_url.isNotNull(), decide((F.lit(True), "deny", stop_url))).otherwise(decide((~origin_of(url).eqNullSafe(current_origin), "confirm", F.concat(F.lit("navigates to "), origin_of(url)))))
-    kind = action["type"]
     return (
         F.when(kind == "hover", hover).when(kind == "click", click).when(kind == "type", typing).when(kind == "key", key).when(kind == "navigate", navigate)
         .when(kind.isin(*HARMLESS), decide((F.lit(False), "deny", ""))).otherwise(decide((F.lit(True), "deny", "unknown action")))
