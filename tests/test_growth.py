@@ -22,3 +22,74 @@ def test_first_start_is_the_first_place_of_the_value(spark, tmp_path):
         names = [d[0] for d in cur.description]
         want = cur.fetchall()
         assert [tuple(r) for r in catalog.QUERIES["card_spans"](spark, str(folder)).select(*names).collect()] == want
+
+
+def test_rows_are_spread_whatever_the_splits(spark, tmp_path):
+    """One row group in many splits: all its rows are read by one task, and are dealt out behind it."""
+    from pyspark.sql import functions as F
+
+    from veilspark.plans.detection import spread
+
+    path = str(tmp_path / "one")
+    spark.range(40_000).coalesce(1).write.parquet(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= 4
+        n = spread(rows).groupBy(F.spark_partition_id()).count()
+        assert n.agg(F.max("count")).first()[0] <= 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_scan_of_some_columns_is_the_whole_scan(spark):
+    from veilspark.sources import pages
+
+    html = '<p>Name: <b>Asha</b></p><form><input name="a"><button>Send</button></form><iframe src="u"></iframe>'
+    df = spark.createDataFrame([(i, html if i % 7 else None) for i in range(300)], "page_id int, html string").coalesce(1)
+    whole = pages.scan(df)
+    assert whole.columns == ["page_id", *pages.NAMES]
+    for n in pages.NAMES:
+        assert pages.scan(df, only=(n,)).orderBy("page_id").collect() == whole.select("page_id", n).orderBy("page_id").collect()
+
+
+def test_a_page_that_is_done_leaves_no_cycles():
+    import gc
+
+    from veilspark.sources import pages
+
+    gc.collect()
+    gc.disable()
+    try:
+        pages._scan("<div><p>a<p>b<table><tr><td>c</table></div>")
+        assert not [x for x in gc.get_objects() if type(x) is pages.Element]
+    finally:
+        gc.enable()
+
+
+def test_policy_detects_only_what_counts(spark):
+    """A text that is not typed and a URL that is not visited do not reach the detector."""
+    from pyspark.sql import functions as F
+
+    from veilspark.operators import policy
+    from veilspark.plans.privacy import _ACTION, _TARGET
+
+    of = lambda x: x.replace(" ", ":").replace(",:", ",")
+    df = spark.createDataFrame([(("click", "a@b.example", "https://a.example/?q=a@b.example", None, False), None)], f"action struct<{of(_ACTION)}>, target struct<{of(_TARGET)}>")
+    plan = df.select(policy.evaluate(F.col("action"), F.col("target"), F.lit("https://a.example")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "= type)" in plan.split("ArrowEvalPython")[-1] and "= navigate)" in plan.split("ArrowEvalPython")[-1] or "= type) THEN" in plan
+
+
+def test_leak_gates_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from veilspark.operators import tripwire
+
+    texts = ["", "a@b.co", "x@okaxis", "27ABCDE1234F1Z5", "eyJabcdefgh.abcdefgh.abcdefgh", "gho_" + "a" * 36, "rk_test_" + "b" * 16, "AKIA" + "0" * 16, "sk-" + "c" * 20, "2345 6789 0124", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "ABCPE1234F", "98765 43210", "+919876543210", "1 2 3 4", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", tripwire.find_leaks(F.col("t")).alias("l"), *[F.coalesce(F.col("t").rlike(p), F.lit(False)).alias(k) for k, p in tripwire.PATTERNS.items()]).collect()
+    for r in got:
+        for k in ("EMAIL", "GSTIN", "SECRET", "PAN", "PHONE"):
+            assert (k in r.l) == r[k], (r.t, k)
+        assert ("UPI" in r.l) == (r.UPI and not r.EMAIL)

@@ -17,7 +17,7 @@ QUERIES, ORACLE = {}, {}
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = pages.scan(spread(read(spark, sf_dir, "pages").select("page_id", "html")))
+    scanned = pages.scan(spread(read(spark, sf_dir, "pages").select("page_id", "html")), only=("text", "segments"))
     return scanned.select("page_id", F.length("text").alias("n_chars"), F.size("segments").alias("n_segments"), F.md5("text").alias("digest"))
 
 
@@ -25,7 +25,7 @@ def html_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A form added to every page: its controls come back with classes."""
     form = '<form><label for="e">Email id</label><input id="e" type="text"><input type="password" value="x"><textarea placeholder="Street address"></textarea><button>Send</button></form>'
     src = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(form), F.coalesce("html", F.lit(""))).alias("html"))
-    return pages.field_rows(pages.scan(spread(src)), "page_id").select("page_id", "ordinal", "pii_class", "source", "empty")
+    return pages.field_rows(pages.scan(spread(src), only=("fields",)), "page_id").select("page_id", "ordinal", "pii_class", "source", "empty")
 
 
 QUERIES["html_text"] = html_text
@@ -35,7 +35,7 @@ ORACLE["html_fields"] = "SELECT page_id, i AS ordinal, c AS pii_class, s AS sour
 
 def submit_buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<button aria-label="Save draft">x</button><button>Next</button>'), F.coalesce("html", F.lit(""))).alias("html"))
-    return pages.submit_buttons(pages.scan(spread(src)), "page_id")
+    return pages.submit_buttons(pages.scan(spread(src), only=("buttons",)), "page_id")
 
 
 QUERIES["submit_buttons"] = submit_buttons

@@ -20,13 +20,13 @@ _PAGE = """concat('<style>.k', c_custkey % 3, '::after{content:"mail u', c_custk
 '<p><input placeholder="w', c_custkey, '@b.com"></p><p><input type="file"></p></form><iframe src="u"></iframe>')"""
 
 
-def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.scan(spread(read(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", f"{_PAGE} AS html")))
+def _made(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return pages.scan(spread(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).selectExpr("c_custkey AS page_id", f"{_PAGE} AS html"), only=only)
 
 
 def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The term of a description and the header of a column; the first cell takes the row above as its label."""
-    return pages.label_spans(_made(spark, sf_dir), "page_id").select("page_id", "start", "end", "pii_class", "score", "rule")
+    return pages.label_spans(_made(spark, sf_dir, "segments", "labelled"), "page_id").select("page_id", "start", "end", "pii_class", "score", "rule")
 
 
 QUERIES["label_spans"] = label_spans
@@ -37,7 +37,7 @@ UNION ALL SELECT page_id, (15 + n + 1 + 4 + 1 + 3 + 1 + 7 + 1 + 14 + 1 + m + 1):
 
 
 def field_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.field_findings(_made(spark, sf_dir), "page_id")
+    return pages.field_findings(_made(spark, sf_dir, "fields"), "page_id")
 
 
 QUERIES["field_findings"] = field_findings
@@ -46,7 +46,7 @@ FROM customer, (VALUES (0, 0, 'OTP', '', '', 'solid', 'field', 'field.secret'),
 
 
 def generated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.generated_findings(_made(spark, sf_dir), "page_id")
+    return pages.generated_findings(_made(spark, sf_dir, "generated"), "page_id")
 
 
 QUERIES["generated_findings"] = generated_findings
@@ -54,7 +54,7 @@ ORACLE["generated_findings"] = "SELECT c_custkey AS page_id, 0 AS ordinal, 'EMAI
 
 
 def opaque_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.opaque_frames(_made(spark, sf_dir), "page_id")
+    return pages.opaque_frames(_made(spark, sf_dir, "opaque"), "page_id")
 
 
 QUERIES["opaque_frames"] = opaque_frames
@@ -63,7 +63,7 @@ ORACLE["opaque_frames"] = "SELECT c_custkey AS page_id, 'iframe' AS tag, 'u' AS
 
 def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the pages themselves, labelled values included, one row each."""
-    scanned = pages.scan(spread(read(spark, sf_dir, "pages").select("page_id", "html")))
+    scanned = pages.scan(spread(read(spark, sf_dir, "pages").select("page_id", "html")), only=("text", "segments", "labelled"))
     return pages.page_spans(scanned, "page_id").select("page_id", F.posexplode_outer("spans").alias("ordinal", "s")).where("s IS NOT NULL").select("page_id", "ordinal", "s.start", "s.end", "s.pii_class", "s.rule")
 
 

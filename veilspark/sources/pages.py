@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import takewhile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..operators.detect import detect
 from ..operators.fields import classify, label_class
@@ -39,10 +41,22 @@ _SCHEMA = (
     "buttons array<string>, media array<struct<tag:string,w:double,h:double>>, opaque array<struct<tag:string,source:string>>, generated array<string>, "
     "labelled array<struct<segment:int,step:int,element:int,pii_class:string>>, truth array<struct<pii_class:string,value:string>>"
 )
+#: Pages whose results an Arrow stage holds at once.
+SLICE = 64
 _VALUE = re.compile("[0-9@]")
 _STYLE_SIDE = re.compile(r"(?:^|;)\s*(width|height)\s*:\s*([0-9.]+)px", re.I)
 
 
+def _split(schema: str) -> Iterator[str]:
+    depth, start = 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            yield schema[start:i].strip()
+            start = i + 1
+    yield schema[start:].strip()
+
+
 def _side(attrs: dict, name: str) -> float:
     """A side in pixels from the attribute or the inline style; stored pages know no other geometry."""
     raw = attrs.get(name, "").strip().removesuffix("px")
@@ -220,9 +234,11 @@ class _Page(HTMLParser):
                 f["options"] = [text_of(o) for _, o in chosen]
         return f
 
-    def row(self) -> tuple:
+    def _generated(self) -> list[str]:
         rules = generated_rules("\n".join(self.css)) if self.css else {}
-        generated = [t for t in (generated_text(e, rules) for e in self.elements if e.tag not in ("html", "body") and not e.hidden) if t] if rules else []
+        return [t for t in (generated_text(e, rules) for e in self.elements if e.tag not in ("html", "body") and not e.hidden) if t] if rules else []
+
+    def _labelled(self) -> list[tuple]:
         labelled = []
         for i, owner in enumerate(self.owners):
             for step, element, label, own in value_candidates(owner):
@@ -230,39 +246,53 @@ class _Page(HTMLParser):
                 # What has a class itself is a label, unless it looks like a value.
                 if cls and cls not in NOT_SHOWN and (_VALUE.search(own) or label_class(own) is None):
                     labelled.append((i, step, element, cls))
-        return ("".join(self.parts), "\n".join(self.context), self.segments, [self._field(f) for f in self.fields], self.buttons, self.media, self.opaque, generated, labelled, [tuple(t) for t in self.truth])
+        return labelled
+
+    def row(self, names: list[str]) -> tuple:
+        made = {
+            "text": lambda: "".join(self.parts), "context": lambda: "\n".join(self.context), "segments": lambda: self.segments, "fields": lambda: [self._field(f) for f in self.fields], "buttons": lambda: self.buttons,
+            "media": lambda: self.media, "opaque": lambda: self.opaque, "generated": self._generated, "labelled": self._labelled, "truth": lambda: [tuple(t) for t in self.truth],
+        }
+        return tuple(made[n]() for n in names)
+
+    def forget(self) -> None:
+        """Elements point at each other; a page that is done leaves nothing to the collector of cycles."""
+        for e in (self.root, *self.elements):
+            e.kids, e.cells, e.parent, e.prev, e.first_row = [], [], None, None, None
+
 
+NAMES = [x.split()[0] for x in _split(_SCHEMA)]
 
-def _scan(html: str | None) -> tuple:
+
+def _scan(html: str | None, names: list[str] = NAMES) -> tuple:
     page = _Page()
     if html:
         page.feed(html)
         page.close()
-    return page.row()
+    row = page.row(names)
+    page.forget()
+    return row
+
 
+def scan(pages: DataFrame, html: str = "html", only: tuple[str, ...] | None = None) -> DataFrame:
+    """The pages (all other columns) with text, context, segments, fields, buttons, media, opaque frames, generated text, label candidates and truth, or ``only`` some of these.
 
-def scan(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The pages (all other columns) with text, context, segments, fields, buttons, media, opaque frames, generated text, label candidates and truth."""
-    names = [x.split()[0] for x in _split(_SCHEMA)]
+    Results leave the stage in slices, so a worker holds an input batch (which Spark bounds in rows and bytes) and few pages beside it.
+    """
+    kept = [x for x in _split(_SCHEMA) if only is None or x.split()[0] in only]
+    names = [x.split()[0] for x in kept]
+    kind = to_arrow_type(StructType.fromDDL(", ".join(kept)))
 
-    @F.pandas_udf("struct<" + ", ".join(x.replace(" ", ":", 1) for x in _split(_SCHEMA)) + ">")
-    def run(htmls: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_scan(h) for h in htmls], columns=names)
+    @F.arrow_udf("struct<" + ", ".join(x.replace(" ", ":", 1) for x in kept) + ">")
+    def run(htmls: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in htmls:
+            for at in range(0, len(batch), SLICE):
+                yield pa.array([_scan(h.as_py(), names) for h in batch.slice(at, SLICE)], kind)
 
     rest = [c for c in pages.columns if c != html]
     return pages.withColumn("_page", run(F.col(html))).select(*rest, "_page.*")
 
 
-def _split(schema: str) -> Iterator[str]:
-    depth, start = 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            yield schema[start:i].strip()
-            start = i + 1
-    yield schema[start:].strip()
-
-
 def _exploded(scanned: DataFrame, key: str, column: str, name: str) -> DataFrame:
     """One row per entry of a scanned column.
 
@@ -330,10 +360,11 @@ def field_findings(scanned: DataFrame, key: str) -> DataFrame:
     boxed = F.size(f["options"]) > 0
     texts = F.when(boxed, f["options"]).when(F.length(f["value"]) > 0, F.array(f["value"])).otherwise(F.array(f["placeholder"]))
     each = each.withColumn("k", kind).select(key, "ordinal", "f", "k", F.posexplode(texts).alias("item", "value")).where(F.length("value") > 0)
-    each = each.withColumn("hit", F.try_element_at(detect(F.col("value")), F.lit(1)))
     k, typed = F.col("k"), F.length(f["value"]) > 0
     secret = ~boxed & typed & ((F.lower(F.coalesce(f["type"], F.lit(""))) == "password") | F.coalesce(k.isin(*SOLID), F.lit(False)))
     semantic = ~boxed & typed & k.isNotNull() & ((f["tag"] != "select") | k.isin(*CHOSEN))
+    # The detector sees the values that no field decides.
+    each = each.withColumn("hit", F.try_element_at(detect(F.when(secret | semantic, None).otherwise(F.col("value"))), F.lit(1)))
     rule = F.when(secret, "field.secret").when(semantic, "field.semantic").otherwise(F.concat(F.when(boxed, "option.").when(typed, "field.").otherwise("placeholder."), F.col("hit.rule")))
     cls = F.when(secret, F.coalesce(k, F.lit("PASSWORD"))).when(semantic, k).otherwise(F.col("hit.pii_class"))
     source = F.when(boxed | typed, "field").otherwise("placeholder")
