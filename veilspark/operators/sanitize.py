@@ -68,7 +68,9 @@ def sanitize_urls(pages: DataFrame, key: str, vault_id: str, url: str = "url") -
     rows = written(pages.select(F.monotonically_increasing_id().alias("_url"), F.col(key).alias("_key"), F.col(vault_id).alias("_vault"), F.col(url).alias("url")), "urls")
     segments = rows.where(F.lower("url").rlike("^https?://")).select("_url", "_vault", F.posexplode(F.split(_path(F.col("url")), "/", -1)).alias("at", "segment")).where("segment <> ''")
     texts = segments.select(F.struct("_url", "at").alias("_place"), "_vault", _decoded(F.col("segment")).alias("text"))
-    out, vault = sanitize(texts, "_place", "_vault")
+    # Rows have their numbers, so their texts may be dealt out for the detector.
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    out, vault = sanitize(texts.repartition(parts), "_place", "_vault")
     found = out.where(F.size("spans") > 0).groupBy("_place._url").agg(F.map_from_entries(F.collect_list(F.struct("_place.at", "text"))).alias("tokens"))
     joined = rows.join(found, "_url", "left")
     return joined.select(F.col("_key").alias(key), F.col("_vault").alias("vault_id"), sanitize_url(F.col("url"), tokens=F.col("tokens")).alias(url)), vault
