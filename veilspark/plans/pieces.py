@@ -84,7 +84,7 @@ FROM (SELECT c_custkey % 60 AS u, min(c_custkey) AS first, bool_or(c_custkey % 6
 
 def sanitized_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a user says: their values become tokens, token-shaped words are made harmless and not reported."""
-    rows = _customers(spark, sf_dir, "CAST(k AS string) AS vault", f"{_TWO} || ' as [PAN_1]' AS text")
+    rows = spread(_customers(spark, sf_dir, "CAST(k AS string) AS vault", f"{_TWO} || ' as [PAN_1]' AS text"))
     out, _ = sanitize.sanitize(rows, "k", "vault", source="user")
     return out.select("k", "text", F.size("forged").alias("n_forged"))
 
@@ -94,7 +94,7 @@ ORACLE["sanitized_instructions"] = "SELECT c_custkey AS k, 'mail [EMAIL_1] or ca
 
 
 def sanitized_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _customers(spark, sf_dir, "CAST(k AS string) AS vault", "'Photo of u' || CAST(k AS string) || '@mail.example.png' AS text")
+    rows = spread(_customers(spark, sf_dir, "CAST(k AS string) AS vault", "'Photo of u' || CAST(k AS string) || '@mail.example.png' AS text"))
     return sanitize.sanitize_attr(rows, "k", "vault")
 
 
