@@ -93,3 +93,18 @@ def test_leak_gates_change_nothing(spark):
         for k in ("EMAIL", "GSTIN", "SECRET", "PAN", "PHONE"):
             assert (k in r.l) == r[k], (r.t, k)
         assert ("UPI" in r.l) == (r.UPI and not r.EMAIL)
+
+
+def test_a_single_span_takes_the_short_way_to_the_same_answer(spark):
+    from pyspark.sql import functions as F
+
+    from veilspark.operators.resolve import resolve, resolve_rows
+    from veilspark.operators.spans import SPAN
+
+    text = " (abc), x. -- "
+    cases = [[(a, b, "PAN", 0.5, "pan", 1)] for a in range(len(text)) for b in range(a, len(text) + 1)]
+    rows = spark.createDataFrame([(c, text) for c in cases], f"spans array<{SPAN}>, text string").select("spans", resolve(F.col("spans"), F.col("text")).alias("got"))
+    for r in rows.collect():
+        assert [tuple(x) for x in r.got] == [tuple(x) for x in resolve_rows([tuple(x) for x in r.spans], text)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(spans" in plan and "= 1)" in plan

@@ -59,9 +59,17 @@ def resolve(spans: Column, text: Column | None = None) -> Column:
         taken = F.transform(F.filter(used, lambda x: x["p"].isNotNull()), lambda x: F.struct(x["p"]["a"].alias("start"), x["p"]["b"].alias("end"), *[s[n].alias(n) for n in ("pii_class", "score", "rule", "rule_idx")]))
         return F.struct(free.alias("free"), F.concat(state["out"], taken).alias("out"))
 
+    def alone(s: Column) -> Column:
+        """A span without others has all the room."""
+        a, b = F.greatest(s["start"], F.lit(0)), F.least(s["end"], F.lit(_FAR))
+        return F.struct(s.alias("s"), F.when(a < b, trimmed(a, b)).alias("p"))
+
+    fits = lambda x: x["p"].isNotNull() & ((x["p"]["b"] - x["p"]["a"] >= LEAST) | ((x["p"]["a"] == x["s"]["start"]) & (x["p"]["b"] == x["s"]["end"])))
+    cut = lambda x: F.struct(x["p"]["a"].alias("start"), x["p"]["b"].alias("end"), *[x["s"][n].alias(n) for n in ("pii_class", "score", "rule", "rule_idx")])
+    single = F.transform(F.filter(F.transform(spans, alone), fits), cut)
     ordered = F.transform(F.array_sort(F.transform(spans, rank)), lambda x: x["s"])
     start = F.struct(F.array(room(F.lit(0), F.lit(_FAR))).alias("free"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(ordered, start, step, lambda s: F.array_sort(s["out"]))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(spans) == 1, single).when(F.size(spans) > 1, F.aggregate(ordered, start, step, lambda s: F.array_sort(s["out"]))).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 class _Room:
