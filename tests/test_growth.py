@@ -108,3 +108,21 @@ def test_a_single_span_takes_the_short_way_to_the_same_answer(spark):
         assert [tuple(x) for x in r.got] == [tuple(x) for x in resolve_rows([tuple(x) for x in r.spans], text)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "size(spans" in plan and "= 1)" in plan
+
+
+def test_boxes_are_not_dealt_out_by_class(spark, tmp_path):
+    """Two classes: no step sends all boxes of one to one task."""
+    from veilspark.sources import formats
+
+    boxes = spark.range(6_000).selectExpr("id % 1500 AS image_id", "concat(id % 1500, '.png') AS file_name", "4L AS width", "3L AS height", "if(id % 3 = 0, 'FACE', 'TEXT') AS pii_class", "1D AS x", "2D AS y", "3D AS w", "CAST(id AS double) AS h")
+    formats.write_coco(boxes, str(tmp_path / "out"), ["TEXT", "FACE"], 100)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for boxes in large numbers
+        back = formats.read_coco(spark, str(tmp_path / "out"))
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [category_id#" in plan and "SortMergeJoin [category_id#" not in plan
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, boxes.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len([p for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]) == 15

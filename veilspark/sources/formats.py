@@ -22,7 +22,8 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     images = raw.select(F.explode("images").alias("i")).select("i.*")
     kinds = raw.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("pii_class")).distinct()
     boxes = raw.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", *[F.col("a.bbox")[i].alias(n) for i, n in enumerate("xywh")])
-    return boxes.join(kinds, "category_id").join(images.withColumnRenamed("id", "image_id"), "image_id").select("image_id", "file_name", "width", "height", "pii_class", "x", "y", "w", "h")
+    # Categories are few and each has many boxes: by a shuffle all boxes of one would go to one task.
+    return boxes.join(F.broadcast(kinds), "category_id").join(images.withColumnRenamed("id", "image_id"), "image_id").select("image_id", "file_name", "width", "height", "pii_class", "x", "y", "w", "h")
 
 
 def write_coco(boxes: DataFrame, path: str, classes: list[str], images_per_file: int = 5_000) -> None:
@@ -38,11 +39,13 @@ def write_coco(boxes: DataFrame, path: str, classes: list[str], images_per_file:
     box = F.array(*[F.round(F.col(c), 1) for c in "xywh"])
     one = F.struct("image_id", known[F.col("pii_class")].cast("long").alias("category_id"), box.alias("bbox"), F.round(F.col("w") * F.col("h"), 1).alias("area"), F.lit(0).alias("iscrowd"))
     image = F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")
-    each = boxes.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_set(image)).alias("images"), F.array_sort(F.collect_list(one)).alias("a"))
+    # A task reads the boxes of one file, whatever their number in all.
+    dealt = boxes.select(shard.alias("shard"), "image_id", "file_name", "width", "height", "pii_class", *"xywh").repartitionById(files, F.col("shard"))
+    each = dealt.groupBy("shard").agg(F.array_sort(F.collect_set(image)).alias("images"), F.array_sort(F.collect_list(one)).alias("a"))
     numbered = F.transform("a", lambda a, i: F.struct((F.col("shard").cast("long") * (1 << 32) + i).alias("id"), a["image_id"].alias("image_id"), a["category_id"].alias("category_id"), a["bbox"].alias("bbox"), a["area"].alias("area"), a["iscrowd"].alias("iscrowd")))
     names = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(c).alias("name")) for i, c in enumerate(classes, 1)])
     document = F.to_json(F.struct("images", numbered.alias("annotations"), names.alias("categories")))
-    each.repartitionById(files, F.col("shard")).select(document.alias("value")).write.text(path)
+    each.select(document.alias("value")).write.text(path)
 
 
 def read_model_meta(spark: SparkSession, path: str) -> dict:
