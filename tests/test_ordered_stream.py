@@ -62,3 +62,29 @@ def test_steps_of_shuffled_batches(spark, tmp_path):
     for task in "abcdef":
         numbers = [n for k, n, _, _ in got if k == task]
         assert numbers == list(range(1, len(numbers) + 1))
+
+
+def test_steps_and_patience_at_the_watermark_itself(spark, tmp_path):
+    minute = dt.timedelta(minutes=1)
+    first = [("a", START + 50 * minute, 1), ("c", START + 30 * minute, 1), ("z", START + 60 * minute, 1)]
+    more = [("z", START + 61 * minute, 2)]
+    got = run(spark, tmp_path, [first, more], 8, 20 * minute)
+    want = plain([*first, *more], 8, 20 * minute, START + 51 * minute)
+    assert sorted(got, key=str) == want and ("a", 1, 1, "step") in want and ("c", 2, None, "timed out") in want
+
+
+def test_no_more_steps_wait_than_can_count(spark, tmp_path):
+    """One task of 400 steps and a limit of 3: the state takes a few entries, and later batches only change what comes first."""
+    minute = dt.timedelta(minutes=1)
+    first = [("a", START + minute * (400 - i), i) for i in range(400)]
+    (tmp_path / "in").mkdir()
+    out, most = [], []
+    for i, rows in enumerate([first, [("a", START, 999)], [("z", START + 900 * minute, 1)]]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        src = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        stream = ordered.ordered_steps(src, "task", "ts", "seq", 3, 60_000_000, "10 hours")
+        query = stream.writeStream.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        most += [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators]
+    assert sorted(out) == [("a", 1, 999, "step"), ("a", 2, 399, "step"), ("a", 3, 398, "step"), ("a", 4, 397, "stopped")]
+    assert max(most) <= 10
