@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def splice(text: Column, spans: Column, tokens: Column) -> Column:
     return F.concat(rest["out"], vaults.defang(F.substring(text, rest["at"] + 1, F.length(text))))
 
 
-def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = None, source: str = "page", text: str = "text", spans: Column | None = None, store: VaultStore | None = None, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = None, source: str = "page", text: str = "text", spans: Column | None = None, store: VaultStore | None = None, batch: str | None = None, keep: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, vault_id, text, spans, tokens, forged) of every row, and the vault.
 
     With a ``store`` known values keep the tokens of earlier runs and new ones are added to it (``batch``
@@ -37,10 +39,12 @@ def sanitize(docs: DataFrame, key: str, vault_id: str, origin: Column | None = N
     ``spans`` (over ``_text``) defaults to the full detector. It runs once: rows are
     written with their spans and a number of their own, by which tokens come back, so
     null and repeated keys are as good as others. Tokens are numbered by (key, start)
-    within each vault. A null text stays null, without spans.
+    within each vault. A null text stays null, without spans. ``keep`` (of a span, over ``_key`` and
+    ``_text``) says which spans become tokens; without it all do. The values of others stay in the text.
     """
     narrow = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(vault_id).alias("vault_id"), F.col(text).alias("_text"), (origin if origin is not None else F.lit("")).alias("origin"))
-    base = written(narrow.withColumn("spans", spans) if spans is not None else native.with_spans(narrow, "_text"), "spans")
+    found = narrow.withColumn("spans", spans) if spans is not None else native.with_spans(narrow, "_text")
+    base = written(found.withColumn("spans", F.filter("spans", keep)) if keep is not None else found, "spans")
     each = base.select("_row", "_key", "vault_id", "origin", "_text", F.posexplode("spans").alias("i", "s"))
     values = each.select("_row", "i", "_key", "vault_id", "origin", F.col("s.start").alias("start"), F.col("s.pii_class").alias("pii_class"), F.substring(F.col("_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"), F.lit(source).alias("source"))
     values = values.withColumn("canonical", vaults.canonical(F.col("pii_class"), F.col("value")))
